@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from murmur.llm import exact_dedup, sharding
+from murmur.llm import exact_dedup, sharding, substring_dedup
 
-_MODULES = [exact_dedup, sharding]
+_MODULES = [exact_dedup, sharding, substring_dedup]
 
 
 def queries() -> dict:
