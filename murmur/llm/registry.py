@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from murmur.llm import exact_dedup, sharding, substring_dedup
+from murmur.llm import exact_dedup, sharding, simhash, substring_dedup
 
-_MODULES = [exact_dedup, sharding, substring_dedup]
+_MODULES = [exact_dedup, sharding, simhash, substring_dedup]
 
 
 def queries() -> dict:
