@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from murmur.llm import exact_dedup, sharding, simhash, substring_dedup
+from murmur.llm import exact_dedup, packing, sharding, simhash, substring_dedup, token_counts
 
-_MODULES = [exact_dedup, sharding, simhash, substring_dedup]
+_MODULES = [exact_dedup, sharding, packing, simhash, substring_dedup, token_counts]
 
 
 def queries() -> dict:
