@@ -59,6 +59,18 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.002) -> list[int
     return sorted(x for x in (1 << KEY_BITS if f is None else f for f in found))
 
 
+def part_of(key: F.Column, cuts: list[int]) -> F.Column:
+    """How many of the ascending cuts are at or below key, as a balanced tree of comparisons."""
+
+    def pick(low: int, high: int) -> F.Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < cuts[middle], pick(low, middle)).otherwise(pick(middle + 1, high))
+
+    return pick(0, len(cuts)).cast("int")
+
+
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, rows_a_task: int = 100_000) -> DataFrame:
     """docs and the columns size, shard and slot, in shards of nearly equal bytes; equal texts share a shard.
 
@@ -78,8 +90,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     parts = max(1, -(-narrow.count() // (shards * rows_a_task)))
 
     def placed(df: DataFrame) -> DataFrame:
-        below = F.expr(f"cast(size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c <= _key)) as int)") if cuts else F.lit(0)
-        return df.withColumns({"shard": below, "_part": salt_of(id_col, parts)})
+        return df.withColumns({"shard": part_of(F.col("_key"), cuts), "_part": salt_of(id_col, parts)})
 
     whole = placed(keyed)
     counts = placed(narrow).groupBy("shard", "_part").agg(F.count("*").alias("_n"))
