@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from murmur.llm import exact_dedup, packing, sharding, simhash, substring_dedup, token_counts
+from murmur.llm import exact_dedup, packing, sharding, simhash, substring_dedup, token_counts, toxicity
 
-_MODULES = [exact_dedup, sharding, packing, simhash, substring_dedup, token_counts]
+_MODULES = [exact_dedup, sharding, packing, simhash, substring_dedup, token_counts, toxicity]
 
 
 def queries() -> dict:

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import small_batches
+from murmur.llm._shared import materialise, small_batches
+from murmur.llm.exact_dedup import dedup_groups
 from murmur.llm._words import Words, mix, rolling, utf8, within, words_of
 
 #: The anchor filter: a fixed number of bits, whatever the input, in segments that tasks build alone.
@@ -117,8 +118,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rolling window of a block's width. The index is a filter of a fixed number of bits: where it is full it
     lets more windows through, never fewer. The third scan takes the windows around blocks that were hit, and
     an exact grouped minimum over (64 + 32)-bit hashes of their words finds each window's smallest id; joined
-    back, adjacent windows extend to maximal repeats. A frequent window is one row per document there, is
-    pre-aggregated before the shuffle, and its partition may be split in the join. No pairs of documents are made.
+    back, adjacent windows extend to maximal repeats. A window is let through if the one block of its own text
+    that it holds occurs elsewhere. A frequent window is one row per document there, is pre-aggregated before the
+    shuffle, and its partition may be split in the join. No pairs of documents are made. Whole copies of a text
+    with a smaller id lose all their words and give no windows; digests find them beforehand.
 
     Null and empty texts have no words. Rows of one id never remove each other. Rows with a null id keep all
     words and remove none. Repeated rows are judged alike. Other columns are not read. An empty table gives none.
@@ -126,6 +129,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     block = (window + 1) // 2
+    groups = dedup_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("id")).agg(F.bool_and(~F.col("kept")).alias("copy"))
+    copies = materialise(groups.filter("copy AND id IS NOT NULL").select("id"), "copies")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def blocks(batches):
@@ -161,12 +166,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def windows(batches):
         for batch, words, _, _ in _batches(batches):
             h, check, ok = hash_windows(words)
-            anchor = _has(anchors.value, rolling(words.hashes, block, _ANCHOR))
-            near = np.r_[0, np.cumsum(anchor)]
-            starts = np.arange(len(h))
-            ok &= near[starts + window - block + 1] > near[starts] if len(h) else ok
-            starts = starts[ok]
+            starts = np.flatnonzero(ok)
             text = np.searchsorted(words.first, starts, "right") - 1
+            own = starts + (words.first[text] - starts) % block  # the block of its text that the window holds
+            hit = _has(anchors.value, rolling(words.hashes, block, _ANCHOR)[own])
+            starts, text = starts[hit], text[hit]
             ids = batch.column("id")
             known = np.asarray(ids.is_valid())
             starts, text = starts[known[text]], text[known[text]]
@@ -174,20 +178,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             _, one = np.unique(mix(h[starts] ^ mix(text.astype(np.uint64), 3)), return_index=True)  # one row for a window that a text repeats
             yield pa.record_batch({"h": h[starts[one]].view(np.int64), "c": check[starts[one]], "id": id_[one].astype(np.int64)})
 
-    found = rows.mapInArrow(windows, "h long, c int, id long")
-    least = found.groupBy("h", "c").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
+    found = rows.join(copies, "id", "left_anti").select("id", "text").mapInArrow(windows, "h long, c int, id long")
+    least = found.groupBy("h", "c").agg(F.min("id").alias("least"))
     gone = found.join(least, ["h", "c"]).filter("id > least").groupBy("id").agg(F.collect_list("h").alias("gone"))
+    facts = gone.select("id", "gone", F.lit(False).alias("copy")).union(copies.select("id", F.array().cast("array<long>"), F.lit(True)))
 
     def cut(batches):
         for batch, words, data, offsets in _batches(batches):
             h, _, ok = hash_windows(words)
-            gone_of, buffer = batch.column("gone"), data.tobytes()
+            gone_of, copy, buffer = batch.column("gone"), batch.column("copy").to_pylist(), data.tobytes()
             texts, n_removed = [], []
             lists, values = np.asarray(gone_of.offsets), np.asarray(gone_of.values)
             for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
                 spans = zip(words.starts[a:b].tolist(), words.ends[a:b].tolist())
                 covered = np.zeros(b - a + 1, np.int64)
-                if lists[k + 1] > lists[k] and b - a >= window:
+                if copy[k] and b - a >= window:
+                    covered[0] = 1
+                elif lists[k + 1] > lists[k] and b - a >= window:
                     at = np.flatnonzero(np.isin(h[a : b - window + 1], values[lists[k] : lists[k + 1]].view(np.uint64)))
                     np.add.at(covered, at, 1)
                     np.add.at(covered, at + window, -1)
@@ -196,7 +203,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n_removed.append(b - a - sum(stays))
             yield pa.record_batch({"id": batch.column("id"), "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": np.diff(words.first).astype(np.int64), "n_removed": pa.array(n_removed, pa.int64())})
 
-    joined = rows.join(gone, "id", "left").select("id", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
+    joined = rows.join(facts, "id", "left").select("id", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"), F.coalesce("copy", F.lit(False)).alias("copy"))
     return joined.mapInArrow(cut, "id long, text string, n_words long, n_removed long").withColumnRenamed("id", id_col)
 
 
