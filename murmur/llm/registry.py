@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from murmur.llm import exact_dedup, packing, sharding, simhash, substring_dedup, token_counts, toxicity, warc
+from murmur.llm import exact_dedup, html_text, packing, sharding, simhash, substring_dedup, token_counts, toxicity, warc
 
-_MODULES = [exact_dedup, sharding, packing, simhash, substring_dedup, token_counts, toxicity, warc]
+_MODULES = [exact_dedup, sharding, packing, html_text, simhash, substring_dedup, token_counts, toxicity, warc]
 
 
 def queries() -> dict:
