@@ -107,7 +107,8 @@ class Encoder:
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of ids of each pre-token."""
-        return self._length[self._look_up(data, starts, ends)].astype(np.int64)
+        at = self._look_up(data, starts, ends)
+        return self._length[at].astype(np.int64)
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and where each text's begin (n + 1 entries)."""
