@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATE = 16_000
@@ -117,12 +117,15 @@ def decode(files: DataFrame, mono: bool = False, rate: int = RATE, pad_ms: int =
     return files.select("path", "content").mapInPandas(run, "path string, channel string, samples array<float>, error string")
 
 
-@F.pandas_udf("array<double>")
-def pcm16_samples(payload: pd.Series) -> pd.Series:
-    """16-bit PCM bytes as samples from -1 to 1."""
+def _samples(payload: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else to_float(bytes(p), 2).astype(float).tolist() for p in payload])
 
 
+def pcm16_samples(payload: str) -> Column:
+    """A column of 16-bit PCM bytes as samples from -1 to 1."""
+    return F.pandas_udf(_samples, "array<double>")(payload)
+
+
 def wav_header(content: str = "content") -> dict:
     """Columns of a WAV header: whether it is one, channels, rate and bits, from its fixed places."""
 

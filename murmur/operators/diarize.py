@@ -38,8 +38,8 @@ def assign_speakers(words: DataFrame, segments: DataFrame, min_overlap: float =
 def speaker_runs(assigned: DataFrame) -> DataFrame:
     """Runs of words of one speaker in a message; unassigned words break a run and make none."""
     in_order = Window.partitionBy(*MESSAGE).orderBy("pos")
-    change = F.coalesce(~F.col("speaker").eqNullSafe(F.lag("speaker").over(in_order)), F.lit(True)).cast("int")
-    numbered = assigned.withColumn("run_no", F.sum(change).over(in_order).cast("long"))
+    change = ((F.row_number().over(in_order) == 1) | ~F.col("speaker").eqNullSafe(F.lag("speaker").over(in_order))).cast("int")
+    numbered = assigned.withColumn("_change", change).withColumn("run_no", F.sum("_change").over(in_order).cast("long"))
     runs = numbered.filter("speaker IS NOT NULL").groupBy(*MESSAGE, "run_no")
     return runs.agg(F.first("speaker").alias("speaker"), F.min_by("start_ms", "pos").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.count("*").alias("n_words"))
 
@@ -52,7 +52,7 @@ def fill_nearest(assigned: DataFrame) -> DataFrame:
     pass in each direction finds them.
     """
     in_order = Window.partitionBy(*MESSAGE).orderBy("pos")
-    run_change = F.coalesce(~F.col("speaker").eqNullSafe(F.lag("speaker").over(in_order)), F.lit(True)).cast("int")
+    run_change = (~F.col("speaker").eqNullSafe(F.lag("speaker").over(in_order))).cast("int")
     numbered = assigned.withColumn("_run", F.sum(run_change).over(in_order))
     run = Window.partitionBy(*MESSAGE, "_run")
     marked = numbered.withColumns({"_run_start": F.min("start_ms").over(run), "_run_end": F.max("end_ms").over(run)})

@@ -3,18 +3,21 @@
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["rec_id", "channel", "msg_no", "pos"]
 
 
-@F.pandas_udf("double")
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two words."""
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def ratio(a: str, b: str) -> Column:
+    """Ratcliff-Obershelp similarity of two columns of words."""
+    return F.pandas_udf(_ratios, "double")(a, b)
+
+
 def echo_pairs(words: DataFrame, delta_ms: int = 900) -> DataFrame:
     """Pairs of words of different channels of one recording that end within ``delta_ms``, the earlier one as heard.
 
@@ -47,6 +50,7 @@ def _fold(channels: dict[str, list[list[dict]]], delta_ms: int, similarity: floa
     """Drop echoes in place, word by word: a word goes if another channel has a similar one shortly before, and
     a similar word shortly behind goes from the other channel at once. What a loop over a list does when the
     list loses an item, to pass over the next one, is part of the rule."""
+    spans = {id(m): (min(w["end_ms"] for w in m) - delta_ms, max(w["end_ms"] for w in m) + delta_ms) for ms in channels.values() for m in ms if m}
     for name, messages in channels.items():
         others = [m for other, ms in channels.items() if other != name for m in ms]
         for message in messages:
@@ -54,6 +58,9 @@ def _fold(channels: dict[str, list[list[dict]]], delta_ms: int, similarity: floa
             for word in list(message):
                 heard = False
                 for other in others:
+                    low, high = spans[id(other)]
+                    if not low <= word["end_ms"] <= high:
+                        continue
                     k = 0
                     while k < len(other) and not heard:
                         o = other[k]
@@ -74,19 +81,23 @@ def without_echo_greedy(words: DataFrame, delta_ms: int = 900, similarity: float
     """The order-dependent form: channels in order, a word dropped early no longer drops others.
 
     Only pauses separate what can influence one another: words that end more than ``delta_ms`` apart never meet,
-    so each stretch of a recording between such pauses, over all its channels, is a group of its own.
+    so each stretch of a recording between such pauses is judged by itself, and one with a single channel stays as it is.
     """
     in_time = Window.partitionBy("rec_id").orderBy("end_ms", "channel", "msg_no", "pos")
     apart = F.coalesce(F.col("end_ms") - F.lag("end_ms").over(in_time) > delta_ms, F.lit(False)).cast("int")
-    grouped = words.withColumn("_stretch", F.sum(apart).over(in_time))
+    stretch = Window.partitionBy("rec_id", "_stretch")
+    grouped = words.withColumn("_stretch", F.sum(apart).over(in_time)).withColumn("_alone", F.min("channel").over(stretch) == F.max("channel").over(stretch))
+    columns = words.columns
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["channel", "msg_no", "pos"])
-        channels: dict[str, list[list[dict]]] = {}
-        for (channel, _), rows in part.groupby(["channel", "msg_no"], sort=True):
-            channels.setdefault(channel, []).append(rows.to_dict("records"))
-        _fold(channels, delta_ms, similarity)
-        kept = [w for ms in channels.values() for m in ms for w in m]
-        return pd.DataFrame(kept, columns=part.columns)[list(words.columns)]
-
-    return grouped.groupBy("rec_id", "_stretch").applyInPandas(run, words.schema)
+        kept = []
+        for _, rows in part.sort_values(["channel", "msg_no", "pos"]).groupby("_stretch", sort=False):
+            channels: dict[str, list[list[dict]]] = {}
+            for (channel, _), message in rows.groupby(["channel", "msg_no"], sort=True):
+                channels.setdefault(channel, []).append(message.to_dict("records"))
+            _fold(channels, delta_ms, similarity)
+            kept += [w for ms in channels.values() for m in ms for w in m]
+        return pd.DataFrame(kept, columns=part.columns)[columns]
+
+    shared = grouped.filter("NOT _alone").withColumn("_block", F.floor(F.col("_stretch") / 64))
+    return shared.groupBy("rec_id", "_block").applyInPandas(run, words.schema).union(grouped.filter("_alone").select(*columns))

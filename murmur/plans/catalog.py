@@ -1,4 +1,429 @@
 """Registered queries and their DuckDB SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from murmur.functions import labels, text
+from murmur.operators import diarize, echo, embeddings, sentences, timeline, tokens, vad
+from murmur.options import PipelineOptions
+from murmur.plans.transcript import transcribe
+from murmur.sources import derived as d
+from murmur.sources import files, sinks
+from murmur.streaming import session
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None, *relations: str):
+    """Register a query; ``relations`` are the derived relations that its SQL stands on, in order."""
+
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = (f"WITH {', '.join(d.SQL[r] for r in relations)}, {sql.strip().removeprefix('WITH ')}" if sql.strip().startswith("WITH ") else f"WITH {', '.join(d.SQL[r] for r in relations)} {sql}") if relations else sql
+        return f
+
+    return register
+
+
+# Sentences and dialogues.
+
+_SENTENCES = """
+    ends AS (SELECT *, lag(end_ms) OVER (PARTITION BY rec_id, channel ORDER BY msg_no, pos) AS prev FROM words),
+    limits AS (SELECT rec_id, channel, round(quantile_cont(end_ms - prev, {p}), 6) AS lim FROM ends GROUP BY rec_id, channel),
+    cut AS (SELECT ends.*, sum(CASE WHEN start_ms - prev >= lim THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, channel ORDER BY msg_no, pos) AS s
+            FROM ends JOIN limits USING (rec_id, channel)),
+    sentences AS (SELECT rec_id, channel, CAST(s AS BIGINT) AS sentence_no, first(start_ms ORDER BY msg_no, pos) AS start_ms, last(end_ms ORDER BY msg_no, pos) AS end_ms,
+                  string_agg(word, ' ' ORDER BY msg_no, pos) AS text, count(*) AS n_words FROM cut GROUP BY rec_id, channel, s)"""
+_S80 = _SENTENCES.format(p=0.8)
+
+
+@query("dialogue_sentences", f"WITH {_S80} SELECT * FROM sentences", "words")
+def dialogue_sentences(spark, sf_dir):
+    return sentences.sentences(d.words(spark, sf_dir))
+
+
+@query("dialogue_sentences_p90", f"WITH {_SENTENCES.format(p=0.9)} SELECT * FROM sentences", "words")
+def dialogue_sentences_p90(spark, sf_dir):
+    return sentences.sentences(d.words(spark, sf_dir), 90)
+
+
+@query("dialogue_sentences_compat", f"""WITH {_S80}
+    SELECT rec_id, channel, CAST(s AS BIGINT) AS sentence_no, coalesce(first(start_ms ORDER BY msg_no, pos) FILTER (start_ms <> 0), min(start_ms)) AS start_ms,
+           last(end_ms ORDER BY msg_no, pos) AS end_ms, string_agg(word, ' ' ORDER BY msg_no, pos) AS text, count(*) AS n_words FROM cut GROUP BY rec_id, channel, s""", "words")
+def dialogue_sentences_compat(spark, sf_dir):
+    return sentences.sentences(d.words(spark, sf_dir), compat=True)
+
+
+@query("dialogue_text", rf"""WITH {_S80} SELECT rec_id, string_agg(channel || ': ' || text || chr(10), '' ORDER BY start_ms, channel, sentence_no) AS dialogue, count(*) AS n_sentences
+    FROM sentences GROUP BY rec_id""", "words")
+def dialogue_text(spark, sf_dir):
+    return sentences.dialogue(sentences.sentences(d.words(spark, sf_dir)))
+
+
+@query("readable_lines", f"""WITH {_S80} SELECT rec_id, channel, sentence_no, start_ms,
+    CASE WHEN count(DISTINCT channel) OVER (PARTITION BY rec_id) > 1 THEN 'Спикер_' || channel || ': ' || trim(text) ELSE trim(text) END AS line FROM sentences""", "words")
+def readable_lines(spark, sf_dir):
+    return sinks.readable_lines(sentences.sentences(d.words(spark, sf_dir)))
+
+
+@query("response_envelopes")
+def response_envelopes(spark, sf_dir):
+    return sinks.envelopes(sentences.sentences(d.words(spark, sf_dir)))
+
+
+@query("channel_full_text", """SELECT conv_id AS rec_id, role AS channel, string_agg(text || ' ', '' ORDER BY turn) AS full_text, count(*) AS n_messages
+    FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, role""")
+def channel_full_text(spark, sf_dir):
+    return sentences.full_texts(d.messages(spark, sf_dir))
+
+
+@query("error_states", """, SELECT DISTINCT conv_id AS rec_id, role AS channel,
+    CASE WHEN NOT EXISTS (SELECT 1 FROM words w WHERE w.rec_id = conv_id AND w.channel = role) THEN 'Err_No_words in ' || role END AS err_state FROM conversations""".lstrip(", "), "words")
+def error_states(spark, sf_dir):
+    return sentences.error_states(d.messages(spark, sf_dir).select("rec_id", "channel").distinct(), d.words(spark, sf_dir))
+
+
+# Tokens.
+
+
+@query("token_words_leading_space", """WITH numbered AS (SELECT *, sum(CASE WHEN starts_with(token, ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, channel, msg_no ORDER BY pos) AS n FROM pieces),
+    found AS (SELECT rec_id, channel, msg_no, CAST(n AS BIGINT) AS word_no, trim(string_agg(token, '' ORDER BY pos), ' ') AS word, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms
+              FROM numbered GROUP BY rec_id, channel, msg_no, n)
+    SELECT * FROM found WHERE word <> ''""", "chars", "pieces")
+def token_words_leading_space(spark, sf_dir):
+    return tokens.words_by_leading_space(d.pieces(spark, sf_dir))
+
+
+@query("token_words_compat", """WITH numbered AS (SELECT *, sum(CASE WHEN starts_with(token, ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, channel, msg_no ORDER BY pos) AS n FROM pieces)
+    SELECT rec_id, channel, msg_no, CAST(n AS BIGINT) AS word_no, trim(string_agg(token, '' ORDER BY pos), ' ') AS word, 1500 + CASE WHEN n = 0 THEN 0 ELSE min(ts_ms) END AS start_ms, 1500 + max(ts_ms) AS end_ms
+    FROM numbered GROUP BY rec_id, channel, msg_no, n""", "chars", "pieces")
+def token_words_compat(spark, sf_dir):
+    return tokens.words_by_leading_space(d.pieces(spark, sf_dir), shift_ms=1500, compat=True)
+
+
+@query("token_words_gap", """WITH marked AS (SELECT *, lag(token) OVER w AS before, ts_ms - lag(ts_ms) OVER w AS since FROM chars WINDOW w AS (PARTITION BY rec_id, channel, msg_no ORDER BY pos)),
+    numbered AS (SELECT *, sum(CASE WHEN before = ' ' OR since > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, channel, msg_no ORDER BY pos) AS n FROM marked WHERE token <> ' ')
+    SELECT rec_id, channel, msg_no, CAST(n AS BIGINT) AS word_no, string_agg(token, '' ORDER BY pos) AS word, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms FROM numbered GROUP BY rec_id, channel, msg_no, n""", "chars")
+def token_words_gap(spark, sf_dir):
+    return tokens.words_by_gap(d.chars(spark, sf_dir))
+
+
+_RATES = """pauses AS (SELECT *, CASE WHEN token = ' ' THEN lead(ts_ms) OVER (PARTITION BY rec_id, channel, msg_no ORDER BY pos) - ts_ms END AS pause FROM chars),
+    spoken AS (SELECT rec_id, channel, msg_no, CAST(sum(CASE WHEN token <> ' ' THEN 1 ELSE 0 END) AS BIGINT) AS n_letters, CAST(last(ts_ms ORDER BY pos) - coalesce(sum(pause), 0) AS BIGINT) AS spoken_ms
+               FROM pauses GROUP BY rec_id, channel, msg_no),
+    rates AS (SELECT *, CAST(CASE WHEN n_letters > 0 AND spoken_ms > 0 THEN n_letters * 1000 // spoken_ms ELSE 0 END AS BIGINT) AS rate FROM spoken)"""
+
+
+@query("speech_rate", f"WITH {_RATES} SELECT *, CASE WHEN rate > 18 THEN round(greatest(17.0::DOUBLE / rate, 0.8::DOUBLE), 6) ELSE 1.0::DOUBLE END AS slow_down FROM rates", "chars")
+def speech_rate(spark, sf_dir):
+    return tokens.speech_rate(d.chars(spark, sf_dir))
+
+
+@query("sticky_multiplier", f"""WITH {_RATES} SELECT rec_id, channel, msg_no, rate, coalesce(first_value(CASE WHEN rate > 9 THEN round(greatest(8.0::DOUBLE / rate, 0.8::DOUBLE), 6) END IGNORE NULLS)
+    OVER (PARTITION BY rec_id ORDER BY channel, msg_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0::DOUBLE) AS multiplier FROM rates""", "chars")
+def sticky_multiplier(spark, sf_dir):
+    rates = tokens.speech_rate(d.chars(spark, sf_dir)).select("rec_id", "channel", "msg_no", "rate")
+    return timeline.sticky_multiplier(rates, fast=9, target=8.0)
+
+
+@query("token_confidence", """WITH placed AS (SELECT rec_id, word AS token, CAST(round_even(pos * 350 / 500.0::DOUBLE, 0) * 500 AS BIGINT) AS ts_ms, msg_no, pos FROM words),
+    n AS (SELECT rec_id, count(DISTINCT msg_no) AS trials FROM placed GROUP BY rec_id)
+    SELECT rec_id, token, ts_ms, count(*) AS votes, round(count(*)::DOUBLE / any_value(trials), 4) AS conf, first(msg_no ORDER BY msg_no, pos) AS first_trial, first(pos ORDER BY msg_no, pos) AS first_pos
+    FROM placed JOIN n USING (rec_id) GROUP BY rec_id, token, ts_ms""", "words")
+def token_confidence(spark, sf_dir):
+    w = d.words(spark, sf_dir)
+    return tokens.token_confidence(w.select("rec_id", F.col("word").alias("token"), (F.col("pos") * 350).alias("ts_ms"), "msg_no", "pos"))
+
+
+# Time.
+
+
+@query("tumbling_chunks", """WITH counts AS (SELECT rec_id, channel, start_ms // 30000 AS chunk_no, count(*) AS n_words, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM words GROUP BY ALL)
+    SELECT *, lead(chunk_no) OVER (PARTITION BY rec_id, channel ORDER BY chunk_no) IS NULL AS is_last FROM counts""".replace("start_ms // 30000 AS chunk_no, count(*)", "words.start_ms // 30000 AS chunk_no, count(*)").replace("GROUP BY ALL", "GROUP BY rec_id, channel, words.start_ms // 30000"), "words")
+def tumbling_chunks(spark, sf_dir):
+    return timeline.tumbling_chunks(d.words(spark, sf_dir))
+
+
+@query("chunk_offsets", """SELECT conv_id AS rec_id, role AS channel, turn AS msg_no, duration_ms, ok,
+    CAST(coalesce(sum(CASE WHEN ok THEN duration_ms ELSE 0 END) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_ms
+    FROM (SELECT *, 1000 + 50 * length(text) AS duration_ms, length(text) % 5 <> 0 AS ok FROM conversations)""")
+def chunk_offsets(spark, sf_dir):
+    chunks = d.messages(spark, sf_dir).select("rec_id", "channel", "msg_no", (1000 + 50 * F.length("text")).cast("long").alias("duration_ms"), (F.length("text") % 5 != 0).alias("ok"))
+    return timeline.chunk_offsets(chunks)
+
+
+@query("task_states", """SELECT rec_id, tasks, CASE WHEN tasks = 0 THEN 'idle' ELSE 'in_work' END AS state FROM (
+    SELECT conv_id AS rec_id, count(*) FILTER (length(text) % 7 = 0) AS tasks FROM conversations GROUP BY conv_id)""")
+def task_states(spark, sf_dir):
+    done = F.when(F.length("text") % 7 != 0, F.col("text"))
+    return timeline.task_states(d.messages(spark, sf_dir).withColumn("text", done))
+
+
+@query("message_order", "SELECT conv_id AS rec_id, role AS channel, turn AS msg_no, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS running FROM conversations")
+def message_order(spark, sf_dir):
+    running = F.row_number().over(Window.partitionBy("rec_id").orderBy("msg_no", "channel")).cast("long")
+    return d.messages(spark, sf_dir).select("rec_id", "channel", "msg_no", running.alias("running"))
+
+
+# Voice activity.
+
+_VAD = """since AS (SELECT *, last_value(CASE WHEN prob >= 50 THEN frame_no END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY frame_no) AS high FROM frames),
+    highs AS (SELECT rec_id, high, min(CASE WHEN prob < 35 THEN frame_no END) AS low, max(CASE WHEN prob < 35 THEN frame_no END) AS last_low FROM since WHERE high IS NOT NULL GROUP BY rec_id, high),
+    sizes AS (SELECT rec_id, max(frame_no) + 1 AS n FROM frames GROUP BY rec_id),
+    marked AS (SELECT *, coalesce((last_low - low) * 512 * 1000 >= 1000 * 16000, false) AS silent FROM highs JOIN sizes USING (rec_id)),
+    cuts AS (SELECT *, coalesce(lag(silent) OVER (PARTITION BY rec_id ORDER BY high), false) AS cut FROM marked),
+    numbered AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY high) AS seg FROM cuts),
+    found AS (SELECT rec_id, min(high) * 512 AS "start", last(CASE WHEN silent THEN low ELSE n END ORDER BY high) * 512 AS "end", any_value(n) * 512 AS n_samples FROM numbered GROUP BY rec_id, seg),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY "start") AS seg_no FROM found WHERE ("end" - "start") * 1000 > 150 * 16000)"""
+
+
+@query("vad_segments", f"WITH {_VAD} SELECT * FROM kept", "frames")
+def vad_segments(spark, sf_dir):
+    return vad.segments(d.frames(spark, sf_dir))
+
+
+@query("vad_padded", f"""WITH {_VAD}, near AS (SELECT *, "start" - lag("end") OVER w AS before, lead("start") OVER w - "end" AS behind FROM kept WINDOW w AS (PARTITION BY rec_id ORDER BY "start"))
+    SELECT rec_id, n_samples, seg_no, greatest(0, "start" - CASE WHEN before < 960 THEN before // 2 ELSE 480 END) AS "start",
+           CASE WHEN behind < 960 THEN "end" + behind // 2 ELSE least(n_samples, "end" + 480) END AS "end" FROM near""", "frames")
+def vad_padded(spark, sf_dir):
+    return vad.padded(vad.segments(d.frames(spark, sf_dir)))
+
+
+@query("vad_cut_points", """WITH sizes AS (SELECT rec_id, max(frame_no) + 1 AS n_frames FROM frames GROUP BY rec_id),
+    late AS (SELECT *, n_frames // 3 AS first_frame FROM frames JOIN sizes USING (rec_id) WHERE frame_no >= n_frames // 3),
+    runs AS (SELECT *, CASE WHEN prob < 50 THEN sum(CASE WHEN prob < 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY frame_no ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) END AS silent FROM late),
+    found AS (SELECT rec_id, max(frame_no) AS cut FROM runs WHERE silent = 15 GROUP BY rec_id)
+    SELECT DISTINCT rec_id, n_frames, coalesce(cut, first_frame) AS cut_frame, cut IS NOT NULL AS in_silence FROM late LEFT JOIN found USING (rec_id)""", "frames")
+def vad_cut_points(spark, sf_dir):
+    return vad.cut_points(d.frames(spark, sf_dir))
+
+
+@query("vad_thresholds", """SELECT user_id AS rec_id, event_id, mode, CASE mode WHEN 1 THEN 70 WHEN 2 THEN 60 WHEN 3 THEN 50 WHEN 4 THEN 30 WHEN 5 THEN 15 ELSE 50 END AS threshold
+    FROM (SELECT *, event_id % 7 AS mode FROM events)""")
+def vad_thresholds(spark, sf_dir):
+    mode = F.pmod("event_id", F.lit(7))
+    return d.table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), "event_id", mode.alias("mode"), vad.threshold(mode).alias("threshold"))
+
+
+@query("framed_samples", """WITH held AS (SELECT rec_id, list(CAST(prob AS DOUBLE) ORDER BY frame_no) AS v FROM frames WHERE frame_no % 20 = 0 GROUP BY rec_id)
+    SELECT rec_id, k AS frame, CAST(list_sum(v[k * 16 + 1 : k * 16 + 16]) AS DOUBLE) AS level, CAST(16 AS INTEGER) AS size FROM (SELECT rec_id, v, unnest(range((len(v) + 15) // 16)) AS k FROM held)""".replace("k AS frame", "CAST(k AS INTEGER) AS frame"), "frames")
+def framed_samples(spark, sf_dir):
+    ordered = F.array_sort(F.collect_list(F.struct("frame_no", F.col("prob").cast("double").alias("prob"))))
+    held = d.frames(spark, sf_dir, repeat=1).groupBy("rec_id").agg(F.transform(ordered, lambda r: r["prob"]).alias("v"))
+    out = held.select("rec_id", F.posexplode(timeline.framed(F.col("v"), 16)).alias("frame", "samples"))
+    return out.select("rec_id", "frame", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("level"), F.size("samples").alias("size"))
+
+
+# Speakers.
+
+_ASSIGNED = """met AS (SELECT w.rec_id, w.channel, w.msg_no, w.pos, s.speaker, s.start_ms AS f, s.seg_ord,
+        CASE WHEN w.end_ms = w.start_ms THEN CASE WHEN s.start_ms <= w.start_ms AND w.start_ms < s.end_ms THEN 1.0 ELSE 0.0 END ELSE greatest(0, least(w.end_ms, s.end_ms) - greatest(w.start_ms, s.start_ms)) END AS overlap,
+        w.end_ms - w.start_ms AS len FROM words w JOIN segments s ON w.rec_id = s.rec_id AND s.start_ms <= w.end_ms AND s.end_ms >= w.start_ms),
+    best AS (SELECT rec_id, channel, msg_no, pos, first(speaker ORDER BY overlap DESC, f, seg_ord) AS speaker FROM met
+             WHERE overlap > 0 AND (len = 0 OR overlap / len >= 0.5) GROUP BY rec_id, channel, msg_no, pos),
+    assigned AS (SELECT words.*, speaker FROM words LEFT JOIN best USING (rec_id, channel, msg_no, pos))"""
+_RUNS = """changes AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR speaker IS DISTINCT FROM lag(speaker) OVER w THEN 1 ELSE 0 END AS change FROM assigned WINDOW w AS (PARTITION BY rec_id, channel, msg_no ORDER BY pos)),
+    runs AS (SELECT *, sum(change) OVER (PARTITION BY rec_id, channel, msg_no ORDER BY pos) AS run FROM changes)"""
+_FILLED = """spans AS (SELECT rec_id, channel, msg_no, run, speaker AS run_speaker, first(start_ms ORDER BY pos) AS rs, last(end_ms ORDER BY pos) AS re FROM runs WHERE speaker IS NOT NULL GROUP BY rec_id, channel, msg_no, run, speaker),
+    before AS (SELECT r.rec_id, r.channel, r.msg_no, r.pos, max_by(s.run_speaker, s.re) AS sp, max(s.re) AS re FROM runs r JOIN spans s USING (rec_id, channel, msg_no) WHERE r.speaker IS NULL AND s.re <= r.start_ms GROUP BY ALL),
+    behind AS (SELECT r.rec_id, r.channel, r.msg_no, r.pos, min_by(s.run_speaker, s.rs) AS sn, min(s.rs) AS rs FROM runs r JOIN spans s USING (rec_id, channel, msg_no) WHERE r.speaker IS NULL AND s.rs >= r.end_ms AND s.re > r.start_ms GROUP BY ALL),
+    filled AS (SELECT r.rec_id, r.channel, r.msg_no, r.pos, r.word, r.start_ms, r.end_ms,
+        coalesce(r.speaker, CASE WHEN sp IS NOT NULL AND sn IS NOT NULL THEN CASE WHEN r.start_ms - b.re < h.rs - r.end_ms THEN sp ELSE sn END END, sp, sn) AS speaker
+        FROM runs r LEFT JOIN before b USING (rec_id, channel, msg_no, pos) LEFT JOIN behind h USING (rec_id, channel, msg_no, pos))"""
+
+
+def _assigned(spark, sf_dir):
+    return diarize.assign_speakers(d.words(spark, sf_dir), d.segments(spark, sf_dir))
+
+
+@query("word_speakers", f"WITH {_ASSIGNED} SELECT * FROM assigned", "words", "segments")
+def word_speakers(spark, sf_dir):
+    return _assigned(spark, sf_dir)
+
+
+@query("speaker_runs", f"""WITH {_ASSIGNED}, {_RUNS} SELECT rec_id, channel, msg_no, CAST(run AS BIGINT) AS run_no, any_value(speaker) AS speaker, first(start_ms ORDER BY pos) AS start_ms, last(end_ms ORDER BY pos) AS end_ms, count(*) AS n_words
+    FROM runs WHERE speaker IS NOT NULL GROUP BY rec_id, channel, msg_no, run""", "words", "segments")
+def speaker_runs(spark, sf_dir):
+    return diarize.speaker_runs(_assigned(spark, sf_dir))
+
+
+@query("nearest_fill", f"WITH {_ASSIGNED}, {_RUNS}, {_FILLED} SELECT * FROM filled", "words", "segments")
+def nearest_fill(spark, sf_dir):
+    return diarize.fill_nearest(_assigned(spark, sf_dir))
+
+
+@query("replicas", f"""WITH {_ASSIGNED}, {_RUNS}, {_FILLED}, named AS (SELECT * REPLACE (coalesce(speaker, 'unknown') AS speaker) FROM filled),
+    gaps AS (SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY rec_id, channel, msg_no, speaker ORDER BY start_ms, pos) AS since FROM named),
+    cut AS (SELECT *, sum(CASE WHEN since > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, channel, msg_no, speaker ORDER BY start_ms, pos) AS n FROM gaps),
+    found AS (SELECT rec_id, channel, msg_no, speaker, CAST(n AS BIGINT) AS replica_no, string_agg(word, ' ' ORDER BY start_ms, pos) AS text, min(start_ms) AS start_ms, last(end_ms ORDER BY start_ms, pos) AS end_ms, count(*) AS n_words
+              FROM cut GROUP BY rec_id, channel, msg_no, speaker, n)
+    SELECT *, min(start_ms) OVER w AS group_start_ms, max_by(end_ms, replica_no) OVER w AS group_end_ms FROM found WINDOW w AS (PARTITION BY rec_id, channel, msg_no, speaker)""", "words", "segments")
+def replicas(spark, sf_dir):
+    return diarize.replicas(diarize.fill_nearest(_assigned(spark, sf_dir)))
+
+
+@query("word_groups", """WITH gaps AS (SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY rec_id, channel ORDER BY start_ms, msg_no, pos) AS since FROM words),
+    cut AS (SELECT *, sum(CASE WHEN since > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, channel ORDER BY start_ms, msg_no, pos) AS n FROM gaps)
+    SELECT rec_id, channel, CAST(n AS BIGINT) AS group_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words FROM cut GROUP BY rec_id, channel, n""", "words")
+def word_groups(spark, sf_dir):
+    return diarize.word_groups(d.words(spark, sf_dir))
+
+
+@query("merged_segments", """WITH kept AS (SELECT * FROM segments WHERE end_ms - start_ms >= 150),
+    near AS (SELECT *, speaker <> lag(speaker) OVER w OR start_ms - lag(end_ms) OVER w > 1000 AS other FROM kept WINDOW w AS (PARTITION BY rec_id ORDER BY start_ms, seg_ord)),
+    cut AS (SELECT *, sum(CASE WHEN other THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY start_ms, seg_ord) AS n FROM near)
+    SELECT rec_id, CAST(n AS BIGINT) AS merged_no, any_value(speaker) AS speaker, first(start_ms ORDER BY start_ms, seg_ord) AS start_ms, last(end_ms ORDER BY start_ms, seg_ord) AS end_ms, count(*) AS n_segments FROM cut GROUP BY rec_id, n""", "segments")
+def merged_segments(spark, sf_dir):
+    return diarize.merge_segments(diarize.long_enough(d.segments(spark, sf_dir)))
+
+
+@query("sliding_subsegments", """WITH sized AS (SELECT *, (end_ms - start_ms) // 10 AS n_frames FROM segments WHERE (end_ms - start_ms) // 10 > 0),
+    starts AS (SELECT *, unnest(CASE WHEN n_frames <= 150 THEN [0] ELSE range(0, n_frames - 75, 75) END) AS first_frame FROM sized)
+    SELECT *, least(150, n_frames - first_frame) AS n_real FROM starts""", "segments")
+def sliding_subsegments(spark, sf_dir):
+    return diarize.subsegments(d.segments(spark, sf_dir))
+
+
+@query("channel_guard", "SELECT conv_id AS rec_id, count(DISTINCT role) AS n_channels, count(DISTINCT role) = 1 AS can_diarize FROM conversations GROUP BY conv_id")
+def channel_guard(spark, sf_dir):
+    return diarize.channel_guard(d.messages(spark, sf_dir))
+
+
+# Echo.
+
+_QUICK = "heard AS (SELECT * REPLACE (pos * 350 + msg_no * 1000 AS start_ms, pos * 350 + msg_no * 1000 + 30 * least(length(word), 10) AS end_ms) FROM words)"
+
+
+def _heard(spark, sf_dir):
+    """Words of turns that overlap, so that channels share stretches of time."""
+    start = F.col("pos") * 350 + F.col("msg_no") * 1000
+    return d.words(spark, sf_dir).withColumns({"start_ms": start, "end_ms": (start + 30 * F.least(F.length("word"), F.lit(10))).cast("long")})
+
+
+@query("echo_removed", f"""WITH {_QUICK} SELECT * FROM heard w WHERE NOT EXISTS (SELECT 1 FROM heard o WHERE o.rec_id = w.rec_id AND o.word = w.word AND o.channel <> w.channel
+    AND o.end_ms < w.end_ms AND w.end_ms - o.end_ms <= 900)""", "words")
+def echo_removed(spark, sf_dir):
+    return echo.without_echo(_heard(spark, sf_dir))
+
+
+@query("echo_removed_similar")
+def echo_removed_similar(spark, sf_dir):
+    return echo.without_echo(_heard(spark, sf_dir), similarity=0.8)
+
+
+@query("echo_removed_greedy")
+def echo_removed_greedy(spark, sf_dir):
+    return echo.without_echo_greedy(_heard(spark, sf_dir))
+
+
+# Vectors.
+
+
+@query("normalised_vectors", """SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS length,
+    round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-8)) ** 2)), 5) AS square,
+    round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE - list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / len(embedding)))), 5) AS spread FROM embeddings""")
+def normalised_vectors(spark, sf_dir):
+    v = F.col("embedding")
+    unit = embeddings.normalised(v)
+    spread = F.aggregate(F.transform(embeddings.centred(v), lambda x: F.abs(x)), F.lit(0.0), lambda a, x: a + x)
+    return d.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(embeddings.norm(v), 5).alias("length"), F.round(embeddings.dot(unit, unit), 5).alias("square"), F.round(spread, 5).alias("spread"))
+
+
+@query("cosine_to_centroid", """WITH places AS (SELECT label, k, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(range(len(embedding))) AS k, unnest(embedding) AS x FROM embeddings) GROUP BY label, k),
+    mean AS (SELECT label, list(x ORDER BY k) AS c FROM places GROUP BY label)
+    SELECT vec_id, label, round(list_sum(list_transform(list_zip(embedding, c), lambda p: p[1]::DOUBLE * p[2])) /
+        (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(c, lambda x: x * x))) + 1e-8), 6) AS cosine FROM embeddings JOIN mean USING (label)""")
+def cosine_to_centroid(spark, sf_dir):
+    return embeddings.cosine_to_centroid(d.table(spark, sf_dir, "embeddings")).select("vec_id", "label", "cosine")
+
+
+@query("speaker_clusters")
+def speaker_clusters(spark, sf_dir):
+    calls = d.table(spark, sf_dir, "embeddings").withColumn("rec_id", F.floor(F.col("vec_id") / 50))
+    return embeddings.cluster_speakers(calls, "rec_id", num_speakers=4)
+
+
+# Texts.
+
+_WORD_LABEL = "(pos * 7 + length(word)) % 14"
+
+
+@query("punctuated_words", f"""WITH marked AS (SELECT *, CAST({_WORD_LABEL} AS INTEGER) AS label FROM words),
+    parts AS (SELECT * REPLACE (CASE WHEN label BETWEEN 5 AND 12 THEN replace(word, 'ß', 'ss') ELSE word END AS word), word AS whole, (label - 1) // 4 AS c, (label - 1) % 4 AS m FROM marked)
+    SELECT rec_id, channel, msg_no, pos, label, CASE WHEN label BETWEEN 1 AND 12 THEN
+        CASE c WHEN 1 THEN upper(replace(substring(whole, 1, 1), 'ß', 'ss')) || lower(substring(whole, 2)) WHEN 2 THEN upper(word) ELSE word END || CASE m WHEN 1 THEN '.' WHEN 2 THEN ',' WHEN 3 THEN '?' ELSE '' END ELSE word END AS surface,
+        CASE WHEN label BETWEEN 1 AND 12 THEN ['LOWER', 'UPPER', 'UPPER_TOTAL'][c + 1] || '_' || ['O', 'PERIOD', 'COMMA', 'QUESTION'][m + 1] ELSE 'O' END AS label_name FROM parts""", "words")
+def punctuated_words(spark, sf_dir):
+    label = F.expr(_WORD_LABEL).cast("int")
+    return d.words(spark, sf_dir).select("rec_id", "channel", "msg_no", "pos", label.alias("label"), labels.surface(F.col("word"), label).alias("surface"), labels.label_name(label).alias("label_name"))
+
+
+@query("best_labels", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings")
+def best_labels(spark, sf_dir):
+    return d.table(spark, sf_dir, "embeddings").select("vec_id", labels.best_label(F.col("embedding")).cast("long").alias("best"))
+
+
+@query("silence_filter", "SELECT conv_id AS rec_id, role AS channel, turn AS msg_no, trim(coalesce(text, ''), ' ') = '' AS silence FROM conversations WHERE trim(coalesce(text, ''), ' ') <> '' OR turn % 2 = 0")
+def silence_filter(spark, sf_dir):
+    m = d.messages(spark, sf_dir)
+    silent = text.is_silent(F.col("text"))
+    return m.filter(~silent | (F.col("msg_no") % 2 == 0)).select("rec_id", "channel", "msg_no", silent.alias("silence"))
+
+
+_PATH = "'/calls/' || source || '/' || CAST(doc_id AS VARCHAR) || ['.mp3', '.WAV', '.ogg', '.txt', '', '.opus'][doc_id % 6 + 1]"
+
+
+@query("audio_files", f"""SELECT doc_id, path, regexp_extract(path, '[^./](\\.[^./]+)$', 1) AS suffix, regexp_replace(path, '([^./])\\.[^./]+$', '\\1') || '.json' AS result FROM (SELECT doc_id, {_PATH} AS path FROM documents)
+    WHERE regexp_extract(path, '[^./](\\.[^./]+)$', 1) IN ('.mp3', '.ogg', '.opus')""")
+def audio_files(spark, sf_dir):
+    endings = F.array(*(F.lit(e) for e in (".mp3", ".WAV", ".ogg", ".txt", "", ".opus")))
+    path = F.concat(F.lit("/calls/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.get(endings, F.pmod("doc_id", F.lit(6)).cast("int")))
+    found = d.table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).filter(text.is_audio(F.col("path")))
+    return found.select("doc_id", "path", text.suffix(F.col("path")).alias("suffix"), text.with_suffix(F.col("path"), ".json").alias("result"))
+
+
+@query("audio_urls", """SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)?', 1) AS url_path FROM (
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '(://[^?#]*).*$', '\\1') || '.mp3?from=' || page_id ELSE url END AS url FROM pages)
+    WHERE regexp_extract(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)?', 1), '([^/]*)$', 1), '([^.]*)$', 1) IN ('mp3', 'wav', 'ogg')""")
+def audio_urls(spark, sf_dir):
+    call = F.concat(F.regexp_replace("url", r"(://[^?#]*).*$", "$1"), F.lit(".mp3?from="), F.col("page_id").cast("string"))
+    urls = d.table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, call).otherwise(F.col("url")).alias("url"))
+    return files.audio_urls(urls).select("page_id", "url", F.parse_url("url", F.lit("PATH")).alias("url_path"))
+
+
+@query("model_catalog", """SELECT DISTINCT p_name || '_' || CAST(p_partkey AS VARCHAR) AS name, p_partkey * 333333 // 1048576 AS size_mb FROM part WHERE p_size % 2 = 0 AND position('.' IN p_name) = 0""")
+def model_catalog(spark, sf_dir):
+    key = F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 0, ".onnx").otherwise(".bin"))
+    listing = d.table(spark, sf_dir, "part").filter(~F.contains(F.col("p_name"), F.lit("."))).select(F.to_json(F.array(F.struct(key.alias("Key"), (F.col("p_partkey") * 333333).alias("Size")))).alias("json"))
+    return files.catalog(listing)
+
+
+@query("config_messages", """SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL AND CAST(json_extract(props, '$.k') AS BIGINT) > 10""")
+def config_messages(spark, sf_dir):
+    parsed = d.table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k long").getField("k").alias("k"))
+    return parsed.filter("k > 10")
+
+
+# Whole runs.
+
+
+@query("stream_sessions")
+def stream_sessions(spark, sf_dir):
+    """Sessions by user at 800 Hz: two seconds of tone per event, as loud as its value, and an end."""
+    level = F.format_string("%04x", F.least(F.round(F.col("value") * 20).cast("int"), F.lit(30000)))
+    tone = F.unhex(F.repeat(F.concat(F.substring(level, 3, 2), F.substring(level, 1, 2)), 1600))
+    events = d.table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    sound = events.select(F.col("user_id").cast("string").alias("session_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), F.lit("bytes").alias("kind"), tone.alias("payload"))
+    starts = sound.select("session_id").distinct().select("session_id", F.lit(0).cast("long").alias("seq"), F.lit("config").alias("kind"), F.lit('{"config": {"sample_rate": 800}}').cast("binary").alias("payload"))
+    ends = events.select(F.col("user_id").cast("string").alias("session_id")).distinct().select("session_id", F.lit((1 << 62)).alias("seq"), F.lit("eof").alias("kind"), F.lit(None).cast("binary").alias("payload"))
+    return session.batch_sessions(starts.union(sound).union(ends))
+
+
+@query("diarized_dialogue")
+def diarized_dialogue(spark, sf_dir):
+    options = PipelineOptions(do_echo_clearing=True, do_diarization=True, do_dialogue=True)
+    return transcribe(d.words(spark, sf_dir), options, d.segments(spark, sf_dir))["sentences"]

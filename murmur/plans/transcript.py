@@ -4,19 +4,20 @@ from pyspark.sql import DataFrame
 
 from murmur.operators import diarize, echo, sentences
 from murmur.options import PipelineOptions
+from murmur.sources.scratch import materialise
 
 
 def transcribe(words: DataFrame, options: PipelineOptions, segments: DataFrame | None = None) -> dict[str, DataFrame]:
     """DataFrames by name: raw (unless dropped), diarized and sentences, where asked for.
 
-    Stages that are not asked for are not in the plan. Diarized words take the speaker's place as channel.
+    Stages that are not asked for are not in the plan; what several stages read is written once. Diarized words take the speaker's place as channel.
     """
     out: dict[str, DataFrame] = {}
     if options.do_echo_clearing:
-        words = echo.without_echo_greedy(words, options.echo_delta_ms, options.echo_similarity)
+        words = materialise(echo.without_echo_greedy(words, options.echo_delta_ms, options.echo_similarity), "words")
     spoken = words
     if options.do_diarization and segments is not None:
-        assigned = diarize.fill_nearest(diarize.assign_speakers(words, segments, options.min_overlap))
+        assigned = materialise(diarize.fill_nearest(diarize.assign_speakers(words, segments, options.min_overlap)), "assigned")
         out["diarized"] = diarize.replicas(assigned, options.max_pause_ms)
         spoken = assigned.na.fill("unknown", ["speaker"]).drop("channel").withColumnRenamed("speaker", "channel")
     if options.do_dialogue:
