@@ -90,6 +90,11 @@ class _Roller:
         return {"name": name, "bytes": self.size, "records": self.records, "crc32": self.crc}
 
 
+def _key() -> F.Column:
+    """The id as a sort key for the splitters."""
+    return F.least(F.greatest(F.coalesce("id", F.lit(0)), F.lit(0)), F.lit((1 << KEY_BITS) - 1)).cast("long")
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write a record per row of pages to folder and return the manifest: name, bytes, records, crc32 of each file.
 
@@ -97,44 +102,51 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     ``least_bytes``, that with the smallest id is a response and the others are revisits of it; smaller payloads
     are all responses. Equal payloads come from the digests' tree merge.
 
+    What a page revisits travels in a row of its own that is sorted before the page, so payloads move once.
     Rows are sorted by id within shards, ranges of ids of about ``shard_bytes`` that exact byte counts cut; ids,
     ranges and files are the same in every run. A shard's files are rolled by their compressed size. A file is
     written under a name of its own and renamed when whole, so a lost task leaves no half file under a final
     name and a second attempt writes the same bytes. The manifest, written last, is what makes files count.
 
-    Negative and null ids go to the first shard, null ids first. Rows that repeat an id and payload get records of
+    Negative and null ids go to the first shard, null ids first; rows with a null id are responses. Rows that repeat an id and payload get records of
     the same kind as that id's; a revisit never refers to its own id, so repeats of a response are responses.
     Line breaks in URLs become spaces; a null URL is empty. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("key", F.least(F.greatest(F.coalesce("id", F.lit(0)), F.lit(0)), F.lit((1 << KEY_BITS) - 1)).cast("long"))
+    rows = rows.withColumn("key", _key())
     narrow = materialise(rows.select("id", "url", "key", F.octet_length("payload").cast("long").alias("n_bytes")), "pages")
     total = narrow.agg(F.sum("n_bytes")).first()[0] or 0
     cuts = splitters(narrow.select("key", (F.col("n_bytes") + 1).alias("size")), max(1, -(-total // shard_bytes)))
     groups = dedup_groups(rows, "id", "payload").filter("NOT kept").select("id", F.col("keep_id").alias("refers_to")).distinct()
     urls = narrow.groupBy(F.col("id").alias("refers_to")).agg(F.min("url").alias("refers_to_url"))
     revisits = groups.filter("id <> refers_to").groupBy("id").agg(F.min("refers_to").alias("refers_to")).join(urls, "refers_to")
-    sent = rows.join(revisits, "id", "left").withColumn("shard", part_of(F.col("key"), cuts))
-    if least_bytes > 0:
-        sent = sent.withColumn("refers_to", F.when(F.octet_length("payload") >= least_bytes, F.col("refers_to")))
-    sent = sent.repartition("shard").sortWithinPartitions("shard", "id", "url", "payload")
+    columns = ["shard", "id", "kind", "url", "payload", "refers_to", "refers_to_url"]
+    pages_ = rows.withColumns({"kind": F.lit(1), "refers_to": F.lit(None).cast("long"), "refers_to_url": F.lit(None).cast("string")})
+    facts = revisits.withColumns({"key": _key(), "kind": F.lit(0), "url": F.lit(""), "payload": F.lit("")})
+    both = [df.withColumn("shard", part_of(F.col("key"), cuts)).select(*columns) for df in (pages_, facts)]
+    sent = both[0].union(both[1]).repartition("shard").sortWithinPartitions("shard", "id", "kind", "url", "payload")
     fs, at = _open(folder)
     fs.create_dir(at, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, done = _Roller(folder, roll_bytes), []
+        roller, done, fact = _Roller(folder, roll_bytes), [], {"id": None}
         for batch in batches:
             for row in batch.to_pylist():
-                done += roller.write(row["shard"], record(row["id"], row["url"], row["payload"].encode(), row["refers_to"], row["refers_to_url"] or ""))
+                if row["kind"] == 0:
+                    fact = row
+                    continue
+                payload = row["payload"].encode()
+                known = row["id"] is not None and row["id"] == fact["id"] and len(payload) >= least_bytes
+                done += roller.write(row["shard"], record(row["id"], row["url"], payload, fact["refers_to"] if known else None, fact["refers_to_url"] if known else ""))
         if roller.out is not None:
             done.append(roller.close())
         schema = pa.schema({"name": pa.string(), "bytes": pa.int64(), "records": pa.int64(), "crc32": pa.int64()})
         yield pa.RecordBatch.from_pylist(done, schema)
 
     schema = "name string, bytes long, records long, crc32 long"
-    sent.select("shard", "id", "url", "payload", "refers_to", "refers_to_url").mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
+    sent.mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
     return spark.read.schema(schema).parquet(f"{folder}/manifest")
 
 
