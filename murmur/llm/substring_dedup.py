@@ -94,16 +94,15 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"segment": pa.array([segment], pa.int32()), "once": pa.array([once.tobytes()], pa.binary()), "twice": pa.array([twice.tobytes()], pa.binary())})
 
 
-def _whole(hashes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Both filters on the driver: 2 * 2**(SEGMENT_BITS + CELL_BITS) bits, whatever the input."""
-    rows = hashes.repartition("segment").mapInArrow(_filters, "segment int, once binary, twice binary")
+def _whole(hashes: DataFrame, *names: str) -> list[np.ndarray]:
+    """The named filters on the driver: 2**(SEGMENT_BITS + CELL_BITS) bits each, whatever the input."""
+    rows = hashes.repartition("segment").mapInArrow(_filters, "segment int, once binary, twice binary").select("segment", *names)
     size = 1 << CELL_BITS - 3
-    once, twice = (np.zeros(size << SEGMENT_BITS, np.uint8) for _ in range(2))
+    out = [np.zeros(size << SEGMENT_BITS, np.uint8) for _ in names]
     for row in rows.toLocalIterator():
-        at = slice(row["segment"] * size, (row["segment"] + 1) * size)
-        once[at] |= np.frombuffer(row["once"], np.uint8)
-        twice[at] |= np.frombuffer(row["twice"], np.uint8)
-    return once, twice
+        for filter_, name in zip(out, names):
+            filter_[row["segment"] * size : (row["segment"] + 1) * size] |= np.frombuffer(row[name], np.uint8)
+    return out
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -141,7 +140,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         yield from _gathered(parts())
 
-    once, twice = _whole(rows.select("text").mapInArrow(blocks, "segment int, hashes binary"))
+    once, twice = _whole(rows.select("text").mapInArrow(blocks, "segment int, hashes binary"), "once", "twice")
     index = spark.sparkContext.broadcast(once)
 
     def probes(batches):
@@ -153,9 +152,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         yield from _gathered(parts())
 
-    hit, _ = _whole(rows.select("text").mapInArrow(probes, "segment int, hashes binary"))
-    anchors = spark.sparkContext.broadcast(once & hit | twice)
-    del once, hit, twice
+    (hit,) = _whole(rows.select("text").mapInArrow(probes, "segment int, hashes binary"), "once")
+    index.unpersist()
+    hit &= once
+    hit |= twice
+    anchors = spark.sparkContext.broadcast(hit)
+    del once, twice
 
     def hash_windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The windows' hashes, check hashes and which of them lie in one text."""
