@@ -1,0 +1,521 @@
+"""The ten operators against brute force, on small tables with nulls, ties, repeats and odd texts."""
+
+import base64
+import hashlib
+import html as html_lib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from murmur.llm import decontamination, exact_dedup, html_text, packing, sharding, simhash, substring_dedup, token_counts, toxicity, warc
+from murmur.llm._shared import components
+from murmur.llm._tokens import default_path
+from murmur.llm._words import utf8, words_of
+
+SF, SF_LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string"
+ODD = ["", None, " ", "a", "a b", "  x\t\ty \n", "é é", "ΑΣ. ΑΣ.Α", "it's we'll 'x", "<|endoftext|>, <|endoftext|>x", "a\x1cb c d e", "1234 5,6.7 !!!...", "日本語 テキスト", "🙂🙂 ok", "﻿bom", "x" * 5000, "word. " * 3000, "a≠b"]
+
+
+def docs_df(spark, texts, first=0):
+    return spark.createDataFrame([(first + k, t) for k, t in enumerate(texts)], DOCS)
+
+
+def with_clashes(df):
+    """The same rows with columns named as operators name theirs."""
+    return df.select("*", *(F.lit(k).alias(n) for k, n in enumerate(["id", "key", "run", "digest", "kept", "keep_id", "size", "shard", "slot", "fp", "component_id", "score", "start", "length", "ids", "edits", "is_open", "lang", "n_chars"])))
+
+
+def rng(seed):
+    return random.Random(seed)
+
+
+# 1: exact dedup.
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_exact_dedup_groups(spark, keep):
+    r = rng(1)
+    rows = [(k, r.choice(["x", "y", "", None, "Z" * 9000, f"u{k}"])) for k in range(300)] + [(7, "x"), (None, "y"), (None, "only null")]
+    got = exact_dedup.dedup_groups(with_clashes(spark.createDataFrame(rows, DOCS)), keep=keep).collect()
+    of = {}
+    for i, t in rows:
+        of.setdefault(t or "", []).append(i)
+    pick = min if keep == "smallest" else max
+    expected = []
+    for i, t in rows:
+        ids = [x for x in of[t or ""] if x is not None]
+        stays = pick(ids) if ids else None
+        expected.append((i, stays, len(of[t or ""]), i == stays, hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+
+
+def test_exact_dedup_keeps_one_row_and_all_columns(spark):
+    df = with_clashes(spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, None), (4, "")], DOCS))
+    out = exact_dedup.exact_dedup(df, keep="largest")
+    assert out.columns == df.columns
+    assert sorted(x["doc_id"] for x in out.collect()) == [2, 4]
+
+
+def test_exact_dedup_normalises(spark):
+    out = exact_dedup.dedup_groups(docs_df(spark, ["A", "a", "b"]), normalise=F.lower).collect()
+    assert sorted(x["group_size"] for x in out) == [1, 2, 2]
+
+
+# 2: sharding.
+
+
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_shards_are_balanced_and_gapless(spark, shards):
+    r = rng(2)
+    rows = [(k, "w" * r.randrange(50) + str(k % 400)) for k in range(3000)] + [(None, None), (5000, None), (5000, "")]
+    df = with_clashes(spark.createDataFrame(rows, DOCS))
+    out = sharding.shard(df, shards, rows_a_task=100).collect()
+    assert len(out) == len(rows)
+    sizes, slots, where = {}, {}, {}
+    for x in out:
+        assert x["size"] == len((x["text"] or "").encode()) + 1
+        assert where.setdefault(x["text"] or "", x["shard"]) == x["shard"]
+        sizes[x["shard"]] = sizes.get(x["shard"], 0) + x["size"]
+        slots.setdefault(x["shard"], []).append(x["slot"])
+    assert sorted(sizes) == list(range(shards))
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    largest = max(sum(y["size"] for y in out if (y["text"] or "") == t) for t in {x["text"] or "" for x in out})
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * largest + 0.01 * sum(sizes.values()) / shards
+
+
+def test_a_text_larger_than_a_shard(spark):
+    rows = [(k, "hot text of many rows" if k % 3 else f"own {k}") for k in range(900)]
+    out = sharding.shard(spark.createDataFrame(rows, DOCS), 8, rows_a_task=50).collect()
+    assert len({x["shard"] for x in out if x["doc_id"] % 3}) == 1 and len(out) == 900
+
+
+def test_splitters_count_exactly(spark):
+    r = rng(3)
+    keys = [r.randrange(1 << sharding.KEY_BITS) for _ in range(2000)]
+    rows = spark.createDataFrame([(k, 1) for k in keys], "key long, size long")
+    cuts = sharding.splitters(rows, 4, tolerance=0)
+    assert [sum(k < c for k in keys) for c in cuts] == [500, 1000, 1500]
+
+
+# 3 and 10: tokens.
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(default_path())
+
+
+def odd_texts(seed, n=60):
+    r, texts = rng(seed), pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist()
+    return ODD + texts[:20] + ["".join(r.choice([" ", "\n", "a", "Bc", "é", ",", ".", "'s", "7", "ß", "|", "́", "日", "Σ"]) for _ in range(r.randrange(80))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("group", [20, 20_000])
+def test_packing_holds_every_id_once(spark, tokenizer, group):
+    texts = odd_texts(4)
+    out = packing.pack(with_clashes(docs_df(spark, texts)), group=group, capacity=256).collect()
+    of, sequences = {}, {}
+    for x in out:
+        of.setdefault(x["doc_id"], []).append((x["start"], x["ids"]))
+        assert x["length"] == len(x["ids"]) and x["ids_crc32"] == zlib.crc32(np.array(x["ids"], "<u4").tobytes())
+        sequences.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for k, t in enumerate(texts):
+        expected = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        assert [i for _, ids in sorted(of[k]) for i in ids] == expected
+        assert {x["doc_tokens"] for x in out if x["doc_id"] == k} == {len(expected)}
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+
+
+def test_best_fit_takes_the_tightest_window():
+    r = rng(5)
+    lengths = [r.randrange(1, 65) for _ in range(500)]
+    windows, offsets = packing.best_fit(lengths, 64)
+    rooms, expected = [], [0] * len(lengths)
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        fits = [(room, w) for w, room in enumerate(rooms) if room >= lengths[k]]
+        if fits:
+            tight = min(fits)[0]
+            assert 64 - offsets[k] == tight
+            rooms[windows[k]] -= lengths[k]
+        else:
+            assert windows[k] == len(rooms) and offsets[k] == 0
+            rooms.append(64 - lengths[k])
+        expected[k] = windows[k]
+    assert min(rooms) >= 0
+
+
+def test_token_counts_follow_edits(spark, tokenizer):
+    r, texts = rng(6), odd_texts(7)
+    rows, expected = [], {}
+    for k, t in enumerate(texts):
+        edits = [(r.randrange(-1, len(t or "") + 5), r.choice([0, 1, 2, 9, 10_000]), r.choice(["", " ", "new words, ", "x", "'s", "\n\n", None, "é"])) for _ in range(r.randrange(5))]
+        x = t or ""
+        for at, n, insert in edits:
+            at = min(max(at, 0), len(x))
+            x = x[:at] + (insert or "") + x[at + n :]
+        rows.append((k, t, edits or None))
+        expected[k] = (len(tokenizer.encode(t or "", add_special_tokens=False).ids), len(tokenizer.encode(x, add_special_tokens=False).ids), len(x), x)
+    df = spark.createDataFrame(rows, DOCS + ", e array<struct<at int, n_delete int, insert string>>")
+    out = token_counts.count_tokens(with_clashes(df), "e", with_text=True).collect()
+    assert {x["doc_id"]: (x["n_tokens"], x["n_tokens_edited"], x["n_chars_edited"], x["text_edited"]) for x in out} == expected
+    long = next(x for x in out if len(texts[x["doc_id"]] or "") > 9000)
+    assert long["n_chars_reencoded"] < 0.2 * max(long["n_chars_edited"], 9000) or long["n_chars_edited"] < 9000
+
+
+# 4: HTML.
+
+
+def test_article_text_without_what_is_around_it():
+    page = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body>
+    <header><p>site</p></header><nav><ul><li><a href=x>menu</a></ul></nav><div class="cookie-notice">cookies</div>
+    <article><h1>He&amp;ad</h1><p><b>One  two<br><p>thr&eacute;e <i>f</i>our<div class="ad">buy</div><form><input value=x>send</form>
+    <aside>side</aside><section id="comments"><p>reader</p></section><p>end &lt;x&gt;</article><footer>&copy; f</footer>"""
+    assert html_text.blocks(page)[0] == ["He&ad", "One two", "thrée four", "end <x>"]
+
+
+@pytest.mark.parametrize("page", ["", "<", "<p", "</p></div>", "<!-- open", "<script>x", "<div class='a>b", "a<b>c" * 3000, "<p " * 500])
+def test_broken_pages_do_not_fail(page):
+    html_text.blocks(page)
+
+
+def test_pages_of_the_tables(spark):
+    import re
+
+    rows = pq.read_table(f"{SF}/pages.parquet").to_pylist()
+    got = {x["page_id"]: x["text"] for x in html_text.op4_html_text(spark, SF).collect()}
+    for row in rows:
+        article = re.search(r"<article>(.*?)</article>", row["html"], re.S)[1]
+        parts = (" ".join(html_lib.unescape(re.sub("<[^>]*>", "", p)).split()) for p in re.split("</?p>|<br>|</?h1>", article))
+        assert got[row["page_id"]] == " ".join(p for p in parts if p)
+
+
+def test_host_repeats_go_and_unique_runs_stay(spark):
+    common = " ".join(f"boiler{k}" for k in range(20))
+    rows = [(k, "http://h.org/x", f"<div>one start{k} {common} end{k}</div>") for k in range(5)]
+    rows += [(9, "http://other.org/", f"<div>alone {common}</div>"), (10, None, None), (11, "http://h.org/", ""), (12, "http://h.org/d", "<p>same page text</p>"), (13, "http://h.org/e", "<p>same page text</p>"), (None, "odd url", "<p>x</p>")]
+    df = with_clashes(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {x["page_id"]: x["text"] for x in html_text.extract_text(df).collect()}
+    assert [got[k] for k in range(5)] == [f"one start{k} end{k}" for k in range(5)]
+    assert got[9] == f"alone {common}" and got[10] == got[11] == "" and got[12] == got[13] == "same page text" and got[None] == "x"
+
+
+def test_repeated_runs_by_brute_force():
+    r = rng(8)
+    streams = [[r.choice("abc") for _ in range(r.randrange(40))] for _ in range(12)]
+    distinct = list(dict.fromkeys(map(tuple, streams)))
+    seen = {}
+    for n, s in enumerate(distinct):
+        for k in range(len(s) - 3):
+            seen.setdefault(s[k : k + 4], set()).add(n)
+    for stream, left in zip(streams, html_text.unique_runs(streams, 4)):
+        gone = {x for k in range(len(stream) - 3) if len(seen[tuple(stream[k : k + 4])]) > 1 for x in range(k, k + 4)}
+        assert left == [t for x, t in enumerate(stream) if x not in gone]
+
+
+# 5: SimHash.
+
+
+def fingerprint(text, shingle=3):
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in (text or "").encode().split()]
+    parts = [b" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def classes(fps, ids, reach):
+    label = list(range(len(fps)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= reach:
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    least = {}
+    for i in range(len(fps)):
+        least[find(i)] = min(ids[i], least.get(find(i), ids[i]))
+    return [least[find(i)] for i in range(len(fps))]
+
+
+def test_fingerprints(spark):
+    texts = [*ODD, *odd_texts(9)[len(ODD) :], " ".join("w%d" % (k % 700) for k in range(2000))]
+    got = {x["id"]: x["fp"] & (2**64 - 1) for x in simhash.fingerprints(with_clashes(docs_df(spark, texts))).collect()}
+    assert got == {k: fingerprint(t) for k, t in enumerate(texts)}
+
+
+def test_components_of_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    r, fps = rng(10), []
+    for _ in range(60):
+        base = r.getrandbits(64)
+        for _ in range(r.choice([1, 1, 2, 12])):
+            fps.append(base)
+            base ^= (1 << r.randrange(64)) | (1 << r.randrange(64)) if r.random() < 0.7 else 0
+    fps += [0] * 30
+    ids = r.sample(range(10_000), len(fps))
+    rows = spark.createDataFrame([(i, f - (f >> 63 << 64)) for i, f in zip(ids, fps)], "id long, fp long")
+    got = {x["id"]: x["component_id"] for x in simhash.near_duplicates(rows).collect()}
+    assert got == dict(zip(ids, classes(fps, ids, 2)))
+
+
+def test_every_near_pair_meets_in_one_leaf():
+    r = np.random.default_rng(11)
+    fps = np.unique(r.integers(0, 2**64, 3000, dtype=np.uint64))
+    near = np.unique(np.r_[fps, fps[:500] ^ (np.uint64(1) << r.integers(0, 64, 500, dtype=np.uint64))])
+    tree = simhash.fit_tree(fps[:1000], 32)
+    leaves = {}
+    home = np.full(len(near), -1)
+    for leaf, homes, visitors in tree.route(near, 2):
+        assert (home[homes] == -1).all()
+        home[homes] = leaf
+        leaves[leaf] = {*homes.tolist(), *visitors.tolist()}
+    assert (home >= 0).all() and tree.leaves > 8
+    for i in range(len(near)):
+        for j in np.flatnonzero(np.bitwise_count(near ^ near[i]) <= 2):
+            assert j in leaves[home[i]] or i in leaves[home[j]]
+
+
+def test_components_of_long_chains(spark):
+    edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1200)] + [(5, 5)]
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 1200)}
+
+
+# 6: WARC.
+
+
+PAGES = [(5, "http://a/5", "same"), (3, "http://a/3\n x", "same"), (9, None, ""), (1, "u", ""), (7, "u7", "é" * 10), (None, "n", "same"), (3, "dup", "same"), (11, "z", None), (12, "q", "x\r\n\r\n" * 40_000), (13, "w", "WARC/1.1\r\n\r\n")]
+
+
+def test_warc_round_trip(spark, tmp_path):
+    df = with_clashes(spark.createDataFrame(PAGES, "page_id long, url string, html string"))
+    runs = []
+    for k in range(2):
+        folder = str(tmp_path / f"w{k}")
+        files = warc.write_warc(df, folder, roll_bytes=300, shard_bytes=100).collect()
+        assert len(files) > 4 and not list((tmp_path / f"w{k}").glob("_temporary*"))
+        runs.append({f["name"]: (tmp_path / f"w{k}" / f["name"]).read_bytes() for f in files})
+    assert runs[0] == runs[1]
+    got = warc.read_warc(spark, str(tmp_path / "w0")).collect()
+    first = {"same": 3, "": 1}
+    expected = []
+    for i, u, h in PAGES:
+        payload = h or ""
+        refers = first.get(payload) if i is not None and first.get(payload) != i else None
+        expected.append(("revisit" if refers is not None else "response", i, " ".join((u or "").split()), len(payload.encode()), base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode(), refers, None if refers is not None else payload))
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+
+
+def test_warc_least_bytes_and_damage(spark, tmp_path):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    files = warc.write_warc(df, str(tmp_path / "w"), least_bytes=1).collect()
+    assert {x["page_id"] for x in warc.read_warc(spark, str(tmp_path / "w")).filter("record_type = 'revisit'").collect()} == {5}
+    path = tmp_path / "w" / files[0]["name"]
+    path.write_bytes(path.read_bytes()[:-20])
+    with pytest.raises(Exception, match="the file ends within a record|checksum|decompress|records"):
+        warc.read_warc(spark, str(tmp_path / "w")).collect()
+
+
+# 7: substring dedup.
+
+
+@pytest.mark.parametrize("window", [3, 13])
+def test_substring_dedup(spark, window):
+    r = rng(12)
+    texts = [" ".join(r.choice(["a", "bb", "c", "dd", "é"]) for _ in range(r.randrange(60))) for _ in range(80)]
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts += [f"x{k} {passage} y{k}" for k in range(6)] + [passage, passage, f"\n{passage}\t \x0b", *ODD, "z " * 500, "z " * 500]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    r.shuffle(rows)
+    rows += [(3, passage), (3, passage), (200, texts[80])]
+    out = substring_dedup.substring_dedup(with_clashes(spark.createDataFrame(rows, DOCS)), window=window).collect()
+    got = [(x["doc_id"], x["n_words"], x["n_removed"], hashlib.sha256(x["text"].encode()).hexdigest()) for x in out]
+    assert sorted(got) == sorted(substring_dedup.brute_force(rows, window))
+
+
+def test_substring_dedup_leaves_null_ids(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    out = substring_dedup.substring_dedup(spark.createDataFrame([(None, passage), (2, passage), (None, passage)], DOCS)).collect()
+    assert {(x["doc_id"], x["n_removed"]) for x in out} == {(None, 0), (2, 0)} and len(out) == 3
+
+
+def test_words_of_whole_batches():
+    texts = ODD + ["a" * (1 << 20) + "b c", "tail"]
+    data, offsets = utf8(pa.array(texts))
+    words = words_of(data, offsets)
+    buffer = data.tobytes()
+    found = [[buffer[a:b] for a, b in zip(words.starts[i:j], words.ends[i:j])] for i, j in zip(words.first, words.first[1:])]
+    assert found == [(t or "").encode().split() for t in texts]
+    of = {}
+    for h, a, b in zip(words.hashes.tolist(), words.starts, words.ends):
+        assert of.setdefault(buffer[a:b], h) == h
+    assert len(set(of.values())) == len(of)
+
+
+# 8: toxicity.
+
+
+def test_toxicity_on_held_out_rows(spark):
+    out = {x["doc_id"]: x for x in toxicity.op8_toxicity(spark, SF_LARGER).collect()}
+    labels = pq.read_table(f"{SF_LARGER}/labels.parquet").to_pylist()
+    held = [x for x in labels if zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0]
+    assert all(out[x["doc_id"]]["held_out"] for x in held)
+    scores = np.array([out[x["doc_id"]]["score"] for x in held])
+    toxic = np.array([x["toxic"] for x in held]) == 1
+    auc = (scores[toxic][:, None] > scores[~toxic][None]).mean()
+    assert auc > 0.9 and ((scores >= 0.5) == toxic).mean() > 0.85
+    assert all(x["predicted"] == int(x["score"] >= 0.5) and 0 <= x["score"] <= 1 for x in out.values())
+
+
+def test_toxicity_without_labels_and_with_odd_texts(spark):
+    df = with_clashes(docs_df(spark, ODD))
+    none = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {x["score"] < 0.5 for x in toxicity.score(df, none).collect()} == {True}
+    nulls = toxicity.fit(df, spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1), (3, 0)], "doc_id long, toxic int"))
+    scored = toxicity.score(df, nulls)
+    assert scored.count() == len(ODD) and scored.filter("score IS NULL").count() == 0
+
+
+def test_a_score_depends_on_the_text_alone():
+    model = toxicity.train(["bad word here", "fine text", "bad again", "all good"] * 30, [1, 0, 1, 0] * 30)
+    texts = ["bad thing", "", "good thing", None]
+    both = model.scores(pa.array(texts, pa.string()), toxicity.Vocabulary())
+    alone = [float(model.scores(pa.array([t], pa.string()), toxicity.Vocabulary())[0]) for t in texts]
+    assert np.allclose(both, alone) and both[0] > both[2] and both[1] == both[3]
+
+
+# 9: decontamination.
+
+
+def fewest_edits(passage, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(passage, 1):
+        now = [i]
+        for j, x in enumerate(text, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (c != x)))
+        row = now
+    return min(row)
+
+
+def plain(text):
+    return bytes(c for c in (text or "").lower().encode() if chr(c).isalnum() and c < 128 or c >= 128)
+
+
+def test_matches_by_brute_force(spark):
+    r = rng(13)
+    words = ["".join(r.choice("aeinrst") for _ in range(r.randrange(2, 7))) for _ in range(60)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([2, 8, 25, 50])))) for k in range(12)] + [(90, "ab"), (91, None), (None, "whatever this is")]
+    docs = []
+    for k in range(50):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(40)))
+        if k % 2:
+            noisy = list(r.choice(items[:12])[1])
+            for _ in range(int(len(noisy) * r.choice([0, 0.03, 0.08, 0.12, 0.2]))):
+                at = r.randrange(len(noisy))
+                noisy[at] = r.choice(["", "z", noisy[at].upper() + "q"])
+            text += ", " + "".join(noisy)[r.choice([0, 0, 20]) :] + "! " + text[::-1]
+        docs.append((k, text))
+    docs += [(100, None), (101, ""), (102, docs[1][1])]
+    index = decontamination.Index([i for i in items if i[0] is not None and i[1] is not None])
+    expected = set()
+    for i, t in docs:
+        for n, cut in enumerate(index.passages):
+            if any(fewest_edits(index.texts[n][a:b], plain(t)) <= budget for a, b, budget, _ in cut):
+                expected.add((i, index.ids[n]))
+    df, bench = with_clashes(spark.createDataFrame(docs, DOCS)), spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 200):
+        got = decontamination.benchmark_matches(df, bench, block_bytes=block).collect()
+        assert {(x["doc_id"], x["item_id"]) for x in got} == expected and len(got) == len(expected)
+    kept = decontamination.decontaminate(df, bench, block_bytes=200)
+    assert kept.columns == df.columns
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i, _ in docs if i not in {d for d, _ in expected})
+    assert len(expected) > 10
+
+
+# All of them over empty tables.
+
+
+def test_empty_tables(spark):
+    docs, pages = spark.createDataFrame([], DOCS), spark.createDataFrame([], "page_id long, url string, html string")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for out in (
+        exact_dedup.dedup_groups(docs), exact_dedup.exact_dedup(docs), sharding.shard(docs), packing.pack(docs), html_text.extract_text(pages), simhash.near_duplicates(simhash.fingerprints(docs)),
+        simhash.simhash_dedup(docs), substring_dedup.substring_dedup(docs), toxicity.drop_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int")), decontamination.benchmark_matches(docs, bench),
+        decontamination.benchmark_matches(docs, spark.createDataFrame([(1, "some benchmark text")], "item_id long, text string")), token_counts.count_tokens(docs),
+    ):
+        assert out.count() == 0
+    some = docs_df(spark, ["kept as it is"])
+    assert decontamination.decontaminate(some, bench).count() == 1 and decontamination.benchmark_matches(some, bench).count() == 0
+
+
+def test_empty_warc(spark, tmp_path):
+    assert warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w")).count() == 0
+    assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
+
+
+# The pipeline.
+
+
+def test_pipeline_stages(spark, tmp_path):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash", "decontamination", "packing"]
+    source = spark.read.parquet(f"{SF_LARGER}/documents.parquet")
+    extra = spark.createDataFrame([(10_000, None, "en", "s", 0), (10_001, "", None, None, None), (10_002, "", "en", "s", 0)], source.schema)
+    docs = source.union(extra)
+    benchmark = pq.read_table(f"{SF_LARGER}/benchmark.parquet").to_pylist()
+    index = decontamination.Index([(b["item_id"], b["text"]) for b in benchmark])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {x["doc_id"]: x for x in docs.collect()}
+        out = stage(spark, docs, SF_LARGER)
+        if k < 4:
+            assert out.columns == source.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        after = {x["doc_id"]: x for x in docs.collect()}
+        if k < 4:
+            assert all(before[i] == x for i, x in after.items()) and docs.count() == len(after)
+        if name == "toxicity":
+            wrong = {x["doc_id"] for x in pq.read_table(f"{SF_LARGER}/labels.parquet").to_pylist() if x["toxic"] != (x["doc_id"] not in after)}
+            assert len(wrong) < 30 and 0 < len(before) - len(after) < 200
+        elif name == "exact_dedup":
+            last = {}
+            for i, x in before.items():
+                last[x["text"] or ""] = max(i, last.get(x["text"] or "", i))
+            assert set(after) == set(last.values())
+        elif name == "simhash":
+            ids = sorted(before)
+            assert set(after) == set(classes([fingerprint(before[i]["text"]) for i in ids], ids, 2))
+        elif name == "decontamination":
+            assert set(after) == {i for i, x in before.items() if not index.matches(pa.array([x["text"]], pa.string()))}
+            passages = [plain(b["text"]) for b in benchmark]
+            assert not any(p in plain(x["text"]) for x in after.values() for p in passages)
+        else:
+            assert set(after) == set(before)
+            rows = docs.collect()
+            of = {}
+            for x in rows:
+                of.setdefault(x["doc_id"], []).append((x["start"], x["length"], x["doc_tokens"]))
+            assert all(sum(n for _, n, _ in v) == v[0][2] for v in of.values())
+
+
+def test_run_gives_the_last_stage(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and "sequence_id" in out.columns
