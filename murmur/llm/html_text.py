@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm._shared import materialise, small_batches
+from murmur.llm._words import rolling, utf8, within, words_of
 
 #: Tokens of a repeated run, and tokens of a host that one suffix array holds.
 RUN, HOST_TOKENS = 16, 2_000_000
+_ONE, _TWO = 0x9FB21C651E98DF25, 0xD1B54A32D192ED03
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -170,6 +172,46 @@ def unique_runs(streams: list[list[str]], run: int = RUN) -> list[list[str]]:
     return out
 
 
+def _unique_runs_of_large_hosts(undecided: DataFrame, run: int) -> DataFrame:
+    """As ``unique_runs``, for hosts of any size: a run is the (64 + 32)-bit hash of its tokens, and repeats if
+    streams of two texts have it. Equal streams are looked at once and keep what they have in common."""
+    streams = undecided.groupBy("host", F.sha2("text", 256).alias("stream")).agg(F.first("text").alias("text"))
+
+    def hashed(batch: pa.RecordBatch):
+        data, offsets = utf8(batch.column("text"))
+        words = words_of(data, offsets)
+        ok = within(words.first, len(words.hashes), run)
+        return words, rolling(words.hashes, run, _ONE), rolling(words.hashes, run, _TWO).astype(np.uint32).view(np.int32), ok
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, h, c, ok = hashed(batch)
+            at = np.flatnonzero(ok)
+            of = pa.array(np.searchsorted(words.first, at, "right") - 1)
+            yield pa.record_batch({"host": batch.column("host").take(of), "stream": batch.column("stream").take(of), "h": h[at].view(np.int64), "c": c[at]})
+
+    found = streams.mapInArrow(runs, "host string, stream string, h long, c int")
+    shared = found.groupBy("host", "h", "c").agg(F.min("stream").alias("_least"), F.max("stream").alias("_most")).filter("_least < _most")
+    gone = found.join(shared, ["host", "h", "c"]).groupBy("host", "stream").agg(F.collect_set("h").alias("gone"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, h, _, _ = hashed(batch)
+            texts = []
+            for k, (text, gone_) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist())):
+                a, b = int(words.first[k]), int(words.first[k + 1])
+                covered = np.zeros(b - a + 1, np.int64)
+                if gone_ and b - a >= run:
+                    at = np.flatnonzero(np.isin(h[a : b - run + 1].view(np.int64), gone_))
+                    np.add.at(covered, at, 1)
+                    np.add.at(covered, at + run, -1)
+                texts.append(" ".join(t for t, n in zip(text.split(" "), np.cumsum(covered)[:-1].tolist()) if not n))
+            yield pa.record_batch({"id": batch.column("id"), "url": batch.column("url"), "text": pa.array(texts, pa.string())})
+
+    kept = undecided.withColumn("stream", F.sha2("text", 256)).join(gone, ["host", "stream"], "left")
+    return kept.select("id", "url", "text", "gone").mapInArrow(cut, "id long, url string, text string")
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:
     """One row per row of pages: id, url, text.
 
@@ -177,9 +219,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     element holds text, that text is the page's, repeated elsewhere or not. What is left open are the blocks of
     pages without such an element. These go, by host, into token streams, and a suffix array over the host's
     streams finds runs of at least ``run`` tokens that distinct streams share; covered tokens go and unique runs
-    stay. Only open streams are exchanged. A host is dealt into parts of about HOST_TOKENS tokens by the hash of
-    the stream, each with an array of its own, so no host is one task however large; a run must then recur
-    within a part, which for text that a host repeats is the rule.
+    stay. Only open streams are exchanged. A host of more than HOST_TOKENS tokens has too many for one array;
+    its suffixes are dealt by the hash of their first ``run`` tokens, and grouped counts find the same runs.
 
     Character references are decoded, white space in a block becomes one space, and blocks are joined by one
     space. Null and empty pages give an empty text. A null or odd URL is a host of its own kind, the empty one.
@@ -200,15 +241,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     parsed = materialise(rows.mapInArrow(parse, "id long, url string, text string, is_open boolean"), "pages")
     undecided = parsed.filter("is_open").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)))
-    sizes = undecided.groupBy("host").agg(F.sum(F.size(F.split("text", " "))).alias("n")).select("host", F.greatest(F.lit(1), F.ceil(F.col("n") / HOST_TOKENS)).cast("int").alias("parts"))
-    dealt = undecided.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
+    sizes = undecided.groupBy("host").agg((F.sum(F.size(F.split("text", " "))) > HOST_TOKENS).alias("_large"))
+    undecided = undecided.join(sizes, "host")
 
     def search(table: pa.Table) -> pa.Table:
         left = unique_runs([t.split(" ") for t in table.column("text").to_pylist()], run)
         return pa.table({"id": table.column("id"), "url": table.column("url"), "text": pa.array([" ".join(x) for x in left], pa.string())})
 
-    cleaned = dealt.select("host", "part", "id", "url", "text").groupBy("host", "part").applyInArrow(search, "id long, url string, text string")
-    out = parsed.filter("NOT is_open").select("id", "url", "text").union(cleaned)
+    small = undecided.filter("NOT _large").select("host", "id", "url", "text").groupBy("host").applyInArrow(search, "id long, url string, text string")
+    large = _unique_runs_of_large_hosts(undecided.filter("_large"), run)
+    out = parsed.filter("NOT is_open").select("id", "url", "text").union(small).union(large)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 

@@ -204,7 +204,9 @@ def test_pages_of_the_tables(spark):
         assert got[row["page_id"]] == " ".join(p for p in parts if p)
 
 
-def test_host_repeats_go_and_unique_runs_stay(spark):
+@pytest.mark.parametrize("most", [2_000_000, 50])
+def test_host_repeats_go_and_unique_runs_stay(spark, monkeypatch, most):
+    monkeypatch.setattr(html_text, "HOST_TOKENS", most)
     common = " ".join(f"boiler{k}" for k in range(20))
     rows = [(k, "http://h.org/x", f"<div>one start{k} {common} end{k}</div>") for k in range(5)]
     rows += [(9, "http://other.org/", f"<div>alone {common}</div>"), (10, None, None), (11, "http://h.org/", ""), (12, "http://h.org/d", "<p>same page text</p>"), (13, "http://h.org/e", "<p>same page text</p>"), (None, "odd url", "<p>x</p>")]
