@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +14,8 @@ from murmur.llm._words import Words, hash_ranges
 REMEMBERED = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?|*$%&#")] = True
 _HIGH = np.zeros(256, bool)  # second bytes of the letters U+00C0 to U+00FF
@@ -81,29 +84,35 @@ class Encoder:
     def _learn(self, parts: list[bytes]) -> None:
         for k in range(0, len(parts), 4096):
             some = parts[k : k + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                ids, n = found.ids, len(self._index)
-                if n == len(self._offset):
-                    self._offset, self._length = np.resize(self._offset, 2 * n), np.resize(self._length, 2 * n)
-                if self._used + len(ids) > len(self._ids):
-                    self._ids = np.resize(self._ids, 2 * (self._used + len(ids)))
-                self._ids[self._used : self._used + len(ids)] = ids
-                self._offset[n], self._length[n] = self._used, len(ids)
-                self._used += len(ids)
-                self._index[part] = n
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            n, total = len(self._index), int(lengths.sum())
+            if n + len(some) > len(self._offset):
+                self._offset, self._length = (np.resize(x, 2 * (n + len(some))) for x in (self._offset, self._length))
+            if self._used + total > len(self._ids):
+                self._ids = np.resize(self._ids, 2 * (self._used + total))
+            self._ids[self._used : self._used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self._offset[n : n + len(some)] = self._used + np.cumsum(lengths) - lengths
+            self._length[n : n + len(some)] = lengths
+            self._used += total
+            self._index.update(zip(some, range(n, n + len(some))))
 
     def _look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The number of each pre-token among those remembered."""
+        """The number of each pre-token among those remembered; capitals are learned as small letters, as the
+        vocabulary has none, unless a special token might come of it."""
+        buffer = data.tobytes()
+        if b"<|" not in buffer:
+            data = _SMALL[data]
+            buffer = data.tobytes()
         hashes = hash_ranges(data, starts, ends)
         _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self._index) + len(one) > REMEMBERED:
             self._forget()
-        buffer = data.tobytes()
         parts = [buffer[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
-        if new := list(dict.fromkeys(p for p in parts if p not in self._index)):
-            self._learn(new)
         index = self._index
-        return np.fromiter((index[p] for p in parts), np.int64, len(parts))[which]
+        if new := [p for p in dict.fromkeys(parts) if p not in index]:
+            self._learn(new)
+        return np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))[which]
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of ids of each pre-token."""
