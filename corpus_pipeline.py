@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints of 3-word shingles that differ in at most 2 bits, that with the smallest doc_id."""
+    """Of documents linked by a similarity of their 5-word shingles of 0.8 or more, that with the smallest doc_id."""
     return simhash_dedup(docs)
 
 

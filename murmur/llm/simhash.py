@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm._shared import attach, components, materialise, small_batches
-from murmur.llm._words import utf8, words_of
+from murmur.llm._words import mix, utf8, words_of
 
 #: Fingerprints that the partitioning tree is fitted on, and distinct fingerprints a leaf should hold.
 SAMPLE, LEAF = 32_768, 4096
+#: Keys of a long fingerprint, bits of a key, bits that estimate the similarity, and 64-bit words of it all.
+TABLES, KEY_BITS, CHECK = 24, 24, 128
+#: Check bits that may differ beyond those expected: a standard deviation of the estimate.
+SLACK = 4
+WORDS = (TABLES * KEY_BITS + CHECK) // 64
 _LANES = np.uint64(0x0101010101010101)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -41,8 +46,8 @@ def majority_bits(h: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
-    """The fingerprints of a batch of texts."""
+def shingle_hashes(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH64 of every shingle of a batch of texts, and the first one of each text (n + 1 entries)."""
     data, offsets = utf8(column)
     data = _LOWER[data]
     words = words_of(data, offsets)
@@ -58,8 +63,12 @@ def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
     last_word = np.minimum(first_word + shingle, np.repeat(words.first[1:], n_shingles)) - 1
     starts, ends = at[words.starts[first_word]], at[words.ends[last_word] - 1] + 1
     one = xxhash.xxh64_intdigest
-    h = np.fromiter((one(text[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
-    return majority_bits(h, firsts)
+    return np.fromiter((one(text[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)), firsts
+
+
+def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
+    """The fingerprints of a batch of texts."""
+    return majority_bits(*shingle_hashes(column, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -208,13 +217,103 @@ def near_duplicates(prints: DataFrame, reach: int = 2) -> DataFrame:
     return attach(prints, facts, ["fp"], "id").select("id", "fp", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 2) -> DataFrame:
-    """docs in their own columns with one row of each near-duplicate component: the one with the smallest id.
+def long_prints_of(column: pa.Array, shingle: int) -> np.ndarray:
+    """Fingerprints of WORDS * 64 bits, one row a text: TABLES keys of KEY_BITS bits each, then the check."""
+    h, firsts = shingle_hashes(column, shingle)
+    return np.stack([majority_bits(mix(h, seed), firsts) for seed in range(WORDS)], 1)
+
+
+def keys_of(prints: np.ndarray, table: int) -> np.ndarray:
+    """The bits of a table as numbers."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    own = bits[:, table * KEY_BITS : (table + 1) * KEY_BITS].astype(np.uint64)
+    return (own << np.arange(KEY_BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """How many of ``bits`` fingerprint bits differ at a Jaccard similarity: the angle of the shingles' vectors,
+    whose cosine is 2 J / (1 + J), over half a turn."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_links(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of links of a leaf: keys within one bit, checks within ``most``."""
+    order = np.lexsort((ids, ~home))
+    keys, checks, ids, n = keys[order], checks[order], ids[order], int(home.sum())
+    labels = np.arange(len(keys))
+    d = distance(keys, keys[0])
+    by_d = np.argsort(d, kind="stable")
+    sorted_d, by_home = d[by_d], np.argsort(d[:n], kind="stable")
+    for value in np.unique(d[:n]).tolist():
+        own = by_home[np.searchsorted(d[:n][by_home], value) : np.searchsorted(d[:n][by_home], value, "right")]
+        near = by_d[np.searchsorted(sorted_d, value - 1) : np.searchsorted(sorted_d, value + 1, "right")]
+        step = max(1, _CELLS // len(near))
+        for k in range(0, len(own), step):
+            part = own[k : k + step]
+            i, j = np.nonzero(np.bitwise_count(keys[part][:, None] ^ keys[near][None, :]) <= 1)
+            i, j = part[i], near[j]
+            i, j = i[i != j], j[i != j]
+            same = np.bitwise_count(checks[i] ^ checks[j]).sum(1) <= most
+            _union(labels, i[same], j[same])
+    linked = np.flatnonzero(labels != np.arange(len(keys)))
+    return ids[linked], ids[labels[linked]]
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) per row of docs with an id: component_id is the smallest id reachable over links of
+    texts whose shingles' similarity is estimated at ``similarity`` or more.
+
+    At such similarities fingerprints differ in too many bits for a vantage-point tree to prune. So a text has a
+    long fingerprint, of which TABLES keys of KEY_BITS bits are looked up within one bit, each in a tree of its
+    own, and the last CHECK bits estimate the similarity of what meets, with a standard deviation of slack so
+    that pairs at the bound are rather linked than lost. A pair at a similarity of 0.8 meets with a probability
+    of about 0.9, one at 0.9 almost surely. Texts of equal fingerprints are one class; leaves return spanning
+    links. Rows without an id are left out.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    most = most_bits(similarity, CHECK) + SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = long_prints_of(batch.column("text"), shingle)
+            yield pa.record_batch({"id": batch.column("id"), "fp": pa.array([p.tobytes() for p in prints], pa.binary())})
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = materialise(rows.mapInArrow(run, "id long, fp binary"), "prints")
+    classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
+    leaves = -(-classes.count() // (2 * LEAF))
+    picked = classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE // 4).select("fp").toPandas()["fp"]
+    sample = np.frombuffer(b"".join(picked), np.uint64).reshape(-1, WORDS)
+    trees = spark.sparkContext.broadcast([fit_tree(keys_of(sample, t), leaves) for t in range(TABLES)])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
+            ids, checks = np.asarray(batch.column("least")), prints[:, -CHECK // 64 :].view(np.int64)
+            for t, tree in enumerate(trees.value):
+                keys = keys_of(prints, t)
+                for leaf, homes, visitors in tree.route(keys, 1):
+                    at = np.r_[homes, visitors]
+                    yield pa.record_batch({"leaf": np.full(len(at), t << 20 | leaf, np.int32), "key": keys[at].astype(np.int32), "id": ids[at], "home": np.arange(len(at)) < len(homes), "c0": checks[at, 0], "c1": checks[at, 1]})
+
+    def search(table: pa.Table) -> pa.Table:
+        key, id_, home, c0, c1 = (table.column(c).to_numpy() for c in ("key", "id", "home", "c0", "c1"))
+        a, b = similar_links(key.astype(np.uint64), np.stack([c0, c1], 1).view(np.uint64), id_, home, most) if home.any() else (id_[:0], id_[:0])
+        return pa.table({"a": a, "b": b})
+
+    links = classes.select("fp", "least").mapInArrow(deal, "leaf int, key int, id long, home boolean, c0 long, c1 long").groupBy("leaf").applyInArrow(search, "a long, b long")
+    nodes = components(links).withColumnsRenamed({"node": "least", "root": "_root"})
+    facts = classes.join(nodes, "least", "left").filter("n > 1 OR _root IS NOT NULL").select("fp", F.coalesce("_root", "least").alias("component_id"))
+    return attach(prints, facts, ["fp"], "id").select("id", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs in their own columns with one row of each group of ``similar_groups``: the one with the smallest id.
 
-    Rows that repeat the smallest id with the same fingerprint all stay; rows with a null id stay.
+    Rows that repeat the smallest id all stay; rows with a null id stay. Texts without words are one group.
     """
-    found = near_duplicates(fingerprints(docs, id_col, text_col, shingle), reach)
-    gone = found.filter("component_id <> id").select(F.col("id").alias("_gone")).distinct()
+    gone = similar_groups(docs, id_col, text_col, shingle, similarity).filter("component_id <> id").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
