@@ -49,11 +49,11 @@ def segments(spark: SparkSession, sf_dir: str, speakers: int = 3) -> DataFrame:
     An event belongs to recording event_id % recordings; it starts at event_id % 200 seconds and lasts ten
     milliseconds per hundredth of its value.
     """
-    recordings = table(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n"))
-    events = table(spark, sf_dir, "events").crossJoin(F.broadcast(recordings)).filter("event_id IS NOT NULL")  # one row
+    recordings = (table(spark, sf_dir, "conversations").agg(F.max("conv_id")).first()[0] or 0) + 1
+    events = table(spark, sf_dir, "events").filter("event_id IS NOT NULL")
     start = F.pmod(F.col("event_id") * 7919, F.lit(200000)).cast("long")
     return events.select(
-        F.pmod(F.col("event_id"), F.col("n")).alias("rec_id"), F.col("event_id").alias("seg_ord"), start.alias("start_ms"),
+        F.pmod(F.col("event_id"), F.lit(recordings)).alias("rec_id"), F.col("event_id").alias("seg_ord"), start.alias("start_ms"),
         (start + F.round(F.col("value") * 100).cast("long")).alias("end_ms"), F.concat(F.lit("s"), F.pmod("user_id", F.lit(speakers)).cast("string")).alias("speaker"),
     )
 
