@@ -24,15 +24,15 @@ def assign_speakers(words: DataFrame, segments: DataFrame, min_overlap: float =
     Words and segments meet by recording and stretch of time, so a long recording is many groups. A segment's
     overlap with a word is counted once, in the stretch where the overlap starts.
     """
-    w = _stretches(words.select(*WORD, "start_ms", "end_ms"))
+    w = _stretches(words)
     s = _stretches(segments.filter("start_ms <= end_ms")).select("rec_id", "_stretch", "seg_ord", "speaker", F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"))
     length = F.col("end_ms") - F.col("start_ms")
     begins = F.greatest("start_ms", "_from")
     overlap = F.when(length == 0, F.when((F.col("_from") <= F.col("start_ms")) & (F.col("start_ms") < F.col("_to")), 1.0).otherwise(0.0)).otherwise(F.greatest(F.least("end_ms", "_to") - begins, F.lit(0)).cast("double"))
     share = F.when(length == 0, overlap).otherwise(overlap / length)
-    met = w.join(s, ["rec_id", "_stretch"]).filter(F.floor(begins / STRETCH_MS) == F.col("_stretch")).withColumn("_overlap", overlap).filter((share >= min_overlap) & (F.col("_overlap") > 0))
-    best = met.groupBy(*WORD).agg(F.max_by("speaker", F.struct("_overlap", -F.col("_from"), -F.col("seg_ord"))).alias("speaker"))
-    return words.join(best, WORD, "left")
+    met = w.join(s, ["rec_id", "_stretch"], "left").withColumns({"_overlap": overlap, "_counts": (F.floor(begins / STRETCH_MS) == F.col("_stretch")) & (share >= min_overlap) & (overlap > 0)})
+    rank = F.when(F.col("_counts"), F.struct("_overlap", -F.col("_from"), -F.col("seg_ord")))
+    return met.groupBy(*words.columns).agg(F.max_by("speaker", rank).alias("speaker"))
 
 
 def speaker_runs(assigned: DataFrame) -> DataFrame:

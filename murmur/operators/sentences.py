@@ -17,9 +17,9 @@ def sentences(words: DataFrame, percentile: float = 80.0, compat: bool = False)
     """
     in_order = Window.partitionBy(*CHANNEL).orderBy("msg_no", "pos")
     marked = words.withColumn("_end", F.lag("end_ms").over(in_order))
-    limit = marked.groupBy(*CHANNEL).agg(F.round(F.percentile(F.col("end_ms") - F.col("_end"), F.lit(percentile / 100)), 6).alias("_limit"))
+    limit = F.round(F.percentile(F.col("end_ms") - F.col("_end"), F.lit(percentile / 100)).over(Window.partitionBy(*CHANNEL)), 6)
     cut = F.coalesce((F.col("start_ms") - F.col("_end")) >= F.col("_limit"), F.lit(False)).cast("int")
-    numbered = marked.join(limit, CHANNEL).withColumn("sentence_no", F.sum(cut).over(in_order).cast("long"))
+    numbered = marked.withColumn("_limit", limit).withColumn("sentence_no", F.sum(cut).over(in_order).cast("long"))
     start = F.min_by("start_ms", F.struct("msg_no", "pos"))
     if compat:
         start = F.coalesce(F.min_by(F.when(F.col("start_ms") != 0, F.col("start_ms")), F.when(F.col("start_ms") != 0, F.struct("msg_no", "pos"))), start)

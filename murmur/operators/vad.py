@@ -63,14 +63,10 @@ def cut_points(frames: DataFrame, high: int = 50, silence_ms: int = 500) -> Data
     """Where to cut each recording: from its end back to a third of it, the first frame that completes
     ``silence_ms`` of frames under ``high``; a third of it where there is none."""
     need = silence_ms * RATE // (1000 * FRAME)
-    size = frames.groupBy("rec_id").agg((F.max("frame_no") + 1).alias("n_frames"))
-    late = frames.join(size, "rec_id").withColumn("first_frame", F.floor(F.col("n_frames") / 3)).filter("frame_no >= first_frame")
     back = Window.partitionBy("rec_id").orderBy(F.desc("frame_no"))
     silent = F.col("prob") < high
-    runs = late.withColumn("_run", F.sum((~silent).cast("int")).over(back))
-    nth = F.row_number().over(Window.partitionBy("rec_id", "_run").orderBy(F.desc("frame_no")))
-    # a loud frame stands first in its own run and doesn't count
-    count = nth - F.when(F.col("_run") > 0, 1).otherwise(0)
-    found = runs.withColumn("_count", count).filter(silent & (F.col("_count") == need)).groupBy("rec_id").agg(F.max("frame_no").alias("_cut"))
-    out = late.select("rec_id", "n_frames", "first_frame").distinct().join(found, "rec_id", "left")
-    return out.select("rec_id", "n_frames", F.coalesce("_cut", "first_frame").cast("long").alias("cut_frame"), F.col("_cut").isNotNull().alias("in_silence"))
+    marked = frames.withColumns({"n_frames": F.first("frame_no").over(back) + 1, "_loud": F.last(F.when(~silent, F.col("frame_no")), True).over(back)})
+    late = marked.withColumn("first_frame", F.floor(F.col("n_frames") / 3)).filter("frame_no >= first_frame")
+    completes = silent & (F.coalesce("_loud", "n_frames") - F.col("frame_no") == need)
+    out = late.groupBy("rec_id").agg(F.first("n_frames").alias("n_frames"), F.first("first_frame").alias("_first"), F.max(F.when(completes, F.col("frame_no"))).alias("_cut"))
+    return out.select("rec_id", "n_frames", F.coalesce("_cut", "_first").cast("long").alias("cut_frame"), F.col("_cut").isNotNull().alias("in_silence"))

@@ -38,8 +38,8 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str, repeat: int = 20) -> DataFrame:
     """(rec_id, frame_no, prob): a user's events in time order, each held for ``repeat`` frames; prob in hundredths."""
-    event_no = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    held = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), event_no.alias("n"), F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(100)).alias("prob"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), "ts", "event_id", F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(100)).alias("prob"))
+    held = events.withColumn("n", F.row_number().over(Window.partitionBy("rec_id").orderBy("ts", "event_id")) - 1)
     return held.select("rec_id", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))).alias("k"), "n", "prob").select("rec_id", (F.col("n") * repeat + F.col("k")).cast("long").alias("frame_no"), "prob")
 
 
