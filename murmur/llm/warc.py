@@ -126,7 +126,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     pages_ = rows.withColumns({"kind": F.lit(1), "refers_to": F.lit(None).cast("long"), "refers_to_url": F.lit(None).cast("string")})
     facts = revisits.withColumns({"key": _key(), "kind": F.lit(0), "url": F.lit(""), "payload": F.lit("")})
     both = [df.withColumn("shard", part_of(F.col("key"), cuts)).select(*columns) for df in (pages_, facts)]
-    sent = both[0].union(both[1]).repartition("shard").sortWithinPartitions("shard", "id", "kind", "url", "payload")
+    sent = both[0].union(both[1]).repartition(len(set(cuts)) + 1, "shard").sortWithinPartitions("shard", "id", "kind", "url", "payload")
     fs, at = _open(folder)
     fs.create_dir(at, recursive=True)
 
