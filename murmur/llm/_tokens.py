@@ -11,7 +11,7 @@ import public_tokenizers
 from murmur.llm._words import Words, hash_ranges
 
 #: Pre-tokens that a worker remembers at most before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SMALL = np.arange(256, dtype=np.uint8)

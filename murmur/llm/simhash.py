@@ -25,7 +25,7 @@ _LANES = np.uint64(0x0101010101010101)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Distances computed at once in a leaf.
-_CELLS = 1 << 21
+_CELLS = 1 << 20
 
 
 def majority_bits(h: np.ndarray, firsts: np.ndarray) -> np.ndarray:
