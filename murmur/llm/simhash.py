@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm._shared import attach, components, materialise, small_batches
@@ -16,10 +18,10 @@ from murmur.llm._words import mix, utf8, words_of
 
 #: Fingerprints that the partitioning tree is fitted on, and distinct fingerprints a leaf should hold.
 SAMPLE, LEAF = 32_768, 4096
-#: Keys of a long fingerprint, bits of a key, bits that estimate the similarity, and 64-bit words of it all.
-TABLES, KEY_BITS, CHECK = 24, 24, 128
-#: Check bits that may differ beyond those expected: a standard deviation of the estimate.
-SLACK = 4
+#: Keys of a long fingerprint, bits of a key, bits that drop far pairs, and 64-bit words of it all.
+TABLES, KEY_BITS, CHECK = 32, 18, 128
+#: Check bits that may differ beyond those expected at the bound: about three standard deviations and a half.
+SLACK = 14
 WORDS = (TABLES * KEY_BITS + CHECK) // 64
 _LANES = np.uint64(0x0101010101010101)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -217,15 +219,34 @@ def near_duplicates(prints: DataFrame, reach: int = 2) -> DataFrame:
     return attach(prints, facts, ["fp"], "id").select("id", "fp", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def long_prints_of(column: pa.Array, shingle: int) -> np.ndarray:
-    """Fingerprints of WORDS * 64 bits, one row a text: TABLES keys of KEY_BITS bits each, then the check."""
+def shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The sorted hashes of the distinct shingles of every text of a batch."""
     h, firsts = shingle_hashes(column, shingle)
+    return [np.unique(h[a:b]) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+
+
+def long_prints_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints of WORDS * 64 bits, one row a set of shingles: TABLES keys of KEY_BITS bits each, then the check."""
+    h, firsts = np.concatenate([np.empty(0, np.uint64), *sets]), np.r_[0, np.cumsum([len(s) for s in sets], dtype=np.int64)]
     return np.stack([majority_bits(mix(h, seed), firsts) for seed in range(WORDS)], 1)
 
 
+def set_digest(own: np.ndarray) -> bytes:
+    """A digest that equal sets of shingles share."""
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``least`` or more, in whole numbers."""
+    if min(len(a), len(b)) * least.denominator < least.numerator * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * least.denominator >= least.numerator * (len(a) + len(b) - both)
+
+
 def keys_of(prints: np.ndarray, table: int) -> np.ndarray:
     """The bits of a table as numbers."""
-    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), WORDS * 8), axis=1, bitorder="little")
     own = bits[:, table * KEY_BITS : (table + 1) * KEY_BITS].astype(np.uint64)
     return (own << np.arange(KEY_BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
@@ -236,11 +257,9 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar_links(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of links of a leaf: keys within one bit, checks within ``most``."""
-    order = np.lexsort((ids, ~home))
-    keys, checks, ids, n = keys[order], checks[order], ids[order], int(home.sum())
-    labels = np.arange(len(keys))
+def _proposed(keys: np.ndarray, checks: np.ndarray, n: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing check bits) of the pairs of one of the first n entries, the homes, and any other entry:
+    keys within one bit, checks within ``most``. All pairs of a home come together."""
     d = distance(keys, keys[0])
     by_d = np.argsort(d, kind="stable")
     sorted_d, by_home = d[by_d], np.argsort(d[:n], kind="stable")
@@ -253,22 +272,70 @@ def similar_links(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, home: n
             i, j = np.nonzero(np.bitwise_count(keys[part][:, None] ^ keys[near][None, :]) <= 1)
             i, j = part[i], near[j]
             i, j = i[i != j], j[i != j]
-            same = np.bitwise_count(checks[i] ^ checks[j]).sum(1) <= most
-            _union(labels, i[same], j[same])
+            bits = np.bitwise_count(checks[i] ^ checks[j]).sum(1, dtype=np.int64)
+            yield i[bits <= most], j[bits <= most], bits[bits <= most]
+
+
+def similar_links(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of links of a leaf: keys within one bit, checks within ``most``."""
+    order = np.lexsort((ids, ~home))
+    keys, checks, ids, n = keys[order], checks[order], ids[order], int(home.sum())
+    labels = np.arange(len(keys))
+    for i, j, _ in _proposed(keys, checks, n, most):
+        _union(labels, i, j)
     linked = np.flatnonzero(labels != np.arange(len(keys)))
     return ids[linked], ids[labels[linked]]
 
 
+def links_between_parts(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, parts: np.ndarray, home: np.ndarray, most: int, per: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The proposed pairs of a leaf whose parts differ, of every home the ``per`` nearest by their checks, and
+    whether some were left for later."""
+    order = np.lexsort((ids, ~home))
+    keys, checks, ids, parts, n = keys[order], checks[order], ids[order], parts[order], int(home.sum())
+    found, more = [(ids[:0], ids[:0])], False
+    for i, j, bits in _proposed(keys, checks, n, most):
+        apart = parts[i] != parts[j]
+        i, j, bits = i[apart], j[apart], bits[apart]
+        order = np.lexsort((ids[j], bits, i))
+        i, j = i[order], j[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        more = more or bool((nth >= per).any())
+        found.append((ids[i[nth < per]], ids[j[nth < per]]))
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return np.maximum(a, b), np.minimum(a, b), more
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ok) per pair of classes (a, b): whether their sets of shingles are as similar as asked. Both sides
+    are fetched by salted joins, so a class in many pairs is spread."""
+    least = Fraction(str(similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = ((np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("set_a"), batch.column("set_b")))
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array([similar(x, y, least) for x, y in of], pa.bool_())})
+
+    both = attach(pairs, sets.withColumnsRenamed({"node": "b", "hashes": "set_b"}), ["b"], "a")
+    both = attach(both, sets.withColumnsRenamed({"node": "a", "hashes": "set_a"}), ["a"], "b")
+    return materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, ok boolean"), "confirmed")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id) per row of docs with an id: component_id is the smallest id reachable over links of
-    texts whose shingles' similarity is estimated at ``similarity`` or more.
-
-    At such similarities fingerprints differ in too many bits for a vantage-point tree to prune. So a text has a
-    long fingerprint, of which TABLES keys of KEY_BITS bits are looked up within one bit, each in a tree of its
-    own, and the last CHECK bits estimate the similarity of what meets, with a standard deviation of slack so
-    that pairs at the bound are rather linked than lost. A pair at a similarity of 0.8 meets with a probability
-    of about 0.9, one at 0.9 almost surely. Texts of equal fingerprints are one class; leaves return spanning
-    links. Rows without an id are left out.
+    """(id, text_sha256, component_id) per row of docs with an id: component_id is the smallest id reachable over
+    links of texts whose distinct shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Texts of equal sets of shingles are one class, by a 128-bit digest of the set. Fingerprints only propose
+    pairs of classes. At such similarities they differ in too many bits for a vantage-point tree to prune, so a
+    class has a long fingerprint of its distinct shingles, of which TABLES keys of KEY_BITS bits are looked up
+    within one bit, each in a tree of its own; the last CHECK bits drop pairs that are far below the bound. By
+    calculation a pair at 0.8 is proposed with a probability of 0.996 or more (sets of 6 shingles or more; sets
+    of 5 meet their subsets of 4 by digest, always). A lower ``similarity`` lowers that.
+
+    Every link is confirmed on the sorted hashes of both sets. First each leaf proposes spanning links. Groups
+    that these confirm whole are settled; in the others all pairs between parts that are not yet linked are
+    proposed, of every class the nearest first and eight times as many a round, until none is left. So a large
+    group of near copies makes few pairs, and no link hangs on a pair that was turned down. Rows without an id
+    are left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -276,12 +343,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = long_prints_of(batch.column("text"), shingle)
-            yield pa.record_batch({"id": batch.column("id"), "fp": pa.array([p.tobytes() for p in prints], pa.binary())})
-
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = materialise(rows.mapInArrow(run, "id long, fp binary"), "prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
+            sets = shingle_sets(batch.column("text"), shingle)
+            prints = pa.array([p.tobytes() for p in long_prints_of(sets)], pa.binary())
+            less = pa.array([[set_digest(np.delete(s, k)) for k in range(5)] if len(s) == 5 else [] for s in sets], pa.list_(pa.binary()))
+            yield pa.record_batch({"id": batch.column("id"), "text_sha256": batch.column("text_sha256"), "digest": pa.array([set_digest(s) for s in sets], pa.binary()), "fp": prints, "less": less})
+
+    text = F.col(text_col).cast("string")
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), _text_sha256(text).alias("text_sha256"))
+    prints = materialise(rows.mapInArrow(run, "id long, text_sha256 binary, digest binary, fp binary, less array<binary>"), "prints")
+    of_class = F.struct("id", "text_sha256")
+    classes = prints.groupBy("digest").agg(F.min("id").alias("least"), F.min(of_class).alias("row"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("less").alias("less"))
+    classes = materialise(classes.withColumn("node", F.xxhash64("digest")), "classes")
     leaves = -(-classes.count() // (2 * LEAF))
     picked = classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE // 4).select("fp").toPandas()["fp"]
     sample = np.frombuffer(b"".join(picked), np.uint64).reshape(-1, WORDS)
@@ -290,22 +362,68 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
-            ids, checks = np.asarray(batch.column("least")), prints[:, -CHECK // 64 :].view(np.int64)
+            ids, parts, checks = np.asarray(batch.column("node")), np.asarray(batch.column("part")), prints[:, -CHECK // 64 :].view(np.int64)
             for t, tree in enumerate(trees.value):
                 keys = keys_of(prints, t)
                 for leaf, homes, visitors in tree.route(keys, 1):
                     at = np.r_[homes, visitors]
-                    yield pa.record_batch({"leaf": np.full(len(at), t << 20 | leaf, np.int32), "key": keys[at].astype(np.int32), "id": ids[at], "home": np.arange(len(at)) < len(homes), "c0": checks[at, 0], "c1": checks[at, 1]})
-
-    def search(table: pa.Table) -> pa.Table:
-        key, id_, home, c0, c1 = (table.column(c).to_numpy() for c in ("key", "id", "home", "c0", "c1"))
-        a, b = similar_links(key.astype(np.uint64), np.stack([c0, c1], 1).view(np.uint64), id_, home, most) if home.any() else (id_[:0], id_[:0])
-        return pa.table({"a": a, "b": b})
-
-    links = classes.select("fp", "least").mapInArrow(deal, "leaf int, key int, id long, home boolean, c0 long, c1 long").groupBy("leaf").applyInArrow(search, "a long, b long")
-    nodes = components(links).withColumnsRenamed({"node": "least", "root": "_root"})
-    facts = classes.join(nodes, "least", "left").filter("n > 1 OR _root IS NOT NULL").select("fp", F.coalesce("_root", "least").alias("component_id"))
-    return attach(prints, facts, ["fp"], "id").select("id", F.coalesce("component_id", "id").alias("component_id"))
+                    yield pa.record_batch({"leaf": np.full(len(at), t << 20 | leaf, np.int32), "key": keys[at].astype(np.int32), "id": ids[at], "part": parts[at], "home": np.arange(len(at)) < len(homes), "c0": checks[at, 0], "c1": checks[at, 1]})
+
+    def searched(nodes: DataFrame, per: int) -> DataFrame:
+        """(a, b, more) for nodes (fp, node, part): spanning links at 0, else of every home at most ``per`` links between parts."""
+
+        def search(table: pa.Table) -> pa.Table:
+            key, id_, part, home, c0, c1 = (table.column(c).to_numpy() for c in ("key", "id", "part", "home", "c0", "c1"))
+            key, checks, more = key.astype(np.uint64), np.stack([c0, c1], 1).view(np.uint64), False
+            if not home.any():
+                a = b = id_[:0]
+            elif per:
+                a, b, more = links_between_parts(key, checks, id_, part, home, most, per)
+            else:
+                a, b = similar_links(key, checks, id_, home, most)
+            return pa.table({"a": a, "b": b, "more": np.full(len(a), more)})
+
+        return nodes.mapInArrow(deal, "leaf int, key int, id long, part long, home boolean, c0 long, c1 long").groupBy("leaf").applyInArrow(search, "a long, b long, more boolean")
+
+    subsets = classes.select(F.explode("less").alias("digest"), F.col("node").alias("_of")).join(classes.select("digest", "node"), "digest")
+    links = searched(classes.select("fp", "node", F.col("node").alias("part")), 0).select("a", "b").union(subsets.select(F.col("_of").alias("a"), F.col("node").alias("b")))
+    links = materialise(links.filter("a <> b").distinct(), "links")
+    loose = materialise(components(links).withColumnRenamed("root", "loose"), "loose")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"node": batch.column("node"), "hashes": pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), shingle)], pa.binary())})
+
+    wanted = loose.join(classes.select("node", "row"), "node").select("node", F.col("row.id").alias("id"), F.col("row.text_sha256").alias("text_sha256"))
+    sets = rows.join(wanted, ["id", "text_sha256"]).select("node", "text").dropDuplicates(["node"])
+    sets = materialise(sets.mapInArrow(hashed, "node long, hashes binary"), "sets")
+
+    tested, per = _confirmed(links, sets, similarity), 16
+    while True:
+        parts = components(tested.filter("ok")).withColumnRenamed("root", "part")
+        members = loose.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        unsettled = members.groupBy("loose").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.count("*").alias("_n")).filter("_low < _high AND _n > 2")
+        unsettled = materialise(members.join(unsettled, "loose").select("node", "part"), "unsettled")
+        if unsettled.isEmpty():
+            break
+        found = materialise(searched(classes.select("fp", "node").join(unsettled, "node").select("fp", "node", "part"), per), "proposed")
+        new = materialise(found.select("a", "b").distinct().join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "links")
+        more = not found.filter("more").isEmpty()
+        if not new.isEmpty():
+            tested = materialise(tested.union(_confirmed(new, sets, similarity)), "tested")
+        if not more:
+            parts = components(tested.filter("ok")).withColumnRenamed("root", "part")
+            break
+        per *= 8
+
+    nodes = classes.select("digest", "node", "least", "n").join(parts, "node", "left")
+    roots = nodes.filter("part IS NOT NULL").groupBy("part").agg(F.min("least").alias("_least"))
+    facts = nodes.join(roots, "part", "left").filter("n > 1 OR part IS NOT NULL").select("digest", F.coalesce("_least", "least").alias("component_id"))
+    return attach(prints.select("id", "text_sha256", "digest"), facts, ["digest"], "id").select("id", "text_sha256", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def _text_sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

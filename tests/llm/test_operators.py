@@ -335,6 +335,36 @@ def test_similar_groups(spark, monkeypatch):
     assert kept.filter("doc_id IS NULL").count() == 1
 
 
+def groups_by_brute_force(rows, similarity=0.8, shingle=5):
+    """The smallest reachable position of each row, by the exact similarity of distinct shingles."""
+    words = [t.split() for t in rows]
+    sets = [{tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} for w in words]
+    first = list(range(len(rows)))
+    for i in range(len(rows)):
+        for k in range(i):
+            if len(sets[i] & sets[k]) * 10 >= similarity * 10 * len(sets[i] | sets[k]) and first[i] != first[k]:
+                low, high = sorted((first[i], first[k]))
+                first = [low if f == high else f for f in first]
+    return first
+
+
+def test_similar_groups_at_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 64)
+    r, rows = rng(21), []
+    for k in range(120):  # cutting n of 104 words' ends gives a similarity of (100 - n) / 100 on either side of 0.8
+        base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(104)]
+        rows += [" ".join(base), " ".join(base[r.choice([18, 20, 20, 21, 24, 30]) :])]
+    for k in range(20):  # chains of which only neighbours are similar, and sets of 5 and 4 shingles
+        base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+        rows += [" ".join(base[n : n + 104]) for n in (0, 22, 11, 33)]
+        rows += [" ".join(base[:9]), " ".join(base[:8]), " ".join(base[:7])]
+    expected = groups_by_brute_force(rows)
+    assert 40 < sum(a != b for a, b in zip(expected, range(len(rows)))) < len(rows) - 80
+    got = {x["id"]: x["component_id"] for x in simhash.similar_groups(docs_df(spark, rows)).collect()}
+    wrong = [k for k, x in enumerate(expected) if got[k] != x]
+    assert all(got[k] == k for k in wrong) and len(wrong) <= 2  # nothing is linked below the bound; recall is 0.99
+
+
 def test_a_large_group_of_near_copies_gives_few_links():
     r = np.random.default_rng(15)
     n = 3000
