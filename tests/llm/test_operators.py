@@ -365,6 +365,14 @@ def test_similar_groups_at_the_bound(spark, monkeypatch):
     assert all(got[k] == k for k in wrong) and len(wrong) <= 2  # nothing is linked below the bound; recall is 0.99
 
 
+def test_a_repeated_line_does_not_make_texts_similar(spark):
+    r = rng(22)
+    line = " ".join(f"l{k}" for k in range(20))
+    rows = [" ".join([line] * 20 + ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(500)]) for _ in range(12)]
+    got = simhash.similar_groups(docs_df(spark, rows)).collect()
+    assert len(got) == 12 and all(x["id"] == x["component_id"] for x in got)
+
+
 def test_a_large_group_of_near_copies_gives_few_links():
     r = np.random.default_rng(15)
     n = 3000
