@@ -18,6 +18,11 @@ def _merge(runs: DataFrame) -> DataFrame:
     return out.withColumn("c_lo", verified)
 
 
+def _text(text_col: str, normalise) -> Column:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return normalise(text) if normalise else text
+
+
 def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
@@ -34,8 +39,7 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep is smallest or largest, not {keep!r}")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    text = normalise(text) if normalise else text
+    text = _text(text_col, normalise)
     members = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("check"))
     members = materialise(members.withColumn("run", salt_of("id", runs)), "digests")
 
@@ -57,13 +61,17 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
     """docs with one row of each group of equal texts, in docs' own columns.
 
-    Needs an id that names one text; of rows that repeat id and text, one stays. The kept ids meet the rows in
-    one join on the id, whose order the row number reuses.
+    Rows are named by id and text digest, null ids too, so an id may repeat with other texts. Of rows that repeat
+    both, the one whose columns have the smallest hash stays. The kept pairs meet the rows in one join, whose
+    order the row number reuses.
     """
-    kept = dedup_groups(docs, id_col, text_col, keep, normalise).filter("kept").select(F.col(id_col).alias("_kept_id"))
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
-    row = Window.partitionBy(F.col(id_col)).orderBy(F.col(id_col))
-    return out.withColumn("_nth", F.row_number().over(row)).filter("_nth = 1").drop("_nth")
+    kept = dedup_groups(docs, id_col, text_col, keep, normalise).filter("kept").select(F.col(id_col).alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest"))
+    text = _text(text_col, normalise)
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = docs.withColumns({"_digest": F.unhex(F.sha2(text, 256)), "_order": F.xxhash64(*plain)})
+    out = rows.join(kept, (rows["_digest"] == kept["_kept_digest"]) & rows[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    row = Window.partitionBy(F.col(id_col), F.col("_digest")).orderBy("_order")
+    return out.withColumn("_nth", F.row_number().over(row)).filter("_nth = 1").drop("_nth", "_digest", "_order")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

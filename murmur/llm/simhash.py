@@ -429,10 +429,11 @@ def _text_sha256(text: Column) -> Column:
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs in their own columns with one row of each group of ``similar_groups``: the one with the smallest id.
 
-    Rows that repeat the smallest id all stay; rows with a null id stay. Texts without words are one group.
+    Rows are named by id and text digest, so another text under a removed row's id stays. Rows that repeat the
+    smallest id all stay; rows with a null id stay. Texts without words are one group.
     """
-    gone = similar_groups(docs, id_col, text_col, shingle, similarity).filter("component_id <> id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = similar_groups(docs, id_col, text_col, shingle, similarity).filter("component_id <> id").select(F.col("id").alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (_text_sha256(docs[text_col].cast("string")) == gone["_gone_text"]), "left_anti")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

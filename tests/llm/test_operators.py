@@ -64,6 +64,13 @@ def test_exact_dedup_keeps_one_row_and_all_columns(spark):
     assert sorted(x["doc_id"] for x in out.collect()) == [2, 4]
 
 
+def test_exact_dedup_names_rows_by_id_and_text(spark):
+    rows = [(None, "p"), (None, "q"), (None, "q"), (None, "a"), (1, "a"), (2, "b"), (2, "c"), (2, "c"), (3, "c")]
+    for keep, of_c in (("smallest", 2), ("largest", 3)):
+        out = exact_dedup.exact_dedup(with_clashes(spark.createDataFrame(rows, DOCS)), keep=keep).collect()
+        assert sorted(((x["doc_id"], x["text"]) for x in out), key=str) == sorted([(None, "p"), (None, "q"), (1, "a"), (2, "b"), (of_c, "c")], key=str)
+
+
 def test_exact_dedup_normalises(spark):
     out = exact_dedup.dedup_groups(docs_df(spark, ["A", "a", "b"]), normalise=F.lower).collect()
     assert sorted(x["group_size"] for x in out) == [1, 2, 2]
@@ -373,6 +380,13 @@ def test_a_repeated_line_does_not_make_texts_similar(spark):
     assert len(got) == 12 and all(x["id"] == x["component_id"] for x in got)
 
 
+def test_simhash_dedup_keeps_another_text_of_a_removed_id(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (2, f"{a} more"), (2, b), (None, a), (3, "x y z")]
+    out = simhash.simhash_dedup(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((x["doc_id"], x["text"]) for x in out), key=str) == sorted([(1, a), (2, b), (None, a), (3, "x y z")], key=str)
+
+
 def test_a_large_group_of_near_copies_gives_few_links():
     r = np.random.default_rng(15)
     n = 3000
