@@ -14,6 +14,8 @@ from murmur.llm._words import utf8
 
 #: Bytes of a q-gram; of a passage and the step between passages of one item; edits allowed per byte of a passage.
 Q, PASSAGE, STEP, EDIT_RATE = 8, 64, 16, 0.1
+#: Items of fewer normalised bytes, which allow no edits, match between word borders alone.
+WORD_BORDERS = 16
 #: Normalised bytes of benchmark text that one pass over the documents searches for; fixes what is broadcast at once.
 BLOCK_BYTES = 1 << 20
 _KEPT = np.zeros(256, bool)
@@ -30,6 +32,13 @@ def normalise(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[kept], upto[offsets]
 
 
+def word_starts(column: pa.Array) -> np.ndarray:
+    """Which bytes of the normalised texts follow a byte that was left out."""
+    data, _ = utf8(pc.utf8_lower(column.cast(pa.large_string())))
+    kept = _KEPT[data]
+    return ~np.r_[False, kept[:-1]][kept] if len(kept) else kept
+
+
 def qgrams(data: np.ndarray) -> np.ndarray:
     """Every Q consecutive bytes as a number."""
     n = max(0, len(data) - Q + 1)
@@ -67,6 +76,7 @@ class Index:
         self.ids = [i for i, _ in items]
         data, offsets = normalise(pa.array([t for _, t in items], pa.string()))
         self.texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        self.short = np.array([len(t) < WORD_BORDERS for t in self.texts], bool)
         self.passages: list[list[tuple[int, int, int, int]]] = []  # start, end, budget, least shared q-grams
         grams, item, place = [], [], []
         for k, text in enumerate(self.texts):
@@ -115,6 +125,14 @@ class Index:
         diagonal = where - place + PASSAGE * 1024  # may be negative in the first text
         band = diagonal // self.width
         out: dict[tuple[int, int], int] = {}
+        if (few := self.short[item]).any():  # whole, without edits and between word borders
+            first = word_starts(column)
+            for k in np.flatnonzero(few & (place == 0)).tolist():
+                own, a, t = self.texts[item[k]], int(where[k]), int(text[k])
+                b, begin, end = a + len(own), int(offsets[t]), int(offsets[t + 1])
+                if b <= end and (a == begin or first[a]) and (b == end or first[b]) and data[a:b].tobytes() == own:
+                    out[t, int(item[k])] = 0
+            item, place, where, text, diagonal, band = (x[~few] for x in (item, place, where, text, diagonal, band))
         # bands of two widths, each a width further: one of them holds any budget + 1 diagonals
         both_key = np.r_[band, band - 1] * np.int64(len(self.ids)) + np.r_[item, item]
         both_place, both_text = np.r_[place, place], np.r_[text, text]
@@ -144,7 +162,7 @@ class Index:
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Index]:
     """Indexes of blocks of items in id order, each of bounded size however large the benchmark."""
     held, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("id", "text")
+    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL").distinct().orderBy("id", "text")
     for row in rows.toLocalIterator():
         held.append((row["id"], row["text"]))
         size += len(row["text"].encode())
@@ -165,8 +183,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     of diagonals overlap so that one holds them all, and only bands that reach the count are aligned.
 
     The benchmark is the query set, searched for in blocks of bounded size: each block's index goes to the tasks
-    and all documents are read against it, whole. Items shorter than Q normalised bytes match nothing, nor do
-    null texts or items with a null id. Repeated rows and null ids of documents are matched like any. Other
+    and all documents are read against it, whole. Items with a null id are searched for as any and give a null item.
+    Items of Q to WORD_BORDERS - 1 normalised bytes allow no edits and must lie between word borders; shorter
+    ones match nothing, nor do null texts. Repeated rows and null ids of documents are matched like any. Other
     columns are not read. An empty table on either side gives none.
     """
     spark = docs.sparkSession

@@ -552,6 +552,15 @@ def test_matches_by_brute_force(spark):
     assert len(expected) > 10
 
 
+def test_items_without_id_and_short_items(spark):
+    phrase = "a passage of the benchmark that has no number of its own, yet is text"
+    bench = spark.createDataFrame([(None, phrase), (None, "quite another passage of the benchmark without a number at all"), (1, "the answer"), (2, "ab")], "item_id long, text string")
+    docs = docs_df(spark, [f"x {phrase} y", "breathe answers", "So, the answer!", "the answer", "bathe answer", "ab", "clean", "xthe answer. The answer"])
+    got = sorted((x["doc_id"], x["item_id"] or 0) for x in decontamination.benchmark_matches(docs, bench).collect())
+    assert got == [(0, 0), (2, 1), (3, 1), (7, 1)]
+    assert sorted(x["doc_id"] for x in decontamination.decontaminate(docs, bench).collect()) == [1, 4, 5, 6]
+
+
 # All of them over empty tables.
 
 
