@@ -33,30 +33,62 @@ _SKIPPED_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comme
 _SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 
 
-def _kind(tag: str, attributes: str, in_main: bool) -> str | None:
-    """skip, main or neither for an element."""
-    if tag in _SKIPPED or tag == "header" and not in_main:
-        return "skip"
+#: Names that boxes have besides those words, and what is no part of an article inside one.
+_SKIPPED_NAMES = frozenset("site-header page-header site-footer page-footer main-menu main-nav site-nav main-navigation site-navigation left-sidebar right-sidebar widget-area".split())
+_INSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comments disqus respond share sharing newsletter subscribe signup breadcrumb breadcrumbs pagination pager sidebar navbar".split())
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored".split())
+
+
+def _kind(tag: str, attributes: str, in_main: bool) -> str | int | None:
+    """skip, main or neither for an element; 1 or 2 if it is skipped unless it encloses an article or a main
+    element (1), or a main element (2).
+
+    A word counts as a whole class name or id or as its whole leading part. Inside an article only what can't be
+    the article's goes, and of paragraphs and inline elements adverts alone.
+    """
+    if tag in _SKIPPED:
+        return 1 if tag == "form" else "skip"
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-    if tag not in ("body", "html"):
-        words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
-        if "hidden" in found or found.get("aria-hidden") == "true":
-            return "skip"
-        if tag == "article":
-            if words & _SKIPPED_ARTICLES:
-                return "skip"
-        elif tag != "main" and (words & _SKIPPED_WORDS or found.get("role") in _SKIPPED_ROLES or not in_main and "header" in words):
-            return "skip"
-    return "main" if tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody" else None
+    if tag in ("body", "html"):
+        return None
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    words = {*names, *(re.split(r"[^a-z0-9]+", n)[0] for n in names)}
+    if "hidden" in found or found.get("aria-hidden") == "true":
+        return "skip"
+    if tag == "article" and words & _SKIPPED_ARTICLES:
+        return "skip"
+    if tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody":
+        return "main"
+    if in_main:
+        named = bool(words & (_ADVERTS if tag == "p" or tag in _INLINE else _INSIDE_WORDS))
+    else:
+        named = tag == "header" or bool(words & (_SKIPPED_WORDS | _SKIPPED_NAMES | {"header"}))
+    if named or found.get("role") in _SKIPPED_ROLES:
+        return 2 if words & _SKIPPED_ARTICLES else 1
+    return None
+
+
+def _enclosing(html: str) -> dict[int, int]:
+    """Where elements start that enclose an article (1) or a main element (2), and which of the two."""
+    out: dict[int, int] = {}
+    _walk(html, out)
+    return out
 
 
 def blocks(html: str) -> tuple[list[str], list[str]]:
     """(blocks inside article or main elements, other blocks) of a page, in page order, without what is never
-    content: scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and comments."""
+    content: scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and comments. A box that
+    encloses the article or main element isn't skipped, whatever its name."""
+    return _walk(html, None)
+
+
+def _walk(html: str, probed: dict[int, int] | None) -> tuple[list[str], list[str]]:
+    """``blocks``; with ``probed``, boxes are not skipped and what encloses an article is noted there."""
     main: list[str] = []
     other: list[str] = []
     held: list[str] = []
-    stack: list[tuple[str, str | None]] = []
+    stack: list[tuple[str, str | None, int]] = []
+    enclosing: dict[int, int] | None = None
     skips = mains = at = 0
 
     def flush() -> None:
@@ -68,7 +100,7 @@ def blocks(html: str) -> tuple[list[str], list[str]]:
     def pop(n: int) -> None:
         nonlocal skips, mains
         for _ in range(n):
-            tag, kind = stack[-1]
+            tag, kind, _ = stack[-1]
             if tag not in _INLINE:
                 flush()
             stack.pop()
@@ -89,7 +121,7 @@ def blocks(html: str) -> tuple[list[str], list[str]]:
         if closing:
             if tag not in _INLINE:
                 flush()
-            for n, (open_, _) in enumerate(reversed(stack), 1):
+            for n, (open_, *_) in enumerate(reversed(stack), 1):
                 if open_ == tag:
                     pop(n)
                     break
@@ -97,11 +129,11 @@ def blocks(html: str) -> tuple[list[str], list[str]]:
         if tag not in _INLINE:
             flush()
             if tag == "body":  # ends a head that was left open
-                for n, (open_, _) in enumerate(reversed(stack), 1):
+                for n, (open_, *_) in enumerate(reversed(stack), 1):
                     if open_ == "head":
                         pop(n)
                         break
-            for n, (open_, _) in enumerate(reversed(stack), 1):
+            for n, (open_, *_) in enumerate(reversed(stack), 1):
                 if open_ in _IMPLIED and tag != "br" and (_IMPLIED[open_] is None or tag in _IMPLIED[open_]):
                     pop(n)
                     break
@@ -110,9 +142,16 @@ def blocks(html: str) -> tuple[list[str], list[str]]:
         if tag in _VOID or attributes.endswith("/") and tag not in _RAW:
             continue
         kind = _kind(tag, attributes, mains > 0)
+        if isinstance(kind, int):
+            if probed is None and not skips and enclosing is None:
+                enclosing = _enclosing(html)
+            kind = None if probed is not None or enclosing and enclosing.get(found.start(), 0) >= kind else "skip"
+        if probed is not None and kind == "main" and not skips:
+            for _, _, start in stack:
+                probed[start] = max(probed.get(start, 0), 1 if tag == "article" else 2)
         if kind is not None:
             flush()
-        stack.append((tag, kind))
+        stack.append((tag, kind, found.start()))
         skips += kind == "skip"
         mains += kind == "main"
         if tag in _RAW:

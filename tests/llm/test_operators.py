@@ -195,6 +195,13 @@ def test_article_text_without_what_is_around_it():
     assert html_text.blocks(page)[0] == ["He&ad", "One two", "thrée four", "end <x>"]
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="content-sidebar-wrap"><main>{}</main></div>', '<div class="site-content no-sidebar"><article>{}</article></div>', '<body><div class="has-banner"><article>{}</article></div></body>', '<div id="menu" class="banner"><div role=main>{}</div></div>', "<form id=aspnetForm><div class=sidebar><article>{}</article></div></form>", "<main>{}</main>"])
+def test_boxes_around_and_inside_an_article(wrapper):
+    inside = '<p>one</p><section class="related-work"><p>two</p></section><p class="notice">three</p><div class="search-space">four</div><div class="ad">buy</div><div class="share-buttons">share</div>'
+    page = f'<div class="sidebar"><p>side</p></div><div class="comments"><article>reader</article></div>{wrapper.format(inside)}<div class="cookie-notice">cookies</div>'
+    assert html_text.blocks(page)[0] == ["one", "two", "three", "four"]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</p></div>", "<!-- open", "<script>x", "<div class='a>b", "a<b>c" * 3000, "<p " * 500])
 def test_broken_pages_do_not_fail(page):
     html_text.blocks(page)
