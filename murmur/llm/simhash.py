@@ -335,7 +335,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that these confirm whole are settled; in the others all pairs between parts that are not yet linked are
     proposed, of every class the nearest first and eight times as many a round, until none is left. So a large
     group of near copies makes few pairs, and no link hangs on a pair that was turned down. Rows without an id
-    are left out.
+    are left out. Null and empty texts are one class. An empty table gives none.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -354,7 +354,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_class = F.struct("id", "text_sha256")
     classes = prints.groupBy("digest").agg(F.min("id").alias("least"), F.min(of_class).alias("row"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("less").alias("less"))
     classes = materialise(classes.withColumn("node", F.xxhash64("digest")), "classes")
-    leaves = -(-classes.count() // (2 * LEAF))
+    total = classes.count()
+    if not total:
+        return prints.select("id", "text_sha256", F.col("id").alias("component_id"))
+    leaves = -(-total // (2 * LEAF))
     picked = classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE // 4).select("fp").toPandas()["fp"]
     sample = np.frombuffer(b"".join(picked), np.uint64).reshape(-1, WORDS)
     trees = spark.sparkContext.broadcast([fit_tree(keys_of(sample, t), leaves) for t in range(TABLES)])
