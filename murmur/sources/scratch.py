@@ -1,5 +1,7 @@
 """Intermediate tables in the folder that driver and executors share."""
 
+from __future__ import annotations
+
 import tempfile
 import uuid
 
@@ -7,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder (spark.checkpoint.dir); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder, spark.checkpoint.dir or the context's checkpoint folder. Where neither is set, a temporary
+    folder in local mode; on a cluster, whose executors don't share one, an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="murmur-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="murmur-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -19,6 +24,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/murmur-{uuid.uuid4().hex}-{tag}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, tag)
