@@ -2,38 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from murmur.sources.scratch import discard, materialise, new_path, qualified
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="murmur-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["attach", "components", "discard", "materialise", "new_path", "qualified", "salt_of", "slices", "spans"]
 
+#: Bytes of text that a task looks at together; one longer text is looked at alone.
+SLICE_BYTES = 1 << 20
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/murmur-{uuid.uuid4().hex}-{tag}"
 
+def spans(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` bytes of text each, or of one row."""
+    upto = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))]
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + most, "right")) - 1)
+        yield at, end
+        at = end
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows in an Arrow batch, as one text may be very long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``most`` bytes of text, or of one row, so that scratch memory follows the
+    longest text and not the number of rows in a batch."""
+    for batch in batches:
+        for a, b in spans(batch.column(column), most):
+            yield batch.slice(a, b - a)
 
 
 def salt_of(column: str | Column, salts: int) -> Column:
@@ -48,38 +49,43 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], salt: str, salts:
     then join on (salt, key), so a hot key's rows lie in as many tasks. Null keys match null keys.
     """
     rows = rows.withColumn("_salt", salt_of(salt, salts))
-    pairs = rows.select("_salt", *keys).distinct()
-    on = [reduce(lambda a, b: a & b, (pairs[k].eqNullSafe(facts[k]) for k in keys))]
     more = [c for c in facts.columns if c not in keys]
-    pairs = pairs.join(facts, on).select("_salt", *(pairs[k].alias(f"_k_{k}") for k in keys), *(facts[c] for c in more)).withColumnRenamed("_salt", "_s")
-    joined = rows.join(pairs, (rows["_salt"] == pairs["_s"]) & reduce(lambda a, b: a & b, (rows[k].eqNullSafe(pairs[f"_k_{k}"]) for k in keys)), "left")
-    return joined.drop("_salt", "_s", *(f"_k_{k}" for k in keys))
+    facts = facts.select(*(F.col(k).alias(f"_f_{k}") for k in keys), *more)
+    pairs = rows.select(F.col("_salt").alias("_s"), *(F.col(k).alias(f"_k_{k}") for k in keys)).distinct()
+    pairs = pairs.join(facts, reduce(Column.__and__, (F.col(f"_k_{k}").eqNullSafe(F.col(f"_f_{k}")) for k in keys)))
+    met = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.col("_salt") == F.col("_s"))
+    return rows.join(pairs, met, "left").drop("_salt", "_s", *(f"_{x}_{k}" for k in keys for x in "kf"))
 
 
-def same_edges(df: DataFrame) -> tuple:
-    """A count and an order-free sum over edges, to see that a round changed nothing."""
-    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """Edges in the shared folder, where they lie, and a count and an order-free sum over them, taken while writing."""
+    seen, path = Observation(), new_path(edges.sparkSession, "edges")
+    edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).write.parquet(path)
+    return edges.sparkSession.read.schema("a long, b long").parquet(path), path, (seen.get.get("n"), seen.get.get("s"))
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Connected components of an edge list (a, b): one row (node, root) per node, root its smallest node.
 
     Large-star and small-star rounds in turn, each a grouped minimum and a join, until the edges no longer
-    change; every round is written to the shared folder. Hubs are split by adaptive skew joins, and the
-    minimum of a hub's neighbours is pre-aggregated before the shuffle.
+    change; every round is written to the shared folder, in place of the one before. A hub's minimum is
+    pre-aggregated before the shuffle and goes back to the hub's edges through salted joins. Edges of a node to
+    itself and repeated ones count for nothing, null ends are dropped; no edges give no rows.
     """
-    now = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    seen = None
+    spark = edges.sparkSession
+    now, path, seen = _written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct())
     for _ in range(rounds):
+        if not seen[0]:
+            break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).withColumn("m", F.least("u", "m"))
-        now = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        hung = down.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        now = materialise(hung.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
-        last, seen = seen, same_edges(now)
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = attach(both.filter("b > a"), least, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        hung = attach(down, least, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        old, last = path, seen
+        now, path, seen = _written(hung.union(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(spark, old)
         if last == seen:
             break
     else:

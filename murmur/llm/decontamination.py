@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import small_batches
+from murmur.llm._shared import slices, spans
 from murmur.llm._words import utf8
 
 #: Bytes of a q-gram; of a passage and the step between passages of one item; edits allowed per byte of a passage.
@@ -189,7 +189,6 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     columns are not read. An empty table on either side gives none.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item long, edits int"
     out = spark.createDataFrame([], schema)
@@ -197,7 +196,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 found = sent.value.matches(batch.column("text"))
                 of = pa.array([t for t, _, _ in found], pa.int64())
                 yield pa.record_batch({"id": batch.column("id").take(of), "item": pa.array([sent.value.ids[i] for _, i, _ in found], pa.int64()), "edits": pa.array([e for *_, e in found], pa.int32())})
@@ -209,8 +208,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def _clean(sent):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        out = np.ones(len(texts), bool)
-        out[[t for t, _, _ in sent.value.matches(pa.array(texts, pa.string(), from_pandas=True))]] = False
+        out, column = np.ones(len(texts), bool), pa.array(texts, pa.string(), from_pandas=True)
+        for a, b in spans(column):
+            out[[a + t for t, _, _ in sent.value.matches(column.slice(a, b - a))]] = False
         return pd.Series(out)
 
     return clean
@@ -219,7 +219,6 @@ def _clean(sent):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, in their own columns, without rows that match any item; see ``benchmark_matches``."""
     spark = docs.sparkSession
-    small_batches(spark)
     for index in _indexes(benchmark, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast(index)
 

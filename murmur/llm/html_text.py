@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import materialise, small_batches
+from murmur.llm._shared import materialise, slices
 from murmur.llm._words import rolling, utf8, within, words_of
 
 #: Tokens of a repeated run, and tokens of a host that one suffix array holds.
@@ -223,7 +223,7 @@ def _unique_runs_of_large_hosts(undecided: DataFrame, run: int) -> DataFrame:
         return words, rolling(words.hashes, run, _ONE), rolling(words.hashes, run, _TWO).astype(np.uint32).view(np.int32), ok
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             words, h, c, ok = hashed(batch)
             at = np.flatnonzero(ok)
             of = pa.array(np.searchsorted(words.first, at, "right") - 1)
@@ -234,7 +234,7 @@ def _unique_runs_of_large_hosts(undecided: DataFrame, run: int) -> DataFrame:
     gone = found.join(shared, ["host", "h", "c"]).groupBy("host", "stream").agg(F.collect_set("h").alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             words, h, _, _ = hashed(batch)
             texts = []
             for k, (text, gone_) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist())):
@@ -265,11 +265,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     space. Null and empty pages give an empty text. A null or odd URL is a host of its own kind, the empty one.
     Repeated rows are equal streams, which count once. An empty table gives none.
     """
-    spark = pages.sparkSession
-    small_batches(spark)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "html"):
             texts, is_open = [], []
             for html in batch.column("html").to_pylist():
                 main, other = blocks(html or "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
@@ -13,16 +14,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import attach, components, materialise, small_batches
-from murmur.llm._words import mix, utf8, words_of
+from murmur.llm._shared import attach, components, materialise, slices
+from murmur.llm._words import mix, rolling, utf8, within, words_of
 
 #: Fingerprints that the partitioning tree is fitted on, and distinct fingerprints a leaf should hold.
 SAMPLE, LEAF = 32_768, 4096
-#: Keys of a long fingerprint, bits of a key, bits that drop far pairs, and 64-bit words of it all.
-TABLES, KEY_BITS, CHECK = 32, 18, 128
+#: Distinct long fingerprints a leaf should hold, the shortest key, the share of pairs at the bound that no key may
+#: meet, and bits that drop far pairs.
+LONG_LEAF, KEY_BITS, MISSED, CHECK = 16_384, 18, 0.0004, 128
 #: Check bits that may differ beyond those expected at the bound: about three standard deviations and a half.
 SLACK = 14
-WORDS = (TABLES * KEY_BITS + CHECK) // 64
+#: Entries of one key from which on the nearest of them are taken together before pairs are looked at.
+DENSE = 64
+_SHINGLE = 0xC2B2AE3D27D4EB4F
 _LANES = np.uint64(0x0101010101010101)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -74,11 +78,11 @@ def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row (id, fingerprint as signed long) per row of docs. A text without words gets 0; null texts have none."""
-    small_batches(docs.sparkSession)
+    """One row (id, fingerprint as signed long) per row of docs, repeated rows and null ids too. A text without words
+    gets 0, and so do null texts. Other columns are not read. An empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.record_batch({"id": batch.column("id"), "fp": fingerprints_of(batch.column("text"), shingle).view(np.int64)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -116,11 +120,12 @@ class Tree:
         self.leaves += 1
         return ~(self.leaves - 1)
 
-    def route(self, fps: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, homes, visitors) as indexes of fps: every fingerprint has one home, and of any two within
-        reach that have different homes, exactly one side visits: the inner one visits outwards. A branch is
-        left out where the triangle inequality excludes it."""
-        todo = [(0 if self.points else -1, np.arange(len(fps)), np.arange(0))]
+    def route(self, fps: np.ndarray, reach: int, n: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, homes, visitors) as indexes of fps: each of the first ``n`` fingerprints (all, if not given) has one
+        home, and of any two within reach that have different homes, exactly one side visits: the inner one visits
+        outwards. The other fingerprints visit alone. A branch is left out where the triangle inequality excludes it."""
+        n = len(fps) if n is None else n
+        todo = [(0 if self.points else -1, np.arange(n), np.arange(n, len(fps)))]
         while todo:
             node, homes, visitors = todo.pop()
             if not len(homes) and not len(visitors):
@@ -158,9 +163,16 @@ def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def leaf_links(homes: np.ndarray, visitors: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of links (as two arrays of fingerprints) among homes, and between homes and visitors.
 
-    Both are ordered by their distance to the first home; only distances at most reach apart are compared.
+    A leaf of many more homes than LEAF deals them once more by a tree of its own. In a small one all are ordered
+    by their distance to the first home; only distances at most reach apart are compared.
     """
     every = np.r_[homes, visitors]
+    if len(homes) > 4 * LEAF:
+        tree = fit_tree(homes[:: -(-len(homes) // SAMPLE)], -(-len(homes) // LEAF))
+        if tree.leaves > 1:
+            parts = [leaf_links(every[h], every[v], reach) for _, h, v in tree.route(every, reach, len(homes)) if len(h)]
+            a, b = (np.concatenate(x) for x in zip(*parts))
+            return a, b
     labels = np.arange(len(every))
     d = distance(every, homes[0])
     order = np.argsort(d, kind="stable")
@@ -189,7 +201,8 @@ def near_duplicates(prints: DataFrame, reach: int = 2) -> DataFrame:
     its links, at most one per class, so thousands of near copies make no pairs. The links of all leaves go to
     distributed connected components. A fingerprint that fills a third of the table joins back salted.
 
-    Null ids are ignored by the minimum; a component of null ids only gets null. Equal ids count once.
+    Null ids are ignored by the minimum; a component of null ids only gets null. Repeated ids and rows each give
+    their row. An empty table gives none.
     """
     spark = prints.sparkSession
     prints = materialise(prints, "fingerprints")
@@ -220,15 +233,38 @@ def near_duplicates(prints: DataFrame, reach: int = 2) -> DataFrame:
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
-    """The sorted hashes of the distinct shingles of every text of a batch."""
-    h, firsts = shingle_hashes(column, shingle)
-    return [np.unique(h[a:b]) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+    """The sorted 64-bit hashes of the distinct shingles of every text of a batch, in lower case A to Z; of fewer words
+    than a shingle, that of the whole sequence."""
+    data, offsets = utf8(column)
+    words = words_of(_LOWER[data], offsets)
+    n_words = np.diff(words.first)
+    every = rolling(words.hashes, shingle, _SHINGLE)[within(words.first, len(words.hashes), shingle)]
+    upto = np.r_[0, np.cumsum(np.maximum(n_words - shingle + 1, 0))].tolist()
+    out = []
+    for k, n in enumerate(n_words.tolist()):
+        if n >= shingle:
+            out.append(np.unique(every[upto[k] : upto[k + 1]]))
+        else:
+            out.append(rolling(words.hashes[words.first[k] : words.first[k + 1]], n, _SHINGLE) if n else every[:0])
+    return out
+
 
+def key_plan(rows: int, similarity: float) -> tuple[int, int]:
+    """(bits of a key, number of keys) of a long fingerprint for a table of so many rows.
 
-def long_prints_of(sets: list[np.ndarray]) -> np.ndarray:
-    """Fingerprints of WORDS * 64 bits, one row a set of shingles: TABLES keys of KEY_BITS bits each, then the check."""
+    Keys grow with the table so that about four rows share one. Their number follows from the chance that a key
+    of a pair at the bound differs in at most one bit, so that all miss it with a chance of MISSED at every size.
+    """
+    bits = min(60, max(KEY_BITS, max(rows - 1, 1).bit_length() - 2))
+    p = most_bits(similarity, 1 << 20) / (1 << 20)
+    hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    return bits, math.ceil(math.log(MISSED) / math.log1p(-hit))
+
+
+def long_prints_of(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """Fingerprints of words * 64 bits, one row a set of shingles."""
     h, firsts = np.concatenate([np.empty(0, np.uint64), *sets]), np.r_[0, np.cumsum([len(s) for s in sets], dtype=np.int64)]
-    return np.stack([majority_bits(mix(h, seed), firsts) for seed in range(WORDS)], 1)
+    return np.stack([majority_bits(mix(h, seed), firsts) for seed in range(words)], 1)
 
 
 def set_digest(own: np.ndarray) -> bytes:
@@ -244,11 +280,14 @@ def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     return both * least.denominator >= least.numerator * (len(a) + len(b) - both)
 
 
-def keys_of(prints: np.ndarray, table: int) -> np.ndarray:
-    """The bits of a table as numbers."""
-    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), WORDS * 8), axis=1, bitorder="little")
-    own = bits[:, table * KEY_BITS : (table + 1) * KEY_BITS].astype(np.uint64)
-    return (own << np.arange(KEY_BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
+def keys_of(prints: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The keys of long fingerprints, one column a table."""
+    own = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), prints.shape[1] * 8), axis=1, bitorder="little")
+    own = own[:, : bits * tables].reshape(len(prints), tables, bits)
+    keys = np.zeros((len(prints), tables), np.uint64)
+    for k in range(bits):
+        keys |= own[:, :, k].astype(np.uint64) << np.uint64(k)
+    return keys
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -257,46 +296,90 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _proposed(keys: np.ndarray, checks: np.ndarray, n: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, differing check bits) of the pairs of one of the first n entries, the homes, and any other entry:
-    keys within one bit, checks within ``most``. All pairs of a home come together."""
-    d = distance(keys, keys[0])
-    by_d = np.argsort(d, kind="stable")
-    sorted_d, by_home = d[by_d], np.argsort(d[:n], kind="stable")
-    for value in np.unique(d[:n]).tolist():
-        own = by_home[np.searchsorted(d[:n][by_home], value) : np.searchsorted(d[:n][by_home], value, "right")]
-        near = by_d[np.searchsorted(sorted_d, value - 1) : np.searchsorted(sorted_d, value + 1, "right")]
-        step = max(1, _CELLS // len(near))
-        for k in range(0, len(own), step):
-            part = own[k : k + step]
-            i, j = np.nonzero(np.bitwise_count(keys[part][:, None] ^ keys[near][None, :]) <= 1)
-            i, j = part[i], near[j]
-            i, j = i[i != j], j[i != j]
-            bits = np.bitwise_count(checks[i] ^ checks[j]).sum(1, dtype=np.int64)
-            yield i[bits <= most], j[bits <= most], bits[bits <= most]
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``starts``, on end."""
+    return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum()) if len(starts) else np.arange(0)
+
 
+def _proposed(keys: np.ndarray, checks: np.ndarray, groups: np.ndarray, n: int, bits: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing check bits) of the pairs of one of the first n entries, the homes, and any entry of another
+    group: keys within one bit, checks within ``most``. All pairs of a home come together.
 
-def similar_links(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    Entries are sorted by key and group; a home looks up its key and every key one bit away, and passes over the
+    entries of its own group there.
+    """
+    _, groups, members = np.unique(groups, return_inverse=True, return_counts=True)
+    order = np.lexsort((groups, keys))
+    group = groups[order]
+    distinct, start, rank = np.unique(keys[order], return_index=True, return_inverse=True)
+    start, place = np.r_[start, len(order)], rank * np.int64(len(members)) + group
+    edges = [(np.arange(len(distinct)), np.arange(len(distinct)))]
+    for bit in range(bits):
+        wanted = distinct ^ np.uint64(1 << bit)
+        at = np.minimum(np.searchsorted(distinct, wanted), len(distinct) - 1)
+        found = np.flatnonzero(distinct[at] == wanted)
+        edges.append((found, at[found]))
+    own, other = (np.concatenate(x) for x in zip(*edges))
+    by_key = np.argsort(own, kind="stable")
+    own, other = own[by_key], other[by_key]
+    first_edge = np.searchsorted(own, np.arange(len(distinct) + 1))
+    load = np.add.reduceat(start[other + 1] - start[other], first_edge[:-1])
+    homes = np.flatnonzero(order < n)
+    upto = np.cumsum(load[rank[homes]])
+    k = 0
+    while k < len(homes):
+        end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + _CELLS, "right")))
+        part, k = homes[k:end], end
+        n_edges = first_edge[rank[part] + 1] - first_edge[rank[part]]
+        home, key = np.repeat(part, n_edges), other[_ranges(first_edge[rank[part]], n_edges)]
+        low, high = start[key], start[key + 1]
+        mine = key * np.int64(len(members)) + group[home]
+        low_own, high_own = low.copy(), low.copy()
+        shared = members[group[home]] > 1
+        low_own[shared], high_own[shared] = np.searchsorted(place, mine[shared]), np.searchsorted(place, mine[shared], "right")
+        home, low, high = np.r_[home, home], np.r_[low, high_own], np.r_[low_own, high]
+        i, j = order[np.repeat(home, high - low)], order[_ranges(low, high - low)]
+        i, j = i[i != j], j[i != j]
+        differ = np.bitwise_count(checks[i] ^ checks[j]).sum(1, dtype=np.int64)
+        yield i[differ <= most], j[differ <= most], differ[differ <= most]
+
+
+def _dense(keys: np.ndarray, checks: np.ndarray, n: int, most: int) -> np.ndarray:
+    """Groups of entries that lie about one home: where more than DENSE entries share a key, the first home among
+    them takes all entries within half of ``most`` check bits, any two of which lie within ``most``."""
+    groups = np.arange(len(keys))
+    distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
+    for key in distinct[(count > DENSE) & (first < n)]:
+        free = groups == np.arange(len(keys))
+        pivots = np.flatnonzero(free[:n] & (keys[:n] == key))
+        if len(pivots):
+            free = np.flatnonzero(free)
+            near = free[np.bitwise_count(checks[free] ^ checks[pivots[0]]).sum(1, dtype=np.int64) <= most // 2]
+            groups[near] = pivots[0]
+    return groups
+
+
+def similar_links(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, home: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of links of a leaf: keys within one bit, checks within ``most``."""
     order = np.lexsort((ids, ~home))
     keys, checks, ids, n = keys[order], checks[order], ids[order], int(home.sum())
-    labels = np.arange(len(keys))
-    for i, j, _ in _proposed(keys, checks, n, most):
+    labels, groups = np.arange(len(keys)), _dense(keys, checks, n, most)
+    taken = np.flatnonzero(groups != labels)
+    _union(labels, taken, groups[taken])
+    for i, j, _ in _proposed(keys, checks, groups, n, bits, most):
         _union(labels, i, j)
     linked = np.flatnonzero(labels != np.arange(len(keys)))
     return ids[linked], ids[labels[linked]]
 
 
-def links_between_parts(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, parts: np.ndarray, home: np.ndarray, most: int, per: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def links_between_parts(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, parts: np.ndarray, home: np.ndarray, bits: int, most: int, per: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """The proposed pairs of a leaf whose parts differ, of every home the ``per`` nearest by their checks, and
     whether some were left for later."""
     order = np.lexsort((ids, ~home))
     keys, checks, ids, parts, n = keys[order], checks[order], ids[order], parts[order], int(home.sum())
     found, more = [(ids[:0], ids[:0])], False
-    for i, j, bits in _proposed(keys, checks, n, most):
-        apart = parts[i] != parts[j]
-        i, j, bits = i[apart], j[apart], bits[apart]
-        order = np.lexsort((ids[j], bits, i))
+    for i, j, differ in _proposed(keys, checks, parts, n, bits, most):
+        order = np.lexsort((ids[j], differ, i))
         i, j = i[order], j[order]
         nth = np.arange(len(i)) - np.searchsorted(i, i)
         more = more or bool((nth >= per).any())
@@ -326,30 +409,33 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts of equal sets of shingles are one class, by a 128-bit digest of the set. Fingerprints only propose
     pairs of classes. At such similarities they differ in too many bits for a vantage-point tree to prune, so a
-    class has a long fingerprint of its distinct shingles, of which TABLES keys of KEY_BITS bits are looked up
-    within one bit, each in a tree of its own; the last CHECK bits drop pairs that are far below the bound. By
-    calculation a pair at 0.8 is proposed with a probability of 0.996 or more (sets of 6 shingles or more; sets
-    of 5 meet their subsets of 4 by digest, always). A lower ``similarity`` lowers that.
+    class has a long fingerprint of its distinct shingles: keys (see ``key_plan``) that are looked up within one
+    bit, each in a tree of its own, and CHECK bits that drop pairs far below the bound. By calculation a pair at
+    0.8 is proposed with a probability of 0.996 or more (sets of 6 shingles or more; sets of 5 meet their subsets
+    of 4 by digest, always). A lower ``similarity`` takes more keys.
 
     Every link is confirmed on the sorted hashes of both sets. First each leaf proposes spanning links. Groups
     that these confirm whole are settled; in the others all pairs between parts that are not yet linked are
     proposed, of every class the nearest first and eight times as many a round, until none is left. So a large
-    group of near copies makes few pairs, and no link hangs on a pair that was turned down. Rows without an id
-    are left out. Null and empty texts are one class. An empty table gives none.
+    group of near copies makes few pairs, and no link hangs on a pair that was turned down.
+
+    Rows without an id are left out. Null texts count as empty, and texts without words are one class. Repeated
+    rows each give their row. Other columns are not read. An empty table gives none.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     most = most_bits(similarity, CHECK) + SLACK
+    text = F.col(text_col).cast("string")
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), _text_sha256(text).alias("text_sha256"))
+    bits, tables = key_plan(docs.count(), similarity)
+    words = -(-(bits * tables + CHECK) // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), shingle)
-            prints = pa.array([p.tobytes() for p in long_prints_of(sets)], pa.binary())
+            prints = pa.array([p.tobytes() for p in long_prints_of(sets, words)], pa.binary())
             less = pa.array([[set_digest(np.delete(s, k)) for k in range(5)] if len(s) == 5 else [] for s in sets], pa.list_(pa.binary()))
             yield pa.record_batch({"id": batch.column("id"), "text_sha256": batch.column("text_sha256"), "digest": pa.array([set_digest(s) for s in sets], pa.binary()), "fp": prints, "less": less})
 
-    text = F.col(text_col).cast("string")
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), _text_sha256(text).alias("text_sha256"))
     prints = materialise(rows.mapInArrow(run, "id long, text_sha256 binary, digest binary, fp binary, less array<binary>"), "prints")
     of_class = F.struct("id", "text_sha256")
     classes = prints.groupBy("digest").agg(F.min("id").alias("least"), F.min(of_class).alias("row"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("less").alias("less"))
@@ -357,44 +443,46 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = classes.count()
     if not total:
         return prints.select("id", "text_sha256", F.col("id").alias("component_id"))
-    leaves = -(-total // (2 * LEAF))
-    picked = classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE // 4).select("fp").toPandas()["fp"]
-    sample = np.frombuffer(b"".join(picked), np.uint64).reshape(-1, WORDS)
-    trees = spark.sparkContext.broadcast([fit_tree(keys_of(sample, t), leaves) for t in range(TABLES)])
+    picked = classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"]
+    sample = keys_of(np.frombuffer(b"".join(picked), np.uint64).reshape(-1, words), bits, tables)
+    trees = spark.sparkContext.broadcast([fit_tree(sample[:, t], -(-total // LONG_LEAF)) for t in range(tables)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
-            ids, parts, checks = np.asarray(batch.column("node")), np.asarray(batch.column("part")), prints[:, -CHECK // 64 :].view(np.int64)
+        for batch in slices(batches, "fp"):
+            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, words)
+            every, checks = keys_of(prints, bits, tables), prints[:, -CHECK // 64 :].view(np.int64)
             for t, tree in enumerate(trees.value):
-                keys = keys_of(prints, t)
-                for leaf, homes, visitors in tree.route(keys, 1):
+                for leaf, homes, visitors in tree.route(every[:, t], 1):
                     at = np.r_[homes, visitors]
-                    yield pa.record_batch({"leaf": np.full(len(at), t << 20 | leaf, np.int32), "key": keys[at].astype(np.int32), "id": ids[at], "part": parts[at], "home": np.arange(len(at)) < len(homes), "c0": checks[at, 0], "c1": checks[at, 1]})
+                    some = batch.select([c for c in batch.schema.names if c != "fp"]).take(pa.array(at))
+                    yield pa.record_batch({"leaf": np.full(len(at), t << 32 | leaf, np.int64), "key": every[at, t].astype(np.int64), **dict(zip(some.schema.names, some.columns)), "home": np.arange(len(at)) < len(homes), "c0": checks[at, 0], "c1": checks[at, 1]})
+
+    def arrays(table: pa.Table, *names: str) -> list[np.ndarray]:
+        return [table.column(c).to_numpy() for c in names]
 
-    def searched(nodes: DataFrame, per: int) -> DataFrame:
-        """(a, b, more) for nodes (fp, node, part): spanning links at 0, else of every home at most ``per`` links between parts."""
+    def spanning(table: pa.Table) -> pa.Table:
+        key, node, home, c0, c1 = arrays(table, "key", "node", "home", "c0", "c1")
+        a, b = similar_links(key.astype(np.uint64), np.stack([c0, c1], 1).view(np.uint64), node, home, bits, most)
+        return pa.table({"a": a, "b": b})
+
+    def between(nodes: DataFrame, per: int) -> DataFrame:
+        """(a, b, more) for nodes (fp, node, part): of every home at most ``per`` links between parts."""
 
         def search(table: pa.Table) -> pa.Table:
-            key, id_, part, home, c0, c1 = (table.column(c).to_numpy() for c in ("key", "id", "part", "home", "c0", "c1"))
-            key, checks, more = key.astype(np.uint64), np.stack([c0, c1], 1).view(np.uint64), False
-            if not home.any():
-                a = b = id_[:0]
-            elif per:
-                a, b, more = links_between_parts(key, checks, id_, part, home, most, per)
-            else:
-                a, b = similar_links(key, checks, id_, home, most)
+            key, node, part, home, c0, c1 = arrays(table, "key", "node", "part", "home", "c0", "c1")
+            a, b, more = links_between_parts(key.astype(np.uint64), np.stack([c0, c1], 1).view(np.uint64), node, part, home, bits, most, per)
             return pa.table({"a": a, "b": b, "more": np.full(len(a), more)})
 
-        return nodes.mapInArrow(deal, "leaf int, key int, id long, part long, home boolean, c0 long, c1 long").groupBy("leaf").applyInArrow(search, "a long, b long, more boolean")
+        return nodes.mapInArrow(deal, "leaf long, key long, node long, part long, home boolean, c0 long, c1 long").groupBy("leaf").applyInArrow(search, "a long, b long, more boolean")
 
     subsets = classes.select(F.explode("less").alias("digest"), F.col("node").alias("_of")).join(classes.select("digest", "node"), "digest")
-    links = searched(classes.select("fp", "node", F.col("node").alias("part")), 0).select("a", "b").union(subsets.select(F.col("_of").alias("a"), F.col("node").alias("b")))
+    dealt = classes.select("fp", "node").mapInArrow(deal, "leaf long, key long, node long, home boolean, c0 long, c1 long")
+    links = dealt.groupBy("leaf").applyInArrow(spanning, "a long, b long").union(subsets.select(F.col("_of").alias("a"), F.col("node").alias("b")))
     links = materialise(links.filter("a <> b").distinct(), "links")
     loose = materialise(components(links).withColumnRenamed("root", "loose"), "loose")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.record_batch({"node": batch.column("node"), "hashes": pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), shingle)], pa.binary())})
 
     wanted = loose.join(classes.select("node", "row"), "node").select("node", F.col("row.id").alias("id"), F.col("row.text_sha256").alias("text_sha256"))
@@ -403,13 +491,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     tested, per = _confirmed(links, sets, similarity), 16
     while True:
-        parts = components(tested.filter("ok")).withColumnRenamed("root", "part")
+        parts = materialise(components(tested.filter("ok")).withColumnRenamed("root", "part"), "parts")
         members = loose.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
         unsettled = members.groupBy("loose").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.count("*").alias("_n")).filter("_low < _high AND _n > 2")
-        unsettled = materialise(members.join(unsettled, "loose").select("node", "part"), "unsettled")
+        unsettled = materialise(attach(members, unsettled, ["loose"], "node").filter("_n IS NOT NULL").select("node", "part"), "unsettled")
         if unsettled.isEmpty():
             break
-        found = materialise(searched(classes.select("fp", "node").join(unsettled, "node").select("fp", "node", "part"), per), "proposed")
+        found = materialise(between(classes.select("fp", "node").join(unsettled, "node").select("fp", "node", "part"), per), "proposed")
         new = materialise(found.select("a", "b").distinct().join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "links")
         more = not found.filter("more").isEmpty()
         if not new.isEmpty():
@@ -421,7 +509,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     nodes = classes.select("digest", "node", "least", "n").join(parts, "node", "left")
     roots = nodes.filter("part IS NOT NULL").groupBy("part").agg(F.min("least").alias("_least"))
-    facts = nodes.join(roots, "part", "left").filter("n > 1 OR part IS NOT NULL").select("digest", F.coalesce("_least", "least").alias("component_id"))
+    nodes = attach(nodes, roots, ["part"], "node")
+    facts = nodes.filter("n > 1 OR part IS NOT NULL").select("digest", F.coalesce("_least", "least").alias("component_id"))
     return attach(prints.select("id", "text_sha256", "digest"), facts, ["digest"], "id").select("id", "text_sha256", F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -433,7 +522,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs in their own columns with one row of each group of ``similar_groups``: the one with the smallest id.
 
     Rows are named by id and text digest, so another text under a removed row's id stays. Rows that repeat the
-    smallest id all stay; rows with a null id stay. Texts without words are one group.
+    smallest id all stay; rows with a null id stay. Texts without words are one group. An empty table gives none.
     """
     gone = similar_groups(docs, id_col, text_col, shingle, similarity).filter("component_id <> id").select(F.col("id").alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
     return docs.join(gone, (docs[id_col] == gone["_gone"]) & (_text_sha256(docs[text_col].cast("string")) == gone["_gone_text"]), "left_anti")

@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import materialise, new_path, small_batches
+from murmur.llm._shared import materialise, new_path, slices
 from murmur.llm.exact_dedup import dedup_groups
 from murmur.llm.sharding import KEY_BITS, part_of, splitters
 
@@ -113,7 +113,6 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Line breaks in URLs become spaces; a null URL is empty. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("key", _key())
     narrow = materialise(rows.select("id", "url", "key", F.octet_length("payload").cast("long").alias("n_bytes")), "pages")
@@ -132,7 +131,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, done, fact = _Roller(folder, roll_bytes), [], {"id": None}
-        for batch in batches:
+        for batch in slices(batches, "payload"):
             for row in batch.to_pylist():
                 if row["kind"] == 0:
                     fact = row
