@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import materialise, salt_of
+from murmur.llm._shared import materialise
 
-#: Keys are 62-bit; a round of probes cuts each bracket into 2**PROBE_BITS cells.
-KEY_BITS, PROBE_BITS = 62, 8
+#: Keys are 62-bit. A round of probes cuts each bracket into 2**PROBE_BITS cells, or fewer where there are many
+#: brackets: of CELLS cells at most, or two a bracket, the driver sees the sizes.
+KEY_BITS, PROBE_BITS, CELLS = 62, 8, 1 << 16
 
 
 def text_key(text) -> F.Column:
@@ -20,30 +21,25 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.002) -> list[int
     """parts - 1 ascending keys that cut rows (key, size) into ranges of nearly equal size.
 
     Each round counts the exact size in every cell of every open bracket with one map-side combined
-    aggregation of at most (parts - 1) * 2**PROBE_BITS groups, then narrows each bracket to the cell that holds
-    its target. A splitter is settled when the size below it is within ``tolerance`` of a part, or when its
-    bracket is one key wide: then a single key outweighs the tolerance and the nearer side of it is taken.
+    aggregation, then narrows each bracket to the cell that holds its target. All open brackets of a round have one
+    width, so the bits above it say which bracket a key is in. A splitter is settled when the size below it is
+    within ``tolerance`` of a part, or when its bracket is one key wide: then a single key outweighs the tolerance
+    and the nearer side of it is taken. No rows give ends of the key space.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     targets = [total * k / parts for k in range(1, parts)]
     found: list[int | None] = [None] * len(targets)
-    brackets = {(0, KEY_BITS): 0}  # (low key, width in bits): size below it
-    wanted = {k: (0, KEY_BITS) for k in range(len(targets))}
+    brackets = {0: 0}  # the bits above the bracket's width: the size below it
+    wanted, width = dict.fromkeys(range(len(targets)), 0), KEY_BITS
     while wanted and total:
-        cells = F.lit(None).cast("long")
-        for low, bits in brackets:
-            step = max(0, bits - PROBE_BITS)
-            inside = (F.col("key") >= low) & (F.col("key") < low + (1 << bits)) if bits < KEY_BITS else F.lit(True)
-            cells = F.when(inside, F.shiftright(F.col("key"), step)).otherwise(cells)
-        sizes: dict[int, int] = {}
-        step_of = {b: max(0, b[1] - PROBE_BITS) for b in brackets}
-        for row in rows.select(cells.alias("cell"), "size").filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("size").alias("size")).collect():
-            sizes[row["cell"]] = row["size"]
-        narrowed: dict[tuple[int, int], int] = {}
+        probe = min(width, PROBE_BITS, max(1, (CELLS // len(brackets)).bit_length() - 1))
+        step = width - probe
+        inside = rows if width == KEY_BITS else rows.filter(F.shiftright("key", width).isin(list(brackets)))
+        sizes = {r["cell"]: r["size"] for r in inside.groupBy(F.shiftright("key", step).alias("cell")).agg(F.sum("size").alias("size")).collect()}
+        narrowed: dict[int, int] = {}
         for k, bracket in list(wanted.items()):
-            (low, bits), step = bracket, step_of[bracket]
             below = brackets[bracket]
-            for cell in range(low >> step, (low + (1 << bits)) >> step):
+            for cell in range(bracket << probe, (bracket + 1) << probe):
                 above = below + sizes.get(cell, 0)
                 if above >= targets[k]:
                     near = min((below, cell << step), (above, (cell + 1) << step), key=lambda x: abs(x[0] - targets[k]))
@@ -51,11 +47,11 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = 0.002) -> list[int
                         found[k] = near[1]
                         del wanted[k]
                     else:
-                        narrowed[cell << step, step] = below
-                        wanted[k] = (cell << step, step)
+                        narrowed[cell] = below
+                        wanted[k] = cell
                     break
                 below = above
-        brackets = narrowed
+        brackets, width = narrowed, step
     return sorted(x for x in (1 << KEY_BITS if f is None else f for f in found))
 
 
@@ -80,26 +76,27 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     the number of rows in the parts before it. So neither a shard nor a text with a third of all rows is one
     task. A text that outweighs a shard makes its shard larger, since its copies stay together.
 
-    Null texts form one group, equal to the empty text. Repeated rows and equal ids get slots in any order. An
-    empty table gives none. Columns of docs named size, shard or slot are replaced.
+    Null texts form one group, equal to the empty text. Repeated rows and equal ids get slots in any order. Null ids
+    are spread by their texts, and copies of one text without an id lie in one part. An empty table gives none. Columns
+    of docs named size, shard or slot are replaced; any other names may clash.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "_key": text_key(text)})
-    narrow = materialise(keyed.select(F.col(id_col), "_key", "size"), "keys")
-    cuts = splitters(narrow.withColumnRenamed("_key", "key"), shards, tolerance)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "shard", "slot")]
+    keyed = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), text_key(text).alias("key"))
+    narrow = materialise(keyed.select("id", "key", "size"), "keys")
+    cuts = splitters(narrow, shards, tolerance)
     parts = max(1, -(-narrow.count() // (shards * rows_a_task)))
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.withColumns({"shard": part_of(F.col("_key"), cuts), "_part": salt_of(id_col, parts)})
-
-    whole = placed(keyed)
-    counts = placed(narrow).groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(F.col(id_col)))
-    out = whole.withColumn("_nth", nth).join(starts, ["shard", "_part"])
-    out = out.withColumn("slot", (F.col("_start") + F.col("_nth") - 1).cast("long"))
-    return out.select(*(c for c in docs.columns if c not in ("size", "shard", "slot")), "size", "shard", "slot")
+        salt = F.when(F.col("id").isNull(), F.col("key")).otherwise(F.xxhash64("id"))
+        return df.withColumns({"shard": part_of(F.col("key"), cuts), "part": F.pmod(salt, F.lit(parts)).cast("int")})
+
+    counts = placed(narrow).groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id"))
+    out = placed(keyed).withColumn("nth", nth).join(starts, ["shard", "part"])
+    return out.select("row.*", "size", "shard", (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"))
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
