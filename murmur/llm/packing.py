@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import small_batches
+from murmur.llm._shared import slices
 from murmur.llm._tokens import Encoder, default_path, pre_tokens
 from murmur.llm._words import utf8, words_of
 
 #: Pieces that are packed with one another at most, about; fixes the rows of a group, not their number.
-GROUP = 20_000
+GROUP = 4_096
 
 
 class OpenWindows:
@@ -71,12 +71,11 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A document is its token ids and ``end_id``, so an empty or null text is one id. It is cut into full windows
     of ``capacity`` ids and one rest.
     """
-    small_batches(docs.sparkSession)
     path = vocabulary or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
             starts, ends, first = pre_tokens(data, words_of(data, offsets))
             ids, upto = encoder.ids(data, starts, ends, first)
@@ -103,12 +102,12 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, vocabulary: str | None = None, with_ids: bool = True, group: int = GROUP) -> DataFrame:
     """The pieces of ``cut_documents`` with sequence_id and offset: every sequence holds at most ``capacity`` ids.
 
-    Pieces are dealt by a hash of id and start into groups of about ``group`` pieces or fewer (a text has no more
-    ids than bytes), and each group is packed by best-fit decreasing. So no task grows with the table or with a
-    long document. A group's padding is that of its few last windows.
+    Pieces are dealt by a hash of id, start and checksum into groups of about ``group`` pieces or fewer (a text has
+    no more ids than bytes), and each group is packed by best-fit decreasing. So no task grows with the table or
+    with a long document. A group's padding is that of its few last windows.
     sequence_id is the group's number times 2**32 plus the window's number in it. Equal lengths are packed in the
-    order of id, start and checksum. Rows that repeat an id are packed as documents of their own; null ids form
-    one group's rows. Other columns are not read. An empty table gives none.
+    order of id, start and checksum. Rows that repeat an id and rows with a null id are packed as documents of their
+    own; null and empty texts are one id each. Other columns are not read. An empty table gives none.
     """
     pieces = cut_documents(docs, id_col, text_col, capacity, end_id, vocabulary, with_ids)
     most = docs.agg((F.count("*") + F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)) / capacity).cast("long").alias("n")).first()["n"]
@@ -122,7 +121,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         return table.drop_columns(["_group"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.withColumn("_group", F.pmod(F.xxhash64(id_col, "start"), F.lit(groups)).cast("int")).groupBy("_group").applyInArrow(run, f"{kept}, sequence_id long, offset long")
+    return pieces.withColumn("_group", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(groups)).cast("int")).groupBy("_group").applyInArrow(run, f"{kept}, sequence_id long, offset long")
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
