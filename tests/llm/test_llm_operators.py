@@ -398,10 +398,76 @@ def test_a_large_group_of_near_copies_gives_few_links():
     r = np.random.default_rng(15)
     n = 3000
     checks = np.full((n, 2), 7, np.uint64) ^ (np.uint64(1) << r.integers(0, 64, (n, 2), dtype=np.uint64))
-    a, b = simhash.similar_links(np.full(n, 5, np.uint64), checks, np.arange(n), np.ones(n, bool), 20)
+    a, b = simhash.similar_links(np.full(n, 5, np.uint64), checks, np.arange(n), np.ones(n, bool), 18, 20)
     assert len(a) == n - 1 and set(b.tolist()) == {0}
 
 
+@pytest.mark.parametrize("n_groups", [1, 7, 400])
+def test_proposed_pairs_by_brute_force(n_groups):
+    r = np.random.default_rng(n_groups)
+    n, bits, most = 400, 9, 6
+    keys = np.r_[r.integers(0, 1 << bits, n - 120), np.full(120, 77)].astype(np.uint64)
+    checks = r.integers(0, 1 << 4, (n, 2)).astype(np.uint64)
+    groups = r.permutation(n) % n_groups if n_groups < n else np.arange(n)
+    got = [(int(i), int(j)) for a, b, _ in simhash._proposed(keys, checks, groups, 300, bits, most) for i, j in zip(a, b)]
+    expected = {(i, j) for i in range(300) for j in range(n) if groups[i] != groups[j] and (int(keys[i]) ^ int(keys[j])).bit_count() <= 1 and sum((int(x) ^ int(y)).bit_count() for x, y in zip(checks[i], checks[j])) <= most}
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_keys_grow_with_the_table_and_miss_as_few():
+    plans = [simhash.key_plan(n, 0.8) for n in (0, 1000, 1 << 20, 1 << 24, 1 << 36)]
+    assert plans[0] == plans[1] and [b for b, _ in plans[1:]] == [18, 18, 22, 34]
+    p = simhash.most_bits(0.8, 1 << 20) / (1 << 20)
+    assert all((1 - (1 - p) ** b - b * p * (1 - p) ** (b - 1)) ** t <= simhash.MISSED for b, t in plans)
+
+
+def test_links_of_a_leaf_that_is_dealt_again(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 32)
+    r = np.random.default_rng(16)
+    base = r.integers(0, 2**64, 500, dtype=np.uint64)
+    near = base[:200] ^ (np.uint64(1) << r.integers(0, 64, 200, dtype=np.uint64))
+    every = np.unique(np.r_[base, near])
+    a, b = simhash.leaf_links(every[:600], every[600:], 2)
+    label = {x: x for x in every.tolist()}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert (x ^ y).bit_count() <= 2 or find(x) == find(y) or label.update({max(find(x), find(y)): min(find(x), find(y))}) is None
+        label[max(find(x), find(y))] = min(find(x), find(y))
+    got = [find(x) for x in every.tolist()]
+    expected = classes(every.tolist(), every.tolist(), 2)
+    visitors = set(every[600:].tolist())
+    for x, g, e in zip(every.tolist(), got, expected):
+        assert g == e or x in visitors or e in visitors
+
+
+def test_many_splitters(spark):
+    r = rng(31)
+    keys = [r.randrange(1 << sharding.KEY_BITS) >> r.choice([0, 0, 30]) for _ in range(40_000)]
+    rows = spark.createDataFrame([(k, 1) for k in keys], "key long, size long")
+    cuts = sharding.splitters(rows, 3000, tolerance=0.05)
+    sizes = np.diff([0, *np.searchsorted(np.sort(keys), cuts).tolist(), len(keys)])
+    assert len(cuts) == 2999 and sizes.max() <= 16 and sizes.sum() == len(keys)
+
+
+def test_hot_rows_keep_their_columns_whatever_their_names(spark):
+    rows = spark.createDataFrame([(1, "a", 5, 6, 7, 8, 9), (2, "b", 1, 2, 3, 4, 5), (2, "b", 1, 2, 3, 4, 5)], "doc_id long, text string, _key int, _part int, _nth int, row int, start int")
+    out = sharding.shard(rows, 2)
+    assert out.columns == [*rows.columns, "size", "shard", "slot"] and sorted(x["_key"] for x in out.collect()) == [1, 1, 5]
+    out = exact_dedup.exact_dedup(rows)
+    assert out.columns == rows.columns and sorted((x["_nth"], x["row"]) for x in out.collect()) == [(3, 4), (7, 8)]
+
+
+def test_components_of_nothing_and_of_a_hub(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    edges = spark.range(1, 20_000).selectExpr("id AS a", "0L AS b")
+    assert components(edges).selectExpr("count(*)", "max(root)").first() == (20_000, 0)
+
+
 def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1200)] + [(5, 5)]
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
