@@ -8,15 +8,23 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.sources.scratch import discard, materialise, new_path, qualified
 
-__all__ = ["attach", "components", "discard", "materialise", "new_path", "qualified", "salt_of", "slices", "spans"]
+__all__ = ["attach", "components", "discard", "materialise", "new_path", "qualified", "salt_of", "slices", "small_batches", "spans"]
 
-#: Bytes of text that a task looks at together; one longer text is looked at alone.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that a task takes in and looks at together; one longer text is taken alone.
+SLICE_BYTES = 1 << 19
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark send Arrow batches of SLICE_BYTES at most. The setting is read when a plan runs, so it stays in the
+    session; it bounds memory alone and changes no result."""
+    if int(spark.conf.get(_BATCH_BYTES).removesuffix("b")) > SLICE_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(SLICE_BYTES))
 
 
 def spans(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import slices
+from murmur.llm._shared import slices, small_batches
 from murmur.llm._tokens import Encoder, default_path, pre_tokens
 from murmur.llm._words import utf8, words_of
 
@@ -71,6 +71,7 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A document is its token ids and ``end_id``, so an empty or null text is one id. It is cut into full windows
     of ``capacity`` ids and one rest.
     """
+    small_batches(docs.sparkSession)
     path = vocabulary or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import attach, components, materialise, slices
+from murmur.llm._shared import attach, components, materialise, slices, small_batches
 from murmur.llm._words import mix, rolling, utf8, within, words_of
 
 #: Fingerprints that the partitioning tree is fitted on, and distinct fingerprints a leaf should hold.
@@ -81,6 +81,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row (id, fingerprint as signed long) per row of docs, repeated rows and null ids too. A text without words
     gets 0, and so do null texts. Other columns are not read. An empty table gives none."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.record_batch({"id": batch.column("id"), "fp": fingerprints_of(batch.column("text"), shingle).view(np.int64)})
@@ -423,6 +425,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows each give their row. Other columns are not read. An empty table gives none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     most = most_bits(similarity, CHECK) + SLACK
     text = F.col(text_col).cast("string")
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), _text_sha256(text).alias("text_sha256"))

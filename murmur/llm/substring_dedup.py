@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import materialise, slices
+from murmur.llm._shared import materialise, slices, small_batches
 from murmur.llm.exact_dedup import dedup_groups
 from murmur.llm._words import Words, mix, rolling, utf8, within, words_of
 
@@ -126,6 +126,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words and remove none. Repeated rows are judged alike. Other columns are not read. An empty table gives none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     block = (window + 1) // 2
     groups = dedup_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("id")).agg(F.bool_and(~F.col("kept")).alias("copy"))
     copies = materialise(groups.filter("copy AND id IS NOT NULL").select("id"), "copies")

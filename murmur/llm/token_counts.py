@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import slices
+from murmur.llm._shared import slices, small_batches
 from murmur.llm._tokens import Encoder, default_path, pre_tokens
 from murmur.llm._words import utf8, words_of
 
@@ -91,6 +91,7 @@ def count_tokens(docs: DataFrame, edits: str | None = None, id_col: str = "doc_i
     is 0 or the empty string. Null ids and repeated rows are counted like any. Other columns are not read. An
     empty table gives none.
     """
+    small_batches(docs.sparkSession)
     path = vocabulary or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
