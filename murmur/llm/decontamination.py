@@ -1,5 +1,7 @@
 """Benchmark passages in documents: q-gram lemma filtering in diagonal bands, verified by banded alignment."""
 
+from __future__ import annotations
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,19 +11,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import slices, spans
+from murmur.llm._shared import slices, small_batches, spans
 from murmur.llm._words import utf8
 
-#: Bytes of a q-gram; of a passage and the step between passages of one item; edits allowed per byte of a passage.
-Q, PASSAGE, STEP, EDIT_RATE = 8, 64, 16, 0.1
+#: Bytes of a q-gram, bytes of a passage, and edits allowed per byte of a passage.
+Q, PASSAGE, EDIT_RATE = 8, 64, 0.1
 #: Items of fewer normalised bytes, which allow no edits, match between word borders alone.
 WORD_BORDERS = 16
 #: Normalised bytes of benchmark text that one pass over the documents searches for; fixes what is broadcast at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 22
+#: Passages that begin in one part of an item, shared q-grams that are looked at together, and passages aligned at once.
+PART, PAIRS, ALIGNED = 4096, 1 << 20, 256
 _KEPT = np.zeros(256, bool)
 _KEPT[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_HASH_BITS = 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Diagonals count from here, so that none is negative.
+_ZERO = 1 << 16
 
 
 def normalise(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,121 +47,193 @@ def word_starts(column: pa.Array) -> np.ndarray:
 def qgrams(data: np.ndarray) -> np.ndarray:
     """Every Q consecutive bytes as a number."""
     n = max(0, len(data) - Q + 1)
-    return np.ndarray(n, "<u8", np.ascontiguousarray(data).tobytes() if n else b"", strides=(1,)) if n else np.empty(0, np.uint64)
-
-
-def aligned(passage: bytes, text: bytes, budget: int, band: tuple[int, int]) -> int | None:
-    """The fewest edits that turn passage into some substring of text, if at most ``budget``; the substring's
-    alignment stays on diagonals (text minus passage position) from band[0] to band[1]."""
-    low, high = band
-    over = budget + 1
-    row = {j: 0 for j in range(low, high + 1) if 0 <= j <= len(text)}  # diagonal: edits
-    for i, byte in enumerate(passage, 1):
-        now: dict[int, int] = {}
-        left = over
-        for d in range(low, high + 1):
-            j = i + d
-            if j < 0 or j > len(text):
-                left = over
-                continue
-            best = min(left + 1, row.get(d + 1, over) + 1)
-            if j > 0:
-                best = min(best, row.get(d, over) + (text[j - 1] != byte))
-            now[d] = left = min(best, over)
-        row = now
-        if not row or min(row.values()) > budget:
-            return None
-    return min(row.values())
+    return np.ndarray(n, "<u8", np.ascontiguousarray(data).tobytes(), strides=(1,)) if n else np.empty(0, np.uint64)
+
+
+def fewest_edits(passages: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Per row, the fewest edits that turn the passage into some substring of the region, by an alignment in a band:
+    the first byte of the passage may lie on any of the first ``width`` places of the region, where width is how
+    much longer a region is than a passage, and stays on those diagonals. -1 in a region is no byte."""
+    width = regions.shape[1] - passages.shape[1]
+    at = np.arange(width, dtype=np.int16)
+    row = np.zeros((len(passages), width), np.int16)
+    for i in range(passages.shape[1]):
+        now = row + (regions[:, i : i + width] != passages[:, i : i + 1])
+        np.minimum(now[:, :-1], row[:, 1:] + 1, out=now[:, :-1])  # a byte of the passage goes
+        row = np.minimum.accumulate(now - at, axis=1) + at  # bytes of the region go
+    return row.min(1)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``starts``, on end."""
+    return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum()) if len(starts) else np.arange(0)
 
 
 class Index:
-    """The q-grams of a block of benchmark items, by value, with the passages cut from them."""
+    """The q-grams of a block of benchmark items, by value, with the parts that they are in.
+
+    A part holds the passages that begin in PART places of an item; an item's equal parts are one. Items of fewer
+    than WORD_BORDERS bytes are kept aside by their first q-gram.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], edit_rate: float = EDIT_RATE):
+    def __init__(self, items: list[tuple[int | None, str]], edit_rate: float = EDIT_RATE):
         self.ids = [i for i, _ in items]
         data, offsets = normalise(pa.array([t for _, t in items], pa.string()))
         self.texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        self.short = np.array([len(t) < WORD_BORDERS for t in self.texts], bool)
-        self.passages: list[list[tuple[int, int, int, int]]] = []  # start, end, budget, least shared q-grams
-        grams, item, place = [], [], []
+        self.short: dict[int, list[int]] = {}
+        parts: dict[tuple[int, bytes], None] = {}
         for k, text in enumerate(self.texts):
-            n = len(text)
-            starts = [0] if n <= PASSAGE else [*range(0, n - PASSAGE, STEP), n - PASSAGE]
-            cut = []
-            for a in starts if n >= Q else []:
-                length = min(n, PASSAGE)
-                budget = min(int(length * edit_rate), (length - Q) // Q)
-                cut.append((a, a + length, budget, length - Q + 1 - Q * budget))
-            self.passages.append(cut)
-            own = qgrams(np.frombuffer(text, np.uint8))
-            grams.append(own)
-            item.append(np.full(len(own), k))
-            place.append(np.arange(len(own)))
-        grams = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+            if len(text) >= WORD_BORDERS:
+                for a in range(0, max(1, len(text) - PASSAGE + 1), PART):
+                    parts[k, text[a : a + PART + PASSAGE - 1]] = None
+            elif len(text) >= Q:
+                self.short.setdefault(int(qgrams(np.frombuffer(text, np.uint8))[0]), []).append(k)
+        self.item = np.array([k for k, _ in parts], np.int64)
+        self.parts = [np.frombuffer(text, np.uint8) for _, text in parts]
+        self.rules: list[tuple[int, int, int]] = []  # bytes of a passage, edits allowed, least shared q-grams
+        for text in self.parts:
+            length = min(len(text), PASSAGE)
+            budget = min(int(length * edit_rate), (length - Q) // Q)
+            self.rules.append((length, budget, length - Q + 1 - Q * budget))
+        own = [qgrams(x) for x in self.parts]
+        grams = np.concatenate([np.empty(0, np.uint64), *own])
+        part, place = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.arange(0), *(np.arange(len(x)) for x in own)])
         order = np.argsort(grams, kind="stable")
-        self.item, self.place = (np.concatenate(x)[order].astype(np.int64) if len(grams) else np.empty(0, np.int64) for x in (item, place))
-        self.grams, self.first = np.unique(grams[order], return_index=True)
-        self.first = np.r_[self.first, len(grams)]
-        self.filter = np.zeros(1 << _HASH_BITS, bool)
-        self.filter[self._cell(self.grams)] = True
-        self.least = min((t for cut in self.passages for *_, t in cut), default=1)
-        self.width = 1 << max((b for cut in self.passages for _, _, b, _ in cut), default=0).bit_length()  # over the budget
-
-    @staticmethod
-    def _cell(grams: np.ndarray) -> np.ndarray:
-        return ((grams * _FACTOR) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+        self.part, self.place = part[order].astype(np.int32), place[order].astype(np.int32)
+        self.grams, rank = np.unique(grams[order], return_inverse=True)
+        self.key = rank * np.int64(max(1, len(own))) + self.part
+        self.bits = max(20, min(24, (4 * len(self.grams)).bit_length()))
+        self.filter = np.zeros(1 << self.bits, bool)
+        self.filter[self._cell(np.r_[self.grams, np.array([*self.short], np.uint64)])] = True
+        self.least = min((least for *_, least in self.rules), default=1)
+        self.most = max((budget for _, budget, _ in self.rules), default=0)
+        self.width = 1 << self.most.bit_length()  # over the budget
+
+    def _cell(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * _FACTOR) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def matches(self, column: pa.Array) -> list[tuple[int, int, int]]:
-        """(text's number, item's number, edits of its best first passage found) for all texts of a batch."""
+        """(text's number, item's number, fewest edits of a passage of it) for all texts of a batch."""
         data, offsets = normalise(column)
         grams = qgrams(data)
         at = np.flatnonzero(self.filter[self._cell(grams)])
-        if not len(at) or not len(self.grams):
-            return []
-        found = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
-        same = self.grams[found] == grams[at]
-        at, found = at[same], found[same]
         text = np.searchsorted(offsets, at, "right") - 1
         inside = at + Q <= offsets[text + 1]
-        at, found, text = at[inside], found[inside], text[inside]
-        n = self.first[found + 1] - self.first[found]
-        post = np.repeat(self.first[found] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-        item, place, where, text = self.item[post], self.place[post], np.repeat(at, n), np.repeat(text, n)
-        diagonal = where - place + PASSAGE * 1024  # may be negative in the first text
-        band = diagonal // self.width
-        out: dict[tuple[int, int], int] = {}
-        if (few := self.short[item]).any():  # whole, without edits and between word borders
-            first = word_starts(column)
-            for k in np.flatnonzero(few & (place == 0)).tolist():
-                own, a, t = self.texts[item[k]], int(where[k]), int(text[k])
-                b, begin, end = a + len(own), int(offsets[t]), int(offsets[t + 1])
-                if b <= end and (a == begin or first[a]) and (b == end or first[b]) and data[a:b].tobytes() == own:
-                    out[t, int(item[k])] = 0
-            item, place, where, text, diagonal, band = (x[~few] for x in (item, place, where, text, diagonal, band))
-        # bands of two widths, each a width further: one of them holds any budget + 1 diagonals
-        both_key = np.r_[band, band - 1] * np.int64(len(self.ids)) + np.r_[item, item]
-        both_place, both_text = np.r_[place, place], np.r_[text, text]
-        order = np.lexsort((both_place, both_key, both_text))
-        k, p, t = both_key[order], both_place[order], both_text[order]
-        new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]) if len(k) else np.empty(0, np.int64)
-        ends = np.r_[new[1:], len(k)] if len(k) else new
-        for a, b in zip(new[ends - new >= self.least].tolist(), ends[ends - new >= self.least].tolist()):
-            number, low = int(k[a] % len(self.ids)), int(k[a] // len(self.ids)) * self.width - PASSAGE * 1024
-            pair = int(t[a]), number
-            if pair in out:
+        at, text = at[inside], text[inside]
+        found: dict[tuple[int, int], int] = {}
+        if self.short:
+            self._find_short(column, data, offsets, grams, at, text, found)
+        if len(at) and len(self.grams):
+            rank = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
+            same = self.grams[rank] == grams[at]
+            _Search(self, data, offsets, at[same], text[same], rank[same], found).run(0, int(same.sum()), 0, len(self.parts))
+        return [(t, i, e) for (t, i), e in sorted(found.items())]
+
+    def _find_short(self, column, data, offsets, grams, at, text, found) -> None:
+        """Items of few bytes: whole, without edits and between word borders."""
+        first, some = word_starts(column), np.isin(grams[at], np.array([*self.short], np.uint64))
+        for a, t in zip(at[some].tolist(), text[some].tolist()):
+            for k in self.short[int(grams[a])]:
+                own, begin, end = self.texts[k], int(offsets[t]), int(offsets[t + 1])
+                b = a + len(own)
+                if (t, k) not in found and b <= end and (a == begin or first[a]) and (b == end or first[b]) and data[a:b].tobytes() == own:
+                    found[t, k] = 0
+
+
+class _Search:
+    """Q-grams that a batch of texts shares with an index, from the first text's to the last's."""
+
+    def __init__(self, index: Index, data: np.ndarray, offsets: np.ndarray, at: np.ndarray, text: np.ndarray, rank: np.ndarray, found: dict):
+        self.index, self.data, self.offsets, self.at, self.text, self.rank, self.found = index, data, offsets, at, text, rank, found
+        self.reach = PASSAGE + 2 * index.most + Q
+        self.seen: dict[int, set] = {}
+
+    def run(self, a: int, b: int, low: int, high: int) -> None:
+        """Search shared q-grams a to b in parts low to high. Where these meet more than PAIRS times, they are looked at
+        text by text, then stretch by stretch, each as long as a passage reaches over, then by part; what a text
+        repeats is looked at once."""
+        index, n = self.index, len(self.index.parts)
+        if a >= b or low >= high:
+            return
+        one = self.text[a] == self.text[b - 1]
+        if one and all(self.found.get((int(self.text[a]), k)) == 0 for k in set(index.item[low:high].tolist())):
+            return
+        key = self.rank[a:b] * np.int64(n)
+        first, last = np.searchsorted(index.key, key + low), np.searchsorted(index.key, key + high)
+        if (last - first).sum() <= PAIRS:
+            return self.look(a, b, first, last - first)
+        if not one:
+            middle = a + int(np.searchsorted(self.text[a:b], self.text[(a + b) // 2]))
+            middle = middle if middle > a else a + int(np.searchsorted(self.text[a:b], self.text[a], "right"))
+            self.run(a, middle, low, high)
+            self.run(middle, b, low, high)
+        elif self.at[b - 1] - self.at[a] > 3 * self.reach:
+            middle = (self.at[a] + self.at[b - 1]) // 2
+            self.run(a, a + int(np.searchsorted(self.at[a:b], middle + self.reach)), low, high)
+            self.run(a + int(np.searchsorted(self.at[a:b], middle)), b, low, high)
+        elif not self.known(a, b, low, high):
+            if high - low == 1:
+                return self.look(a, b, first, last - first)
+            self.run(a, b, low, (low + high) // 2)
+            self.run(a, b, (low + high) // 2, high)
+
+    def known(self, a: int, b: int, low: int, high: int) -> bool:
+        """Whether the text has had the same bytes here, with all around that an alignment may reach."""
+        t, begin, end = int(self.text[a]), int(self.at[a]) - self.reach, int(self.at[b - 1]) + Q + self.reach
+        x, y = max(begin, int(self.offsets[t])), min(end, int(self.offsets[t + 1]))
+        key, seen = (low, high, x - begin, end - y, self.data[x:y].tobytes()), self.seen.setdefault(t, set())
+        return key in seen or seen.add(key) is not None
+
+    def look(self, a: int, b: int, first: np.ndarray, n: np.ndarray) -> None:
+        """Count shared q-grams in bands of diagonals of two widths, each a width further, one of which holds any
+        budget + 1 diagonals; align what reaches the count of a passage."""
+        index, width = self.index, self.index.width
+        post = _ranges(first, n)
+        if len(post) < index.least:
+            return
+        part, place, where, text = index.part[post].astype(np.int64), index.place[post], np.repeat(self.at[a:b], n), np.repeat(self.text[a:b], n)
+        band = (where - place + _ZERO) // width
+        span = int(band.max()) + 2
+        key = ((text - text[0]) * span + band) * np.int64(len(index.parts)) + part
+        key, place = np.r_[key, key - len(index.parts)], np.r_[place, place]
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[new[1:], len(key)]
+        for x, y in zip(new[ends - new >= index.least].tolist(), ends[ends - new >= index.least].tolist()):
+            rest, k = divmod(int(key[x]), len(index.parts))
+            t, band_ = divmod(rest, span)
+            t, item = t + int(text[0]), int(index.item[k])
+            if self.found.get((t, item)) == 0:
                 continue
-            places = np.unique(p[a:b])
-            for start, stop, budget, least in self.passages[number]:
-                if np.searchsorted(places, stop - Q + 1) - np.searchsorted(places, start) < least:
-                    continue
-                begin, end = int(offsets[pair[0]]), int(offsets[pair[0] + 1])
-                x = max(begin, start + low - budget)
-                y = min(end, stop + low + 2 * self.width + budget)
-                edits = aligned(self.texts[number][start:stop], data[x:y].tobytes(), budget, (start + low - x - budget, start + low - x + 2 * self.width + budget))
-                if edits is not None:
-                    out[pair] = edits
-                    break
-        return [(t, i, e) for (t, i), e in sorted(out.items())]
+            length, budget, least = index.rules[k]
+            places = np.unique(place[x:y])
+            starts = np.arange(max(0, int(places[0]) - length + Q), min(len(index.parts[k]) - length, int(places[-1])) + 1)
+            shared = np.searchsorted(places, starts + length - Q, "right") - np.searchsorted(places, starts)
+            if len(starts := starts[shared >= least]):
+                edits = self.edits(t, item, index.parts[k], starts, length, budget, band_ * width - _ZERO)
+                if edits <= budget:
+                    self.found[t, item] = min(edits, self.found.get((t, item), edits))
+
+    def edits(self, t: int, item: int, part: np.ndarray, starts: np.ndarray, length: int, budget: int, low: int) -> int:
+        """The fewest edits of the passages that begin at ``starts``, on diagonals from low on; equal passages and
+        regions are aligned once a text."""
+        begin, end, seen, best = int(self.offsets[t]), int(self.offsets[t + 1]), self.seen.setdefault(~t, set()), budget + 1
+        for k in range(0, len(starts), ALIGNED):
+            some = starts[k : k + ALIGNED, None]
+            at = some + low - budget + np.arange(length + 2 * (self.index.width + budget) + 1)
+            regions = np.where((at >= begin) & (at < end), self.data[np.clip(at, begin, end - 1)], -1).astype(np.int16)
+            passages = part[some + np.arange(length)].astype(np.int16)
+            new = []
+            for n, both in enumerate(np.concatenate([passages, regions], 1)):
+                if (key := (item, both.tobytes())) not in seen:
+                    seen.add(key)
+                    new.append(n)
+            if new:
+                best = min(best, int(fewest_edits(passages[new], regions[new]).min()))
+            if best == 0:
+                break
+        return best
 
 
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Index]:
@@ -175,20 +252,22 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row (id, item, edits) for every document and benchmark item such that a passage of the item occurs in
-    the document: PASSAGE bytes of it (all of it, if shorter) with at most EDIT_RATE edits a byte.
+    the document: any PASSAGE bytes of it (all of it, if shorter) with at most EDIT_RATE edits a byte. edits is the
+    fewest of any such passage.
 
-    Texts are compared in lower case without ASCII marks and white space. Passages of an item lie STEP bytes
-    apart, so any PASSAGE + STEP bytes of an item that a document repeats hold one whole. A passage of n bytes
-    within e edits shares n - Q + 1 - Q * e q-grams with the document on e + 1 neighbouring diagonals; bands
-    of diagonals overlap so that one holds them all, and only bands that reach the count are aligned.
+    Texts are compared in lower case without ASCII marks and white space. A passage of n bytes within e edits
+    shares n - Q + 1 - Q * e q-grams with the document on e + 1 neighbouring diagonals; bands of diagonals
+    overlap so that one holds them all, and only passages that reach the count in a band are aligned. Where
+    repetitive texts share too many q-grams to be held at once, stretches of them are looked at one by one.
 
     The benchmark is the query set, searched for in blocks of bounded size: each block's index goes to the tasks
     and all documents are read against it, whole. Items with a null id are searched for as any and give a null item.
     Items of Q to WORD_BORDERS - 1 normalised bytes allow no edits and must lie between word borders; shorter
-    ones match nothing, nor do null texts. Repeated rows and null ids of documents are matched like any. Other
-    columns are not read. An empty table on either side gives none.
+    ones match nothing, nor do null texts. Repeated items with one id and text count once. Repeated rows and null
+    ids of documents are matched like any. Other columns are not read. An empty table on either side gives none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item long, edits int"
     out = spark.createDataFrame([], schema)
@@ -217,8 +296,13 @@ def _clean(sent):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs, in their own columns, without rows that match any item; see ``benchmark_matches``."""
+    """docs, in their own columns, without rows that match any item; see ``benchmark_matches``.
+
+    Rows are judged by their text alone, so repeated rows and null ids are judged alike; null and empty texts stay.
+    An empty benchmark leaves docs as they are, empty docs stay empty.
+    """
     spark = docs.sparkSession
+    small_batches(spark)
     for index in _indexes(benchmark, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast(index)
 
