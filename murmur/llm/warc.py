@@ -13,18 +13,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import materialise, new_path, slices
+from murmur.llm._shared import attach, materialise, new_path, qualified, slices, small_batches
 from murmur.llm.exact_dedup import dedup_groups
-from murmur.llm.sharding import KEY_BITS, part_of, splitters
+from murmur.llm.sharding import KEY_BITS, splitters
 
 #: Compressed bytes after which a file is closed, payload bytes of a shard, and the date all records carry.
 ROLL_BYTES, SHARD_BYTES, DATE = 256 << 20, 64 << 20, "2024-01-01T00:00:00Z"
+#: Shards at most: beyond them shards grow and roll more files. Bounds what the driver sees of the cuts.
+MAX_SHARDS = 16_384
+#: Rows with a null id are spread by their payload and one of so many salts.
+SALTS = 16
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _READ = 1 << 20
-
-
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+#: Where files lie that aren't whole yet.
+_UNDER_WAY = "_under_way"
 
 
 def digest(payload: bytes) -> str:
@@ -68,7 +70,7 @@ class _Roller:
     """Files of one shard. A file has a name of its own until it is whole, then takes its final name."""
 
     def __init__(self, folder: str, roll_bytes: int):
-        self.fs, self.folder = _open(folder)
+        self.fs, self.folder = pafs.FileSystem.from_uri(folder)
         self.roll_bytes, self.shard, self.number, self.out = roll_bytes, None, 0, None
 
     def write(self, shard: int, member: bytes) -> Iterator[dict]:
@@ -77,7 +79,7 @@ class _Roller:
         if shard != self.shard:
             self.shard, self.number = shard, 0
         if self.out is None:
-            self.temporary = f"{self.folder}/_temporary-{uuid.uuid4().hex}"
+            self.temporary = f"{self.folder}/{_UNDER_WAY}/{uuid.uuid4().hex}"
             self.out, self.size, self.records, self.crc = self.fs.open_output_stream(self.temporary, compression=None), 0, 0, 0
         self.out.write(member)
         self.size, self.records, self.crc = self.size + len(member), self.records + 1, zlib.crc32(member, self.crc)
@@ -90,9 +92,22 @@ class _Roller:
         return {"name": name, "bytes": self.size, "records": self.records, "crc32": self.crc}
 
 
-def _key() -> F.Column:
-    """The id as a sort key for the splitters."""
-    return F.least(F.greatest(F.coalesce("id", F.lit(0)), F.lit(0)), F.lit((1 << KEY_BITS) - 1)).cast("long")
+def _key(id_: F.Column, payload_sha256: F.Column, salt: F.Column) -> F.Column:
+    """Sort keys in [0, 2**62): ids in their order, negative ones too; null ids by payload and salt."""
+    spread = F.shiftrightunsigned(F.xxhash64(payload_sha256, salt), 64 - KEY_BITS)
+    return F.when(id_.isNull(), spread).otherwise(F.shiftright(id_, 64 - KEY_BITS) + F.lit(1 << KEY_BITS - 1))
+
+
+def _shard(key: F.Column, cuts: list[int]) -> F.Column:
+    """How many of the ascending cuts are at or below key, by a binary search."""
+    if not cuts:
+        return F.lit(0)
+    array, steps = F.lit(cuts), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+
+    def further(at: F.Column, step: F.Column) -> F.Column:
+        return F.when(F.coalesce(F.get(array, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at)
+
+    return F.aggregate(F.lit(steps), F.lit(0), further)
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -102,43 +117,52 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     ``least_bytes``, that with the smallest id is a response and the others are revisits of it; smaller payloads
     are all responses. Equal payloads come from the digests' tree merge.
 
-    What a page revisits travels in a row of its own that is sorted before the page, so payloads move once.
-    Rows are sorted by id within shards, ranges of ids of about ``shard_bytes`` that exact byte counts cut; ids,
-    ranges and files are the same in every run. A shard's files are rolled by their compressed size. A file is
-    written under a name of its own and renamed when whole, so a lost task leaves no half file under a final
-    name and a second attempt writes the same bytes. The manifest, written last, is what makes files count.
-
-    Negative and null ids go to the first shard, null ids first; rows with a null id are responses. Rows that repeat an id and payload get records of
-    the same kind as that id's; a revisit never refers to its own id, so repeats of a response are responses.
-    Line breaks in URLs become spaces; a null URL is empty. An empty table gives an empty manifest.
+    What a page revisits travels in a row of its own that is sorted before the page and names the payload's
+    digest, so payloads move once. Rows are sorted by id within shards, ranges of ids of about ``shard_bytes``
+    that exact byte counts cut, MAX_SHARDS at most; ids, ranges and files are the same in every run. A shard's
+    files are rolled by their compressed size. A file is written under a name of its own and renamed when
+    whole, so a lost task leaves no half file under a final name and a second attempt writes the same bytes. The
+    manifest, written last, is what makes files count; then files that failed attempts left are deleted. A folder
+    without a scheme is on Spark's default file system, for the files as for the manifest.
+
+    Rows with a null id revisit like any, in shards chosen by their payload; of equal payloads of null ids alone all
+    are responses. Rows that repeat an id are judged each by its own payload; a revisit never refers to its own id, so
+    repeats of a response are responses. Line breaks in URLs become spaces; a null URL is empty. Other columns are
+    not read. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
+    small_batches(spark)
+    folder = qualified(spark, folder)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("key", _key())
+    rows = rows.withColumn("key", _key(F.col("id"), F.sha2("payload", 256), F.pmod(F.xxhash64("url"), F.lit(SALTS))))
     narrow = materialise(rows.select("id", "url", "key", F.octet_length("payload").cast("long").alias("n_bytes")), "pages")
     total = narrow.agg(F.sum("n_bytes")).first()[0] or 0
-    cuts = splitters(narrow.select("key", (F.col("n_bytes") + 1).alias("size")), max(1, -(-total // shard_bytes)))
-    groups = dedup_groups(rows, "id", "payload").filter("NOT kept").select("id", F.col("keep_id").alias("refers_to")).distinct()
-    urls = narrow.groupBy(F.col("id").alias("refers_to")).agg(F.min("url").alias("refers_to_url"))
-    revisits = groups.filter("id <> refers_to").groupBy("id").agg(F.min("refers_to").alias("refers_to")).join(urls, "refers_to")
-    columns = ["shard", "id", "kind", "url", "payload", "refers_to", "refers_to_url"]
-    pages_ = rows.withColumns({"kind": F.lit(1), "refers_to": F.lit(None).cast("long"), "refers_to_url": F.lit(None).cast("string")})
-    facts = revisits.withColumns({"key": _key(), "kind": F.lit(0), "url": F.lit(""), "payload": F.lit("")})
-    both = [df.withColumn("shard", part_of(F.col("key"), cuts)).select(*columns) for df in (pages_, facts)]
+    shards = min(MAX_SHARDS, max(1, -(-total // shard_bytes)))
+    cuts = splitters(narrow.select("key", (F.col("n_bytes") + 1).alias("size")), shards)
+    revisits = dedup_groups(rows, "id", "payload").filter("NOT kept AND keep_id IS NOT NULL").select("id", F.col("text_sha256").alias("sha256"), F.col("keep_id").alias("refers_to")).distinct()
+    urls = narrow.filter("id IS NOT NULL").groupBy(F.col("id").alias("refers_to")).agg(F.min("url").alias("refers_to_url"))
+    facts = attach(revisits, urls, ["refers_to"], "id")
+    salts = F.when(F.col("id").isNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    facts = facts.withColumn("salt", F.explode(salts)).withColumns({"key": _key(F.col("id"), F.col("sha256"), F.col("salt")), "kind": F.lit(0), "url": F.lit(""), "payload": F.lit("")})
+    columns = ["shard", "id", "kind", "url", "payload", "refers_to", "refers_to_url", "sha256"]
+    pages_ = rows.withColumns({"kind": F.lit(1), "refers_to": F.lit(None).cast("long"), "refers_to_url": F.lit(None).cast("string"), "sha256": F.lit(None).cast("string")})
+    both = [df.withColumn("shard", _shard(F.col("key"), cuts)).select(*columns) for df in (pages_, facts)]
     sent = both[0].union(both[1]).repartition(len(set(cuts)) + 1, "shard").sortWithinPartitions("shard", "id", "kind", "url", "payload")
-    fs, at = _open(folder)
-    fs.create_dir(at, recursive=True)
+    fs, at = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(f"{at}/{_UNDER_WAY}", recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, done, fact = _Roller(folder, roll_bytes), [], {"id": None}
+        roller, done, of, known = _Roller(folder, roll_bytes), [], None, {}
         for batch in slices(batches, "payload"):
             for row in batch.to_pylist():
+                if (row["shard"], row["id"]) != of:
+                    of, known = (row["shard"], row["id"]), {}
                 if row["kind"] == 0:
-                    fact = row
+                    known[row["sha256"]] = row
                     continue
                 payload = row["payload"].encode()
-                known = row["id"] is not None and row["id"] == fact["id"] and len(payload) >= least_bytes
-                done += roller.write(row["shard"], record(row["id"], row["url"], payload, fact["refers_to"] if known else None, fact["refers_to_url"] if known else ""))
+                fact = known.get(hashlib.sha256(payload).hexdigest()) if known and len(payload) >= least_bytes else None
+                done += roller.write(row["shard"], record(row["id"], row["url"], payload, fact and fact["refers_to"], fact["refers_to_url"] if fact else ""))
         if roller.out is not None:
             done.append(roller.close())
         schema = pa.schema({"name": pa.string(), "bytes": pa.int64(), "records": pa.int64(), "crc32": pa.int64()})
@@ -146,6 +170,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     schema = "name string, bytes long, records long, crc32 long"
     sent.mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
+    fs.delete_dir(f"{at}/{_UNDER_WAY}")
     return spark.read.schema(schema).parquet(f"{folder}/manifest")
 
 
@@ -175,13 +200,15 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every record in the files that the manifest of folder names.
 
     Columns: record_type, page_id, url, payload_bytes, payload_digest, refers_to, payload (null for revisits).
-    Files are dealt to the tasks; records are read one by one and their digests and files' sizes checked.
+    Files are dealt to the tasks; records are read one by one and their digests and files' sizes checked. A record
+    without a page id gives a null one; repeated records give their rows; an empty manifest gives none.
     """
+    folder = qualified(spark, folder)
     files = spark.read.schema("name string, bytes long, records long, crc32 long").parquet(f"{folder}/manifest")
-    files = files.repartition(max(1, min(files.count(), 4096)), "name")
+    files = files.repartition(max(1, min(files.count(), MAX_SHARDS)), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _open(folder)
+        fs, at = pafs.FileSystem.from_uri(folder)
         schema = pa.schema({"record_type": pa.string(), "page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.string()})
         for batch in batches:
             for file in batch.to_pylist():
