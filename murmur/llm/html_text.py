@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import materialise, slices
+from murmur.llm._shared import materialise, slices, small_batches
 from murmur.llm._words import rolling, utf8, within, words_of
 
 #: Tokens of a repeated run, and tokens of a host that one suffix array holds.
@@ -88,8 +89,11 @@ def _walk(html: str, probed: dict[int, int] | None) -> tuple[list[str], list[str
     other: list[str] = []
     held: list[str] = []
     stack: list[tuple[str, str | None, int]] = []
+    open_tags: Counter[str] = Counter()
+    blocks_at: list[int] = []  # where in the stack its elements lie that aren't inline
     enclosing: dict[int, int] | None = None
     skips = mains = at = 0
+    last = html.rfind(">") + 1  # no tag ends behind it
 
     def flush() -> None:
         if held:
@@ -97,47 +101,58 @@ def _walk(html: str, probed: dict[int, int] | None) -> tuple[list[str], list[str
                 (main if mains else other).append(text)
             held.clear()
 
-    def pop(n: int) -> None:
+    def pop_to(size: int) -> None:
+        """Close elements until so many are open."""
         nonlocal skips, mains
-        for _ in range(n):
+        while len(stack) > size:
             tag, kind, _ = stack[-1]
             if tag not in _INLINE:
                 flush()
+                blocks_at.pop()
             stack.pop()
+            open_tags[tag] -= 1
             skips -= kind == "skip"
             mains -= kind == "main"
 
+    def close(tag: str) -> None:
+        """Close the innermost element of that name and all within it, if one is open."""
+        if open_tags[tag]:
+            n = len(stack) - 1
+            while stack[n][0] != tag:
+                n -= 1
+            pop_to(n)
+
     while True:
-        found = _TAG.search(html, at)
-        if not skips and (text := html[at : found.start() if found else len(html)]):
+        found = _TAG.search(html, at, last) if at < last else None
+        text = html[at : found.start() if found else len(html)]
+        if not found and (hidden := text.find("<!--")) >= 0:
+            text = text[:hidden]
+        if not skips and text:
             held.append(unescape(text))
         if not found:
             break
         at = found.end()
         closing, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
         if not name:
+            if found[0].startswith("<!--") and not found[0].endswith("-->"):  # a comment that never ends
+                break
             continue
         tag = name.lower()
         if closing:
             if tag not in _INLINE:
                 flush()
-            for n, (open_, *_) in enumerate(reversed(stack), 1):
-                if open_ == tag:
-                    pop(n)
-                    break
+            close(tag)
             continue
         if tag not in _INLINE:
             flush()
             if tag == "body":  # ends a head that was left open
-                for n, (open_, *_) in enumerate(reversed(stack), 1):
-                    if open_ == "head":
-                        pop(n)
-                        break
-            for n, (open_, *_) in enumerate(reversed(stack), 1):
-                if open_ in _IMPLIED and tag != "br" and (_IMPLIED[open_] is None or tag in _IMPLIED[open_]):
-                    pop(n)
+                close("head")
+            for n in reversed(blocks_at if tag != "br" else []):
+                open_ = stack[n][0]
+                if open_ in _IMPLIED and (_IMPLIED[open_] is None or tag in _IMPLIED[open_]):
+                    pop_to(n)
                     break
-                if open_ not in _INLINE and open_ not in _IMPLIED:
+                if open_ not in _IMPLIED:
                     break
         if tag in _VOID or attributes.endswith("/") and tag not in _RAW:
             continue
@@ -147,11 +162,17 @@ def _walk(html: str, probed: dict[int, int] | None) -> tuple[list[str], list[str
                 enclosing = _enclosing(html)
             kind = None if probed is not None or enclosing and enclosing.get(found.start(), 0) >= kind else "skip"
         if probed is not None and kind == "main" and not skips:
-            for _, _, start in stack:
-                probed[start] = max(probed.get(start, 0), 1 if tag == "article" else 2)
+            mark = 1 if tag == "article" else 2
+            for _, _, start in reversed(stack):
+                if probed.get(start, 0) >= mark:
+                    break
+                probed[start] = mark
         if kind is not None:
             flush()
+        if tag not in _INLINE:
+            blocks_at.append(len(stack))
         stack.append((tag, kind, found.start()))
+        open_tags[tag] += 1
         skips += kind == "skip"
         mains += kind == "main"
         if tag in _RAW:
@@ -231,17 +252,18 @@ def _unique_runs_of_large_hosts(undecided: DataFrame, run: int) -> DataFrame:
 
     found = streams.mapInArrow(runs, "host string, stream string, h long, c int")
     shared = found.groupBy("host", "h", "c").agg(F.min("stream").alias("_least"), F.max("stream").alias("_most")).filter("_least < _most")
-    gone = found.join(shared, ["host", "h", "c"]).groupBy("host", "stream").agg(F.collect_set("h").alias("gone"))
+    gone = found.join(shared, ["host", "h", "c"]).groupBy("host", "stream").agg(F.collect_set(F.struct("h", "c")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, h, _, _ = hashed(batch)
+            words, h, c, _ = hashed(batch)
             texts = []
             for k, (text, gone_) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist())):
                 a, b = int(words.first[k]), int(words.first[k + 1])
                 covered = np.zeros(b - a + 1, np.int64)
                 if gone_ and b - a >= run:
-                    at = np.flatnonzero(np.isin(h[a : b - run + 1].view(np.int64), gone_))
+                    wanted = {(x["h"], x["c"]) for x in gone_}
+                    at = np.flatnonzero([x in wanted for x in zip(h[a : b - run + 1].view(np.int64).tolist(), c[a : b - run + 1].tolist())])
                     np.add.at(covered, at, 1)
                     np.add.at(covered, at + run, -1)
                 texts.append(" ".join(t for t, n in zip(text.split(" "), np.cumsum(covered)[:-1].tolist()) if not n))
@@ -265,6 +287,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     space. Null and empty pages give an empty text. A null or odd URL is a host of its own kind, the empty one.
     Repeated rows are equal streams, which count once. An empty table gives none.
     """
+    small_batches(pages.sparkSession)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
