@@ -202,6 +202,19 @@ def test_boxes_around_and_inside_an_article(wrapper):
     assert html_text.blocks(page)[0] == ["one", "two", "three", "four"]
 
 
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "</span>" * 8000, "<a " * 35_000, "<a '" * 30_000, "<b>" * 20_000 + "<br>" * 20_000, "<p>" + "<b>" * 15_000 + "<hr>" * 15_000, "<!x " * 30_000, "<div><article>" * 7000])
+def test_long_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - began < 2.5
+
+
+def test_text_behind_an_open_comment_is_hidden():
+    assert html_text.blocks("<article>a<!-- b <i> c</article>")[0] == ["a"] and html_text.blocks("x<!-- y") == ([], ["x"])
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</p></div>", "<!-- open", "<script>x", "<div class='a>b", "a<b>c" * 3000, "<p " * 500])
 def test_broken_pages_do_not_fail(page):
     html_text.blocks(page)
@@ -477,7 +490,7 @@ def test_components_of_long_chains(spark):
 # 6: WARC.
 
 
-PAGES = [(5, "http://a/5", "same"), (3, "http://a/3\n x", "same"), (9, None, ""), (1, "u", ""), (7, "u7", "é" * 10), (None, "n", "same"), (3, "dup", "same"), (11, "z", None), (12, "q", "x\r\n\r\n" * 40_000), (13, "w", "WARC/1.1\r\n\r\n")]
+PAGES = [(-7, "neg", "below"), (-(1 << 63), "least", "below"), (3, "other", "of another id"), (21, "o", "of another id"), (5, "http://a/5", "same"), (3, "http://a/3\n x", "same"), (9, None, ""), (1, "u", ""), (7, "u7", "é" * 10), (None, "n", "same"), (3, "dup", "same"), (11, "z", None), (12, "q", "x\r\n\r\n" * 40_000), (13, "w", "WARC/1.1\r\n\r\n")]
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -486,23 +499,33 @@ def test_warc_round_trip(spark, tmp_path):
     for k in range(2):
         folder = str(tmp_path / f"w{k}")
         files = warc.write_warc(df, folder, roll_bytes=300, shard_bytes=100).collect()
-        assert len(files) > 4 and not list((tmp_path / f"w{k}").glob("_temporary*"))
+        assert len(files) > 4 and not (tmp_path / f"w{k}" / "_under_way").exists()
         runs.append({f["name"]: (tmp_path / f"w{k}" / f["name"]).read_bytes() for f in files})
     assert runs[0] == runs[1]
     got = warc.read_warc(spark, str(tmp_path / "w0")).collect()
-    first = {"same": 3, "": 1}
+    first = {"same": 3, "": 1, "below": -(1 << 63), "of another id": 3}
     expected = []
     for i, u, h in PAGES:
         payload = h or ""
-        refers = first.get(payload) if i is not None and first.get(payload) != i else None
+        refers = first.get(payload) if first.get(payload) != i else None
         expected.append(("revisit" if refers is not None else "response", i, " ".join((u or "").split()), len(payload.encode()), base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode(), refers, None if refers is not None else payload))
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
 
 
+def test_warc_of_many_shards(spark, tmp_path):
+    rows = spark.range(2400).selectExpr("id * 977 - 1200000 AS page_id", "concat('http://h/', id) AS url", "concat('page ', id % 2000) AS html")
+    files = warc.write_warc(rows, str(tmp_path / "w"), shard_bytes=18)
+    assert files.count() > 1000
+    got = warc.read_warc(spark, str(tmp_path / "w"))
+    assert got.filter("record_type = 'revisit'").count() == 400
+    both = got.join(rows.select("page_id", "html"), "page_id").selectExpr("count(*) AS n", "sum(int(payload_bytes = length(html))) AS same").first()
+    assert (both["n"], both["same"]) == (2400, 2400)
+
+
 def test_warc_least_bytes_and_damage(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     files = warc.write_warc(df, str(tmp_path / "w"), least_bytes=1).collect()
-    assert {x["page_id"] for x in warc.read_warc(spark, str(tmp_path / "w")).filter("record_type = 'revisit'").collect()} == {5}
+    assert {x["page_id"] for x in warc.read_warc(spark, str(tmp_path / "w")).filter("record_type = 'revisit'").collect()} == {-7, 5, 21, None}
     path = tmp_path / "w" / files[0]["name"]
     path.write_bytes(path.read_bytes()[:-20])
     with pytest.raises(Exception, match="the file ends within a record|checksum|decompress|records"):
@@ -569,6 +592,72 @@ def test_toxicity_without_labels_and_with_odd_texts(spark):
     assert scored.count() == len(ODD) and scored.filter("score IS NULL").count() == 0
 
 
+def looked_up(texts):
+    return toxicity.Vocabulary().look_up(pa.array(texts, pa.string()))
+
+
+def naive_logit(model, text):
+    """The score of one text, word by word."""
+    places, at = [], 0
+    for width in toxicity.WIDTHS:
+        places.append((at, width))
+        at += width
+    vectors = [sum(model.embeddings[f] for f in toxicity._features(w)[:4]) for w in (text or "").encode().split()]
+    out = float(model.out[-1])
+    for w, (at, width) in enumerate(places):
+        for f in range(toxicity.FILTERS):
+            found = [sum(float(vectors[k + s] @ model.filters[at + s][:, f]) for s in range(width) if k + s < len(vectors)) + float(model.bias[w, f]) for k in range(len(vectors))]
+            out += max([0.0, *found]) * float(model.out[w * toxicity.FILTERS + f])
+    return out
+
+
+def test_the_forward_pass_by_brute_force():
+    model = toxicity.Model.fresh(3)
+    model.embeddings *= 20
+    texts = ["one two three four", "", None, "word", "a b", " ".join(f"w{k % 9}" for k in range(60))]
+    z, _ = model.logits(pa.array(texts, pa.string()), toxicity.Vocabulary())
+    assert np.allclose(z, [naive_logit(model, t) for t in texts], atol=1e-3)
+
+
+def test_gradients_by_differences():
+    model = toxicity.Model.fresh(4)
+    model.embeddings *= 20
+    for name in ("embeddings", "filters", "bias", "out"):
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    found = looked_up(["one two three", "four", "five six one two seven", ""])
+    y, weight = np.array([1.0, 0, 1, 0]), np.array([0.5, 0.25, 1, 0.3])
+    g = toxicity.gradients(model, found[0][:, :4], found[1], found[2], y, weight)
+
+    def loss():
+        p = toxicity._sigmoid(model.pooled(*found) @ model.out[:-1] + model.out[-1])
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    def numeric(array, at, step=1e-3):
+        held = array[at]
+        array[at] = held + step
+        up = loss()
+        array[at] = held - step
+        down = loss()
+        array[at] = held
+        return (up - down) / (2 * step)
+
+    r = rng(41)
+    for array, grads in ((model.out, g.out), (model.bias, g.bias), (model.filters, g.filters)):
+        for at in r.sample(list(np.ndindex(array.shape)), 12):
+            assert abs(numeric(array, at) - grads[at]) < 2e-3
+    for n in r.sample(np.flatnonzero(g.touched).tolist(), 8):
+        at = r.randrange(toxicity.DIMENSIONS)
+        assert abs(numeric(model.embeddings, (g.touched[n], at)) - g.embeddings[n, at]) < 2e-3
+
+
+def test_the_sample_passes_over_long_texts(spark):
+    df = docs_df(spark, ["bad " * 30, "bad words", "good " * 30, "good words", "bad thing", "good thing"] * 20)
+    labels = spark.createDataFrame([(k, int(k % 6 in (0, 1, 4))) for k in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, longest=20)
+    got = {x["text"]: x["score"] for x in toxicity.score(df, model).collect()}
+    assert got["bad words"] > 0.5 > got["good words"] and got["bad " * 30] > 0.5 > got["good " * 30]
+
+
 def test_a_score_depends_on_the_text_alone():
     model = toxicity.train(["bad word here", "fine text", "bad again", "all good"] * 30, [1, 0, 1, 0] * 30)
     texts = ["bad thing", "", "good thing", None]
@@ -580,7 +669,7 @@ def test_a_score_depends_on_the_text_alone():
 # 9: decontamination.
 
 
-def fewest_edits(passage, text):
+def edits_of(passage, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(passage, 1):
         now = [i]
@@ -590,6 +679,21 @@ def fewest_edits(passage, text):
     return min(row)
 
 
+def matches_by_brute_force(docs, items):
+    """The fewest edits of any passage of an item in a text, where its budget allows them."""
+    out = {}
+    for i, t in docs:
+        for k, text in items:
+            own = plain(text)
+            if len(own) < 16:
+                continue
+            n = min(64, len(own))
+            fewest = min(edits_of(own[a : a + n], plain(t)) for a in range(len(own) - n + 1))
+            if fewest <= min(int(n * 0.1), (n - 8) // 8):
+                out[i, k] = fewest
+    return out
+
+
 def plain(text):
     return bytes(c for c in (text or "").lower().encode() if chr(c).isalnum() and c < 128 or c >= 128)
 
@@ -609,22 +713,41 @@ def test_matches_by_brute_force(spark):
             text += ", " + "".join(noisy)[r.choice([0, 0, 20]) :] + "! " + text[::-1]
         docs.append((k, text))
     docs += [(100, None), (101, ""), (102, docs[1][1])]
-    index = decontamination.Index([i for i in items if i[0] is not None and i[1] is not None])
-    expected = set()
-    for i, t in docs:
-        for n, cut in enumerate(index.passages):
-            if any(fewest_edits(index.texts[n][a:b], plain(t)) <= budget for a, b, budget, _ in cut):
-                expected.add((i, index.ids[n]))
+    expected = matches_by_brute_force(docs, [i for i in items if i[0] is not None and i[1] is not None])
     df, bench = with_clashes(spark.createDataFrame(docs, DOCS)), spark.createDataFrame(items, "item_id long, text string")
     for block in (1 << 20, 200):
         got = decontamination.benchmark_matches(df, bench, block_bytes=block).collect()
-        assert {(x["doc_id"], x["item_id"]) for x in got} == expected and len(got) == len(expected)
+        assert {(x["doc_id"], x["item_id"]): x["edits"] for x in got} == expected and len(got) == len(expected)
     kept = decontamination.decontaminate(df, bench, block_bytes=200)
     assert kept.columns == df.columns
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i, _ in docs if i not in {d for d, _ in expected})
     assert len(expected) > 10
 
 
+def test_small_stretches_and_parts_give_the_same_matches(monkeypatch):
+    r = rng(33)
+    words = ["".join(r.choice("ab") for _ in range(r.randrange(1, 4))) for _ in range(12)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([12, 40, 150])))) for k in range(5)]
+    docs = [(k, " ".join(r.choice(words) for _ in range(60)) + " " + items[k % 5][1][r.choice([0, 7, 33]) :][: r.choice([60, 200])]) for k in range(10)]
+    expected = matches_by_brute_force(docs, items)
+    assert len(expected) > 5
+    for part, pairs in ((4096, 1 << 20), (4096, 64), (32, 1 << 20), (16, 50)):
+        monkeypatch.setattr(decontamination, "PART", part)
+        monkeypatch.setattr(decontamination, "PAIRS", pairs)
+        found = decontamination.Index(items).matches(pa.array([t for _, t in docs]))
+        assert {(docs[t][0], i): e for t, i, e in found} == expected
+
+
+def test_repetitive_texts_stay_small():
+    import resource
+    import time
+
+    index = decontamination.Index([(1, "ha" * 50_000), (2, "some other text that is nowhere else, of a passage's length at least, I think")])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    assert index.matches(pa.array(["ha" * 50_000, "ho" * 50_000, "ha" * 20 + "x"])) == [(0, 0, 0)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000 and time.time() - began < 20
+
+
 def test_items_without_id_and_short_items(spark):
     phrase = "a passage of the benchmark that has no number of its own, yet is text"
     bench = spark.createDataFrame([(None, phrase), (None, "quite another passage of the benchmark without a number at all"), (1, "the answer"), (2, "ab")], "item_id long, text string")
