@@ -91,27 +91,27 @@ def write_wav(channels: list[np.ndarray], rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
+def channels(content: bytes, mono: bool = False, rate: int = RATE, pad_ms: int = 5000) -> list[np.ndarray]:
+    """The samples of a WAV file's channels, or of their mean, at ``rate``; less than five seconds are followed by
+    ``pad_ms`` of silence."""
+    own, found = read_wav(content)
+    out = [resample(c, own, rate) for c in ([np.mean(found, 0)] if mono else found)]
+    return [np.append(x, np.zeros(pad_ms * rate // 1000, np.float32)) if len(x) < 5 * rate else x for x in out]
+
+
 def decode(files: DataFrame, mono: bool = False, rate: int = RATE, pad_ms: int = 5000) -> DataFrame:
-    """Rows (path, channel, samples) of WAV files (path, content): one per channel, or their mean, at ``rate``;
-    less than five seconds are followed by ``pad_ms`` of silence. Files that can't be read have a null channel
-    and an error."""
+    """Rows (path, channel, samples) of WAV files (path, content), one per channel as of ``channels``. Files that
+    can't be read have a null channel and an error. Plans that go on to models work on a file in its own task
+    instead and exchange no samples."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for path, content in zip(part["path"], part["content"]):
                 try:
-                    own, channels = read_wav(content)
+                    rows += [(path, f"channel_{k}", x, None) for k, x in enumerate(channels(content, mono, rate, pad_ms), 1)]
                 except (wave.Error, EOFError, ValueError) as e:
                     rows.append((path, None, None, str(e)))
-                    continue
-                if mono:
-                    channels = [np.mean(channels, 0)]
-                for k, c in enumerate(channels, 1):
-                    samples = resample(c, own, rate)
-                    if len(samples) < 5 * rate:
-                        samples = np.append(samples, np.zeros(pad_ms * rate // 1000, np.float32))
-                    rows.append((path, f"channel_{k}", samples.tolist(), None))
             yield pd.DataFrame(rows, columns=["path", "channel", "samples", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, channel string, samples array<float>, error string")
@@ -126,6 +126,22 @@ def pcm16_samples(payload: str) -> Column:
     return F.pandas_udf(_samples, "array<double>")(payload)
 
 
+def finite(samples: Column) -> Column:
+    """Whether an array holds numbers alone."""
+    return ~F.exists(samples, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def clipped(samples: Column, low: float = -1.0, high: float = 1.0) -> Column:
+    """An array of samples between two bounds."""
+    return F.transform(samples, lambda x: F.least(F.greatest(x.cast("double"), F.lit(low)), F.lit(high)))
+
+
+def pcm16_values(samples: Column, scale: int = 32767) -> Column:
+    """An array of samples as 16-bit numbers, rounded half to even: at 32767 what stretched audio is written at, at
+    32768 what resampled audio is."""
+    return F.transform(samples, lambda x: F.least(F.greatest(F.rint(x.cast("double") * scale), F.lit(-32768.0)), F.lit(32767.0)).cast("int"))
+
+
 def wav_header(content: str = "content") -> dict:
     """Columns of a WAV header: whether it is one, channels, rate and bits, from its fixed places."""
 

@@ -28,6 +28,14 @@ def surface(word: Column, label: Column) -> Column:
     return F.when(label.between(1, len(LABELS)), F.concat(cased, F.get(marks, mark))).otherwise(word)
 
 
+def surface_text(word: str, label: int) -> str:
+    """As ``surface``, of one word."""
+    if not 1 <= label <= len(LABELS):
+        return word
+    case, mark = divmod(label - 1, len(MARKS))
+    return (word, word[:1].upper() + word[1:].lower(), word.upper())[case] + [*MARKS.values()][mark]
+
+
 def best_label(logits: Column) -> Column:
     """The number of the largest logit, from 0; the first of equals."""
     return F.array_position(logits, F.array_max(logits)) - 1

@@ -13,11 +13,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from murmur.functions.audio import fbank, stretch
-from murmur.streaming.session import FRAME, describe, loudness
 
+#: Samples of a frame that a voice model looks at.
+FRAME = 512
 _built: dict[str, Callable] = {}
 
 
+def loudness(samples: np.ndarray) -> np.ndarray:
+    """A stand-in for a voice model: a probability per frame from its mean level."""
+    frames = samples[: len(samples) // FRAME * FRAME].reshape(-1, FRAME)
+    return np.minimum(1, np.abs(frames).mean(1) * 20) if len(frames) else np.zeros(0)
+
+
+def describe(samples: np.ndarray, rate: int) -> str:
+    """What the stand-in for a recogniser hears: a word per second of audible audio."""
+    seconds = np.array_split(samples, max(1, len(samples) // rate))
+    return " ".join(f"w{k}" for k, s in enumerate(seconds) if len(s) and np.abs(s).mean() > 0.01)
+
+
+def cut_point(samples: np.ndarray, rate: int, voice: Callable = loudness, silence_s: float = 0.5) -> int:
+    """The sample to cut at: where, going back from the end to a third, ``silence_s`` of silence is complete."""
+    first = len(samples) // 3
+    prob = voice(samples[first:])
+    need, run = int(silence_s / (FRAME / rate)), 0
+    for k in range(len(prob) - 1, -1, -1):
+        run = run + 1 if prob[k] < 0.5 else 0
+        if run >= need:
+            return first + k * FRAME
+    return first
+
+
 def spelled(samples: np.ndarray, rate: int) -> dict:
     """A stand-in for a recogniser: its words letter by letter, 40 ms apart, from where their second begins."""
     tokens, times = [], []
@@ -81,17 +106,37 @@ def recognise(model: Callable, samples: np.ndarray, rate: int, multiplier: float
     return result, multiplier
 
 
+def heard_words(tokens: list[str], times: list[float], gap_s: float = 2.0) -> list[tuple[str, int, int]]:
+    """(word, start, end) in milliseconds of a recogniser's letters: a space ends a word, and so does a pause of more
+    than ``gap_s`` between two letters."""
+    out: list[list] = []
+    before = None
+    for token, at in zip(tokens, times):
+        if token != " ":
+            if before is None or at - before > gap_s:
+                out.append(["", at, at])
+            out[-1][0] += token
+            out[-1][2] = at
+        before = None if token == " " else at
+    return [(word, round(a * 1000), round(b * 1000)) for word, a, b in out]
+
+
+def vectors(model: Callable, samples: list[np.ndarray | None], rate: int = 16_000) -> list[list[float] | None]:
+    """A vector per piece of audio; null where there is none or the model fails on it."""
+    out: list[list[float] | None] = []
+    for x in samples:
+        try:
+            out.append(None if x is None else np.asarray(model(fbank(x, rate)), float).tolist())
+        except (ValueError, RuntimeError):
+            out.append(None)
+    return out
+
+
 def speaker_vector(models: Models, samples: str | Column, rate: int = 16_000) -> Column:
     """A vector per array of samples; null where the model fails."""
 
     def run(column: pd.Series) -> pd.Series:
-        model, out = models.built("speaker"), []
-        for x in column:
-            try:
-                out.append(None if x is None else model(fbank(np.asarray(x, np.float32), rate)).astype(float).tolist())
-            except ValueError:
-                out.append(None)
-        return pd.Series(out)
+        return pd.Series(vectors(models.built("speaker"), [None if x is None else np.asarray(x, np.float32) for x in column], rate))
 
     return F.pandas_udf(run, "array<double>")(samples)
 

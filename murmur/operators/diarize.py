@@ -11,28 +11,38 @@ MESSAGE = ["rec_id", "channel", "msg_no"]
 STRETCH_MS = 30_000
 
 
-def _stretches(df: DataFrame) -> DataFrame:
-    """A row for each stretch of time that [start_ms, end_ms] touches."""
-    touched = F.sequence(F.floor(F.col("start_ms") / STRETCH_MS), F.floor(F.col("end_ms") / STRETCH_MS))
-    return df.withColumn("_stretch", F.explode(touched))
-
-
 def assign_speakers(words: DataFrame, segments: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     """words and a column speaker: that of the segment with the largest overlap of at least ``min_overlap`` of the
     word, the earlier segment on a tie, null without one. A word without length lies in [start, end) or not.
 
-    Words and segments meet by recording and stretch of time, so a long recording is many groups. A segment's
-    overlap with a word is counted once, in the stretch where the overlap starts.
+    A word belongs to the stretch of time in which it starts. Segments are held by recording and stretch, in every
+    stretch whose words may touch them: one as long as the recording's longest word reaches further back. So words
+    are exchanged once, a long recording is many groups, and every word meets one row of segments, all those that
+    touch its stretch.
+
+    Every row of words stays, repeated rows and words with null times too, which get no speaker. Segments with null
+    times or an end before their start count for nothing. Either table may be empty.
     """
-    w = _stretches(words)
-    s = _stretches(segments.filter("start_ms <= end_ms")).select("rec_id", "_stretch", "seg_ord", "speaker", F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"))
-    length = F.col("end_ms") - F.col("start_ms")
-    begins = F.greatest("start_ms", "_from")
-    overlap = F.when(length == 0, F.when((F.col("_from") <= F.col("start_ms")) & (F.col("start_ms") < F.col("_to")), 1.0).otherwise(0.0)).otherwise(F.greatest(F.least("end_ms", "_to") - begins, F.lit(0)).cast("double"))
-    share = F.when(length == 0, overlap).otherwise(overlap / length)
-    met = w.join(s, ["rec_id", "_stretch"], "left").withColumns({"_overlap": overlap, "_counts": (F.floor(begins / STRETCH_MS) == F.col("_stretch")) & (share >= min_overlap) & (overlap > 0)})
-    rank = F.when(F.col("_counts"), F.struct("_overlap", -F.col("_from"), -F.col("seg_ord")))
-    return met.groupBy(*words.columns).agg(F.max_by("speaker", rank).alias("speaker"))
+    longest = words.groupBy("rec_id").agg(F.max(F.col("end_ms") - F.col("start_ms")).alias("_longest"))
+    reach = F.greatest(F.coalesce("_longest", F.lit(0)), F.lit(0))
+    touched = F.sequence(F.floor((F.col("start_ms") - reach) / STRETCH_MS), F.floor(F.col("end_ms") / STRETCH_MS))
+    held = segments.filter("start_ms <= end_ms").join(longest, "rec_id").withColumn("_stretch", F.explode(touched))
+    segment = F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "seg_ord", "speaker")
+    held = held.groupBy(F.col("rec_id").alias("_rec"), F.col("_stretch").alias("_held")).agg(F.collect_list(segment).alias("_segments"))
+    start, end = F.col("start_ms"), F.col("end_ms")
+
+    def met(s: Column) -> Column:
+        shared = F.least(end, s["end"]) - F.greatest(start, s["start"])
+        within = ((s["start"] <= start) & (start < s["end"])).cast("long")
+        return F.struct(F.when(end == start, within).otherwise(shared).alias("overlap"), -s["start"], -s["seg_ord"], s["speaker"].alias("speaker"))
+
+    def counts(m: Column) -> Column:
+        return (m["overlap"] > 0) & ((end == start) | (m["overlap"] / (end - start) >= min_overlap))
+
+    best = F.array_max(F.filter(F.transform("_segments", met), counts))
+    placed = words.withColumn("_stretch", F.floor(start / STRETCH_MS))
+    both = placed.join(held, (F.col("rec_id") == F.col("_rec")) & (F.col("_stretch") == F.col("_held")), "left")
+    return both.withColumn("speaker", best["speaker"]).drop("_stretch", "_rec", "_held", "_segments")
 
 
 def speaker_runs(assigned: DataFrame) -> DataFrame:
@@ -83,6 +93,14 @@ def replicas(assigned: DataFrame, max_pause_ms: int = 2000) -> DataFrame:
     return out.withColumns({"group_start_ms": F.min("start_ms").over(whole), "group_end_ms": F.max_by("end_ms", "replica_no").over(whole)})
 
 
+def with_metadata(found: DataFrame, messages: DataFrame, but: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Rows of messages, such as replicas, with what else is known of their message: the other columns of ``messages``,
+    one row a message, other than ``but`` and those that the rows have. Rows of an unknown message get nulls."""
+    more = [c for c in messages.columns if c not in but and c not in found.columns]
+    known = messages.select(*MESSAGE, *more)
+    return found.join(known, MESSAGE, "left").select(*found.columns, *more)
+
+
 def word_groups(words: DataFrame, gap_ms: int = 500) -> DataFrame:
     """Words of a channel, in time order, cut where a word starts more than ``gap_ms`` behind the one before."""
     keys, order = ["rec_id", "channel"], ["start_ms", "msg_no", "pos"]
@@ -96,16 +114,23 @@ def long_enough(segments: DataFrame, least_ms: int = 150) -> DataFrame:
     return segments.filter(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
 
-def merge_segments(segments: DataFrame, gap_ms: int = 1000, order: list[str] | None = None) -> DataFrame:
-    """Neighbouring segments of a recording with one speaker become one if the pause is at most ``gap_ms``."""
+def merge_segments(segments: DataFrame, gap_ms: int = 1000, order: list[str] | None = None, merge: bool = True) -> DataFrame:
+    """Neighbouring segments of a recording with one speaker become one if the pause is at most ``gap_ms``; without
+    ``merge`` they are only numbered in their order, as some callers have always seen them."""
     order = order or ["start_ms", "seg_ord"]
     in_order = Window.partitionBy("rec_id").orderBy(*order)
-    other = (F.col("speaker") != F.lag("speaker").over(in_order)) | (F.col("start_ms") - F.lag("end_ms").over(in_order) > gap_ms)
+    other = F.row_number().over(in_order) > 1 if not merge else (F.col("speaker") != F.lag("speaker").over(in_order)) | (F.col("start_ms") - F.lag("end_ms").over(in_order) > gap_ms)
     cut = _islands(segments, ["rec_id"], order, other, "merged_no")
     place = F.struct(*order)
     return cut.groupBy("rec_id", "merged_no").agg(F.first("speaker").alias("speaker"), F.min_by("start_ms", place).alias("start_ms"), F.max_by("end_ms", place).alias("end_ms"), F.count("*").alias("n_segments"))
 
 
+def without_overlap(segments: DataFrame) -> DataFrame:
+    """Segments of a recording that end at the latest where the next one starts."""
+    following = F.lead("start_ms").over(Window.partitionBy("rec_id").orderBy("start_ms", "seg_ord"))
+    return segments.withColumn("end_ms", F.least("end_ms", F.coalesce(following, "end_ms")))
+
+
 def subsegments(segments: DataFrame, window: int = 150, step: int = 75, frame_ms: int = 10) -> DataFrame:
     """Sliding windows of ``window`` frames over each segment's frames, every ``step`` frames; what a window
     lacks at the end it repeats from its own start (n_real frames are real)."""

@@ -1,5 +1,6 @@
 """Words that two channels of a recording share because one hears the other."""
 
+from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -46,43 +47,63 @@ def without_echo(words: DataFrame, delta_ms: int = 900, similarity: float | None
     return words.join(heard, KEYS, "left_anti")
 
 
-def _fold(channels: dict[str, list[list[dict]]], delta_ms: int, similarity: float) -> None:
-    """Drop echoes in place, word by word: a word goes if another channel has a similar one shortly before, and
-    a similar word shortly behind goes from the other channel at once. What a loop over a list does when the
-    list loses an item, to pass over the next one, is part of the rule."""
-    spans = {id(m): (min(w["end_ms"] for w in m) - delta_ms, max(w["end_ms"] for w in m) + delta_ms) for ms in channels.values() for m in ms if m}
-    for name, messages in channels.items():
-        others = [m for other, ms in channels.items() if other != name for m in ms]
-        for message in messages:
-            stays = []
-            for word in list(message):
-                heard = False
-                for other in others:
-                    low, high = spans[id(other)]
-                    if not low <= word["end_ms"] <= high:
-                        continue
-                    k = 0
-                    while k < len(other) and not heard:
-                        o = other[k]
-                        if abs(word["end_ms"] - o["end_ms"]) <= delta_ms and SequenceMatcher(None, word["word"], o["word"]).ratio() >= similarity:
-                            if o["end_ms"] < word["end_ms"]:
-                                heard = True
-                            elif o["end_ms"] > word["end_ms"]:
-                                del other[k]
-                        k += 1
-                    if heard:
-                        break
-                if not heard:
-                    stays.append(word)
-            message[:] = stays
+def _alike(similarity: float):
+    """Whether two words are at least so similar, each pair of words compared once."""
+    known: dict[tuple[str, str], bool] = {}
+
+    def of(a: str, b: str) -> bool:
+        if (a, b) not in known:
+            near = a == b or 2 * min(len(a), len(b)) >= similarity * (len(a) + len(b))
+            known[a, b] = near and SequenceMatcher(None, a, b).ratio() >= similarity
+        return known[a, b]
+
+    return of
+
+
+def surviving(channel: list, message: list, word: list[str], end: list[int], delta_ms: int, alike) -> list[bool]:
+    """Which words stay, given in the order of channels, messages and places.
+
+    Words are events: each in its turn looks at the standing words of other channels that end within ``delta_ms``
+    of it, found in its channel's order of time. A similar one that ended before makes the word an echo, which
+    falls and looks no further; a similar one that ends later falls itself, and then the word does not look at the
+    next one standing in that message. Equal ends leave both.
+    """
+    stands = [True] * len(word)
+    in_time: dict = {}
+    for k in sorted(range(len(word)), key=end.__getitem__):
+        in_time.setdefault(channel[k], []).append(k)
+    ends = {c: [end[k] for k in own] for c, own in in_time.items()}
+    for k in range(len(word)):
+        if not stands[k]:
+            continue
+        near: list[int] = []
+        for c, own in in_time.items():
+            if c != channel[k]:
+                near += own[bisect_left(ends[c], end[k] - delta_ms) : bisect_right(ends[c], end[k] + delta_ms)]
+        passed = -1
+        for o in sorted(near):
+            if not stands[o] or o == passed or not alike(word[k], word[o]):
+                continue
+            if end[o] < end[k]:
+                stands[k] = False
+                break
+            if end[o] > end[k]:
+                stands[o] = False
+                rest = range(o + 1, len(word))
+                passed = next((n for n in rest if stands[n] or (channel[n], message[n]) != (channel[o], message[o])), -1)
+    return stands
 
 
 def without_echo_greedy(words: DataFrame, delta_ms: int = 900, similarity: float = 0.8) -> DataFrame:
-    """The order-dependent form: channels in order, a word dropped early no longer drops others.
+    """The order-dependent form: channels in order, a word dropped early no longer drops others (see ``surviving``).
 
     Only pauses separate what can influence one another: words that end more than ``delta_ms`` apart never meet,
     so each stretch of a recording between such pauses is judged by itself, and one with a single channel stays as it is.
+    Words without text or an end are nobody's echo and stay. Repeated rows are judged each in its turn. An empty table
+    gives none.
     """
+    whole = F.col("word").isNotNull() & F.col("end_ms").isNotNull() & F.col("channel").isNotNull()
+    odd, words = words.filter(~whole), words.filter(whole)
     in_time = Window.partitionBy("rec_id").orderBy("end_ms", "channel", "msg_no", "pos")
     apart = F.coalesce(F.col("end_ms") - F.lag("end_ms").over(in_time) > delta_ms, F.lit(False)).cast("int")
     stretch = Window.partitionBy("rec_id", "_stretch")
@@ -90,14 +111,10 @@ def without_echo_greedy(words: DataFrame, delta_ms: int = 900, similarity: float
     columns = words.columns
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        kept = []
+        alike, kept = _alike(similarity), []
         for _, rows in part.sort_values(["channel", "msg_no", "pos"]).groupby("_stretch", sort=False):
-            channels: dict[str, list[list[dict]]] = {}
-            for (channel, _), message in rows.groupby(["channel", "msg_no"], sort=True):
-                channels.setdefault(channel, []).append(message.to_dict("records"))
-            _fold(channels, delta_ms, similarity)
-            kept += [w for ms in channels.values() for m in ms for w in m]
-        return pd.DataFrame(kept, columns=part.columns)[columns]
+            kept.append(rows[surviving(*(rows[c].tolist() for c in ("channel", "msg_no", "word", "end_ms")), delta_ms, alike)])
+        return pd.concat(kept)[columns]
 
     shared = grouped.filter("NOT _alone").withColumn("_block", F.floor(F.col("_stretch") / 64))
-    return shared.groupBy("rec_id", "_block").applyInPandas(run, words.schema).union(grouped.filter("_alone").select(*columns))
+    return shared.groupBy("rec_id", "_block").applyInPandas(run, words.schema).union(grouped.filter("_alone").select(*columns)).union(odd)

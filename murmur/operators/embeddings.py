@@ -40,23 +40,39 @@ def cosine_to_centroid(vectors: DataFrame, label: str = "label", vector: str = "
 
 def average_linkage(x: np.ndarray, n_clusters: int, distance: float | None = None) -> np.ndarray:
     """Labels of agglomerative clustering by mean cosine distance, down to ``n_clusters`` or while the nearest
-    pair is nearer than ``distance``."""
+    pair is nearer than ``distance``.
+
+    Clusters follow a chain of nearest neighbours until two are each other's nearest, which are then merged: with
+    mean distances that gives the tree of merges in a number of steps that grows with the square of the vectors.
+    The merges are then taken from the nearest on.
+    """
     x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
     d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
-    size, labels = np.ones(len(x)), np.arange(len(x))
-    alive = len(x)
-    while alive > max(1, n_clusters):
-        a, b = divmod(int(d.argmin()), len(x))
-        if distance is not None and d[a, b] >= distance:
+    size, merges, chain = np.ones(len(x)), [], []
+    alive = np.ones(len(x), bool)
+    while len(merges) < len(x) - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        a = chain[-1]
+        b = int(np.argmin(d[a]))
+        if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+            b = chain[-2]
+            del chain[-2:]
+            merges.append((float(d[a, b]), a, b))
+            merged = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
+            d[a], d[:, a] = merged, merged
+            d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
+            size[a] += size[b]
+            alive[b] = False
+        else:
+            chain.append(b)
+    labels = np.arange(len(x))
+    merges.sort(key=lambda m: m[0])
+    for near, a, b in merges[: max(0, len(x) - max(1, n_clusters))]:
+        if distance is not None and near >= distance:
             break
-        a, b = min(a, b), max(a, b)
-        merged = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
-        d[a], d[:, a] = merged, merged
-        d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
-        size[a] += size[b]
-        labels[labels == b] = a
-        alive -= 1
+        labels[labels == labels[b]] = labels[a]
     return np.unique(labels, return_inverse=True)[1]
 
 
@@ -76,6 +92,16 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(own > 1, (b - a) / np.maximum(a, b), 0).mean())
 
 
+def silhouettes(vectors: DataFrame, recording: str, label: str = "label", vector: str = "embedding") -> DataFrame:
+    """The silhouette of each recording's labelled vectors; see ``cluster_speakers`` for the size of a group."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        _, labels = np.unique(part[label], return_inverse=True)
+        return pd.DataFrame({recording: part[recording].iloc[:1], "n": len(part), "silhouette": round(silhouette(np.array(part[vector].tolist(), float), labels), 5)})
+
+    return vectors.select(recording, label, vector).groupBy(recording).applyInPandas(run, f"{recording} long, n long, silhouette double")
+
+
 def cluster_speakers(vectors: DataFrame, recording: str, vec_id: str = "vec_id", vector: str = "embedding", num_speakers: int = -1, distance: float = 0.4, least_silhouette: float = 0.1) -> DataFrame:
     """A speaker number for each vector of a recording: one speaker for two vectors or fewer, or where the
     silhouette stays under ``least_silhouette``. A recording is one group: a call has some thousands of vectors

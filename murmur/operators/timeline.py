@@ -35,6 +35,17 @@ def framed(samples: Column, size: int = 512, pad: bool = True) -> Column:
     return F.coalesce(filled, F.array().cast("array<array<double>>"))
 
 
+def message_index(messages: DataFrame) -> DataFrame:
+    """messages with their running number in the recording, by message number and channel, from 1."""
+    return messages.withColumn("running", F.row_number().over(Window.partitionBy("rec_id").orderBy("msg_no", "channel")).cast("long"))
+
+
+def last_messages(messages: DataFrame) -> DataFrame:
+    """The last message of each recording and its channel; of several with one number that of the last channel."""
+    last = F.max_by(F.struct("channel", "msg_no", "text"), F.struct("msg_no", "channel"))
+    return messages.groupBy("rec_id").agg(last.alias("_last")).select("rec_id", "_last.channel", "_last.msg_no", "_last.text")
+
+
 def task_states(messages: DataFrame) -> DataFrame:
     """Open tasks of each recording, those without a text, and the service's state over them."""
     n = messages.groupBy("rec_id").agg(F.count(F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 1)).alias("tasks"))

@@ -59,3 +59,10 @@ def token_confidence(tokens: DataFrame, trials: str = "msg_no", tolerance_ms: in
     n = tokens.groupBy("rec_id").agg(F.countDistinct(trials).alias("_trials"))
     out = counts.join(n, "rec_id").withColumn("conf", F.round(F.col("votes") / F.col("_trials"), 4))
     return out.select("rec_id", "token", "ts_ms", "votes", "conf", F.col(f"_first.{trials}").alias("first_trial"), F.col("_first.pos").alias("first_pos"))
+
+
+def best_tokens(tokens: DataFrame, trials: str = "msg_no", tolerance_ms: int = 500) -> DataFrame:
+    """The token of each place of a recording that most trials have, the one seen first on a tie, and its votes."""
+    votes = token_confidence(tokens, trials, tolerance_ms)
+    first = F.max_by(F.struct("token", "votes", "conf"), F.struct("votes", -F.col("first_trial"), -F.col("first_pos")))
+    return votes.groupBy("rec_id", "ts_ms").agg(first.alias("_best")).select("rec_id", "ts_ms", "_best.token", "_best.votes", "_best.conf")

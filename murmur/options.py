@@ -36,6 +36,17 @@ class PipelineOptions:
         return replace(self, **changes)
 
 
+def from_environment(values: dict[str, str], prefix: str = "MURMUR_", base: PipelineOptions | None = None) -> PipelineOptions:
+    """Options from texts such as environment variables: MURMUR_DO_DIALOGUE=1 and so on; whole numbers of at least one
+    are true. Names that aren't options are passed over; a text that is no number where one is wanted raises."""
+    base, changes = base or PipelineOptions(), {}
+    for name, now in base.__dict__.items():
+        text = values.get(prefix + name.upper())
+        if text is not None:
+            changes[name] = int(text) >= 1 if isinstance(now, bool) else type(now)(text)
+    return base.using(**changes)
+
+
 UPLOAD = PipelineOptions(do_speed_correction=False)
 URL = PipelineOptions(do_echo_clearing=True)
 FOLDER = PipelineOptions(do_echo_clearing=True, do_dialogue=True, keep_raw=False)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from murmur.functions import labels, text
+from murmur.functions import audio, labels, nested, text
 from murmur.operators import diarize, echo, embeddings, sentences, timeline, tokens, vad
 from murmur.options import PipelineOptions
 from murmur.plans.transcript import transcribe
 from murmur.sources import derived as d
 from murmur.sources import files, sinks
-from murmur.streaming import session
+from murmur.streaming import config, session
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,7 +70,11 @@ def readable_lines(spark, sf_dir):
     return sinks.readable_lines(sentences.sentences(d.words(spark, sf_dir)))
 
 
-@query("response_envelopes")
+_JSON = """to_json(list(json_object('start', start_ms, 'end', end_ms, 'text', text, 'speaker', channel) ORDER BY start_ms, channel, sentence_no))"""
+
+
+@query("response_envelopes", f"""WITH {_S80} SELECT rec_id, CAST(json_object('success', true, 'result', json_object('raw_data', json_object('list_of_sentenced_recognitions', {_JSON}))) AS VARCHAR) AS json
+    FROM sentences GROUP BY rec_id""", "words")
 def response_envelopes(spark, sf_dir):
     return sinks.envelopes(sentences.sentences(d.words(spark, sf_dir)))
 
@@ -165,8 +169,7 @@ def task_states(spark, sf_dir):
 
 @query("message_order", "SELECT conv_id AS rec_id, role AS channel, turn AS msg_no, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS running FROM conversations")
 def message_order(spark, sf_dir):
-    running = F.row_number().over(Window.partitionBy("rec_id").orderBy("msg_no", "channel")).cast("long")
-    return d.messages(spark, sf_dir).select("rec_id", "channel", "msg_no", running.alias("running"))
+    return timeline.message_index(d.messages(spark, sf_dir)).drop("text")
 
 
 # Voice activity.
@@ -404,23 +407,153 @@ def model_catalog(spark, sf_dir):
 
 @query("config_messages", """SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL AND CAST(json_extract(props, '$.k') AS BIGINT) > 10""")
 def config_messages(spark, sf_dir):
-    parsed = d.table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k long").getField("k").alias("k"))
-    return parsed.filter("k > 10")
+    parsed = config.parsed(F.col("props"), "k long")
+    return d.table(spark, sf_dir, "events").select("event_id", "event_type", parsed["k"].alias("k")).filter("k > 10")
+
+
+_CONFIG = """CASE event_id % 4 WHEN 0 THEN '{"config": {"sample_rate": ' || (8000 + event_id % 5 * 1000) || ', "do_dialogue": ' || CASE WHEN event_id % 8 = 0 THEN 'true' ELSE 'false' END || '}}'
+    WHEN 1 THEN '{"audio_format": "pcm' || (event_id % 3 * 16) || '", "wait_null_answers": true}' WHEN 2 THEN 'no json' END"""
+
+
+@query("session_options", f"""WITH rows AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, event_id % 4 AS kind FROM events)
+    SELECT session_id, arg_max(CAST(8000 + seq % 5 * 1000 AS INTEGER), seq) FILTER (kind = 0) AS sample_rate, arg_max('pcm' || (seq % 3 * 16), seq) FILTER (kind = 1) AS audio_format,
+        arg_max(true, seq) FILTER (kind = 1) AS wait_null_answers, arg_max(seq % 8 = 0, seq) FILTER (kind = 0) AS do_dialogue, CAST(NULL AS BOOLEAN) AS do_punctuation, CAST(NULL AS VARCHAR) AS "channelName"
+    FROM rows WHERE kind < 3 GROUP BY session_id""")
+def session_options(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.lit("config").alias("kind"), F.expr(_CONFIG).cast("binary").alias("payload"))
+    return config.in_force(rows.filter("payload IS NOT NULL"))
+
+
+@query("model_by_key", """SELECT p_name || '_' || CAST(p_partkey AS VARCHAR) AS name, p_partkey * 333333 // 1048576 AS size_mb FROM part WHERE p_partkey = (SELECT max(p_partkey) FROM part WHERE position('.' IN p_name) = 0)""")
+def model_by_key(spark, sf_dir):
+    parts = d.table(spark, sf_dir, "part").filter(~F.contains(F.col("p_name"), F.lit(".")))
+    key = F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".bin"))
+    wanted = parts.agg(F.max_by(key, "p_partkey")).first()[0] or ""
+    listing = parts.select(F.to_json(F.array(F.struct(key.alias("Key"), (F.col("p_partkey") * 333333).alias("Size")))).alias("json"))
+    return files.model_named(listing, wanted)
+
+
+@query("stream_messages", """SELECT conv_id AS rec_id, role AS channel, turn AS msg_no, CAST(json_object('channel_name', role, 'silence', trim(coalesce(text, ''), ' ') = '', 'data', text, 'last_message', turn = max(turn) OVER (PARTITION BY conv_id)) AS VARCHAR) AS json FROM conversations WHERE text IS NOT NULL""")
+def stream_messages(spark, sf_dir):
+    last = F.col("msg_no") == F.max("msg_no").over(Window.partitionBy("rec_id"))
+    found = d.messages(spark, sf_dir).withColumn("last", last).filter("text IS NOT NULL")
+    return found.select("rec_id", "channel", "msg_no", sinks.message(F.col("channel"), F.col("text"), text.is_silent(F.col("text")), F.col("last")).alias("json"))
+
+
+@query("readable_protocols", rf"""WITH {_S80}, lines AS (SELECT *, CASE WHEN count(DISTINCT channel) OVER (PARTITION BY rec_id) > 1 THEN 'Спикер_' || channel || ': ' || trim(text) ELSE trim(text) END AS line FROM sentences),
+    dates AS (SELECT event_id AS rec_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS said_at FROM events)
+    SELECT rec_id, '**Дата:** ' || any_value(said_at) || chr(10) || chr(10) || string_agg(line || chr(10), '' ORDER BY start_ms, channel, sentence_no) AS body FROM lines JOIN dates USING (rec_id) GROUP BY rec_id""", "words")
+def readable_protocols(spark, sf_dir):
+    dates = d.table(spark, sf_dir, "events").select(F.col("event_id").alias("rec_id"), "ts")
+    return sinks.protocol(sinks.readable_lines(sentences.sentences(d.words(spark, sf_dir))).join(dates, "rec_id"), F.first("ts"))
+
+
+@query("last_messages", """SELECT conv_id AS rec_id, last(role ORDER BY turn, role) AS channel, max(turn) AS msg_no, last(text ORDER BY turn, role) AS text FROM conversations GROUP BY conv_id""")
+def last_messages(spark, sf_dir):
+    return timeline.last_messages(d.messages(spark, sf_dir))
+
+
+@query("best_tokens", """WITH placed AS (SELECT rec_id, word AS token, CAST(round_even(pos * 350 / 500.0::DOUBLE, 0) * 500 AS BIGINT) AS ts_ms, msg_no, pos FROM words),
+    n AS (SELECT rec_id, count(DISTINCT msg_no) AS trials FROM placed GROUP BY rec_id),
+    votes AS (SELECT rec_id, token, ts_ms, count(*) AS votes, round(count(*)::DOUBLE / any_value(trials), 4) AS conf, min((msg_no, pos)) AS seen FROM placed JOIN n USING (rec_id) GROUP BY rec_id, token, ts_ms)
+    SELECT rec_id, ts_ms, first(token ORDER BY votes DESC, seen) AS token, max(votes) AS votes, first(conf ORDER BY votes DESC, seen) AS conf FROM votes GROUP BY rec_id, ts_ms""", "words")
+def best_tokens(spark, sf_dir):
+    w = d.words(spark, sf_dir)
+    return tokens.best_tokens(w.select("rec_id", F.col("word").alias("token"), (F.col("pos") * 350).alias("ts_ms"), "msg_no", "pos"))
+
+
+@query("numbered_segments", """SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start_ms, seg_ord) - 1 AS merged_no, speaker, start_ms, end_ms, CAST(1 AS BIGINT) AS n_segments FROM segments WHERE end_ms - start_ms >= 150""", "segments")
+def numbered_segments(spark, sf_dir):
+    return diarize.merge_segments(diarize.long_enough(d.segments(spark, sf_dir)), merge=False)
+
+
+@query("replica_metadata", f"""WITH {_ASSIGNED}, {_RUNS}, {_FILLED}, named AS (SELECT * REPLACE (coalesce(speaker, 'unknown') AS speaker) FROM filled),
+    counts AS (SELECT rec_id, channel, msg_no, speaker, count(*) AS n_words FROM named GROUP BY rec_id, channel, msg_no, speaker)
+    SELECT c.*, length(text) AS n_chars, turn % 2 = 0 AS is_even FROM counts c JOIN conversations ON conv_id = c.rec_id AND role = channel AND turn = msg_no""", "words", "segments")
+def replica_metadata(spark, sf_dir):
+    known = d.messages(spark, sf_dir).withColumns({"n_chars": F.length("text").cast("long"), "is_even": F.col("msg_no") % 2 == 0})
+    found = diarize.replicas(diarize.fill_nearest(_assigned(spark, sf_dir)), max_pause_ms=1 << 40)
+    return diarize.with_metadata(found.select("rec_id", "channel", "msg_no", "speaker", "n_words"), known)
+
+
+@query("nested_words", "SELECT * FROM words", "words")
+def nested_words(spark, sf_dir):
+    """Words put into nested values, a map of channels, and taken out again."""
+    return nested.words_of_raw(nested.raw_of_words(d.words(spark, sf_dir)))
+
+
+@query("wav_headers", """SELECT event_id, true AS is_wav, event_id % 7 + 1 AS n_channels, 8000 * (event_id % 6 + 1) AS sample_rate, CASE WHEN event_id % 2 = 0 THEN 16 ELSE 32 END AS bits FROM events""")
+def wav_headers(spark, sf_dir):
+    """Headers written in their fixed places, little end first, and read again."""
+
+    def little(value, n):
+        digits = F.lpad(F.hex(value.cast("long")), 2 * n, "0")
+        return F.concat(*(F.substring(digits, 2 * (n - k) - 1, 2) for k in range(n)))
+
+    of = F.col("event_id")
+    body = F.concat(F.lit("52494646" + "00" * 18), little(of % 7 + 1, 2), little((of % 6 + 1) * 8000, 4), F.lit("00" * 6), little(F.when(of % 2 == 0, 16).otherwise(32), 2), F.lit("00" * 8))
+    return d.table(spark, sf_dir, "events").select("event_id", F.unhex(body).alias("content")).select("event_id", *(c.alias(k) for k, c in audio.wav_header().items()))
+
+
+@query("guarded_samples", """SELECT vec_id, true AS finite, round(list_sum(list_transform(embedding, lambda x: least(greatest(x::DOUBLE, -0.1), 0.1))), 5) AS level,
+    CAST(list_sum(list_transform(embedding, lambda x: CAST(round_even(x::DOUBLE * 32767, 0) AS INTEGER))) AS BIGINT) AS pcm FROM embeddings WHERE list_max(list_transform(embedding, lambda x: abs(x))) <= 1""")
+def guarded_samples(spark, sf_dir):
+    v = F.col("embedding")
+    quiet = d.table(spark, sf_dir, "embeddings").filter(F.array_max(F.transform(v, lambda x: F.abs(x))) <= 1)
+    level = F.aggregate(audio.clipped(v, -0.1, 0.1), F.lit(0.0), lambda a, x: a + x)
+    pcm = F.aggregate(audio.pcm16_values(v), F.lit(0).cast("long"), lambda a, x: a + x)
+    return quiet.select("vec_id", audio.finite(v).alias("finite"), F.round(level, 5).alias("level"), pcm.alias("pcm"))
+
+
+@query("label_silhouettes", """WITH v AS (SELECT vec_id // 50 AS rec_id, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-8)) AS e FROM embeddings),
+    d AS (SELECT a.rec_id, a.vec_id, a.label, b.label AS other, avg(CASE WHEN a.vec_id <> b.vec_id THEN 1 - list_dot_product(a.e, b.e) END) AS d FROM v a JOIN v b USING (rec_id) GROUP BY a.rec_id, a.vec_id, a.label, b.label),
+    s AS (SELECT rec_id, vec_id, max(d) FILTER (label = other) AS own, min(d) FILTER (label <> other) AS near FROM d GROUP BY rec_id, vec_id),
+    n AS (SELECT rec_id, count(*) AS n, count(DISTINCT label) AS k FROM v GROUP BY rec_id)
+    SELECT rec_id, n, CASE WHEN k >= 2 AND k < n THEN round(avg(CASE WHEN own IS NULL THEN 0 ELSE (near - own) / greatest(near, own) END), 5) ELSE 0.0::DOUBLE END AS silhouette FROM s JOIN n USING (rec_id) GROUP BY rec_id, n, k""")
+def label_silhouettes(spark, sf_dir):
+    calls = d.table(spark, sf_dir, "embeddings").withColumn("rec_id", F.floor(F.col("vec_id") / 50))
+    return embeddings.silhouettes(calls, "rec_id")
+
+
+@query("kept_raw_words", "SELECT * FROM words", "words")
+def kept_raw_words(spark, sf_dir):
+    """Without a dialogue the words are kept, whatever the options say of them."""
+    return transcribe(d.words(spark, sf_dir), PipelineOptions(keep_raw=False))["raw"]
 
 
 # Whole runs.
 
 
-@query("stream_sessions")
-def stream_sessions(spark, sf_dir):
+@query("diarized_sentences", f"""WITH {_ASSIGNED}, {_RUNS}, {_FILLED}, guard AS (SELECT rec_id FROM words GROUP BY rec_id HAVING count(DISTINCT channel) = 1),
+    spoken AS (SELECT * REPLACE (coalesce(speaker, 'unknown') AS channel) FROM filled SEMI JOIN guard USING (rec_id) UNION ALL BY NAME SELECT * FROM words ANTI JOIN guard USING (rec_id)),
+    {_S80.replace("FROM words)", "FROM spoken)")} SELECT * FROM sentences""", "words", "segments")
+def diarized_sentences(spark, sf_dir):
+    """Sentences by speaker in recordings of one channel, by channel in the others."""
+    w = d.words(spark, sf_dir)
+    return transcribe(w, PipelineOptions(do_diarization=True, do_dialogue=True), d.segments(spark, sf_dir))["sentences"]
+
+
+@query("session_durations", """SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(2000 * count(*) AS BIGINT) AS duration_ms, CAST(1 AS BIGINT) AS n_last, CAST(0 AS BIGINT) AS n_errors FROM events WHERE value IS NOT NULL GROUP BY user_id""")
+def session_durations(spark, sf_dir):
+    """What all messages of a session add up to: all its audio, one last message and no error."""
+    results = session.batch_sessions(_session_rows(spark, sf_dir, '{"config": {"sample_rate": 800, "wait_null_answers": true}}'))
+    return results.groupBy("session_id").agg(F.sum("duration_ms").alias("duration_ms"), F.count_if("last_message").alias("n_last"), F.count("error").alias("n_errors"))
+
+
+def _session_rows(spark, sf_dir, options: str = '{"config": {"sample_rate": 800}}'):
     """Sessions by user at 800 Hz: two seconds of tone per event, as loud as its value, and an end."""
     level = F.format_string("%04x", F.least(F.round(F.col("value") * 20).cast("int"), F.lit(30000)))
     tone = F.unhex(F.repeat(F.concat(F.substring(level, 3, 2), F.substring(level, 1, 2)), 1600))
     events = d.table(spark, sf_dir, "events").filter("value IS NOT NULL")
     sound = events.select(F.col("user_id").cast("string").alias("session_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), F.lit("bytes").alias("kind"), tone.alias("payload"))
-    starts = sound.select("session_id").distinct().select("session_id", F.lit(0).cast("long").alias("seq"), F.lit("config").alias("kind"), F.lit('{"config": {"sample_rate": 800}}').cast("binary").alias("payload"))
+    starts = sound.select("session_id").distinct().select("session_id", F.lit(0).cast("long").alias("seq"), F.lit("config").alias("kind"), F.lit(options).cast("binary").alias("payload"))
     ends = events.select(F.col("user_id").cast("string").alias("session_id")).distinct().select("session_id", F.lit((1 << 62)).alias("seq"), F.lit("eof").alias("kind"), F.lit(None).cast("binary").alias("payload"))
-    return session.batch_sessions(starts.union(sound).union(ends))
+    return starts.union(sound).union(ends)
+
+
+@query("stream_sessions")
+def stream_sessions(spark, sf_dir):
+    return session.batch_sessions(_session_rows(spark, sf_dir))
 
 
 @query("diarized_dialogue")

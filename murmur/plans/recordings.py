@@ -1,5 +1,8 @@
 """From audio files to words: decode, chunk at pauses, recognise, and place the words in time."""
 
+import wave
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -7,14 +10,30 @@ from pyspark.sql import functions as F
 
 from murmur.functions import audio
 from murmur.functions.labels import surface
-from murmur.functions.models import Models, frame_probabilities, recognise, word_labels
+from murmur.functions.models import FRAME, Models, cut_point, frame_probabilities, recognise, word_labels
 from murmur.operators.tokens import words_by_gap
 from murmur.options import PipelineOptions
-from murmur.streaming.session import FRAME, cut_point
 
 TOKENS = "path string, channel string, msg_no long, pos long, token string, ts_ms long, ok boolean"
 
 
+def by_file(files: DataFrame, of, schema: str, mono: bool = False, rate: int = audio.RATE) -> DataFrame:
+    """The rows (path, then what ``of`` yields for the samples of the file's channels) of WAV files (path, content).
+    A file is decoded and worked on in one task, so no samples are exchanged; files that can't be read give no rows."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        for part in parts:
+            for path, content in zip(part["path"], part["content"]):
+                try:
+                    found = audio.channels(content, mono, rate)
+                except (wave.Error, EOFError, ValueError):
+                    continue
+                yield pd.DataFrame([(path, *row) for row in of(found)], columns=names)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
 def tokens(files: DataFrame, options: PipelineOptions, models: Models = Models(), rate: int = audio.RATE) -> DataFrame:
     """Tokens of WAV files (path, content), in milliseconds from a file's start.
 
@@ -22,26 +41,24 @@ def tokens(files: DataFrame, options: PipelineOptions, models: Models = Models()
     are ``max_chunk_ms`` long and cut at the last pause; what lies behind the cut goes before the next. A chunk
     that can't be recognised is one row without a token and doesn't move the time on.
     """
-    decoded = audio.decode(files, options.make_mono, rate).filter("error IS NULL")
     size = options.max_chunk_ms * rate // 1000
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        model, multiplier, rows = models.built("recogniser"), options.speed_multiplier, []
-        for path, channel, samples in part.sort_values("channel")[["path", "channel", "samples"]].itertuples(index=False):
-            left, chunk_no, offset = np.asarray(samples, np.float32), 0, 0
+    def of(found: list[np.ndarray]) -> Iterator[tuple]:
+        model, voice, multiplier = models.built("recogniser"), models.built("voice"), options.speed_multiplier
+        for n, left in enumerate(found, 1):
+            chunk_no, offset = 0, 0
             while len(left):
-                cut = len(left) if len(left) <= size else max(FRAME, cut_point(left[:size], rate))
+                cut = len(left) if len(left) <= size else max(FRAME, cut_point(left[:size], rate, voice))
                 chunk, left = left[:cut], left[cut:]
                 try:
                     result, multiplier = recognise(model, chunk, rate, multiplier, options.do_speed_correction)
-                    rows += [(path, channel, chunk_no, k, t, offset + round(s * 1000), True) for k, (t, s) in enumerate(zip(result["tokens"], result["timestamps"]))]
+                    yield from ((f"channel_{n}", chunk_no, k, t, offset + round(s * 1000), True) for k, (t, s) in enumerate(zip(result["tokens"], result["timestamps"])))
                     offset += cut * 1000 // rate
                 except (ValueError, RuntimeError):
-                    rows.append((path, channel, chunk_no, None, None, None, False))
+                    yield f"channel_{n}", chunk_no, None, None, None, False
                 chunk_no += 1
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in TOKENS.split(", ")])
 
-    return decoded.groupBy("path").applyInPandas(run, TOKENS)
+    return by_file(files, of, TOKENS, options.make_mono, rate)
 
 
 def words(files: DataFrame, options: PipelineOptions, models: Models = Models(), rate: int = audio.RATE) -> DataFrame:
@@ -59,15 +76,12 @@ def successes(files: DataFrame, options: PipelineOptions, models: Models = Model
 def speech(files: DataFrame, models: Models = Models(), rate: int = audio.RATE) -> DataFrame:
     """Frames (rec_id, channel, frame_no, prob in hundredths) of WAV files, each channel in its order."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for path, channel, samples in part[["path", "channel", "samples"]].itertuples(index=False):
-            prob = frame_probabilities(models.built("voice"), np.asarray(samples, np.float32))
-            out.append(pd.DataFrame({"path": path, "channel": channel, "frame_no": np.arange(len(prob)), "prob": np.floor(prob * 100).astype(int)}))
-        return pd.concat(out)
+    def of(found: list[np.ndarray]) -> Iterator[tuple]:
+        for n, samples in enumerate(found, 1):
+            prob = frame_probabilities(models.built("voice"), samples)
+            yield from ((f"channel_{n}", k, p) for k, p in enumerate(np.floor(prob * 100).astype(int).tolist()))
 
-    decoded = audio.decode(files, rate=rate).filter("error IS NULL")
-    found = decoded.groupBy("path", "channel").applyInPandas(run, "path string, channel string, frame_no long, prob long")
+    found = by_file(files, of, "path string, channel string, frame_no long, prob long", rate=rate)
     return found.select(F.xxhash64("path", "channel").alias("rec_id"), "channel", "frame_no", "prob")
 
 

@@ -33,3 +33,9 @@ def catalog(listing: DataFrame, column: str = "json") -> DataFrame:
     entries = listing.select(F.explode(F.from_json(column, "array<struct<Key string, Size long>>")).alias("e"))
     models = entries.filter(F.col("e.Key").endswith(".onnx"))
     return models.select(F.substring_index("e.Key", ".", 1).alias("name"), F.floor(F.col("e.Size") / 1048576).cast("long").alias("size_mb")).orderBy("name")
+
+
+def model_named(listing: DataFrame, key: str, column: str = "json") -> DataFrame:
+    """(name, size_mb) of the first entry with that key in JSON lists [{"Key", "Size"}], whatever its ending, or no row."""
+    entries = listing.select(F.explode(F.from_json(column, "array<struct<Key string, Size long>>")).alias("e")).filter(F.col("e.Key") == key)
+    return entries.orderBy("e.Size").limit(1).select(F.substring_index("e.Key", ".", 1).alias("name"), F.floor(F.col("e.Size") / 1048576).cast("long").alias("size_mb"))

@@ -1,141 +1,227 @@
 """Streaming sessions: audio is buffered per session and flushed by length, and the rest at the end.
 
 Rows are (session_id, seq, kind, payload, ts). A ``config`` row holds JSON options, the last of which win; a
-``bytes`` row holds 16-bit PCM; an ``eof`` row ends its session. A flush happens once the buffer holds
-``max_ms`` of audio; it is cut at the last pause found from its end back to a third of its length, and what lies
-behind the cut is carried over.
+``bytes`` row holds PCM; an ``eof`` row ends its session. A flush happens once the buffer holds ``max_ms`` of audio;
+it is cut at the last pause found from its end back to a third of its length, and what lies behind the cut is
+carried over. The last message may hold the dialogue of all that the session said.
 """
 
+from __future__ import annotations
+
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from murmur.functions.audio import to_float
-
-FRAME = 512
-SCHEMA = "session_id string, chunk_no long, offset_ms long, duration_ms long, text string, silence boolean, last_message boolean, error string"
-_COLUMNS = ["session_id", "chunk_no", "offset_ms", "duration_ms", "text", "silence", "last_message", "error"]
-
-
-def loudness(samples: np.ndarray) -> np.ndarray:
-    """A stand-in for the speech model: a probability per frame from its mean level."""
-    frames = samples[: len(samples) // FRAME * FRAME].reshape(-1, FRAME)
-    return np.minimum(1, np.abs(frames).mean(1) * 20) if len(frames) else np.zeros(0)
-
-
-def describe(samples: np.ndarray, rate: int) -> str:
-    """A stand-in for the recogniser: a word per second of audible audio."""
-    seconds = np.array_split(samples, max(1, len(samples) // rate))
-    return " ".join(f"w{k}" for k, s in enumerate(seconds) if len(s) and np.abs(s).mean() > 0.01)
-
-
-def cut_point(samples: np.ndarray, rate: int, silence_s: float = 0.5) -> int:
-    """The sample to cut at: where, going back from the end to a third, ``silence_s`` of silence is complete."""
-    first = len(samples) // 3
-    prob = loudness(samples[first:])
-    need, run = int(silence_s / (FRAME / rate)), 0
-    for k in range(len(prob) - 1, -1, -1):
-        run = run + 1 if prob[k] < 0.5 else 0
-        if run >= need:
-            return first + k * FRAME
-    return first
+from murmur.functions.audio import resample, to_float, to_pcm16
+from murmur.functions.labels import surface_text
+from murmur.functions.models import FRAME, Models, cut_point, heard_words, recognise
+
+SCHEMA = "session_id string, chunk_no long, offset_ms long, duration_ms long, text string, silence boolean, last_message boolean, error string, dialogue string"
+_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Bytes of a sample by the names of audio formats.
+FORMATS = {"raw": 2, "pcm16": 2, "pcm32": 4}
+#: Silence behind the last audio, which a recogniser needs to hear the last word.
+PAD_MS = 1000
+
+
+@dataclass(frozen=True)
+class SessionOptions:
+    """How sessions are heard: audio of a flush, the rate that models expect (that of the stream, if not given), and
+    how long an abandoned session waits before it is flushed, or an ended one is remembered."""
+
+    max_ms: int = 30_000
+    rate: int | None = None
+    idle_ms: int = 600_000
+    percentile: float = 80.0
+    models: Models = field(default_factory=Models)
+
+
+@dataclass
+class State:
+    """What a session remembers besides its audio and words."""
+
+    sample_rate: int = 16_000
+    audio_format: str = "pcm16"
+    channel: str = "channel_1"
+    wait_null_answers: bool = False
+    do_dialogue: bool = False
+    do_punctuation: bool = False
+    chunk_no: int = 0
+    begun_ms: int = 0
+    samples: int = 0
+    multiplier: float = 1.0
+    ended: bool = False
+
+    def configure(self, found: dict) -> None:
+        """Take the known options of a message; a wrong one raises and changes nothing."""
+        new = {
+            "sample_rate": int(found.get("sample_rate") or self.sample_rate), "audio_format": str(found.get("audio_format", self.audio_format)), "channel": str(found.get("channelName", self.channel)),
+            **{k: bool(found.get(k, getattr(self, k))) for k in ("wait_null_answers", "do_dialogue", "do_punctuation")},
+        }
+        if new["sample_rate"] <= 0 or new["audio_format"] not in FORMATS:
+            raise ValueError(f"sample rate {new['sample_rate']}, audio format {new['audio_format']}")
+        self.__dict__.update(new)
+
+
+def sentences_of(words: list[tuple[str, int, int]], percentile: float) -> list[list[str]]:
+    """A session's words cut where a pause reaches the percentile of the differences between neighbouring ends."""
+    if len(words) < 2:
+        return [[w for w, *_ in words]] if words else []
+    starts, ends = (np.array([w[k] for w in words], float) for k in (1, 2))
+    cuts = np.flatnonzero(starts[1:] - ends[:-1] >= round(float(np.percentile(np.diff(ends), percentile)), 6)) + 1
+    return [list(part) for part in np.split(np.array([w for w, *_ in words], object), cuts)]
 
 
 class Session:
-    """The state of one session and what it does with rows in their order."""
-
-    def __init__(self, state: dict | None = None, buffer: bytes = b"", max_ms: int = 30_000):
-        self.state = {"rate": 16_000, "wait_null_answers": False, "chunk_no": 0, "offset_ms": 0} | (state or {})
-        self.buffer, self.max_ms, self.ended = buffer, max_ms, False
-
-    def _flush(self, session_id: str, payload: bytes, last: bool, error: str | None = None) -> Iterator[tuple]:
-        rate = self.state["rate"]
-        samples = to_float(payload, 2)
-        text = describe(samples, rate)
-        length = len(samples) * 1000 // rate
-        if text or last or self.state["wait_null_answers"]:
-            yield session_id, self.state["chunk_no"], self.state["offset_ms"], length, text, not text, last, error
-        self.state["chunk_no"] += 1
-        self.state["offset_ms"] += length
-
-    def take(self, session_id: str, kind: str, payload: bytes | None) -> Iterator[tuple]:
-        payload = bytes(payload or b"")
-        if self.ended:
+    """One session and what it does with rows in their order."""
+
+    def __init__(self, options: SessionOptions = SessionOptions(), state: dict | None = None, buffer: bytes = b"", words: list | None = None):
+        self.options, self.state, self.buffer = options, State(**(state or {})), buffer
+        self.words: list[tuple[str, int, int]] = words or []
+
+    def _row(self, text: str, duration: int = 0, last: bool = False, error: str | None = None, dialogue: str | None = None) -> tuple:
+        return self.state.chunk_no, self._now(), duration, text, not text, last, error, dialogue
+
+    def _rate(self) -> int:
+        return self.options.rate or self.state.sample_rate
+
+    def _now(self, more: int = 0) -> int:
+        """The time, in whole milliseconds, behind all samples so far and ``more``, so that durations add up."""
+        return self.state.begun_ms + (self.state.samples + more) * 1000 // self._rate()
+
+    def _flush(self, samples: np.ndarray, last: bool) -> Iterator[tuple]:
+        """Recognise samples. A chunk that fails is a row with its error and doesn't move the time on."""
+        s, rate, error = self.state, self._rate(), None
+        begin, text, said = self._now(), "", []
+        length = self._now(len(samples)) - begin
+        heard = np.append(samples, np.zeros(PAD_MS * rate // 1000, np.float32)) if last and len(samples) else samples
+        try:
+            if len(heard):
+                result, s.multiplier = recognise(self.options.models.built("recogniser"), heard, rate, s.multiplier)
+                said = heard_words(result["tokens"], result["timestamps"])
+                text = " ".join(w for w, *_ in said)
+        except (ValueError, RuntimeError) as e:
+            error = f"chunk: {e}"
+        if s.do_dialogue:
+            self.words += [(w, begin + a, begin + b) for w, a, b in said]
+        if text or last or error or s.wait_null_answers:
+            yield self._row(text, length, last, error, self._dialogue() if last and s.do_dialogue else None)
+        s.chunk_no += 1
+        s.samples += 0 if error else len(samples)
+
+    def _dialogue(self) -> str:
+        """A line for each sentence of all that was said, with case and marks if asked for."""
+        lines = []
+        for part in sentences_of(self.words, self.options.percentile):
+            labels = self.options.models.built("punctuation")(part) if self.state.do_punctuation else [1] * len(part)
+            lines.append(f"{self.state.channel}: {' '.join(map(surface_text, part, labels))}\n")
+        return "".join(lines)
+
+    def take(self, kind: str, payload: bytes | None) -> Iterator[tuple]:
+        """The result rows, without the session's id, of one row. Rows behind the end and of other kinds give none."""
+        payload, s = bytes(payload or b""), self.state
+        if s.ended:
             return
         if kind == "config":
             try:
                 found = json.loads(payload)
                 found = found.get("config", found)
-                self.state["rate"] = int(found.get("sample_rate", self.state["rate"]))
-                self.state["wait_null_answers"] = bool(found.get("wait_null_answers", self.state["wait_null_answers"]))
+                if int(found.get("sample_rate") or s.sample_rate) != s.sample_rate and not self.options.rate:
+                    if self.buffer:
+                        yield from self._flush(to_float(self.buffer, 2), False)
+                    self.buffer, s.begun_ms, s.samples = b"", self._now(), 0
+                s.configure(found)
             except (ValueError, AttributeError, TypeError) as e:
-                yield session_id, self.state["chunk_no"], self.state["offset_ms"], 0, "", True, False, f"config: {e}"
+                yield self._row("", error=f"config: {e}")
         elif kind == "bytes":
+            samples = to_float(payload, FORMATS[s.audio_format])
+            if self.options.rate or s.audio_format != "pcm16":
+                payload = to_pcm16(resample(samples, s.sample_rate, self._rate()))
             self.buffer += payload
-            while len(self.buffer) // 2 * 1000 >= self.max_ms * self.state["rate"]:
-                cut = max(FRAME, cut_point(to_float(self.buffer, 2), self.state["rate"])) * 2
-                head, self.buffer = self.buffer[:cut], self.buffer[cut:]
-                yield from self._flush(session_id, head, False)
+            rate = self._rate()
+            while len(self.buffer) // 2 * 1000 >= self.options.max_ms * rate:
+                samples = to_float(self.buffer, 2)
+                cut = max(FRAME, cut_point(samples, rate, self.options.models.built("voice")))
+                self.buffer = self.buffer[cut * 2 :]
+                yield from self._flush(samples[:cut], False)
         elif kind == "eof":
-            yield from self._flush(session_id, self.buffer, True)
-            self.buffer, self.ended = b"", True
+            yield from self._flush(to_float(self.buffer, 2), True)
+            self.buffer, self.words, s.ended = b"", [], True
 
 
 class SessionProcessor(StatefulProcessor):
-    """Sessions as a stateful operator; an abandoned session is flushed by a timer."""
+    """Sessions as a stateful operator. An abandoned session is flushed by a timer; an ended one is remembered for as
+    long, so that late rows give nothing."""
 
-    def __init__(self, max_ms: int = 30_000, idle_ms: int = 600_000):
-        self.max_ms, self.idle_ms = max_ms, idle_ms
+    def __init__(self, options: SessionOptions):
+        self.options = options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("session", "state string, buffer binary")
+        self.said = handle.getListState("said", "word string, start_ms long, end_ms long")
 
     def _load(self) -> Session:
         if not self.kept.exists():
-            return Session(max_ms=self.max_ms)
+            return Session(self.options)
         state, buffer = self.kept.get()
-        return Session(json.loads(state), bytes(buffer), self.max_ms)
+        return Session(self.options, json.loads(state), bytes(buffer), [tuple(w) for w in self.said.get()] if self.said.exists() else [])
+
+    def _save(self, session: Session, known: int) -> None:
+        self.kept.update((json.dumps(session.state.__dict__), session.buffer))
+        if session.state.ended:
+            self.said.clear()
+        elif len(session.words) > known:
+            self.said.appendList(session.words[known:])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        session, out = self._load(), []
+        session = self._load()
+        out, known = [], len(session.words)
         for row in pd.concat(list(rows)).sort_values("seq").itertuples():
-            out += session.take(key[0], row.kind, row.payload)
+            out += [(key[0], *r) for r in session.take(row.kind, row.payload)]
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        if session.ended:
-            self.kept.clear()
-        else:
-            self.kept.update((json.dumps(session.state), session.buffer))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        self._save(session, known)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.options.idle_ms)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         session = self._load()
-        out = list(session.take(key[0], "eof", None))
+        out = [(key[0], *r) for r in session.take("eof", None)]
         self.kept.clear()
+        self.said.clear()
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def sessions(stream: DataFrame, max_ms: int = 30_000, idle_ms: int = 600_000) -> DataFrame:
+def sessions(stream: DataFrame, options: SessionOptions = SessionOptions()) -> DataFrame:
     """Results of a stream of session rows. Needs the RocksDB state store."""
-    return stream.groupBy("session_id").transformWithStateInPandas(SessionProcessor(max_ms, idle_ms), SCHEMA, "append", "processingTime")
+    return stream.groupBy("session_id").transformWithStateInPandas(SessionProcessor(options), SCHEMA, "append", "processingTime")
+
 
+def batch_sessions(rows: DataFrame, options: SessionOptions = SessionOptions()) -> DataFrame:
+    """The results that the stream gives, from a finished table of rows.
 
-def batch_sessions(rows: DataFrame, max_ms: int = 30_000) -> DataFrame:
-    """The results that the stream gives, from a finished table of rows."""
+    Sessions are sorted in their partitions and read through in order, one row after the other, so that only the
+    state of one session is held, however long it is. Null ids are one session. An empty table gives none.
+    """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        session, out = Session(max_ms=max_ms), []
-        for row in part.sort_values("seq").itertuples():
-            out += session.take(row.session_id, row.kind, row.payload)
-        return pd.DataFrame(out, columns=_COLUMNS)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, of = None, None
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                if session is None or row.session_id != of:
+                    session, of = Session(options), row.session_id
+                out += [(of, *r) for r in session.take(row.kind, row.payload)]
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
-    return rows.select("session_id", "seq", "kind", "payload").groupBy("session_id").applyInPandas(run, SCHEMA)
+    ordered = rows.select("session_id", "seq", "kind", "payload").repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return ordered.mapInPandas(run, SCHEMA)

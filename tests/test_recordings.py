@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from murmur.functions import audio, models
 from murmur.operators import vad
 from murmur.options import PipelineOptions
-from murmur.plans import recordings
+from murmur.plans import diarization, recordings
 from murmur.sources import files
 
 
@@ -82,3 +82,22 @@ def test_speaker_vectors(spark):
     df = spark.createDataFrame([(spoken("1").tolist(),), (None,), ([0.0],)], "s array<float>")
     got = [x["v"] for x in df.select(models.speaker_vector(models.Models(), F.col("s")).alias("v")).collect()]
     assert np.linalg.norm(got[0]) == pytest.approx(1, abs=1e-3) and got[1] is None and np.linalg.norm(got[2]) == 0
+
+
+def test_speakers_of_files(spark, tmp_path):
+    rate = 16_000
+    low, high = (0.5 * np.sin(np.arange(4 * rate) * x).astype(np.float32) for x in (0.05, 0.9))
+    pause = np.zeros(2 * rate, np.float32)
+    (tmp_path / "one.wav").write_bytes(audio.write_wav([np.concatenate([low, pause, high, pause, low])]))
+    (tmp_path / "two.wav").write_bytes(audio.write_wav([low, high]))
+    (tmp_path / "odd.wav").write_bytes(b"no wav")
+
+    def plain():
+        return lambda features: np.array([1.0, 0.0])
+
+    files_ = files.recordings(spark, str(tmp_path))
+    found = diarization.speaker_segments(files_, PipelineOptions(num_speakers=2)).orderBy("start_ms").collect()
+    assert len({x["rec_id"] for x in found}) == 1 and len(found) >= 3
+    assert found[0]["start_ms"] < 200 and all(a["end_ms"] <= b["start_ms"] for a, b in zip(found, found[1:]))
+    one = diarization.speaker_segments(files_, models=models.Models(speaker=plain)).collect()
+    assert {x["speaker"] for x in one} == {"0"}
