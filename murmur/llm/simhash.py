@@ -446,8 +446,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = classes.count()
     if not total:
         return prints.select("id", "text_sha256", F.col("id").alias("component_id"))
-    picked = classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"]
+    picked = classes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE // 4).select("fp").toPandas()["fp"]
     sample = keys_of(np.frombuffer(b"".join(picked), np.uint64).reshape(-1, words), bits, tables)
+    del picked
     trees = spark.sparkContext.broadcast([fit_tree(sample[:, t], -(-total // LONG_LEAF)) for t in range(tables)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
