@@ -2,6 +2,7 @@
 
 from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +11,13 @@ from pyspark.sql import functions as F
 KEYS = ["rec_id", "channel", "msg_no", "pos"]
 
 
+@lru_cache(maxsize=200_000)
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def ratio(a: str, b: str) -> Column:
@@ -47,15 +53,23 @@ def without_echo(words: DataFrame, delta_ms: int = 900, similarity: float | None
     return words.join(heard, KEYS, "left_anti")
 
 
+#: Pairs of words that a worker has compared, by similarity asked for; so many at most before it starts anew.
+_compared: dict[float, dict[tuple[str, str], bool]] = {}
+_REMEMBERED = 500_000
+
+
 def _alike(similarity: float):
-    """Whether two words are at least so similar, each pair of words compared once."""
-    known: dict[tuple[str, str], bool] = {}
+    """Whether two words are at least so similar, each pair of words compared once in a worker."""
+    known = _compared.setdefault(similarity, {})
 
     def of(a: str, b: str) -> bool:
-        if (a, b) not in known:
+        found = known.get((a, b))
+        if found is None:
+            if len(known) >= _REMEMBERED:
+                known.clear()
             near = a == b or 2 * min(len(a), len(b)) >= similarity * (len(a) + len(b))
-            known[a, b] = near and SequenceMatcher(None, a, b).ratio() >= similarity
-        return known[a, b]
+            found = known[a, b] = near and SequenceMatcher(None, a, b).ratio() >= similarity
+        return found
 
     return of
 
@@ -111,10 +125,8 @@ def without_echo_greedy(words: DataFrame, delta_ms: int = 900, similarity: float
     columns = words.columns
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        alike, kept = _alike(similarity), []
-        for _, rows in part.sort_values(["channel", "msg_no", "pos"]).groupby("_stretch", sort=False):
-            kept.append(rows[surviving(*(rows[c].tolist() for c in ("channel", "msg_no", "word", "end_ms")), delta_ms, alike)])
-        return pd.concat(kept)[columns]
+        rows = part.sort_values(["channel", "msg_no", "pos"])  # stretches lie too far apart to meet
+        return rows[surviving(*(rows[c].tolist() for c in ("channel", "msg_no", "word", "end_ms")), delta_ms, _alike(similarity))][columns]
 
     shared = grouped.filter("NOT _alone").withColumn("_block", F.floor(F.col("_stretch") / 64))
     return shared.groupBy("rec_id", "_block").applyInPandas(run, words.schema).union(grouped.filter("_alone").select(*columns)).union(odd)
