@@ -71,6 +71,18 @@ def _gathered(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield _by_segment(np.concatenate(held))
 
 
+def _among(h: np.ndarray, c: np.ndarray, of_h: np.ndarray, of_c: np.ndarray) -> np.ndarray:
+    """Which pairs (h, c) are among the pairs (of_h, of_c)."""
+    order = np.argsort(of_h, kind="stable")
+    of_h, of_c = of_h[order], of_c[order]
+    at, end = np.searchsorted(of_h, h), np.searchsorted(of_h, h, "right")
+    found = np.zeros(len(h), bool)
+    while (left := at < end).any():
+        found[left] |= of_c[at[left]] == c[left]
+        at = at + 1
+    return found
+
+
 def _is_aligned(words: Words, n: int, block: int) -> np.ndarray:
     """Which of the first n words begin a reference block of their text."""
     text = np.searchsorted(words.first, np.arange(n), "right") - 1
@@ -116,8 +128,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its own text's blocks whole. The first scan indexes all blocks, the second probes the index with every
     rolling window of a block's width. The index is a filter of a fixed number of bits: where it is full it
     lets more windows through, never fewer. The third scan takes the windows around blocks that were hit, and
-    an exact grouped minimum over (64 + 32)-bit hashes of their words finds each window's smallest id; joined
-    back, adjacent windows extend to maximal repeats. A window is let through if the one block of its own text
+    a grouped minimum over (64 + 32)-bit hashes of their words' 64-bit hashes finds each window's smallest id; joined
+    back, windows that follow one another extend a hit to a maximal repeat. A window is let through if the one block of its own text
     that it holds occurs elsewhere. A frequent window is one row per document there, is pre-aggregated before the
     shuffle, and its partition may be split in the join. No pairs of documents are made. Whole copies of a text
     with a smaller id lose all their words and give no windows; digests find them beforehand.
@@ -182,22 +194,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = rows.join(copies, "id", "left_anti").select("id", "text").mapInArrow(windows, "h long, c int, id long")
     least = found.groupBy("h", "c").agg(F.min("id").alias("least"))
-    gone = found.join(least, ["h", "c"]).filter("id > least").groupBy("id").agg(F.collect_list("h").alias("gone"))
-    facts = gone.select("id", "gone", F.lit(False).alias("copy")).union(copies.select("id", F.array().cast("array<long>"), F.lit(True)))
+    gone = found.join(least, ["h", "c"]).filter("id > least").groupBy("id").agg(F.collect_list(F.struct("h", "c")).alias("gone"))
+    none = F.array().cast("array<struct<h long, c int>>")
+    facts = gone.select("id", "gone", F.lit(False).alias("copy")).union(copies.select("id", none, F.lit(True)))
 
     def cut(batches):
         for batch, words, data, offsets in _batches(batches):
-            h, _, ok = hash_windows(words)
+            h, check, ok = hash_windows(words)
             gone_of, copy, buffer = batch.column("gone"), batch.column("copy").to_pylist(), data.tobytes()
             texts, n_removed = [], []
-            lists, values = np.asarray(gone_of.offsets), np.asarray(gone_of.values)
+            lists, values = np.asarray(gone_of.offsets), gone_of.values
+            gone_h, gone_c = np.asarray(values.field("h")).view(np.uint64), np.asarray(values.field("c"))
             for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
                 spans = zip(words.starts[a:b].tolist(), words.ends[a:b].tolist())
                 covered = np.zeros(b - a + 1, np.int64)
                 if copy[k] and b - a >= window:
                     covered[0] = 1
                 elif lists[k + 1] > lists[k] and b - a >= window:
-                    at = np.flatnonzero(np.isin(h[a : b - window + 1], values[lists[k] : lists[k + 1]].view(np.uint64)))
+                    own = slice(a, b - window + 1)
+                    at = np.flatnonzero(_among(h[own], check[own], gone_h[lists[k] : lists[k + 1]], gone_c[lists[k] : lists[k + 1]]))
                     np.add.at(covered, at, 1)
                     np.add.at(covered, at + window, -1)
                 stays = (np.cumsum(covered)[:-1] == 0).tolist()
@@ -205,7 +220,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n_removed.append(b - a - sum(stays))
             yield pa.record_batch({"id": batch.column("id"), "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": np.diff(words.first).astype(np.int64), "n_removed": pa.array(n_removed, pa.int64())})
 
-    joined = rows.join(facts, "id", "left").select("id", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"), F.coalesce("copy", F.lit(False)).alias("copy"))
+    joined = rows.join(facts, "id", "left").select("id", "text", F.coalesce("gone", none).alias("gone"), F.coalesce("copy", F.lit(False)).alias("copy"))
     return joined.mapInArrow(cut, "id long, text string, n_words long, n_removed long").withColumnRenamed("id", id_col)
 
 
