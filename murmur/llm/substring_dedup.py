@@ -245,5 +245,15 @@ def brute_force(docs: list[tuple[int, str | None]], window: int = 13) -> list[tu
     return out
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op7_substring_dedup": r"""
+        WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM split WHERE len(ws) >= 13)),
+        least AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM windows JOIN least USING (win) WHERE least < doc_id),
+        words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM split),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)
+    """,
+}
 QUERIES = {"op7_substring_dedup": op7_substring_dedup}

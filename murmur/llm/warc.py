@@ -240,5 +240,14 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        digests AS (SELECT *, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS least FROM payloads)
+        SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+            list_reduce(list_transform(range(8), lambda k: list_reduce(list_transform(range(4), lambda j: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substring(hex, CAST(5 * k + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * j AS BIGINT)) % 32 + 1 AS INTEGER), 1)), lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest,
+            CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM digests
+    """,
+}
 QUERIES = {"op6_warc": op6_warc}

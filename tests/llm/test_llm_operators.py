@@ -778,6 +778,24 @@ def test_empty_warc(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
 
 
+# Those that SQL can express.
+
+
+def test_same_rows_as_duckdb(spark):
+    import duckdb
+
+    from murmur.llm import registry
+
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    assert len(registry.oracle_sql()) >= 3
+    for name, sql in registry.oracle_sql().items():
+        df, found = registry.queries()[name](spark, SF), con.execute(sql)
+        at = [[x[0] for x in found.description].index(c) for c in df.columns]
+        assert sorted((tuple(r[k] for k in at) for r in found.fetchall()), key=str) == sorted(map(tuple, df.collect()), key=str), name
+
+
 # The pipeline.
 
 
