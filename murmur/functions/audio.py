@@ -30,32 +30,66 @@ def to_pcm16(samples: np.ndarray) -> bytes:
     return np.clip(np.round(samples * 32767), -32768, 32767).astype("<i2").tobytes()
 
 
+def _low_pass(up: int, down: int, zeros: int = 16) -> np.ndarray:
+    """A windowed sinc at ``up`` times the rate, cut at the lower of both rates: one row of taps a phase."""
+    wide = max(up, down)
+    at = np.arange(-zeros * wide, zeros * wide + 1)
+    taps = np.sinc(at / wide) * np.kaiser(len(at), 8.6) * up / wide
+    taps = np.append(taps, np.zeros(-len(taps) % up))
+    return taps.reshape(-1, up).T[:, ::-1].astype(np.float32)
+
+
 def resample(samples: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
-    """Samples at another rate, by linear interpolation."""
+    """Samples at another rate, band-limited: each sample is a windowed sinc over its neighbours."""
     if rate <= 0 or to <= 0:
         raise ValueError("rates must be positive")
+    samples = np.asarray(samples, np.float32)
     if rate == to or not len(samples):
-        return np.asarray(samples, np.float32)
-    n = int(len(samples) * to / rate)
-    return np.interp(np.arange(n) * rate / to, np.arange(len(samples)), samples).astype(np.float32)
+        return samples
+    shared = np.gcd(rate, to)
+    up, down = to // shared, rate // shared
+    phases = _low_pass(up, down)
+    width = phases.shape[1]
+    centre = 16 * max(up, down)  # the filter's middle, in steps of the fine rate
+    padded = np.concatenate([np.zeros(width, np.float32), samples, np.zeros(width + 1, np.float32)])
+    out = np.empty(int(len(samples) * to / rate), np.float32)
+    near = np.lib.stride_tricks.sliding_window_view(padded, width)
+    for k in range(0, len(out), 1 << 15):
+        fine = np.arange(k, min(k + (1 << 15), len(out))) * down + centre
+        last = np.minimum(fine // up + width, len(padded) - 1)  # in padded, the newest sample that counts
+        out[k : k + (1 << 15)] = np.einsum("nk,nk->n", near[last - width + 1], phases[fine % up])
+    return np.clip(out, -1, 1)
 
 
 def stretch(samples: np.ndarray, rate: float) -> np.ndarray:
-    """Samples slowed down to ``rate`` of their speed, in (0, 1], by linear interpolation."""
+    """Samples slowed down to ``rate`` of their speed, in (0, 1], by cubic pieces through neighbouring samples."""
     if not 0 < rate <= 1:
         raise ValueError("rate lies in (0, 1]")
-    if not len(samples):
-        return np.asarray(samples, np.float32)
-    return np.clip(np.interp(np.linspace(0, len(samples) - 1, int(len(samples) / rate)), np.arange(len(samples)), samples), -1, 1).astype(np.float32)
+    samples = np.asarray(samples, np.float32)
+    if len(samples) < 2:
+        return samples
+    x = np.linspace(0, len(samples) - 1, int(len(samples) / rate))
+    k = np.minimum(x.astype(np.int64), len(samples) - 2)
+    t = (x - k).astype(np.float32)
+    before, a, b, behind = (samples[np.clip(k + d, 0, len(samples) - 1)] for d in (-1, 0, 1, 2))
+    m, n = (b - before) / 2, (behind - a) / 2  # slopes at a and b
+    out = a + t * (m + t * (3 * (b - a) - 2 * m - n + t * (2 * (a - b) + m + n)))
+    return np.clip(out, -1, 1).astype(np.float32)
 
 
 def high_pass(samples: np.ndarray, cutoff: float = 50.0, rate: int = RATE, order: int = 10) -> np.ndarray:
-    """A Butterworth high pass, applied to the spectrum's magnitudes."""
-    spectrum = np.fft.rfft(samples)
-    f = np.fft.rfftfreq(len(samples), 1 / rate)
-    with np.errstate(divide="ignore"):
-        gain = 1 / np.sqrt(1 + (cutoff / np.maximum(f, 1e-12)) ** (2 * order))
-    return np.fft.irfft(spectrum * gain, len(samples)).astype(np.float32)
+    """A causal Butterworth high pass of that order: the response of its bilinear transform, applied to the spectrum of
+    the samples and as much silence behind them, so that nothing comes round from the end."""
+    if not len(samples):
+        return np.asarray(samples, np.float32)
+    n = 2 * len(samples)
+    tangent = np.tan(np.pi * np.fft.rfftfreq(n))  # where the transform puts each frequency
+    edge = np.tan(np.pi * cutoff / rate)
+    poles = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.prod([1 / (edge / (1j * tangent) - p) for p in poles], 0)
+    gain[0] = 0
+    return np.fft.irfft(np.fft.rfft(samples, n) * gain, n)[: len(samples)].astype(np.float32)
 
 
 def fbank(samples: np.ndarray, rate: int = RATE, bins: int = 80, n_fft: int = 512, window_ms: int = 25, step_ms: int = 10) -> np.ndarray:

@@ -39,8 +39,8 @@ def speaker_vectors(files: DataFrame, models: Models = Models(), rate: int = aud
                 found = audio.channels(content, rate=rate)
                 if len(found) != 1:
                     continue
-                size = WINDOW * FRAME_MS * rate // 1000
-                pieces = [found[0][c["start_ms"] * rate // 1000 :][: max(1, c["length"] * rate // 1000)] for c in cuts]
+                size, voice = WINDOW * FRAME_MS * rate // 1000, audio.high_pass(found[0], rate=rate)
+                pieces = [voice[c["start_ms"] * rate // 1000 :][: max(1, c["length"] * rate // 1000)] for c in cuts]
                 made = vectors(model, [np.resize(x, size) if len(x) else None for x in pieces], rate)
                 rows = [(rec_id, k, c["start_ms"], c["start_ms"] + c["length"], v) for k, (c, v) in enumerate(zip(cuts, made)) if v is not None]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in VECTORS.split(", ")])

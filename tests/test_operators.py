@@ -243,7 +243,16 @@ def test_sample_kernels():
     x = tone(1)
     assert np.abs(audio.to_float(audio.to_pcm16(x), 2) - x).max() < 1e-4
     assert len(audio.resample(x, 16000, 8000)) == 8000 and len(audio.stretch(x, 0.8)) == 20000
-    assert np.abs(audio.high_pass(np.ones(16000, np.float32))).max() < 1e-3
+    sine = lambda hz, n, rate=16000: (0.5 * np.sin(2 * np.pi * hz * np.arange(n) / rate)).astype(np.float32)
+    for to in (8000, 22_050, 44_100):
+        y = audio.resample(sine(3000, 16_000), 16_000, to)
+        assert len(y) == to and np.abs(y - sine(3000, to, to))[300:-300].max() < 1e-3
+    assert np.abs(audio.resample(sine(7000, 16_000), 16_000, 8000))[300:-300].max() < 1e-3  # nothing folds back
+    assert np.abs(audio.stretch(sine(440, 16_000), 0.8) - sine(440, 20_000, 16_000 * 19_999 / 15_999)).max() < 1e-2
+    level = {hz: np.abs(audio.high_pass(sine(hz, 48_000))[24_000:]).max() / 0.5 for hz in (10, 50, 440)}
+    assert level[10] < 1e-3 and abs(level[50] - 0.5**0.5) < 1e-2 and abs(level[440] - 1) < 1e-3
+    assert np.abs(audio.high_pass(np.eye(1, 4000, 1000, dtype=np.float32)[0])[:1000]).max() < 1e-6  # nothing before its cause
+    assert all(len(f(np.zeros(0, np.float32))) == 0 for f in (lambda v: audio.resample(v, 8000), lambda v: audio.stretch(v, 0.5), audio.high_pass))
     assert audio.fbank(x).shape == (98, 80)
     with pytest.raises(ValueError):
         audio.to_float(b"abc", 3)
