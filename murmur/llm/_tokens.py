@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -22,10 +24,26 @@ _HIGH = np.zeros(256, bool)  # second bytes of the letters U+00C0 to U+00FF
 _HIGH[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 
 
+#: What a vocabulary file says if its words can be encoded by themselves, in small letters: text is lowered, and
+#: what is encoded are runs of letters, of marks and single digits, without the white space between.
+_LOWERED = ["NFC", "Replace", "Lowercase"]
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@cache
+def words_apart(path: str) -> bool:
+    """Whether the words of a text can be encoded one by one with a vocabulary file, as ``pre_tokens`` cuts them."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    lowered = [n.get("type") for n in (found.get("normalizer") or {}).get("normalizers", [])]
+    split = next(iter((found.get("pre_tokenizer") or {}).get("pretokenizers", [])), {})
+    return lowered == _LOWERED and split.get("pattern") == {"Regex": _RUNS} and split.get("behavior") == "Removed" and split.get("invert") is True
+
+
 def pre_tokens(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first pre-token of each text): the words, cut before closing marks that follow a letter.
 
@@ -119,6 +137,12 @@ class Encoder:
         at = self._look_up(data, starts, ends)
         return self._length[at].astype(np.int64)
 
+    def whole(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``ids``, with every text encoded as it is, for vocabularies whose words don't stand by themselves."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        upto = np.r_[0, np.cumsum([len(x) for x in ids], dtype=np.int64)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(upto[-1])), upto
+
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and where each text's begin (n + 1 entries)."""
         at = self._look_up(data, starts, ends)

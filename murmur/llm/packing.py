@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm._shared import slices, small_batches
-from murmur.llm._tokens import Encoder, default_path, pre_tokens
+from murmur.llm._tokens import Encoder, default_path, pre_tokens, words_apart
 from murmur.llm._words import utf8, words_of
 
 #: Pieces that are packed with one another at most, about; fixes the rows of a group, not their number.
@@ -69,17 +69,23 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Pieces of every document: id, start, length, ids_crc32, doc_tokens and, if asked for, ids (array of int).
 
     A document is its token ids and ``end_id``, so an empty or null text is one id. It is cut into full windows
-    of ``capacity`` ids and one rest.
+    of ``capacity`` ids and one rest. Distinct words are encoded once in a worker where the vocabulary file, a JSON
+    file of the tokenizers library, allows it, else whole texts are. Repeated rows and null ids are documents like
+    any. An empty table gives none.
     """
     small_batches(docs.sparkSession)
     path = vocabulary or default_path()
+    apart = words_apart(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in slices(batches):
-            data, offsets = utf8(batch.column("text"))
-            starts, ends, first = pre_tokens(data, words_of(data, offsets))
-            ids, upto = encoder.ids(data, starts, ends, first)
+            if apart:
+                data, offsets = utf8(batch.column("text"))
+                starts, ends, first = pre_tokens(data, words_of(data, offsets))
+                ids, upto = encoder.ids(data, starts, ends, first)
+            else:
+                ids, upto = encoder.whole(batch.column("text").to_pylist())
             row, start, crc, pieces = [], [], [], []
             for k, (a, b) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist())):
                 own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm._shared import slices, small_batches
-from murmur.llm._tokens import Encoder, default_path, pre_tokens
+from murmur.llm._tokens import Encoder, default_path, pre_tokens, words_apart
 from murmur.llm._words import utf8, words_of
 
 
@@ -87,12 +87,15 @@ def count_tokens(docs: DataFrame, edits: str | None = None, id_col: str = "doc_i
     outcome of the one before; positions count code points and are clipped to the text. Only the stretches that
     an edit touches and one on either side are encoded again; sums above them are updated.
 
-    Null and empty texts have no tokens and can be edited. A null edit list is empty; a null field of an edit
+    ``vocabulary`` must encode words by themselves (see ``words_apart``), else an error says so. Null and empty texts
+    have no tokens and can be edited. A null edit list is empty; a null field of an edit
     is 0 or the empty string. Null ids and repeated rows are counted like any. Other columns are not read. An
     empty table gives none.
     """
     small_batches(docs.sparkSession)
     path = vocabulary or default_path()
+    if not words_apart(path):
+        raise ValueError("edit-aware counts need a vocabulary that encodes words by themselves")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)

@@ -148,6 +148,20 @@ def test_packing_holds_every_id_once(spark, tokenizer, group):
         assert at <= 256
 
 
+def test_a_vocabulary_whose_words_do_not_stand_alone(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts, whole = odd_texts(34, 10), Tokenizer.from_file(path)
+    of = {}
+    for x in packing.cut_documents(docs_df(spark, texts), capacity=64, vocabulary=path).collect():
+        of.setdefault(x["doc_id"], []).append((x["start"], x["ids"]))
+    assert all([i for _, ids in sorted(of[k]) for i in ids] == whole.encode(t or "", add_special_tokens=False).ids + [1] for k, t in enumerate(texts))
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(docs_df(spark, texts), vocabulary=path)
+
+
 def test_best_fit_takes_the_tightest_window():
     r = rng(5)
     lengths = [r.randrange(1, 65) for _ in range(500)]
