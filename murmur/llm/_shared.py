@@ -17,6 +17,8 @@ __all__ = ["attach", "components", "discard", "materialise", "new_path", "qualif
 
 #: Bytes of text that a task takes in and looks at together; one longer text is taken alone.
 SLICE_BYTES = 1 << 19
+#: Edges up to which their nodes' minima, of 16 bytes each and two an edge at most, are broadcast.
+BROADCAST_EDGES = 100_000
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -72,12 +74,20 @@ def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
     return edges.sparkSession.read.schema("a long, b long").parquet(path), path, (seen.get.get("n"), seen.get.get("s"))
 
 
+def _minima(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """rows (a, b) with the minimum m of their a: by a broadcast where the edges, so the nodes, are few, else salted."""
+    if edges <= BROADCAST_EDGES:
+        return rows.join(F.broadcast(least), "a")
+    return attach(rows, least, ["a"], "b")
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Connected components of an edge list (a, b): one row (node, root) per node, root its smallest node.
 
     Large-star and small-star rounds in turn, each a grouped minimum and a join, until the edges no longer
     change; every round is written to the shared folder, in place of the one before. A hub's minimum is
-    pre-aggregated before the shuffle and goes back to the hub's edges through salted joins. Edges of a node to
+    pre-aggregated before the shuffle and goes back to the hub's edges through salted joins, or a broadcast while
+    there are BROADCAST_EDGES edges or fewer. Edges of a node to
     itself and repeated ones count for nothing, null ends are dropped; no edges give no rows.
     """
     spark = edges.sparkSession
@@ -87,10 +97,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = attach(both.filter("b > a"), least, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = _minima(both.filter("b > a"), least, seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        hung = attach(down, least, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        hung = _minima(down, least, seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         old, last = path, seen
         now, path, seen = _written(hung.union(least.select("a", F.col("m").alias("b"))).distinct())
         discard(spark, old)

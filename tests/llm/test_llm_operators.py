@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from murmur.llm import decontamination, exact_dedup, html_text, packing, sharding, simhash, substring_dedup, token_counts, toxicity, warc
+from murmur.llm import _shared, decontamination, exact_dedup, html_text, packing, sharding, simhash, substring_dedup, token_counts, toxicity, warc
 from murmur.llm._shared import components
 from murmur.llm._tokens import default_path
 from murmur.llm._words import utf8, words_of
@@ -489,7 +489,9 @@ def test_hot_rows_keep_their_columns_whatever_their_names(spark):
     assert out.columns == rows.columns and sorted((x["_nth"], x["row"]) for x in out.collect()) == [(3, 4), (7, 8)]
 
 
-def test_components_of_nothing_and_of_a_hub(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 10])
+def test_components_of_nothing_and_of_a_hub(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(_shared, "BROADCAST_EDGES", broadcast)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     edges = spark.range(1, 20_000).selectExpr("id AS a", "0L AS b")
     assert components(edges).selectExpr("count(*)", "max(root)").first() == (20_000, 0)
