@@ -25,7 +25,8 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def small_batches(spark: SparkSession) -> None:
     """Have Spark send Arrow batches of SLICE_BYTES at most. The setting is read when a plan runs, so it stays in the
     session; it bounds memory alone and changes no result."""
-    if int(spark.conf.get(_BATCH_BYTES).removesuffix("b")) > SLICE_BYTES:
+    now = spark.conf.get(_BATCH_BYTES).lower()
+    if not now.removesuffix("b").isdigit() or int(now.removesuffix("b")) > SLICE_BYTES:  # a setting with a unit is larger
         spark.conf.set(_BATCH_BYTES, str(SLICE_BYTES))
 
 
