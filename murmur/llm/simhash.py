@@ -21,9 +21,9 @@ from murmur.llm._words import mix, rolling, utf8, within, words_of
 SAMPLE, LEAF = 32_768, 4096
 #: Distinct long fingerprints a leaf should hold, the shortest key, the share of pairs at the bound that no key may
 #: meet, and bits that drop far pairs.
-LONG_LEAF, KEY_BITS, MISSED, CHECK = 16_384, 18, 0.0004, 128
+LONG_LEAF, KEY_BITS, MISSED, CHECK = 16_384, 18, 0.0004, 512
 #: Check bits that may differ beyond those expected at the bound: about three standard deviations and a half.
-SLACK = 14
+SLACK = 28
 #: Entries of one key from which on the nearest of them are taken together before pairs are looked at.
 DENSE = 64
 _SHINGLE = 0xC2B2AE3D27D4EB4F
@@ -454,33 +454,38 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "fp"):
             prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, words)
-            every, checks = keys_of(prints, bits, tables), prints[:, -CHECK // 64 :].view(np.int64)
+            every = keys_of(prints, bits, tables)
+            checks = np.ascontiguousarray(prints[:, -CHECK // 64 :]).view(f"V{CHECK // 8}")[:, 0]
             for t, tree in enumerate(trees.value):
                 for leaf, homes, visitors in tree.route(every[:, t], 1):
                     at = np.r_[homes, visitors]
                     some = batch.select([c for c in batch.schema.names if c != "fp"]).take(pa.array(at))
-                    yield pa.record_batch({"leaf": np.full(len(at), t << 32 | leaf, np.int64), "key": every[at, t].astype(np.int64), **dict(zip(some.schema.names, some.columns)), "home": np.arange(len(at)) < len(homes), "c0": checks[at, 0], "c1": checks[at, 1]})
+                    yield pa.record_batch({"leaf": np.full(len(at), t << 32 | leaf, np.int64), "key": every[at, t].astype(np.int64), **dict(zip(some.schema.names, some.columns)), "home": np.arange(len(at)) < len(homes), "checks": pa.FixedSizeBinaryArray.from_buffers(pa.binary(CHECK // 8), len(at), [None, pa.py_buffer(checks[at].tobytes())]).cast(pa.binary())})
 
     def arrays(table: pa.Table, *names: str) -> list[np.ndarray]:
         return [table.column(c).to_numpy() for c in names]
 
+    def checks_of(table: pa.Table) -> np.ndarray:
+        column = table.column("checks").cast(pa.binary(CHECK // 8)).combine_chunks()
+        return np.frombuffer(column.buffers()[1], np.uint64, len(column) * CHECK // 64, column.offset * CHECK // 8).reshape(-1, CHECK // 64)
+
     def spanning(table: pa.Table) -> pa.Table:
-        key, node, home, c0, c1 = arrays(table, "key", "node", "home", "c0", "c1")
-        a, b = similar_links(key.astype(np.uint64), np.stack([c0, c1], 1).view(np.uint64), node, home, bits, most)
+        key, node, home = arrays(table, "key", "node", "home")
+        a, b = similar_links(key.astype(np.uint64), checks_of(table), node, home, bits, most)
         return pa.table({"a": a, "b": b})
 
     def between(nodes: DataFrame, per: int) -> DataFrame:
         """(a, b, more) for nodes (fp, node, part): of every home at most ``per`` links between parts."""
 
         def search(table: pa.Table) -> pa.Table:
-            key, node, part, home, c0, c1 = arrays(table, "key", "node", "part", "home", "c0", "c1")
-            a, b, more = links_between_parts(key.astype(np.uint64), np.stack([c0, c1], 1).view(np.uint64), node, part, home, bits, most, per)
+            key, node, part, home = arrays(table, "key", "node", "part", "home")
+            a, b, more = links_between_parts(key.astype(np.uint64), checks_of(table), node, part, home, bits, most, per)
             return pa.table({"a": a, "b": b, "more": np.full(len(a), more)})
 
-        return nodes.mapInArrow(deal, "leaf long, key long, node long, part long, home boolean, c0 long, c1 long").groupBy("leaf").applyInArrow(search, "a long, b long, more boolean")
+        return nodes.mapInArrow(deal, "leaf long, key long, node long, part long, home boolean, checks binary").groupBy("leaf").applyInArrow(search, "a long, b long, more boolean")
 
     subsets = classes.select(F.explode("less").alias("digest"), F.col("node").alias("_of")).join(classes.select("digest", "node"), "digest")
-    dealt = classes.select("fp", "node").mapInArrow(deal, "leaf long, key long, node long, home boolean, c0 long, c1 long")
+    dealt = classes.select("fp", "node").mapInArrow(deal, "leaf long, key long, node long, home boolean, checks binary")
     links = dealt.groupBy("leaf").applyInArrow(spanning, "a long, b long").union(subsets.select(F.col("_of").alias("a"), F.col("node").alias("b")))
     links = materialise(links.filter("a <> b").distinct(), "links")
     loose = materialise(components(links).withColumnRenamed("root", "loose"), "loose")
