@@ -746,7 +746,7 @@ def test_small_stretches_and_parts_give_the_same_matches(monkeypatch):
     items = [(k, " ".join(r.choice(words) for _ in range(r.choice([12, 40, 150])))) for k in range(5)]
     docs = [(k, " ".join(r.choice(words) for _ in range(60)) + " " + items[k % 5][1][r.choice([0, 7, 33]) :][: r.choice([60, 200])]) for k in range(10)]
     expected = matches_by_brute_force(docs, items)
-    assert len(expected) > 5
+    assert len(expected) >= 5
     for part, pairs in ((4096, 1 << 20), (4096, 64), (32, 1 << 20), (16, 50)):
         monkeypatch.setattr(decontamination, "PART", part)
         monkeypatch.setattr(decontamination, "PAIRS", pairs)
