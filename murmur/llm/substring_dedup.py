@@ -194,17 +194,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = rows.join(copies, "id", "left_anti").select("id", "text").mapInArrow(windows, "h long, c int, id long")
     least = found.groupBy("h", "c").agg(F.min("id").alias("least"))
-    gone = found.join(least, ["h", "c"]).filter("id > least").groupBy("id").agg(F.collect_list(F.struct("h", "c")).alias("gone"))
-    none = F.array().cast("array<struct<h long, c int>>")
-    facts = gone.select("id", "gone", F.lit(False).alias("copy")).union(copies.select("id", none, F.lit(True)))
+    gone = found.join(least, ["h", "c"]).filter("id > least").groupBy("id").agg(F.collect_list("h").alias("gone"), F.collect_list("c").alias("gone_c"))  # side by side
+    none, none_c = F.array().cast("array<long>"), F.array().cast("array<int>")
+    facts = gone.select("id", "gone", "gone_c", F.lit(False).alias("copy")).union(copies.select("id", none, none_c, F.lit(True)))
 
     def cut(batches):
         for batch, words, data, offsets in _batches(batches):
             h, check, ok = hash_windows(words)
-            gone_of, copy, buffer = batch.column("gone"), batch.column("copy").to_pylist(), data.tobytes()
+            gone_of, gone_c_of, copy, buffer = batch.column("gone"), batch.column("gone_c"), batch.column("copy").to_pylist(), data.tobytes()
             texts, n_removed = [], []
-            lists, values = np.asarray(gone_of.offsets), gone_of.values
-            gone_h, gone_c = np.asarray(values.field("h")).view(np.uint64), np.asarray(values.field("c"))
+            lists, lists_c = np.asarray(gone_of.offsets), np.asarray(gone_c_of.offsets)
+            gone_h, gone_c = np.asarray(gone_of.values).view(np.uint64), np.asarray(gone_c_of.values)
             for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
                 spans = zip(words.starts[a:b].tolist(), words.ends[a:b].tolist())
                 covered = np.zeros(b - a + 1, np.int64)
@@ -212,7 +212,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     covered[0] = 1
                 elif lists[k + 1] > lists[k] and b - a >= window:
                     own = slice(a, b - window + 1)
-                    at = np.flatnonzero(_among(h[own], check[own], gone_h[lists[k] : lists[k + 1]], gone_c[lists[k] : lists[k + 1]]))
+                    at = np.flatnonzero(_among(h[own], check[own], gone_h[lists[k] : lists[k + 1]], gone_c[lists_c[k] : lists_c[k + 1]]))
                     np.add.at(covered, at, 1)
                     np.add.at(covered, at + window, -1)
                 stays = (np.cumsum(covered)[:-1] == 0).tolist()
@@ -220,7 +220,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n_removed.append(b - a - sum(stays))
             yield pa.record_batch({"id": batch.column("id"), "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": np.diff(words.first).astype(np.int64), "n_removed": pa.array(n_removed, pa.int64())})
 
-    joined = rows.join(facts, "id", "left").select("id", "text", F.coalesce("gone", none).alias("gone"), F.coalesce("copy", F.lit(False)).alias("copy"))
+    joined = rows.join(facts, "id", "left").select("id", "text", F.coalesce("gone", none).alias("gone"), F.coalesce("gone_c", none_c).alias("gone_c"), F.coalesce("copy", F.lit(False)).alias("copy"))
     return joined.mapInArrow(cut, "id long, text string, n_words long, n_removed long").withColumnRenamed("id", id_col)
 
 
