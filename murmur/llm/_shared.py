@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from murmur.sources.scratch import discard, materialise, new_path, qualified
 
-__all__ = ["attach", "components", "discard", "materialise", "new_path", "qualified", "salt_of", "slices", "small_batches", "spans"]
+__all__ = ["attach", "components", "discard", "materialise", "new_path", "qualified", "release", "salt_of", "slices", "small_batches", "spans"]
 
 #: Bytes of text that a task takes in and looks at together; one longer text is taken alone.
 SLICE_BYTES = 1 << 19
@@ -48,6 +49,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(a, b - a)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark keeps shuffle files and broadcasts of finished jobs until it is collected, and
+    a driver between long stages may not do so for itself."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def salt_of(column: str | Column, salts: int) -> Column:
     """A salt from a row's own id, the same in every attempt of a task."""
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")

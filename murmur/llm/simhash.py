@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import attach, components, materialise, slices, small_batches
+from murmur.llm._shared import attach, components, materialise, release, slices, small_batches
 from murmur.llm._words import mix, rolling, utf8, within, words_of
 
 #: Fingerprints that the partitioning tree is fitted on, and distinct fingerprints a leaf should hold.
@@ -465,6 +465,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def arrays(table: pa.Table, *names: str) -> list[np.ndarray]:
         return [table.column(c).to_numpy() for c in names]
 
+    del sample
+    release(spark)
+
     def checks_of(table: pa.Table) -> np.ndarray:
         column = table.column("checks").cast(pa.binary(CHECK // 8)).combine_chunks()
         return np.frombuffer(column.buffers()[1], np.uint64, len(column) * CHECK // 64, column.offset * CHECK // 8).reshape(-1, CHECK // 64)
@@ -516,6 +519,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         per *= 8
 
+    release(spark)
     nodes = classes.select("digest", "node", "least", "n").join(parts, "node", "left")
     roots = nodes.filter("part IS NOT NULL").groupBy("part").agg(F.min("least").alias("_least"))
     nodes = attach(nodes, roots, ["part"], "node")
