@@ -9,17 +9,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.sources.scratch import discard, materialise, new_path, qualified
 
-__all__ = ["attach", "components", "discard", "materialise", "new_path", "qualified", "release", "salt_of", "slices", "small_batches", "spans"]
+__all__ = ["attach", "components", "copies", "discard", "in_order", "materialise", "new_path", "qualified", "ranked", "release", "salt_of", "slices", "small_batches", "spans"]
 
 #: Bytes of text that a task takes in and looks at together; one longer text is taken alone.
 SLICE_BYTES = 1 << 19
 #: Edges up to which their nodes' minima, of 16 bytes each and two an edge at most, are broadcast.
 BROADCAST_EDGES = 100_000
+#: Copies of a row that are made at once.
+COPIES = 1 << 16
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -76,6 +78,28 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], salt: str, salts:
     return rows.join(pairs, met, "left").drop("_salt", "_s", *(f"_{x}_{k}" for k in keys for x in "kf"))
 
 
+def in_order(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
+    """df, written in ranges of ``order``, with piece (the range's number, ascending) and nth (a row's place in it, from 0).
+    Rows that are equal in ``order`` lie in one range. df is read twice, to draw the ranges and to deal the rows."""
+    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("nth", F.monotonically_increasing_id()), tag)
+    return placed.withColumns({"piece": F.shiftright("nth", 33).cast("int"), "nth": F.col("nth").bitwiseAND((1 << 33) - 1)})
+
+
+def ranked(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
+    """df with rank, its rows' places in ``order`` from 0 without gaps: ranges are sorted by themselves and start at the
+    number of rows in the ranges before, of which there is a row a range to broadcast."""
+    placed = in_order(materialise(df, tag), order, tag)
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("piece").agg(F.count("*").alias("n")).select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(starts), "piece").withColumn("rank", F.col("_before") + F.col("nth")).drop("piece", "nth", "_before")
+
+
+def copies(df: DataFrame, n: str, nth: str) -> DataFrame:
+    """Every row n times, numbered from 0 in nth, instead of n; COPIES of a row are made at once, however many there are."""
+    chunks = df.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(COPIES).cast("long"))))
+    return chunks.withColumn(nth, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col(n)) - 1))).drop(n, "_from")
+
+
 def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
     """Edges in the shared folder, where they lie, and a count and an order-free sum over them, taken while writing."""
     seen, path = Observation(), new_path(edges.sparkSession, "edges")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from murmur.llm import decontamination, exact_dedup, html_text, packing, sharding, simhash, substring_dedup, token_counts, toxicity, warc
+from murmur.llm import decontamination, exact_dedup, html_text, mixing, packing, prefix_trie, repair, sharding, simhash, substring_dedup, token_counts, toxicity, warc
 
-_MODULES = [exact_dedup, sharding, packing, html_text, simhash, substring_dedup, token_counts, toxicity, warc, decontamination]
+_MODULES = [exact_dedup, sharding, packing, html_text, simhash, substring_dedup, token_counts, toxicity, warc, decontamination, mixing, repair, prefix_trie]
 
 
 def queries() -> dict:
