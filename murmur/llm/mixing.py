@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmur.llm._shared import copies, materialise, ranked
 
 #: Bits of a random key, and rows of a cell (a range of keys of one source) about.
-KEY_BITS, CELL_ROWS = 60, 100_000
+KEY_BITS, CELL_ROWS = 60, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
