@@ -20,8 +20,9 @@ Q, PASSAGE, EDIT_RATE = 8, 64, 0.1
 WORD_BORDERS = 16
 #: Normalised bytes of benchmark text that one pass over the documents searches for; fixes what is broadcast at once.
 BLOCK_BYTES = 1 << 22
-#: Passages that begin in one part of an item, shared q-grams that are looked at together, and passages aligned at once.
-PART, PAIRS, ALIGNED = 4096, 1 << 20, 256
+#: Passages that begin in one part of an item, bytes of a stretch of a text, shared q-grams that are looked at together, and
+#: passages aligned at once.
+PART, STRETCH, PAIRS, LANES = 192, 128, 1 << 20, 4096
 _KEPT = np.zeros(256, bool)
 _KEPT[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -50,18 +51,29 @@ def qgrams(data: np.ndarray) -> np.ndarray:
     return np.ndarray(n, "<u8", np.ascontiguousarray(data).tobytes(), strides=(1,)) if n else np.empty(0, np.uint64)
 
 
-def fewest_edits(passages: np.ndarray, regions: np.ndarray) -> np.ndarray:
-    """Per row, the fewest edits that turn the passage into some substring of the region, by an alignment in a band:
-    the first byte of the passage may lie on any of the first ``width`` places of the region, where width is how
-    much longer a region is than a passage, and stays on those diagonals. -1 in a region is no byte."""
-    width = regions.shape[1] - passages.shape[1]
-    at = np.arange(width, dtype=np.int16)
-    row = np.zeros((len(passages), width), np.int16)
-    for i in range(passages.shape[1]):
-        now = row + (regions[:, i : i + width] != passages[:, i : i + 1])
-        np.minimum(now[:, :-1], row[:, 1:] + 1, out=now[:, :-1])  # a byte of the passage goes
-        row = np.minimum.accumulate(now - at, axis=1) + at  # bytes of the region go
-    return row.min(1)
+def fewest_edits(passages: np.ndarray, lengths: np.ndarray, regions: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Per passage, the fewest edits that turn it into some substring of its region, regions[which]: an alignment of 64 rows
+    at a time, whose vertical differences are the bits of two numbers that each byte of the region moves on. Passages
+    are padded to PASSAGE bytes, regions with zeros, which are no bytes of a text."""
+    one, n = np.uint64(1), len(passages)
+    equal = np.zeros((n, 256), np.uint64)
+    row = np.arange(n)
+    for k in range(PASSAGE):
+        equal[row, passages[:, k]] |= one << np.uint64(k)
+    equal[:, 0] = 0
+    bottom = (lengths - 1).astype(np.uint64)
+    up, down = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)  # where the next row has one more, one less
+    edits = lengths.astype(np.int64)
+    best = edits.copy()
+    for k in range(regions.shape[1]):
+        same = equal[row, regions[which, k]]
+        diagonal = (((same & up) + up) ^ up) | same | down
+        across_less, across_more = up & diagonal, down | ~(up | diagonal)
+        edits += ((across_more >> bottom) & one).astype(np.int64) - ((across_less >> bottom) & one).astype(np.int64)
+        across_more = across_more << one  # a match may begin anywhere
+        up, down = (across_less << one) | ~((same | down) | across_more), across_more & (same | down)
+        np.minimum(best, edits, out=best)
+    return best
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -102,6 +114,8 @@ class Index:
         self.part, self.place = part[order].astype(np.int32), place[order].astype(np.int32)
         self.grams, rank = np.unique(grams[order], return_inverse=True)
         self.key = rank * np.int64(max(1, len(own))) + self.part
+        self.many = np.bincount(rank, minlength=len(self.grams))
+        self.pairs = self.lanes = 0  # work so far: shared q-grams looked at, passages aligned
         self.bits = max(20, min(24, (4 * len(self.grams)).bit_length()))
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[self._cell(np.r_[self.grams, np.array([*self.short], np.uint64)])] = True
@@ -126,7 +140,7 @@ class Index:
         if len(at) and len(self.grams):
             rank = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
             same = self.grams[rank] == grams[at]
-            _Search(self, data, offsets, at[same], text[same], rank[same], found).run(0, int(same.sum()), 0, len(self.parts))
+            _Search(self, data, offsets, found).run(at[same], text[same], rank[same])
         return [(t, i, e) for (t, i), e in sorted(found.items())]
 
     def _find_short(self, column, data, offsets, grams, at, text, found) -> None:
@@ -141,99 +155,122 @@ class Index:
 
 
 class _Search:
-    """Q-grams that a batch of texts shares with an index, from the first text's to the last's."""
-
-    def __init__(self, index: Index, data: np.ndarray, offsets: np.ndarray, at: np.ndarray, text: np.ndarray, rank: np.ndarray, found: dict):
-        self.index, self.data, self.offsets, self.at, self.text, self.rank, self.found = index, data, offsets, at, text, rank, found
-        self.reach = PASSAGE + 2 * index.most + Q
-        self.seen: dict[int, set] = {}
-
-    def run(self, a: int, b: int, low: int, high: int) -> None:
-        """Search shared q-grams a to b in parts low to high. Where these meet more than PAIRS times, they are looked at
-        text by text, then stretch by stretch, each as long as a passage reaches over, then by part; what a text
-        repeats is looked at once."""
-        index, n = self.index, len(self.index.parts)
-        if a >= b or low >= high:
-            return
-        one = self.text[a] == self.text[b - 1]
-        if one and all(self.found.get((int(self.text[a]), k)) == 0 for k in set(index.item[low:high].tolist())):
-            return
-        key = self.rank[a:b] * np.int64(n)
-        first, last = np.searchsorted(index.key, key + low), np.searchsorted(index.key, key + high)
-        if (last - first).sum() <= PAIRS:
-            return self.look(a, b, first, last - first)
-        if not one:
-            middle = a + int(np.searchsorted(self.text[a:b], self.text[(a + b) // 2]))
-            middle = middle if middle > a else a + int(np.searchsorted(self.text[a:b], self.text[a], "right"))
-            self.run(a, middle, low, high)
-            self.run(middle, b, low, high)
-        elif self.at[b - 1] - self.at[a] > 3 * self.reach:
-            middle = (self.at[a] + self.at[b - 1]) // 2
-            self.run(a, a + int(np.searchsorted(self.at[a:b], middle + self.reach)), low, high)
-            self.run(a + int(np.searchsorted(self.at[a:b], middle)), b, low, high)
-        elif not self.known(a, b, low, high):
-            if high - low == 1:
-                return self.look(a, b, first, last - first)
-            self.run(a, b, low, (low + high) // 2)
-            self.run(a, b, (low + high) // 2, high)
-
-    def known(self, a: int, b: int, low: int, high: int) -> bool:
-        """Whether the text has had the same bytes here, with all around that an alignment may reach."""
-        t, begin, end = int(self.text[a]), int(self.at[a]) - self.reach, int(self.at[b - 1]) + Q + self.reach
-        x, y = max(begin, int(self.offsets[t])), min(end, int(self.offsets[t + 1]))
-        key, seen = (low, high, x - begin, end - y, self.data[x:y].tobytes()), self.seen.setdefault(t, set())
-        return key in seen or seen.add(key) is not None
-
-    def look(self, a: int, b: int, first: np.ndarray, n: np.ndarray) -> None:
-        """Count shared q-grams in bands of diagonals of two widths, each a width further, one of which holds any
-        budget + 1 diagonals; align what reaches the count of a passage."""
+    """The search of an index's passages in the texts of a batch.
+
+    Texts are looked at in stretches of STRETCH bytes, each with what a passage that begins there reaches over. A stretch
+    that recurs, in one text or several, is searched once; so are the equal parts of an item, and passages that a part
+    repeats. So texts that repeat themselves cost as much as one of their periods.
+    """
+
+    def __init__(self, index: Index, data: np.ndarray, offsets: np.ndarray, found: dict):
+        self.index, self.data, self.offsets, self.found = index, data, offsets, found
+        self.reach = PASSAGE + index.most
+
+    def run(self, at: np.ndarray, text: np.ndarray, rank: np.ndarray) -> None:
+        """Search from the shared q-grams, in their order: places, texts and q-grams by number."""
+        block = (at - self.offsets[text]) // STRETCH
+        hits, of = [np.arange(len(at))], [block]
+        for back in range(1, -(-self.reach // STRETCH) + 1):  # what a stretch reaches over
+            inside = np.flatnonzero((block >= back) & (at - self.offsets[text] < (block - back + 1) * STRETCH + self.reach))
+            hits.append(inside)
+            of.append(block[inside] - back)
+        hits, of = np.concatenate(hits), np.concatenate(of)
+        order = np.lexsort((hits, of, text[hits]))
+        hits, of = hits[order], of[order]
+        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (text[hits][1:] != text[hits][:-1])])
+        ends = np.r_[new[1:], len(hits)]
+        enough = ends - new >= self.index.least
+        self.regions: list[bytes] = []
+        self.texts: list[set[int]] = []
+        known: dict[tuple[int, bytes], int] = {}
+        held, size = [], 0
+        for a, b in zip(new[enough].tolist(), ends[enough].tolist()):
+            t = int(text[hits[a]])
+            low, high = int(self.offsets[t]), int(self.offsets[t + 1])
+            begin = low + int(of[a]) * STRETCH
+            x, y = max(low, begin - self.reach), min(high, begin + STRETCH + self.reach + Q)
+            key = (begin - x, self.data[x:y].tobytes())
+            if key in known:
+                self.texts[known[key]].add(t)
+                continue
+            known[key] = len(self.regions)
+            self.regions.append(key[1])
+            self.texts.append({t})
+            own = hits[a:b]
+            held.append((known[key], at[own] - x, rank[own]))
+            size += int(self.index.many[rank[own]].sum())
+            if size > PAIRS:
+                self.look(held)
+                held, size = [], 0
+        if held:
+            self.look(held)
+
+    def look(self, held: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Look at stretches (number, places of q-grams in it, q-grams), in as many turns as the parts of items need."""
+        stretch, where, rank = np.repeat([k for k, *_ in held], [len(w) for _, w, _ in held]), np.concatenate([w for _, w, _ in held]), np.concatenate([r for *_, r in held])
+        todo = [(0, len(self.index.parts))]
+        while todo:
+            low, high = todo.pop()
+            key = rank * np.int64(len(self.index.parts))
+            first, last = np.searchsorted(self.index.key, key + low), np.searchsorted(self.index.key, key + high)
+            if (last - first).sum() > 2 * PAIRS and high - low > 1:
+                todo += [(low, (low + high) // 2), ((low + high) // 2, high)]
+            else:
+                self.align(self.passages(stretch, where, first, last - first))
+
+    def passages(self, stretch: np.ndarray, where: np.ndarray, first: np.ndarray, n: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """By stretch and part, which passages reach the count of shared q-grams in a band of diagonals. Bands have two
+        widths, each a width further, one of which holds any budget + 1 diagonals."""
         index, width = self.index, self.index.width
         post = _ranges(first, n)
+        index.pairs += len(post)
+        out: dict[tuple[int, int], np.ndarray] = {}
         if len(post) < index.least:
-            return
-        part, place, where, text = index.part[post].astype(np.int64), index.place[post], np.repeat(self.at[a:b], n), np.repeat(self.text[a:b], n)
+            return out
+        part, place, stretch, where = index.part[post].astype(np.int64), index.place[post], np.repeat(stretch, n), np.repeat(where, n)
         band = (where - place + _ZERO) // width
         span = int(band.max()) + 2
-        key = ((text - text[0]) * span + band) * np.int64(len(index.parts)) + part
+        key = (stretch * span + band) * np.int64(len(index.parts)) + part
         key, place = np.r_[key, key - len(index.parts)], np.r_[place, place]
         order = np.lexsort((place, key))
         key, place = key[order], place[order]
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[new[1:], len(key)]
-        for x, y in zip(new[ends - new >= index.least].tolist(), ends[ends - new >= index.least].tolist()):
+        enough = ends - new >= index.least
+        for x, y in zip(new[enough].tolist(), ends[enough].tolist()):
             rest, k = divmod(int(key[x]), len(index.parts))
-            t, band_ = divmod(rest, span)
-            t, item = t + int(text[0]), int(index.item[k])
-            if self.found.get((t, item)) == 0:
-                continue
-            length, budget, least = index.rules[k]
+            length, _, least = index.rules[k]
             places = np.unique(place[x:y])
             starts = np.arange(max(0, int(places[0]) - length + Q), min(len(index.parts[k]) - length, int(places[-1])) + 1)
             shared = np.searchsorted(places, starts + length - Q, "right") - np.searchsorted(places, starts)
             if len(starts := starts[shared >= least]):
-                edits = self.edits(t, item, index.parts[k], starts, length, budget, band_ * width - _ZERO)
-                if edits <= budget:
-                    self.found[t, item] = min(edits, self.found.get((t, item), edits))
-
-    def edits(self, t: int, item: int, part: np.ndarray, starts: np.ndarray, length: int, budget: int, low: int) -> int:
-        """The fewest edits of the passages that begin at ``starts``, on diagonals from low on; equal passages and
-        regions are aligned once a text."""
-        begin, end, seen, best = int(self.offsets[t]), int(self.offsets[t + 1]), self.seen.setdefault(~t, set()), budget + 1
-        for k in range(0, len(starts), ALIGNED):
-            some = starts[k : k + ALIGNED, None]
-            at = some + low - budget + np.arange(length + 2 * (self.index.width + budget) + 1)
-            regions = np.where((at >= begin) & (at < end), self.data[np.clip(at, begin, end - 1)], -1).astype(np.int16)
-            passages = part[some + np.arange(length)].astype(np.int16)
-            new = []
-            for n, both in enumerate(np.concatenate([passages, regions], 1)):
-                if (key := (item, both.tobytes())) not in seen:
-                    seen.add(key)
-                    new.append(n)
-            if new:
-                best = min(best, int(fewest_edits(passages[new], regions[new]).min()))
-            if best == 0:
-                break
-        return best
+                out.setdefault((rest // span, k), np.zeros(PART, bool))[starts] = True
+        return out
+
+    def align(self, found: dict[tuple[int, int], np.ndarray]) -> None:
+        """Align passages with their stretches, LANES at a time; one that a part repeats once."""
+        lanes: list[tuple[int, int, bytes]] = []
+        for (s, k), starts in found.items():
+            length, own = self.index.rules[k][0], self.index.parts[k].tobytes()
+            lanes += [(s, k, x) for x in dict.fromkeys(own[a : a + length] for a in np.flatnonzero(starts).tolist())]
+            if len(lanes) >= LANES:
+                self._align(lanes)
+                lanes = []
+        if lanes:
+            self._align(lanes)
+
+    def _align(self, lanes: list[tuple[int, int, bytes]]) -> None:
+        self.index.lanes += len(lanes)
+        number = {s: n for n, s in enumerate(dict.fromkeys(s for s, *_ in lanes))}
+        size = max(len(self.regions[s]) for s in number)
+        regions = np.frombuffer(b"".join(self.regions[s].ljust(size, b"\0") for s in number), np.uint8).reshape(-1, size)
+        passages = np.frombuffer(b"".join(x.ljust(PASSAGE, b"\0") for *_, x in lanes), np.uint8).reshape(-1, PASSAGE)
+        edits = fewest_edits(passages, np.array([len(x) for *_, x in lanes]), regions, np.array([number[s] for s, *_ in lanes]))
+        for (s, k, _), e in zip(lanes, edits.tolist()):
+            if e <= self.index.rules[k][1]:
+                item = int(self.index.item[k])
+                for t in self.texts[s]:
+                    self.found[t, item] = min(e, self.found.get((t, item), e))
 
 
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Index]:
@@ -257,8 +294,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Texts are compared in lower case without ASCII marks and white space. A passage of n bytes within e edits
     shares n - Q + 1 - Q * e q-grams with the document on e + 1 neighbouring diagonals; bands of diagonals
-    overlap so that one holds them all, and only passages that reach the count in a band are aligned. Where
-    repetitive texts share too many q-grams to be held at once, stretches of them are looked at one by one.
+    overlap so that one holds them all, and only passages that reach the count in a band are aligned. Stretches of
+    texts, parts of items and passages that repeat are looked at once.
 
     The benchmark is the query set, searched for in blocks of bounded size: each block's index goes to the tasks
     and all documents are read against it, whole. Items with a null id are searched for as any and give a null item.
