@@ -36,8 +36,9 @@ _SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search f
 
 #: Names that boxes have besides those words, and what is no part of an article inside one.
 _SKIPPED_NAMES = frozenset("site-header page-header site-footer page-footer main-menu main-nav site-nav main-navigation site-navigation left-sidebar right-sidebar widget-area".split())
-_INSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comments disqus respond share sharing newsletter subscribe signup breadcrumb breadcrumbs pagination pager sidebar navbar".split())
-_ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored".split())
+_INSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments commentlist disqus respond reply replies popup modal overlay share sharing social newsletter subscribe signup breadcrumb breadcrumbs pagination pager sidebar navbar adsbygoogle".split())
+_INSIDE_NAMES = frozenset("related related-posts related-articles related-stories related-links related-content related-topics related-news related-reading recommended promo promotion teaser teasers".split())
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored adsbygoogle".split())
 
 
 def _kind(tag: str, attributes: str, in_main: bool) -> str | int | None:
@@ -45,7 +46,8 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str | int | None:
     element (1), or a main element (2).
 
     A word counts as a whole class name or id or as its whole leading part. Inside an article only what can't be
-    the article's goes, and of paragraphs and inline elements adverts alone.
+    the article's goes: reader comments, adverts, share bars, boxes of other articles by their whole names, and cards of
+    other articles; of paragraphs and inline elements adverts alone. A header inside an article is the article's own.
     """
     if tag in _SKIPPED:
         return 1 if tag == "form" else "skip"
@@ -56,12 +58,12 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str | int | None:
     words = {*names, *(re.split(r"[^a-z0-9]+", n)[0] for n in names)}
     if "hidden" in found or found.get("aria-hidden") == "true":
         return "skip"
-    if tag == "article" and words & _SKIPPED_ARTICLES:
+    if tag == "article" and (words & _SKIPPED_ARTICLES or in_main and words & {"card", "cards"}):
         return "skip"
     if tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody":
         return "main"
     if in_main:
-        named = bool(words & (_ADVERTS if tag == "p" or tag in _INLINE else _INSIDE_WORDS))
+        named = bool(words & _ADVERTS if tag == "p" or tag in _INLINE else words & _INSIDE_WORDS or _INSIDE_NAMES.intersection(names))
     else:
         named = tag == "header" or bool(words & (_SKIPPED_WORDS | _SKIPPED_NAMES | {"header"}))
     if named or found.get("role") in _SKIPPED_ROLES:
