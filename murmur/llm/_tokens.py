@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 
-from murmur.llm._words import Words, hash_ranges
+from murmur.llm._words import Words, distinct
 
 #: Pre-tokens that a worker remembers at most before it starts anew.
 REMEMBERED = 500_000
@@ -122,8 +122,7 @@ class Encoder:
         if b"<|" not in buffer:
             data = _SMALL[data]
             buffer = data.tobytes()
-        hashes = hash_ranges(data, starts, ends)
-        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        one, which = distinct(data, starts, ends)
         if len(self._index) + len(one) > REMEMBERED:
             self._forget()
         parts = [buffer[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]

@@ -6,14 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: The bytes that separate words: space and 0x09 to 0x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_R = 0x9E3779B97F4A7C15
-_R_INVERSE = pow(_R, -1, 1 << 64)
-#: Bytes hashed at once; bounds the scratch arrays, not the texts.
-_STRETCH = 1 << 20
+#: Bits of the first bytes of an eight-byte number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -32,9 +31,6 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP, _DOWN = powers(_R, _STRETCH), powers(_R_INVERSE, _STRETCH)
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A finaliser that spreads 64-bit values."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
@@ -64,30 +60,51 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(starts, ends, hash_ranges(data, starts, ends), np.searchsorted(starts, offsets))
 
 
+def _both_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, first eight bytes, last eight bytes) of each range as numbers; the last ones are 0 for ranges of eight bytes
+    or fewer. Ranges of up to 16 bytes that agree in all three are equal."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[8 : len(data) + 8] = data
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+    n = ends - starts
+    return n, eight[starts + 8] & _FIRST[np.minimum(n, 8)], np.where(n > 8, eight[ends], np.uint64(0))
+
+
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range data[start:end]; ranges ascend and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    k = 0
-    while k < len(starts):
-        at = int(starts[k])
-        upto = max(k + 1, int(np.searchsorted(ends, at + _STRETCH, "right")))
-        stop = int(ends[upto - 1])
-        if stop - at > _STRETCH:  # one range longer than a stretch
-            value = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for x in range(at, stop, _STRETCH):
-                    part = data[x : min(stop, x + _STRETCH)].astype(np.uint64) + np.uint64(1)
-                    value = mix(np.array([value + (part * _UP[: len(part)]).sum(dtype=np.uint64)], np.uint64), 7)[0]
-            out[k] = value
-        else:
-            sums = np.zeros(stop - at + 1, np.uint64)
-            np.cumsum((data[at:stop].astype(np.uint64) + np.uint64(1)) * _UP[: stop - at], out=sums[1:])
-            a, b = starts[k:upto] - at, ends[k:upto] - at
-            out[k:upto] = mix((sums[b] - sums[a]) * _DOWN[a] + (b - a).astype(np.uint64))
-        k = upto
+    """A 64-bit hash of each byte range data[start:end]: ranges of up to 16 bytes are mixed as numbers, which keeps those of up to
+    eight apart for each length, longer ones are XXH64."""
+    n, head, tail = _both_ends(data, starts, ends)
+    out = mix(head ^ mix(tail + mix(n.astype(np.uint64))))
+    far = np.flatnonzero(n > 16)
+    if len(far):
+        view = memoryview(np.ascontiguousarray(data))
+        out[far] = np.fromiter((xxhash.xxh64_intdigest(view[a:b]) for a, b in zip(starts[far].tolist(), ends[far].tolist())), np.uint64, len(far))
     return out
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(one range of each distinct one, which of these each range is), compared by their bytes: where hashes agree, lengths, both
+    ends and the bytes between are looked at, and ranges that differ from the first of their hash are told apart one by one."""
+    _, one, which = np.unique(hash_ranges(data, starts, ends) if hashes is None else hashes, return_index=True, return_inverse=True)
+    n, head, tail = _both_ends(data, starts, ends)
+    like = one[which]
+    other = (n != n[like]) | (head != head[like]) | (tail != tail[like])
+    far = np.flatnonzero((n > 16) & ~other & (like != np.arange(len(n))))
+    view = memoryview(np.ascontiguousarray(data))
+    other[[k for k, m in zip(far.tolist(), like[far].tolist()) if view[starts[k] : ends[k]] != view[starts[m] : ends[m]]]] = True
+    if other.any():
+        more: dict[bytes, int] = {}
+        added = []
+        for k in np.flatnonzero(other).tolist():
+            word = data[starts[k] : ends[k]].tobytes()
+            if word not in more:
+                more[word] = len(one) + len(added)
+                added.append(k)
+            which[k] = more[word]
+        one = np.r_[one, added]
+    return one, which
+
+
 def rolling(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
     """A hash of every ``width`` consecutive word hashes (len - width + 1 of them)."""
     n = len(hashes) - width + 1

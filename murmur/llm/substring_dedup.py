@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,21 +229,6 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def brute_force(docs: list[tuple[int, str | None]], window: int = 13) -> list[tuple[int, int, int, str]]:
-    """The same rows from a dictionary of all windows; for tests."""
-    split = [(i, (t or "").encode().split()) for i, t in docs]
-    least: dict[tuple, int] = {}
-    for i, words in split:
-        for k in range(len(words) - window + 1):
-            key = tuple(words[k : k + window])
-            least[key] = min(i, least.get(key, i))
-    out = []
-    for i, words in split:
-        gone = {x for k in range(len(words) - window + 1) if least[tuple(words[k : k + window])] < i for x in range(k, k + window)}
-        out.append((i, len(words), len(gone), hashlib.sha256(b" ".join(w for x, w in enumerate(words) if x not in gone)).hexdigest()))
-    return out
-
-
 SQL = {
     "op7_substring_dedup": r"""
         WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -17,7 +17,7 @@ import corpus_pipeline
 from murmur.llm import _shared, decontamination, exact_dedup, html_text, packing, sharding, simhash, substring_dedup, token_counts, toxicity, warc
 from murmur.llm._shared import components
 from murmur.llm._tokens import default_path
-from murmur.llm._words import utf8, words_of
+from murmur.llm._words import distinct, utf8, words_of
 
 SF, SF_LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string"
@@ -216,6 +216,11 @@ def test_boxes_around_and_inside_an_article(wrapper):
     assert html_text.blocks(page)[0] == ["one", "two", "three", "four"]
 
 
+@pytest.mark.parametrize("box", ['<ol class="comment-list"><li>x</li></ol>', '<div class="comment">x</div>', '<div class="replies">x</div>', '<div class="related">x</div>', '<section class="related-posts"><a>x</a></section>', '<div class="popup">x</div>', '<div class="social">x</div>', '<ins class="adsbygoogle">x</ins>', '<article class="card"><p>x</p></article>', '<article class="comment"><p>x</p></article>', '<footer>x</footer>', '<div id="disqus_thread">x</div>'])
+def test_boxes_that_are_not_the_article_s(box):
+    assert html_text.blocks(f"<article><h1>T</h1><p>Body.</p>{box}<p>End.</p></article>")[0] == ["T", "Body.", "End."]
+
+
 @pytest.mark.parametrize("page", ["<div>" * 8000 + "</span>" * 8000, "<a " * 35_000, "<a '" * 30_000, "<b>" * 20_000 + "<br>" * 20_000, "<p>" + "<b>" * 15_000 + "<hr>" * 15_000, "<!x " * 30_000, "<div><article>" * 7000])
 def test_long_broken_pages_take_linear_time(page):
     import time
@@ -551,6 +556,21 @@ def test_warc_least_bytes_and_damage(spark, tmp_path):
 # 7: substring dedup.
 
 
+def deduped_by_brute_force(docs: list[tuple[int, str | None]], window: int = 13) -> list[tuple[int, int, int, str]]:
+    """The same rows from a dictionary of all windows; for tests."""
+    split = [(i, (t or "").encode().split()) for i, t in docs]
+    least: dict[tuple, int] = {}
+    for i, words in split:
+        for k in range(len(words) - window + 1):
+            key = tuple(words[k : k + window])
+            least[key] = min(i, least.get(key, i))
+    out = []
+    for i, words in split:
+        gone = {x for k in range(len(words) - window + 1) if least[tuple(words[k : k + window])] < i for x in range(k, k + window)}
+        out.append((i, len(words), len(gone), hashlib.sha256(b" ".join(w for x, w in enumerate(words) if x not in gone)).hexdigest()))
+    return out
+
+
 @pytest.mark.parametrize("window", [3, 13])
 def test_substring_dedup(spark, window):
     r = rng(12)
@@ -562,7 +582,7 @@ def test_substring_dedup(spark, window):
     rows += [(3, passage), (3, passage), (200, texts[80])]
     out = substring_dedup.substring_dedup(with_clashes(spark.createDataFrame(rows, DOCS)), window=window).collect()
     got = [(x["doc_id"], x["n_words"], x["n_removed"], hashlib.sha256(x["text"].encode()).hexdigest()) for x in out]
-    assert sorted(got) == sorted(substring_dedup.brute_force(rows, window))
+    assert sorted(got) == sorted(deduped_by_brute_force(rows, window))
 
 
 def test_substring_dedup_leaves_null_ids(spark):
@@ -584,6 +604,37 @@ def test_words_of_whole_batches():
     assert len(set(of.values())) == len(of)
 
 
+def thue_morse(n):
+    """A word of n letters and its complement, which polynomials modulo a power of two hash alike."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_distinct_words_by_their_bytes():
+    r = rng(17)
+    texts = [*thue_morse(1024), *thue_morse(2048), *(r.choice("ab") * r.randrange(1, 40) + r.choice(["", "x"]) for _ in range(300)), "a" * 20 + "b" + "a" * 20, "a" * 20 + "c" + "a" * 20]
+    data, offsets = utf8(pa.array([" ".join(texts)]))
+    words = words_of(data, offsets)
+    assert len(set(words.hashes.tolist())) == len(set(texts))
+    for hashes in (None, np.zeros(len(texts), np.uint64), words.hashes % np.uint64(5)):
+        one, which = distinct(data, words.starts, words.ends, hashes)
+        assert [texts[k] for k in one[which]] == texts and len(one) == len(set(texts))
+
+
+def test_ids_and_counts_of_words_that_look_alike(spark, tokenizer):
+    texts = [" ".join(thue_morse(1024)), " ".join(thue_morse(4096)[::-1]) + ", " + thue_morse(1024)[1]]
+    pieces = packing.pack(docs_df(spark, texts)).orderBy("doc_id", "start").collect()
+    for k, text in enumerate(texts):
+        assert [x for p in pieces if p["doc_id"] == k for x in p["ids"]] == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    counts = {x["doc_id"]: x["n_tokens"] for x in token_counts.count_tokens(docs_df(spark, texts)).collect()}
+    assert counts == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    a, b = thue_morse(1024)
+    at, which, _ = toxicity.Vocabulary().number(pa.array([f"{a} {b} {a}"]))
+    assert len(at) == 2 and which.tolist() in ([0, 1, 0], [1, 0, 1])
+    out = substring_dedup.substring_dedup(docs_df(spark, [f"{a} {a} {b}", f"{b} {b} {a}", f"{b} {b} {a}"]), window=3).collect()
+    assert {x["doc_id"]: x["n_removed"] for x in out} == {0: 0, 1: 0, 2: 3}
+
+
 # 8: toxicity.
 
 
@@ -747,21 +798,32 @@ def test_small_stretches_and_parts_give_the_same_matches(monkeypatch):
     docs = [(k, " ".join(r.choice(words) for _ in range(60)) + " " + items[k % 5][1][r.choice([0, 7, 33]) :][: r.choice([60, 200])]) for k in range(10)]
     expected = matches_by_brute_force(docs, items)
     assert len(expected) >= 5
-    for part, pairs in ((4096, 1 << 20), (4096, 64), (32, 1 << 20), (16, 50)):
+    for part, pairs, stretch, lanes in ((4096, 1 << 20, 128, 4096), (4096, 64, 4096, 7), (32, 1 << 20, 50, 1), (16, 50, 20, 100), (192, 1, 1, 4096)):
         monkeypatch.setattr(decontamination, "PART", part)
         monkeypatch.setattr(decontamination, "PAIRS", pairs)
+        monkeypatch.setattr(decontamination, "STRETCH", stretch)
+        monkeypatch.setattr(decontamination, "LANES", lanes)
         found = decontamination.Index(items).matches(pa.array([t for _, t in docs]))
         assert {(docs[t][0], i): e for t, i, e in found} == expected
 
 
-def test_repetitive_texts_stay_small():
-    import resource
-    import time
+@pytest.mark.parametrize("text", ["ha" * 50_000, ("ha" * 15 + "x") * 3200, "the same words again and again " * 1500])
+def test_repetitive_texts_take_little_work(text):
+    index = decontamination.Index([(1, "ha" * 50_000), (2, "some other text that is nowhere else, of a passage's length at least, I think"), (3, "the same words again, and again " * 1000)])
+    few = index.matches(pa.array([text[:4000]]))
+    pairs, lanes = index.pairs, index.lanes
+    assert index.matches(pa.array([text, "ho" * 50_000, "ha" * 20 + "x"])) == few and few
+    assert index.pairs - pairs <= 2 * pairs and index.lanes - lanes <= 2 * lanes < 50_000
+
 
-    index = decontamination.Index([(1, "ha" * 50_000), (2, "some other text that is nowhere else, of a passage's length at least, I think")])
-    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
-    assert index.matches(pa.array(["ha" * 50_000, "ho" * 50_000, "ha" * 20 + "x"])) == [(0, 0, 0)]
-    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000 and time.time() - began < 20
+def test_edits_of_many_passages_by_brute_force():
+    r = rng(77)
+    passages = ["".join(r.choice("abc") for _ in range(r.choice([8, 16, 40, 63, 64]))) for _ in range(60)]
+    regions = ["".join(r.choice("abc") for _ in range(r.randrange(1, 150))) + p[r.randrange(3) :] for p in r.sample(passages, 20)]
+    which = np.array([r.randrange(20) for _ in passages])
+    as_bytes = lambda texts, n: np.array([list(t.ljust(n, "\0").encode()) for t in texts], np.uint8)
+    got = decontamination.fewest_edits(as_bytes(passages, 64), np.array([len(p) for p in passages]), as_bytes(regions, 230), which)
+    assert got.tolist() == [edits_of(p, regions[k]) for p, k in zip(passages, which)]
 
 
 def test_items_without_id_and_short_items(spark):
