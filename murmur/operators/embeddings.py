@@ -5,6 +5,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.operators.density import density_clusters
+from murmur.operators.layout import layout
+from murmur.sources.scratch import materialise
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -92,20 +96,51 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(own > 1, (b - a) / np.maximum(a, b), 0).mean())
 
 
-def silhouettes(vectors: DataFrame, recording: str, label: str = "label", vector: str = "embedding") -> DataFrame:
-    """The silhouette of each recording's labelled vectors; see ``cluster_speakers`` for the size of a group."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        _, labels = np.unique(part[label], return_inverse=True)
-        return pd.DataFrame({recording: part[recording].iloc[:1], "n": len(part), "silhouette": round(silhouette(np.array(part[vector].tolist(), float), labels), 5)})
-
-    return vectors.select(recording, label, vector).groupBy(recording).applyInPandas(run, f"{recording} long, n long, silhouette double")
-
-
-def cluster_speakers(vectors: DataFrame, recording: str, vec_id: str = "vec_id", vector: str = "embedding", num_speakers: int = -1, distance: float = 0.4, least_silhouette: float = 0.1) -> DataFrame:
+def silhouettes(labelled: DataFrame, recording: str, label: str = "label", vector: str = "embedding") -> DataFrame:
+    """(recording, n, silhouette) of each recording's labelled vectors by cosine distance; 0 where it isn't defined. A vector's mean
+    distance to a label is one minus its product with the mean of the label's unit vectors, so no pairs are made and a
+    recording is as many tasks as it has rows. Null labels are one label; rows without a recording or a vector are left out."""
+    labelled = labelled.filter(F.col(recording).isNotNull() & (F.size(vector) > 0))
+    rows = labelled.select(F.col(recording).alias("rec"), F.col(label).alias("own"), normalised(F.col(vector)).alias("unit"))
+    sums = rows.select("rec", "own", F.posexplode("unit").alias("place", "x")).groupBy("rec", "own", "place").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = sums.groupBy("rec", "own").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda r: r["x"]).alias("total"), F.first("n").alias("n_own")).withColumnRenamed("own", "of")
+    met = rows.join(sums, "rec").withColumn("is_own", F.col("own").eqNullSafe(F.col("of")))
+    near = 1 - dot(F.col("unit"), F.col("total")) / F.col("n_own")
+    inside = (F.col("n_own") - dot(F.col("unit"), F.col("total")) - (1 - dot(F.col("unit"), F.col("unit")))) / (F.col("n_own") - 1)
+    met = met.withColumns({"a": F.when(F.col("is_own") & (F.col("n_own") > 1), inside), "b": F.when(~F.col("is_own"), near)})
+    scored = met.withColumn("row", F.struct("unit", "own")).groupBy("rec", "row").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.count_if("is_own").alias("same"))
+    score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12)))
+    counts = sums.groupBy("rec").agg(F.sum("n_own").alias("n"), F.count("*").alias("k"))
+    out = scored.groupBy("rec").agg((F.sum(score * F.col("same")) / F.sum("same")).alias("mean")).join(counts, "rec")
+    return out.select(F.col("rec").alias(recording), "n", F.when((F.col("k") >= 2) & (F.col("k") < F.col("n")), F.col("mean")).otherwise(0.0).alias("silhouette"))
+
+
+def dense_speakers(vectors: DataFrame, recording: str, vec_id: str = "vec_id", vector: str = "embedding", least: int = 3, least_silhouette: float = 0.1) -> DataFrame:
+    """(recording, vec_id, speaker, silhouette): as many speakers as a recording's vectors show, -1 for vectors of none.
+
+    The vectors are laid out by their neighbours (``layout``) and density clusters of the layout are the speakers. A
+    recording is one speaker if it has two vectors or fewer, if no vector has a cluster, or if the silhouette of the labels
+    over the vectors themselves stays under ``least_silhouette``. Rows without a recording, an id or a vector have no
+    speaker and are left out; of a repeated id one row stays. An empty table gives none.
+    """
+    places = materialise(layout(vectors, recording, vec_id=vec_id, vector=vector), "places")
+    labels = density_clusters(places, "rec", least=least, metric="euclidean").withColumnRenamed("label", "found")
+    rows = vectors.select(F.col(recording).alias("rec"), F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("rec IS NOT NULL AND id IS NOT NULL AND size(v) > 0").groupBy("rec", "id").agg(F.min("v").alias("v"))
+    labelled = materialise(rows.join(labels, ["rec", "id"], "left"), "labels")
+    scores = silhouettes(labelled.withColumn("found", F.coalesce("found", F.lit(-1))), "rec", "found", "v")
+    known = labelled.groupBy("rec").agg(F.count("*").alias("n_all"), F.max("found").alias("top"), F.countDistinct("found").alias("kinds"))
+    out = labelled.join(known.join(scores, "rec"), "rec")
+    one = (F.col("n_all") <= 2) | F.coalesce(F.col("top") < 0, F.lit(True)) | ((F.col("kinds") > 1) & (F.col("silhouette") < least_silhouette))
+    return out.select(F.col("rec").alias(recording), F.col("id").alias(vec_id), F.when(one, 0).otherwise(F.coalesce("found", F.lit(-1))).cast("long").alias("speaker"), F.round("silhouette", 6).alias("silhouette"))
+
+
+def cluster_speakers(vectors: DataFrame, recording: str, vec_id: str = "vec_id", vector: str = "embedding", num_speakers: int = -1, distance: float | None = None, least_silhouette: float = 0.1) -> DataFrame:
     """A speaker number for each vector of a recording: one speaker for two vectors or fewer, or where the
-    silhouette stays under ``least_silhouette``. A recording is one group: a call has some thousands of vectors
+    silhouette stays under ``least_silhouette``. Where the number of speakers isn't known and no ``distance`` is given, they are
+    those of ``dense_speakers``. Else a recording is one group: a call has some thousands of vectors
     at most, and their distances are its square."""
+    if num_speakers < 2 and distance is None:
+        return dense_speakers(vectors, recording, vec_id, vector, least_silhouette=least_silhouette)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(vec_id)

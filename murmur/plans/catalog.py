@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from murmur.functions import audio, labels, nested, text
-from murmur.operators import diarize, echo, embeddings, sentences, timeline, tokens, vad
+from murmur.operators import density, diarize, echo, embeddings, layout, sentences, timeline, tokens, vad
 from murmur.options import PipelineOptions
 from murmur.plans.transcript import transcribe
 from murmur.sources import derived as d
 from murmur.sources import files, sinks
+from murmur.sources.scratch import materialise
 from murmur.streaming import config, session
 
 QUERIES: dict = {}
@@ -350,6 +351,48 @@ def speaker_clusters(spark, sf_dir):
     return embeddings.cluster_speakers(calls, "rec_id", num_speakers=4)
 
 
+_NEAR = """v AS (SELECT vec_id // 500 AS rec_id, vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
+    near AS (SELECT a.rec_id, a.vec_id, b.vec_id AS other, greatest(1 - list_dot_product(a.e, b.e), 0) AS distance, row_number() OVER (PARTITION BY a.rec_id, a.vec_id ORDER BY 1 - list_dot_product(a.e, b.e), b.vec_id) AS place
+             FROM v a JOIN v b ON a.rec_id = b.rec_id AND a.vec_id <> b.vec_id)"""
+
+
+def _long_calls(spark, sf_dir):
+    """Vectors in calls of 500."""
+    return d.table(spark, sf_dir, "embeddings").withColumn("rec_id", F.floor(F.col("vec_id") / 500))
+
+
+@query("nearest_vectors", f"WITH {_NEAR} SELECT rec_id, vec_id, place, other, round(round(distance, 9), 6) AS distance FROM near WHERE place <= 4")
+def nearest_vectors(spark, sf_dir):
+    """The four nearest other vectors of each vector of a call."""
+    near = density.nearest(_long_calls(spark, sf_dir), "rec_id", 4)
+    return near.select(F.col("rec").alias("rec_id"), F.col("id").alias("vec_id"), F.col("place").cast("long").alias("place"), "other", F.round("distance", 6).alias("distance"))
+
+
+@query("core_distances", f"WITH {_NEAR} SELECT rec_id, vec_id, round(round(max(distance), 9), 6) AS core FROM near WHERE place <= 3 GROUP BY rec_id, vec_id")
+def core_distances(spark, sf_dir):
+    cores = density.core_distances(_long_calls(spark, sf_dir), "rec_id")
+    return cores.select(F.col("rec").alias("rec_id"), F.col("id").alias("vec_id"), F.round("core", 6).alias("core"))
+
+
+@query("dense_clusters")
+def dense_clusters(spark, sf_dir):
+    """Density clusters of each call's vectors as they are, by cosine."""
+    return density.density_clusters(_long_calls(spark, sf_dir), "rec_id").select(F.col("rec").alias("rec_id"), F.col("id").alias("vec_id"), "label")
+
+
+@query("dense_speakers")
+def dense_speakers(spark, sf_dir):
+    """Speakers of calls whose number isn't known: layout, density clusters, silhouette."""
+    return embeddings.dense_speakers(_long_calls(spark, sf_dir), "rec_id")
+
+
+@query("layout_neighbours")
+def layout_neighbours(spark, sf_dir):
+    """How many neighbours the layout of each call keeps."""
+    calls = _long_calls(spark, sf_dir)
+    return layout.kept_neighbours(calls, materialise(layout.layout(calls, "rec_id"), "places"), "rec_id").withColumnRenamed("rec", "rec_id")
+
+
 # Texts.
 
 _WORD_LABEL = "(pos * 7 + length(word)) % 14"
@@ -512,7 +555,7 @@ def guarded_samples(spark, sf_dir):
     SELECT rec_id, n, CASE WHEN k >= 2 AND k < n THEN round(avg(CASE WHEN own IS NULL THEN 0 ELSE (near - own) / greatest(near, own) END), 5) ELSE 0.0::DOUBLE END AS silhouette FROM s JOIN n USING (rec_id) GROUP BY rec_id, n, k""")
 def label_silhouettes(spark, sf_dir):
     calls = d.table(spark, sf_dir, "embeddings").withColumn("rec_id", F.floor(F.col("vec_id") / 50))
-    return embeddings.silhouettes(calls, "rec_id")
+    return embeddings.silhouettes(calls, "rec_id").withColumn("silhouette", F.round("silhouette", 5))
 
 
 @query("kept_raw_words", "SELECT * FROM words", "words")
