@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -17,3 +19,20 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+def finish(query, rows, seconds=120):
+    """Stop a stream once it has read so many rows and written what came of them. A stream with timers runs batches
+    without data for ever, so there is no end to wait for."""
+    until = time.time() + seconds
+    while query.isActive and sum(p["numInputRows"] for p in query.recentProgress) < rows:
+        assert time.time() < until, query.status
+        time.sleep(0.2)
+    query.stop()
+    if query.exception():
+        raise query.exception()
+
+
+@pytest.fixture()
+def finished():
+    return finish

@@ -1,5 +1,6 @@
 """Samples, rates and features of audio, as numpy kernels inside pandas UDFs."""
 
+import base64
 import io
 import wave
 from collections.abc import Iterator
@@ -61,6 +62,66 @@ def resample(samples: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
     return np.clip(out, -1, 1)
 
 
+class Resampler:
+    """``resample`` for samples that come in pieces: the neighbours that later samples still need and how far it has come
+    are kept, so any pieces give the samples of one call. ``state`` is plain text and numbers, to be kept between batches.
+    """
+
+    def __init__(self, rate: int, to: int, state: dict | None = None):
+        if rate <= 0 or to <= 0:
+            raise ValueError("rates must be positive")
+        self.rate, self.to = rate, to
+        shared = np.gcd(rate, to)
+        self.up, self.down = int(to // shared), int(rate // shared)
+        self.phases = _low_pass(self.up, self.down) if rate != to else None
+        width = self.phases.shape[1] if rate != to else 0
+        state = state or {"kept": "", "seen": 0, "made": 0}
+        self.kept = np.frombuffer(base64.b64decode(state["kept"]), np.float32) if state["kept"] else np.zeros(width, np.float32)
+        self.seen, self.made = state["seen"], state["made"]  # samples taken in and given out
+
+    @property
+    def state(self) -> dict:
+        return {"kept": base64.b64encode(self.kept.tobytes()).decode(), "seen": self.seen, "made": self.made}
+
+    def _newest(self, k) -> int:
+        """The newest sample that sample k of the new rate is made from."""
+        return (k * self.down + 16 * max(self.up, self.down)) // self.up
+
+    def _make(self, upto: int) -> np.ndarray:
+        width, out = self.phases.shape[1], np.empty(max(0, upto - self.made), np.float32)
+        first = self.seen - len(self.kept)  # the sample that kept[0] is
+        near = np.lib.stride_tricks.sliding_window_view(self.kept, width)
+        for k in range(0, len(out), 1 << 15):
+            at = np.arange(self.made + k, min(self.made + k + (1 << 15), upto), dtype=np.int64)
+            fine = at * self.down + 16 * max(self.up, self.down)
+            out[k : k + (1 << 15)] = np.einsum("nk,nk->n", near[fine // self.up - first - width + 1], self.phases[fine % self.up])
+        self.made = max(self.made, upto)
+        oldest = self._newest(self.made) - width + 1
+        self.kept = self.kept[max(0, min(oldest - first, len(self.kept) - width)) :]
+        return np.clip(out, -1, 1)
+
+    def push(self, samples: np.ndarray) -> np.ndarray:
+        """What the samples so far make up beyond what was given out."""
+        samples = np.asarray(samples, np.float32)
+        self.seen += len(samples)
+        if self.phases is None:
+            self.made += len(samples)
+            return samples
+        self.kept = np.concatenate([self.kept, samples])
+        ready = (self.seen * self.up - 16 * max(self.up, self.down) - 1) // self.down + 1  # whose newest sample is there
+        return self._make(max(self.made, ready))
+
+    def finish(self) -> np.ndarray:
+        """The rest, with silence behind the last sample; then it begins anew."""
+        total, rest = int(self.seen * self.to / self.rate), np.zeros(0, np.float32)
+        if self.phases is not None and total > self.made:
+            missing = max(0, self._newest(total - 1) + 1 - self.seen)
+            self.kept, self.seen = np.concatenate([self.kept, np.zeros(missing, np.float32)]), self.seen + missing
+            rest = self._make(total)
+        self.__init__(self.rate, self.to)
+        return rest
+
+
 def stretch(samples: np.ndarray, rate: float) -> np.ndarray:
     """Samples slowed down to ``rate`` of their speed, in (0, 1], by cubic pieces through neighbouring samples."""
     if not 0 < rate <= 1:
@@ -115,6 +176,11 @@ def read_wav(content: bytes) -> tuple[int, list[np.ndarray]]:
         return f.getframerate(), [samples[:, c] for c in range(f.getnchannels())]
 
 
+def read_audio(content: bytes) -> tuple[int, list[np.ndarray]]:
+    """(rate, samples of each channel) of a file of a known format."""
+    return read_wav(content)
+
+
 def write_wav(channels: list[np.ndarray], rate: int = RATE) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as f:

@@ -3,12 +3,14 @@
 A model is a Python callable that a worker builds once, by the factory it is given; its work runs on Arrow batches.
 """
 
+import hashlib
 import zlib
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +18,22 @@ from murmur.functions.audio import fbank, stretch
 
 #: Samples of a frame that a voice model looks at.
 FRAME = 512
-_built: dict[str, Callable] = {}
+#: Models that a worker holds at most.
+HELD = 16
+_built: dict[tuple[str, str], Callable] = {}
 
 
 def loudness(samples: np.ndarray) -> np.ndarray:
     """A stand-in for a voice model: a probability per frame from its mean level."""
     frames = samples[: len(samples) // FRAME * FRAME].reshape(-1, FRAME)
-    return np.minimum(1, np.abs(frames).mean(1) * 20) if len(frames) else np.zeros(0)
+    return np.minimum(1, np.abs(frames).mean(1, dtype=float) * 20) if len(frames) else np.zeros(0)
+
+
+def leaky_loudness(frame: np.ndarray, state: np.ndarray | None) -> tuple[float, np.ndarray]:
+    """A stand-in for a recurrent voice model: a probability from a mean level that falls off over the frames before."""
+    level = np.abs(frame).mean()
+    state = np.array([level if state is None else 0.7 * state[0] + 0.3 * level], np.float32)
+    return min(1.0, float(state[0]) * 20), state
 
 
 def describe(samples: np.ndarray, rate: int) -> str:
@@ -34,13 +45,17 @@ def describe(samples: np.ndarray, rate: int) -> str:
 def cut_point(samples: np.ndarray, rate: int, voice: Callable = loudness, silence_s: float = 0.5) -> int:
     """The sample to cut at: where, going back from the end to a third, ``silence_s`` of silence is complete."""
     first = len(samples) // 3
-    prob = voice(samples[first:])
+    return first + FRAME * silent_frame(voice(samples[first:]), rate, silence_s)
+
+
+def silent_frame(prob: np.ndarray, rate: int, silence_s: float = 0.5) -> int:
+    """The first frame, going back from the end, that completes ``silence_s`` of silence; 0 if there is none."""
     need, run = int(silence_s / (FRAME / rate)), 0
     for k in range(len(prob) - 1, -1, -1):
         run = run + 1 if prob[k] < 0.5 else 0
         if run >= need:
-            return first + k * FRAME
-    return first
+            return k
+    return 0
 
 
 def spelled(samples: np.ndarray, rate: int) -> dict:
@@ -63,6 +78,12 @@ def hashed_vector(features: np.ndarray, size: int = 64) -> np.ndarray:
     return (spread / (np.linalg.norm(spread) + 1e-8)).astype(np.float32)
 
 
+def hashed_vectors(batch: np.ndarray, size: int = 64) -> np.ndarray:
+    """As ``hashed_vector`` for a batch of features of one shape."""
+    spread = np.stack([np.resize(x, size) for x in batch.std(1)])
+    return (spread / (np.linalg.norm(spread, axis=1, keepdims=True) + 1e-8)).astype(np.float32)
+
+
 def hashed_labels(words: list[str]) -> list[int]:
     """A stand-in for a punctuation model: a capital on the first word, a full stop on the last, commas by hash."""
     last = len(words) - 1
@@ -72,20 +93,56 @@ def hashed_labels(words: list[str]) -> list[int]:
 @dataclass(frozen=True)
 class Models:
     """Factories of the models. ``recogniser``: (samples, rate) to tokens and timestamps; ``voice``: samples of one
-    channel in order to a probability per frame; ``speaker``: features to a vector; ``punctuation``: words to labels."""
+    channel in order to a probability per frame; ``speaker``: features to a vector; ``punctuation``: words to labels.
+
+    Two slots stand in for others if they are given: ``recurrent_voice``, (frame, state or None) to (probability, state), is asked
+    frame by frame, with no state at a channel's start; ``speaker_batch`` takes ``batch_size`` windows' features at once to as many vectors.
+
+    A worker makes a model once for each factory and keeps the HELD latest. Factories are told apart by what they pickle to, so
+    two closures of one function are two models.
+    """
 
     recogniser: Callable = field(default=lambda: spelled)
     voice: Callable = field(default=lambda: loudness)
     speaker: Callable = field(default=lambda: hashed_vector)
     punctuation: Callable = field(default=lambda: hashed_labels)
+    recurrent_voice: Callable | None = None
+    speaker_batch: Callable | None = None
+    batch_size: int = 8
+
+    def _key(self, name: str) -> tuple[str, str]:
+        keys = self.__dict__.setdefault("_keys", {})
+        if name not in keys:
+            keys[name] = hashlib.sha256(cloudpickle.dumps(getattr(self, name))).hexdigest()
+        return name, keys[name]
+
+    def __getstate__(self) -> dict:
+        for f in fields(self):  # named where they are made: pickled again, a factory may look different
+            if callable(getattr(self, f.name)):
+                self._key(f.name)
+        return dict(self.__dict__)
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
 
     def built(self, name: str) -> Callable:
         """The model of a slot, made at most once in a worker."""
-        factory = getattr(self, name)
-        key = f"{name}:{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', '')}"
-        if key not in _built:
-            _built[key] = factory()
-        return _built[key]
+        key = self._key(name)
+        model = _built.pop(key, None) or getattr(self, name)()
+        _built[key] = model
+        while len(_built) > HELD:
+            del _built[next(iter(_built))]
+        return model
+
+    def heard(self, samples: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """(a probability per whole frame, the state behind the last one) of samples that follow on a state."""
+        if self.recurrent_voice is None:
+            return np.asarray(self.built("voice")(samples)), None
+        model, out = self.built("recurrent_voice"), []
+        for k in range(len(samples) // FRAME):
+            prob, state = model(samples[k * FRAME : (k + 1) * FRAME], state)
+            out.append(prob)
+        return np.array(out, float), state
 
 
 def rate_of(result: dict) -> float:
@@ -121,22 +178,52 @@ def heard_words(tokens: list[str], times: list[float], gap_s: float = 2.0) -> li
     return [(word, round(a * 1000), round(b * 1000)) for word, a, b in out]
 
 
-def vectors(model: Callable, samples: list[np.ndarray | None], rate: int = 16_000) -> list[list[float] | None]:
-    """A vector per piece of audio; null where there is none or the model fails on it."""
-    out: list[list[float] | None] = []
-    for x in samples:
+def batches(models: Models, features: Iterable[tuple[object, np.ndarray | None]]) -> Iterator[tuple[object, list[float] | None]]:
+    """(name, vector) for each (name, features of a window), in order; null for a window without features, or on which the model fails.
+
+    Windows of one shape are gathered, whatever file they are of, until ``batch_size`` are there; the last batch is filled up with
+    zeros, and what comes of these is left out. If a batch fails, its windows are tried one by one.
+    """
+    size = models.batch_size if models.speaker_batch is not None else 1
+
+    def run(windows: list[np.ndarray]) -> list[list[float] | None]:
         try:
-            out.append(None if x is None else np.asarray(model(fbank(x, rate)), float).tolist())
-        except (ValueError, RuntimeError):
-            out.append(None)
-    return out
+            if models.speaker_batch is None:
+                return [np.asarray(models.built("speaker")(windows[0]), float).tolist()]
+            filled = np.stack([*windows, *[np.zeros_like(windows[0])] * (size - len(windows))])
+            return np.asarray(models.built("speaker_batch")(filled), float)[: len(windows)].tolist()
+        except Exception:  # a model's errors are of any kind
+            return [None] if len(windows) == 1 else [run([w])[0] for w in windows]
+
+    held: list[tuple[object, np.ndarray | None]] = []
+    n = 0
+
+    def flush() -> Iterator[tuple[object, list[float] | None]]:
+        real = [x for _, x in held if x is not None]
+        made = iter(run(real) if real else [])
+        yield from [(name, None if x is None else next(made)) for name, x in held]
+        held.clear()
+
+    for name, x in features:
+        first = next((y for _, y in held if y is not None), None)
+        if x is not None and first is not None and x.shape != first.shape:
+            yield from flush()
+            n = 0
+        held.append((name, x))
+        n += x is not None
+        if n == size or len(held) >= 64 * size:
+            yield from flush()
+            n = 0
+    if held:
+        yield from flush()
 
 
 def speaker_vector(models: Models, samples: str | Column, rate: int = 16_000) -> Column:
-    """A vector per array of samples; null where the model fails."""
+    """A vector per array of samples; null where there is none or the model fails on it."""
 
     def run(column: pd.Series) -> pd.Series:
-        return pd.Series(vectors(models.built("speaker"), [None if x is None else np.asarray(x, np.float32) for x in column], rate))
+        features = ((k, None if x is None else fbank(np.asarray(x, np.float32), rate)) for k, x in enumerate(column))
+        return pd.Series([v for _, v in batches(models, features)], dtype=object)
 
     return F.pandas_udf(run, "array<double>")(samples)
 
@@ -156,7 +243,7 @@ def word_labels(models: Models, words: str | Column, longest: int = 512) -> Colu
     return F.pandas_udf(run, "array<int>")(words)
 
 
-def frame_probabilities(model: Callable, samples: np.ndarray) -> np.ndarray:
-    """A probability per frame of one channel, the last frame filled with zeros."""
+def frame_probabilities(models: Models, samples: np.ndarray) -> np.ndarray:
+    """A probability per frame of one channel from its start, the last frame filled with zeros."""
     rest = -len(samples) % FRAME
-    return np.asarray(model(np.append(samples, np.zeros(rest, np.float32)) if rest else samples))
+    return models.heard(np.append(samples, np.zeros(rest, np.float32)) if rest else samples)[0]

@@ -12,7 +12,7 @@ from murmur.plans.transcript import transcribe
 from murmur.sources import derived as d
 from murmur.sources import files, sinks
 from murmur.sources.scratch import materialise
-from murmur.streaming import config, session
+from murmur.streaming import config, session, voice
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -594,6 +594,14 @@ def _session_rows(spark, sf_dir, options: str = '{"config": {"sample_rate": 800}
     return starts.union(sound).union(ends)
 
 
+@query("stream_voices", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, least(CAST(round(value * 20) AS BIGINT), 30000) AS level, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events WHERE value IS NOT NULL),
+    f AS (SELECT *, unnest(range(n * 1600 // 512, (n * 1600 + 1599) // 512 + 1)) AS frame_no FROM e)
+    SELECT session_id, CAST(frame_no AS BIGINT) AS frame_no, least(1.0::DOUBLE, (sum(level * (least((frame_no + 1) * 512, (n + 1) * 1600) - greatest(frame_no * 512, n * 1600))) * 20)::DOUBLE / 16777216.0::DOUBLE) AS prob FROM f GROUP BY session_id, frame_no""")
+def stream_voices(spark, sf_dir):
+    """A probability for each frame of each session, as far as its rows complete it; the last one is filled up."""
+    return voice.batch_voices(_session_rows(spark, sf_dir))
+
+
 @query("stream_sessions")
 def stream_sessions(spark, sf_dir):
     return session.batch_sessions(_session_rows(spark, sf_dir))

@@ -1,6 +1,7 @@
 """From audio files to speaker segments: voice, windows, features, vectors, clusters, and segments merged again."""
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions import audio
-from murmur.functions.models import Models, vectors
+from murmur.functions.models import Models, batches
 from murmur.operators import diarize, embeddings, vad
 from murmur.options import PipelineOptions
 from murmur.plans import recordings
@@ -27,23 +28,29 @@ def speech_windows(files: DataFrame, models: Models = Models(), rate: int = audi
 
 def speaker_vectors(files: DataFrame, models: Models = Models(), rate: int = audio.RATE) -> DataFrame:
     """A vector for each window of speech of WAV files with one channel; what a window lacks it repeats from its
-    start. A file's windows, no more than its length allows, go to the file, and its audio is cut in one task."""
+    start. A file's windows, no more than its length allows, go to the file, and its audio is cut in one task, which gathers
+    the windows of its files into batches of the model (see ``batches``)."""
     windows = speech_windows(files, models, rate).select("rec_id", (F.col("start_ms") + F.col("first_frame") * FRAME_MS).alias("start_ms"), (F.col("n_real") * FRAME_MS).alias("length"))
     wanted = windows.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "length"))).alias("windows"))
     single = files.select(F.xxhash64("path", F.lit("channel_1")).alias("rec_id"), "content").join(wanted, "rec_id")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = models.built("speaker")
+    size = WINDOW * FRAME_MS * rate // 1000
+
+    def features(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, np.ndarray | None]]:
         for part in parts:
             for rec_id, content, cuts in part[["rec_id", "content", "windows"]].itertuples(index=False):
                 found = audio.channels(content, rate=rate)
                 if len(found) != 1:
                     continue
-                size, voice = WINDOW * FRAME_MS * rate // 1000, audio.high_pass(found[0], rate=rate)
-                pieces = [voice[c["start_ms"] * rate // 1000 :][: max(1, c["length"] * rate // 1000)] for c in cuts]
-                made = vectors(model, [np.resize(x, size) if len(x) else None for x in pieces], rate)
-                rows = [(rec_id, k, c["start_ms"], c["start_ms"] + c["length"], v) for k, (c, v) in enumerate(zip(cuts, made)) if v is not None]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in VECTORS.split(", ")])
+                voice = audio.high_pass(found[0], rate=rate)
+                for k, c in enumerate(cuts):
+                    x = voice[c["start_ms"] * rate // 1000 :][: max(1, c["length"] * rate // 1000)]
+                    yield (rec_id, k, c["start_ms"], c["start_ms"] + c["length"]), audio.fbank(np.resize(x, size), rate) if len(x) else None
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = ((*name, v) for name, v in batches(models, features(parts)) if v is not None)
+        while rows := list(islice(made, 1024)):
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in VECTORS.split(", ")])
 
     return single.mapInPandas(run, VECTORS)
 

@@ -54,7 +54,7 @@ def tokens(files: DataFrame, options: PipelineOptions, models: Models = Models()
                     result, multiplier = recognise(model, chunk, rate, multiplier, options.do_speed_correction)
                     yield from ((f"channel_{n}", chunk_no, k, t, offset + round(s * 1000), True) for k, (t, s) in enumerate(zip(result["tokens"], result["timestamps"])))
                     offset += cut * 1000 // rate
-                except (ValueError, RuntimeError):
+                except Exception:  # a model's errors are of any kind
                     yield f"channel_{n}", chunk_no, None, None, None, False
                 chunk_no += 1
 
@@ -78,7 +78,7 @@ def speech(files: DataFrame, models: Models = Models(), rate: int = audio.RATE)
 
     def of(found: list[np.ndarray]) -> Iterator[tuple]:
         for n, samples in enumerate(found, 1):
-            prob = frame_probabilities(models.built("voice"), samples)
+            prob = frame_probabilities(models, samples)
             yield from ((f"channel_{n}", k, p) for k, p in enumerate(np.floor(prob * 100).astype(int).tolist()))
 
     found = by_file(files, of, "path string, channel string, frame_no long, prob long", rate=rate)

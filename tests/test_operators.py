@@ -284,15 +284,15 @@ def stream_rows():
     return rows
 
 
-def test_stream_gives_the_batch_results(spark, tmp_path):
+def test_stream_gives_the_batch_results(spark, finished, tmp_path):
     schema = "session_id string, seq long, kind string, payload binary"
     rows = spark.createDataFrame(stream_rows(), schema)
     expected = session.batch_sessions(rows).collect()
     rows.repartition(3, "seq").write.parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = session.sessions(stream).writeStream.format("memory").queryName("results").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = session.sessions(stream).writeStream.format("memory").queryName("results").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    finished(query, len(stream_rows()))
     assert sorted(map(tuple, spark.table("results").collect()), key=str) == sorted(map(tuple, expected), key=str)
     assert sum(x["last_message"] for x in expected) == 2 and sum(x["duration_ms"] for x in expected) == 2 * 48_000
 
@@ -341,7 +341,7 @@ def test_odd_messages_of_a_session():
     assert list(s.take("bytes", audio.to_pcm16(tone(40)))) == list(s.take("eof", None)) == []  # late rows give nothing
 
 
-def test_messages_of_a_stream_are_sent(spark, tmp_path):
+def test_messages_of_a_stream_are_sent(spark, finished, tmp_path):
     schema = "session_id string, seq long, kind string, payload binary"
     spark.createDataFrame(stream_rows(), schema).write.parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -353,7 +353,8 @@ def test_messages_of_a_stream_are_sent(spark, tmp_path):
                 f.write(text)
 
     results = session.sessions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    sinks.send_each(results, send, checkpointLocation=str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    query = sinks.send_each(results, send, checkpointLocation=str(tmp_path / "cp")).start()
+    finished(query, len(stream_rows()))
     sent = [json.loads(p.read_text()) for p in tmp_path.glob("sent-*")]
     assert {x["channel_name"] for x in sent if x["last_message"]} == {"x", "y"}
 
