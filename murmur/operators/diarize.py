@@ -7,42 +7,52 @@ from murmur.operators.tokens import joined
 
 WORD = ["rec_id", "channel", "msg_no", "pos"]
 MESSAGE = ["rec_id", "channel", "msg_no"]
-#: Length of the stretches by which words and segments meet; fixes the size of a join's groups.
+#: Length of the shortest stretches by which words and segments meet; fixes the size of a join's groups.
 STRETCH_MS = 30_000
 
 
+def _level(length: Column) -> Column:
+    """The least level whose stretches, STRETCH_MS * 4 ** level long, are as long as an interval: it touches two of them at most."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1)) / STRETCH_MS) / 2)).cast("int")
+
+
+def _placed(intervals: DataFrame, levels: list[int], mark: str) -> DataFrame:
+    """Intervals (start, end, level) in every stretch that they touch, of their own and of each longer level, with the first
+    of that level."""
+    wide = intervals.withColumn("at", F.explode(F.filter(F.array(*(F.lit(x) for x in levels)), lambda x: x >= F.col(f"{mark}level"))))
+    size = F.lit(STRETCH_MS).cast("long") * F.pow(F.lit(4), F.col("at")).cast("long")
+    ends = wide.withColumns({f"{mark}first": F.floor(F.col(f"{mark}start") / size), "_last": F.floor(F.col(f"{mark}end") / size)})
+    return ends.withColumn("stretch", F.explode(F.sequence(f"{mark}first", "_last"))).drop("_last")
+
+
 def assign_speakers(words: DataFrame, segments: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     """words and a column speaker: that of the segment with the largest overlap of at least ``min_overlap`` of the
     word, the earlier segment on a tie, null without one. A word without length lies in [start, end) or not.
 
-    A word belongs to the stretch of time in which it starts. Segments are held by recording and stretch, in every
-    stretch whose words may touch them: one as long as the recording's longest word reaches further back. So words
-    are exchanged once, a long recording is many groups, and every word meets one row of segments, all those that
-    touch its stretch.
+    Words' times, each once, and segments meet by recording and stretch of time. An interval lies in stretches of its own
+    length or longer, two of a level at most, and two intervals meet in the longer one's level, where the later one begins;
+    so one wrong end, however late, costs one row. The driver sees the levels in use, of which there are 25 or so at most.
 
     Every row of words stays, repeated rows and words with null times too, which get no speaker. Segments with null
-    times or an end before their start count for nothing. Either table may be empty.
+    times or an end before their start count for nothing. Either table may be empty; a column speaker of words is replaced.
     """
-    longest = words.groupBy("rec_id").agg(F.max(F.col("end_ms") - F.col("start_ms")).alias("_longest"))
-    reach = F.greatest(F.coalesce("_longest", F.lit(0)), F.lit(0))
-    touched = F.sequence(F.floor((F.col("start_ms") - reach) / STRETCH_MS), F.floor(F.col("end_ms") / STRETCH_MS))
-    held = segments.filter("start_ms <= end_ms").join(longest, "rec_id").withColumn("_stretch", F.explode(touched))
-    segment = F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "seg_ord", "speaker")
-    held = held.groupBy(F.col("rec_id").alias("_rec"), F.col("_stretch").alias("_held")).agg(F.collect_list(segment).alias("_segments"))
-    start, end = F.col("start_ms"), F.col("end_ms")
-
-    def met(s: Column) -> Column:
-        shared = F.least(end, s["end"]) - F.greatest(start, s["start"])
-        within = ((s["start"] <= start) & (start < s["end"])).cast("long")
-        return F.struct(F.when(end == start, within).otherwise(shared).alias("overlap"), -s["start"], -s["seg_ord"], s["speaker"].alias("speaker"))
-
-    def counts(m: Column) -> Column:
-        return (m["overlap"] > 0) & ((end == start) | (m["overlap"] / (end - start) >= min_overlap))
-
-    best = F.array_max(F.filter(F.transform("_segments", met), counts))
-    placed = words.withColumn("_stretch", F.floor(start / STRETCH_MS))
-    both = placed.join(held, (F.col("rec_id") == F.col("_rec")) & (F.col("_stretch") == F.col("_held")), "left")
-    return both.withColumn("speaker", best["speaker"]).drop("_stretch", "_rec", "_held", "_segments")
+    times = words.filter("start_ms <= end_ms AND rec_id IS NOT NULL").groupBy(F.col("rec_id").alias("rec"), F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end")).agg(F.lit(1).alias("one")).drop("one")
+    held = segments.filter("start_ms <= end_ms").select(F.col("rec_id").alias("s_rec"), F.col("start_ms").alias("s_start"), F.col("end_ms").alias("s_end"), "seg_ord", F.col("speaker").alias("s_speaker"))
+    times, held = times.withColumn("w_level", _level(F.col("w_end") - F.col("w_start"))), held.withColumn("s_level", _level(F.col("s_end") - F.col("s_start")))
+    levels = sorted(r[0] for r in times.select("w_level").union(held.select("s_level")).distinct().collect())
+    if not levels:
+        levels = [0]
+    wide, held = _placed(times, levels, "w_"), _placed(held, levels, "s_").withColumnsRenamed({"at": "s_at", "stretch": "s_stretch"})
+    met = wide.join(held, (F.col("rec") == F.col("s_rec")) & (F.col("at") == F.col("s_at")) & (F.col("stretch") == F.col("s_stretch")))
+    met = met.filter("at = greatest(w_level, s_level) AND stretch = greatest(w_first, s_first)")
+    shared = F.least("w_end", "s_end") - F.greatest("w_start", "s_start")
+    length = F.col("w_end") - F.col("w_start")
+    overlap = F.when(length == 0, ((F.col("s_start") <= F.col("w_start")) & (F.col("w_start") < F.col("s_end"))).cast("long")).otherwise(shared)
+    counted = met.withColumn("overlap", overlap).filter((F.col("overlap") > 0) & ((length == 0) | (F.col("overlap") / length >= min_overlap)))
+    best = counted.groupBy(F.col("rec").alias("_rec"), F.col("w_start").alias("_start"), F.col("w_end").alias("_end")).agg(F.max(F.struct("overlap", -F.col("s_start"), -F.col("seg_ord"), "s_speaker")).alias("_best"))
+    kept = [c for c in words.columns if c != "speaker"]
+    out = words.select(*kept).join(best, (F.col("rec_id") == F.col("_rec")) & (F.col("start_ms") == F.col("_start")) & (F.col("end_ms") == F.col("_end")), "left")
+    return out.select(*kept, F.col("_best.s_speaker").alias("speaker"))
 
 
 def speaker_runs(assigned: DataFrame) -> DataFrame:

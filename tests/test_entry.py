@@ -28,5 +28,5 @@ def test_all_queries_are_registered():
     found = set(__spark_entry__.queries())
     there = (ROOT / "murmur/llm/registry.py").exists()
     numbers = {n[: n.index("_") + 1] for n in found if n.startswith("op")}
-    assert numbers == ({f"op{n}_" for n in range(1, 11)} if there else set())
+    assert numbers == ({f"op{n}_" for n in range(1, 14)} if there else set())
     assert ("pipeline" in found) == (there and (ROOT / "corpus_pipeline.py").exists())

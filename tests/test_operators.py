@@ -177,6 +177,21 @@ def test_every_word_stays_when_speakers_are_assigned(spark):
     assert diarize.assign_speakers(words, segments.limit(0)).filter("speaker IS NULL").count() == 5 and diarize.assign_speakers(words.limit(0), segments).count() == 0
 
 
+def test_speakers_of_intervals_of_any_length(spark):
+    r = random.Random(9)
+    far = lambda: r.choice([5, 300, 40_000, 200_000, 10**7, 10**13])
+    words = [(r.randrange(3), "a", 0, k, f"w{k}", a := r.randrange(-50_000, 300_000), a + r.choice([0, 1, far(), r.randrange(60_000)])) for k in range(300)]
+    segments = [(r.randrange(3), k, a := r.randrange(-50_000, 300_000), a + r.choice([0, far(), r.randrange(90_000)]), f"s{k % 4}") for k in range(120)]
+    got = {x["word"]: x["speaker"] for x in diarize.assign_speakers(words_df(spark, words).withColumns({"rec": F.lit(1), "w_start": F.lit(2), "speaker": F.lit("old")}), spark.createDataFrame(segments, "rec_id long, seg_ord long, start_ms long, end_ms long, speaker string")).collect()}
+    for rec, _, _, _, word, a, b in words:
+        found = []
+        for other, k, c, d, speaker in segments:
+            shared = min(b, d) - max(a, c) if a < b else int(c <= a < d)
+            if other == rec and shared > 0 and (a == b or shared / (b - a) >= 0.5):
+                found.append((-shared, c, k, speaker))
+        assert got[word] == (min(found)[3] if found else None)
+
+
 def test_chained_merges_are_those_of_the_nearest_pairs():
     r = np.random.default_rng(6)
     for n, k in ((2, 1), (7, 3), (40, 5), (40, 1)):
