@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.scan import Scan
 from murmur.operators.tokens import joined
 
 WORD = ["rec_id", "channel", "msg_no", "pos"]
@@ -111,11 +112,12 @@ def with_metadata(found: DataFrame, messages: DataFrame, but: tuple[str, ...] =
     return found.join(known, MESSAGE, "left").select(*found.columns, *more)
 
 
-def word_groups(words: DataFrame, gap_ms: int = 500) -> DataFrame:
-    """Words of a channel, in time order, cut where a word starts more than ``gap_ms`` behind the one before."""
+def word_groups(words: DataFrame, gap_ms: int = 500, spread: bool = False) -> DataFrame:
+    """Words of a channel, in time order, cut where a word starts more than ``gap_ms`` behind the one before; null times make no
+    cut. ``spread`` is for channels with very many words, see ``Scan``; it gives the same rows."""
     keys, order = ["rec_id", "channel"], ["start_ms", "msg_no", "pos"]
-    since = F.col("start_ms") - F.lag("end_ms").over(Window.partitionBy(*keys).orderBy(*order))
-    cut = _islands(words, keys, order, since > gap_ms, "group_no")
+    marked = Scan(words.select(*keys, *order, "end_ms"), keys, order, spread).before(_end=F.col("end_ms"))
+    cut = marked.totals(group_no=F.coalesce(F.col("start_ms") - F.col("_end") > gap_ms, F.lit(False)).cast("long")).done()
     return cut.groupBy(*keys, "group_no").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"))
 
 

@@ -3,23 +3,31 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.scan import Scan, exact_percentiles
 from murmur.operators.tokens import joined
 
 CHANNEL = ["rec_id", "channel"]
 
 
-def sentences(words: DataFrame, percentile: float = 80.0, compat: bool = False) -> DataFrame:
+def sentences(words: DataFrame, percentile: float = 80.0, compat: bool = False, spread: bool = False) -> DataFrame:
     """Cut a channel's words where a pause reaches the channel's own threshold.
 
     The threshold is the exact percentile of the differences between the ends of neighbouring words; the pause
     is a word's start minus the end before. One word, or none before, is one sentence. ``compat``: a start of
     0 ms counts as unset, so such a sentence starts at its second word.
+
+    ``spread`` gives the same rows without a window over a whole channel, for channels with very many words: see ``Scan`` and
+    ``exact_percentiles``. Null times make no cut; words without a recording or channel are those of a channel of their own. Repeated
+    words count each; an empty table gives none. Columns of words that begin with an underscore may be replaced.
     """
-    in_order = Window.partitionBy(*CHANNEL).orderBy("msg_no", "pos")
-    marked = words.withColumn("_end", F.lag("end_ms").over(in_order))
-    limit = F.round(F.percentile(F.col("end_ms") - F.col("_end"), F.lit(percentile / 100)).over(Window.partitionBy(*CHANNEL)), 6)
+    marked = Scan(words.select(*CHANNEL, "msg_no", "pos", "word", "start_ms", "end_ms"), CHANNEL, ["msg_no", "pos"], spread).before(_end=F.col("end_ms"))
+    since = F.col("end_ms") - F.col("_end")
+    if spread:
+        marked.facts(exact_percentiles(marked.rows.withColumn("_since", since), CHANNEL, "_since", percentile / 100).select(*CHANNEL, F.round("percentile", 6).alias("_limit")))
+    else:
+        marked.rows = marked.rows.withColumn("_limit", F.round(F.percentile(since, F.lit(percentile / 100)).over(Window.partitionBy(*CHANNEL)), 6))
     cut = F.coalesce((F.col("start_ms") - F.col("_end")) >= F.col("_limit"), F.lit(False)).cast("int")
-    numbered = marked.withColumn("_limit", limit).withColumn("sentence_no", F.sum(cut).over(in_order).cast("long"))
+    numbered = marked.totals(sentence_no=cut).done().withColumn("sentence_no", F.col("sentence_no").cast("long"))
     start = F.min_by("start_ms", F.struct("msg_no", "pos"))
     if compat:
         start = F.coalesce(F.min_by(F.when(F.col("start_ms") != 0, F.col("start_ms")), F.when(F.col("start_ms") != 0, F.struct("msg_no", "pos"))), start)

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.scan import Scan
+
 
 def tumbling_chunks(words: DataFrame, chunk_ms: int = 30_000) -> DataFrame:
     """Words of a channel by chunk of its time, with a flag on the last chunk."""
@@ -12,19 +14,21 @@ def tumbling_chunks(words: DataFrame, chunk_ms: int = 30_000) -> DataFrame:
     return counts.withColumn("is_last", last)
 
 
-def chunk_offsets(chunks: DataFrame) -> DataFrame:
+def chunk_offsets(chunks: DataFrame, spread: bool = False) -> DataFrame:
     """Chunks (rec_id, channel, msg_no, duration_ms, ok) and the time at which each begins: the durations of
-    those before it, failed ones not counted."""
-    before = Window.partitionBy("rec_id", "channel").orderBy("msg_no").rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("offset_ms", F.coalesce(F.sum(F.when(F.col("ok"), F.col("duration_ms")).otherwise(0)).over(before), F.lit(0)).cast("long"))
+    those before it, failed ones and null durations not counted. A null ``ok`` is a failure. ``spread`` is for channels with very many
+    chunks, see ``Scan``; it gives the same rows. A column offset_ms is replaced."""
+    own = F.coalesce(F.when(F.col("ok"), F.col("duration_ms")), F.lit(0)).cast("long")
+    return Scan(chunks, ["rec_id", "channel"], ["msg_no"], spread).totals(offset_ms=own).done().withColumn("offset_ms", F.col("offset_ms") - own)
 
 
-def sticky_multiplier(rates: DataFrame, fast: int = 18, target: float = 17.0, least: float = 0.8) -> DataFrame:
+def sticky_multiplier(rates: DataFrame, fast: int = 18, target: float = 17.0, least: float = 0.8, spread: bool = False) -> DataFrame:
     """The speed multiplier that holds for each message of a recording: 1 up to the first one spoken faster than
-    ``fast``, from then on what that one asked for, in all later messages and channels."""
-    in_order = Window.partitionBy("rec_id").orderBy("channel", "msg_no").rowsBetween(Window.unboundedPreceding, 0)
+    ``fast``, from then on what that one asked for, in all later messages and channels. Null rates ask for nothing. ``spread`` is for
+    recordings with very many messages, see ``Scan``; it gives the same rows. A column multiplier is replaced."""
     asked = F.when(F.col("rate") > fast, F.round(F.greatest(F.lit(target) / F.col("rate"), F.lit(least)), 6))
-    return rates.withColumn("multiplier", F.coalesce(F.first(asked, True).over(in_order), F.lit(1.0)))
+    found = Scan(rates, ["rec_id"], ["channel", "msg_no"], spread).earliest(multiplier=asked).done()
+    return found.withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0)))
 
 
 def framed(samples: Column, size: int = 512, pad: bool = True) -> Column:

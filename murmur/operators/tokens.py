@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.scan import Scan
+
 MESSAGE = ["rec_id", "channel", "msg_no"]
 
 
@@ -29,14 +31,14 @@ def words_by_leading_space(tokens: DataFrame, shift_ms: int = 0, compat: bool =
     return out.withColumns({"start_ms": F.col("start_ms") + shift_ms, "end_ms": F.col("end_ms") + shift_ms})
 
 
-def words_by_gap(tokens: DataFrame, gap_ms: int = 2000) -> DataFrame:
+def words_by_gap(tokens: DataFrame, gap_ms: int = 2000, spread: bool = False) -> DataFrame:
     """Words of messages whose tokens are letters and spaces: a space ends a word, and so does a pause of more
-    than ``gap_ms`` between two of its letters."""
-    in_order = Window.partitionBy(*MESSAGE).orderBy("pos")
-    marked = tokens.withColumns({"_before": F.lag("token").over(in_order), "_since": F.col("ts_ms") - F.lag("ts_ms").over(in_order)})
-    breaks = (F.col("_before") == " ") | (F.col("_since") > gap_ms)
-    numbered = marked.filter("token <> ' '").withColumn("word_no", F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(in_order).cast("long"))
-    return numbered.groupBy(*MESSAGE, "word_no").agg(joined("token", "pos").alias("word"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"))
+    than ``gap_ms`` between two of its letters. Null tokens are left out, null times make no pause. ``spread`` is for messages with very
+    many tokens, see ``Scan``; it gives the same rows."""
+    marked = Scan(tokens.select(*MESSAGE, "pos", "token", "ts_ms"), MESSAGE, ["pos"], spread).before(_before=F.col("token"), _at=F.col("ts_ms"))
+    breaks = (F.col("_before") == " ") | (F.col("ts_ms") - F.col("_at") > gap_ms)
+    numbered = marked.totals(word_no=F.coalesce(breaks & (F.col("token") != " "), F.lit(False)).cast("int")).done().filter("token <> ' '")
+    return numbered.withColumn("word_no", F.col("word_no").cast("long")).groupBy(*MESSAGE, "word_no").agg(joined("token", "pos").alias("word"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"))
 
 
 def speech_rate(tokens: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ frames: rec_id, frame_no, prob, where prob is in hundredths. A frame is 512 samp
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.scan import Scan
+
 FRAME, RATE = 512, 16_000
 #: Thresholds of the sensitivity modes, in hundredths, and that of any other mode.
 MODES, OTHER_MODE = {1: 70, 2: 60, 3: 50, 4: 30, 5: 15}, 50
@@ -19,30 +21,32 @@ def threshold(mode: Column) -> Column:
     return out
 
 
-def segments(frames: DataFrame, high: int = 50, below: int = 15, least_ms: int = 150, silence_ms: int = 1000) -> DataFrame:
+def segments(frames: DataFrame, high: int = 50, below: int = 15, least_ms: int = 150, silence_ms: int = 1000, spread: bool = False) -> DataFrame:
     """Segments (rec_id, seg_no, start, end, n_samples) in samples, with hysteresis.
 
     Speech begins at a frame of at least ``high``. It ends at the first frame under ``high - below`` if one at
     least ``silence_ms`` behind is too and none between reaches ``high``; else with the recording. Segments
     must be longer than ``least_ms``. Low frames are summed up between neighbouring high ones, which decides
     every end by itself; no state passes from frame to frame.
+
+    Frames without a probability are neither high nor low; repeated frames change nothing. ``spread`` is for recordings with very
+    many frames, see ``Scan``; it gives the same rows. An empty table gives none.
     """
-    in_order = Window.partitionBy("rec_id").orderBy("frame_no")
+    key = ["rec_id"]
     is_high = F.when(F.col("prob") >= high, F.col("frame_no"))
-    since = frames.withColumn("_high", F.last(is_high, True).over(in_order))
+    since = Scan(frames.select("rec_id", "frame_no", "prob"), key, ["frame_no"], spread).latest(_high=is_high).done()
     low = F.when(F.col("prob") < high - below, F.col("frame_no"))
-    lengths = F.max("_top").over(Window.partitionBy("rec_id")) + 1
-    highs = since.groupBy("rec_id", "_high").agg(F.min(low).alias("_low"), F.max(low).alias("_last_low"), F.max("frame_no").alias("_top")).withColumn("_n", lengths).filter("_high IS NOT NULL")
+    tops = frames.groupBy("rec_id").agg((F.max("frame_no") + 1).alias("_n"))
+    highs = since.filter("_high IS NOT NULL").groupBy("rec_id", "_high").agg(F.min(low).alias("_low"), F.max(low).alias("_last_low"))
     silent = F.coalesce((F.col("_last_low") - F.col("_low")) * FRAME * 1000 >= silence_ms * RATE, F.lit(False))
-    highs = highs.withColumn("_silent", silent)
-    by_high = Window.partitionBy("rec_id").orderBy("_high")
-    cut = F.coalesce(F.lag("_silent").over(by_high), F.lit(False)).cast("int")
-    found = highs.withColumn("_seg", F.sum(cut).over(by_high)).groupBy("rec_id", "_seg").agg(
+    marked = Scan(highs.withColumn("_silent", silent), key, ["_high"], spread).facts(tops).before(_cut=F.col("_silent"))
+    marked = marked.totals(_seg=F.coalesce("_cut", F.lit(False)).cast("int")).done()
+    found = marked.groupBy("rec_id", "_seg").agg(
         F.min("_high").alias("_from"), F.max_by(F.when(F.col("_silent"), F.col("_low")).otherwise(F.col("_n")), "_high").alias("_to"), F.first("_n").alias("_n")
     )
     out = found.select("rec_id", (F.col("_from") * FRAME).alias("start"), (F.col("_to") * FRAME).alias("end"), (F.col("_n") * FRAME).alias("n_samples"))
     out = out.filter((F.col("end") - F.col("start")) * 1000 > least_ms * RATE)
-    return out.withColumn("seg_no", F.row_number().over(Window.partitionBy("rec_id").orderBy("start")).cast("long"))
+    return Scan(out, key, ["start"], spread).totals(seg_no=F.lit(1).cast("long")).done()
 
 
 def padded(segments_: DataFrame, pad_ms: int = 30) -> DataFrame:

@@ -47,6 +47,12 @@ def dialogue_sentences(spark, sf_dir):
     return sentences.sentences(d.words(spark, sf_dir))
 
 
+@query("dialogue_sentences_spread", f"WITH {_S80} SELECT * FROM sentences", "words")
+def dialogue_sentences_spread(spark, sf_dir):
+    """As ``dialogue_sentences``, for channels of any length."""
+    return sentences.sentences(d.words(spark, sf_dir), spread=True)
+
+
 @query("dialogue_sentences_p90", f"WITH {_SENTENCES.format(p=0.9)} SELECT * FROM sentences", "words")
 def dialogue_sentences_p90(spark, sf_dir):
     return sentences.sentences(d.words(spark, sf_dir), 90)
