@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.functions import codecs
+
 RATE = 16_000
 #: What one is in each supported sample width.
 FULL_SCALE = {2: 32768.0, 4: 2147483648.0}
@@ -177,8 +179,8 @@ def read_wav(content: bytes) -> tuple[int, list[np.ndarray]]:
 
 
 def read_audio(content: bytes) -> tuple[int, list[np.ndarray]]:
-    """(rate, samples of each channel) of a file of a known format."""
-    return read_wav(content)
+    """(rate, samples of each channel) of a WAV, AIFF, AU or FLAC file."""
+    return codecs.read(content)
 
 
 def write_wav(channels: list[np.ndarray], rate: int = RATE) -> bytes:
@@ -192,9 +194,9 @@ def write_wav(channels: list[np.ndarray], rate: int = RATE) -> bytes:
 
 
 def channels(content: bytes, mono: bool = False, rate: int = RATE, pad_ms: int = 5000) -> list[np.ndarray]:
-    """The samples of a WAV file's channels, or of their mean, at ``rate``; less than five seconds are followed by
+    """The samples of an audio file's channels, or of their mean, at ``rate``; less than five seconds are followed by
     ``pad_ms`` of silence."""
-    own, found = read_wav(content)
+    own, found = read_audio(content)
     out = [resample(c, own, rate) for c in ([np.mean(found, 0)] if mono else found)]
     return [np.append(x, np.zeros(pad_ms * rate // 1000, np.float32)) if len(x) < 5 * rate else x for x in out]
 
