@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 from functools import reduce
@@ -52,9 +53,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 
 def release(spark: SparkSession) -> None:
-    """Collect the driver's garbage: Spark keeps shuffle files and broadcasts of finished jobs until it is collected, and
-    a driver between long stages may not do so for itself."""
+    """Collect the driver's garbage, and give what Python freed back to the system: Spark keeps shuffle files and broadcasts of
+    finished jobs until it is collected, and a driver between long stages may not do so for itself."""
     gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library alone
+        trim(0)
     spark._jvm.System.gc()
 
 

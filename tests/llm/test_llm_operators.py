@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on small tables with nulls, ties, repeats and odd texts."""
+"""The first ten operators against brute force, on small tables with nulls, ties, repeats and odd texts."""
 
 import base64
 import hashlib
@@ -798,7 +798,7 @@ def test_small_stretches_and_parts_give_the_same_matches(monkeypatch):
     docs = [(k, " ".join(r.choice(words) for _ in range(60)) + " " + items[k % 5][1][r.choice([0, 7, 33]) :][: r.choice([60, 200])]) for k in range(10)]
     expected = matches_by_brute_force(docs, items)
     assert len(expected) >= 5
-    for part, pairs, stretch, lanes in ((4096, 1 << 20, 128, 4096), (4096, 64, 4096, 7), (32, 1 << 20, 50, 1), (16, 50, 20, 100), (192, 1, 1, 4096)):
+    for part, pairs, stretch, lanes in ((4096, 1 << 20, 128, 4096), (4096, 64, 4096, 7), (32, 1 << 20, 50, 1), (16, 50, 20, 100), (192, 1, 60, 4096)):
         monkeypatch.setattr(decontamination, "PART", part)
         monkeypatch.setattr(decontamination, "PAIRS", pairs)
         monkeypatch.setattr(decontamination, "STRETCH", stretch)
@@ -865,7 +865,7 @@ def test_same_rows_as_duckdb(spark):
     from murmur.llm import registry
 
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     assert len(registry.oracle_sql()) >= 3
     for name, sql in registry.oracle_sql().items():
