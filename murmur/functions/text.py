@@ -4,14 +4,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File name extensions that are taken, with their case.
-AUDIO_EXTENSIONS = """
-.mp3 .wav .aac .ogg .flac .m4a .wma .aiff .alac
-.ape .opus .amr .au .mid .midi .ac3 .dts .ra .rm .voc
-.dsd .pcm .raw .tta .webm .3ga .8svx .cda
-.mp2 .mp1 .gsm .vox .dss .mka .tak .ofr .spx
-.xm .mod .s3m .it .nsf
-.669 .mtm .med .far .umx
-""".split()
+AUDIO_EXTENSIONS = [
+    ".mp3", ".wav", ".aac", ".ogg", ".flac", ".m4a", ".wma", ".aiff", ".alac", ".ape",
+    ".opus", ".amr", ".au", ".mid", ".midi", ".ac3", ".dts", ".ra", ".rm", ".voc",
+    ".dsd", ".pcm", ".raw", ".tta", ".webm", ".3ga", ".8svx", ".cda", ".mp2", ".mp1",
+    ".gsm", ".vox", ".dss", ".mka", ".tak", ".ofr", ".spx", ".xm", ".mod", ".s3m",
+    ".it", ".nsf", ".669", ".mtm", ".med", ".far", ".umx",
+]
 URL_EXTENSIONS = ["mp3", "wav", "ogg"]
 
 
