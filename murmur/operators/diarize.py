@@ -57,7 +57,8 @@ def assign_speakers(words: DataFrame, segments: DataFrame, min_overlap: float =
 
 
 def speaker_runs(assigned: DataFrame) -> DataFrame:
-    """Runs of words of one speaker in a message; unassigned words break a run and make none."""
+    """Runs of words of one speaker in a message; unassigned words break a run and make none. Repeated words count each; words
+    without a place come first in their message, and null keys are a message of their own. An empty table gives none."""
     in_order = Window.partitionBy(*MESSAGE).orderBy("pos")
     change = ((F.row_number().over(in_order) == 1) | ~F.col("speaker").eqNullSafe(F.lag("speaker").over(in_order))).cast("int")
     numbered = assigned.withColumn("_change", change).withColumn("run_no", F.sum("_change").over(in_order).cast("long"))
@@ -70,7 +71,8 @@ def fill_nearest(assigned: DataFrame) -> DataFrame:
     start and the first that starts by its end or later, the latter on a tie.
 
     Words of a message come in time order, so the runs around a word are those of its neighbours; one ordered
-    pass in each direction finds them.
+    pass in each direction finds them. Every row stays, repeated ones too; a word without times stays
+    without a speaker, and a run without times offers none. Columns _run, _run_start, _run_end, _prev and _next are taken for this.
     """
     in_order = Window.partitionBy(*MESSAGE).orderBy("pos")
     run_change = (~F.col("speaker").eqNullSafe(F.lag("speaker").over(in_order))).cast("int")
@@ -94,7 +96,8 @@ def _islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, n
 
 def replicas(assigned: DataFrame, max_pause_ms: int = 2000) -> DataFrame:
     """A speaker's words in a message, cut where the pause is longer than ``max_pause_ms``; words without a
-    speaker are those of ``unknown``. group_start_ms and group_end_ms span all of the speaker's replicas there."""
+    speaker are those of ``unknown``. group_start_ms and group_end_ms span all of the speaker's replicas there. Repeated words
+    count each, words without times make no pause, null words add nothing to the text. An empty table gives none."""
     keys = [*MESSAGE, "speaker"]
     named = assigned.withColumn("speaker", F.coalesce("speaker", F.lit("unknown")))
     since = F.col("start_ms") - F.lag("end_ms").over(Window.partitionBy(*keys).orderBy("start_ms", "pos"))
@@ -128,7 +131,8 @@ def long_enough(segments: DataFrame, least_ms: int = 150) -> DataFrame:
 
 def merge_segments(segments: DataFrame, gap_ms: int = 1000, order: list[str] | None = None, merge: bool = True) -> DataFrame:
     """Neighbouring segments of a recording with one speaker become one if the pause is at most ``gap_ms``; without
-    ``merge`` they are only numbered in their order, as some callers have always seen them."""
+    ``merge`` they are only numbered in their order, as some callers have always seen them. A null speaker or time parts no
+    neighbours by itself; repeated segments count each; an empty table gives none."""
     order = order or ["start_ms", "seg_ord"]
     in_order = Window.partitionBy("rec_id").orderBy(*order)
     other = F.row_number().over(in_order) > 1 if not merge else (F.col("speaker") != F.lag("speaker").over(in_order)) | (F.col("start_ms") - F.lag("end_ms").over(in_order) > gap_ms)
@@ -145,7 +149,8 @@ def without_overlap(segments: DataFrame) -> DataFrame:
 
 def subsegments(segments: DataFrame, window: int = 150, step: int = 75, frame_ms: int = 10) -> DataFrame:
     """Sliding windows of ``window`` frames over each segment's frames, every ``step`` frames; what a window
-    lacks at the end it repeats from its own start (n_real frames are real)."""
+    lacks at the end it repeats from its own start (n_real frames are real). Segments with null times or of no whole frame give
+    none."""
     n = F.floor((F.col("end_ms") - F.col("start_ms")) / frame_ms).cast("long")
     last = F.greatest(F.col("n_frames") - window + step - 1, F.lit(0))
     starts = F.sequence(F.lit(0).cast("long"), F.when(F.col("n_frames") <= window, F.lit(0).cast("long")).otherwise(last), F.lit(step).cast("long"))

@@ -35,7 +35,8 @@ def sentences(words: DataFrame, percentile: float = 80.0, compat: bool = False,
 
 
 def dialogue(sentences_: DataFrame) -> DataFrame:
-    """A text per recording: its sentences as lines, by start, channel and number."""
+    """A text per recording: its sentences as lines, by start, channel and number. A sentence without a channel or a text counts but
+    adds no line; rows without a recording are one of their own."""
     line = F.concat("channel", F.lit(": "), "text", F.lit("\n"))
     return sentences_.withColumn("_line", line).groupBy("rec_id").agg(joined("_line", "start_ms", "channel", "sentence_no").alias("dialogue"), F.count("*").alias("n_sentences"))
 

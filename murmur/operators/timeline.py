@@ -7,7 +7,8 @@ from murmur.operators.scan import Scan
 
 
 def tumbling_chunks(words: DataFrame, chunk_ms: int = 30_000) -> DataFrame:
-    """Words of a channel by chunk of its time, with a flag on the last chunk."""
+    """Words of a channel by chunk of its time, with a flag on the last chunk. Words without a start are a chunk without a
+    number, the first; repeated words count each; an empty table gives none."""
     chunk = F.floor(F.col("start_ms") / chunk_ms).cast("long")
     counts = words.groupBy("rec_id", "channel", chunk.alias("chunk_no")).agg(F.count("*").alias("n_words"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     last = F.lead("chunk_no").over(Window.partitionBy("rec_id", "channel").orderBy("chunk_no")).isNull()

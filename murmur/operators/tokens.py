@@ -18,7 +18,8 @@ def words_by_leading_space(tokens: DataFrame, shift_ms: int = 0, compat: bool =
     """Words of messages whose tokens mark a word's start by a leading space.
 
     tokens: rec_id, channel, msg_no, pos, token, ts_ms. A word starts at its first and ends at its last token.
-    ``compat`` starts a message's first word at 0 if its token has no space, and keeps words that are empty.
+    ``compat`` starts a message's first word at 0 if its token has no space, and keeps words that are empty. Null tokens add
+    nothing to a word; repeated tokens count each; an empty table gives none.
     """
     in_order = Window.partitionBy(*MESSAGE).orderBy("pos")
     starts = F.col("token").startswith(" ").cast("int")
@@ -43,7 +44,8 @@ def words_by_gap(tokens: DataFrame, gap_ms: int = 2000, spread: bool = False) ->
 
 def speech_rate(tokens: DataFrame) -> DataFrame:
     """Letters a second of each message, without the time that spaces take; and how far to slow it down: 17 / rate,
-    0.8 at least, above a rate of 18. Time counts from 0, not from the first token."""
+    0.8 at least, above a rate of 18. Time counts from 0, not from the first token. Null tokens are no letters; a message without
+    times has a rate of 0."""
     pause = F.when(F.col("token") == " ", F.lead("ts_ms").over(Window.partitionBy(*MESSAGE).orderBy("pos")) - F.col("ts_ms"))
     by_message = tokens.withColumn("_pause", pause).groupBy(*MESSAGE).agg(
         F.sum((F.col("token") != " ").cast("long")).alias("n_letters"), (F.max_by("ts_ms", "pos") - F.coalesce(F.sum("_pause"), F.lit(0))).alias("spoken_ms")
@@ -55,7 +57,8 @@ def speech_rate(tokens: DataFrame) -> DataFrame:
 
 def token_confidence(tokens: DataFrame, trials: str = "msg_no", tolerance_ms: int = 500) -> DataFrame:
     """Votes over a recording's trials: tokens of one place, rounded half to even to ``tolerance_ms``, and the
-    share of trials that have them, in the order they were first seen."""
+    share of trials that have them, in the order they were first seen. Null tokens and times are a token and a place like any; rows
+    without a recording are left out; an empty table gives none."""
     place = (F.bround(F.col("ts_ms") / tolerance_ms) * tolerance_ms).cast("long")
     counts = tokens.groupBy("rec_id", "token", place.alias("ts_ms")).agg(F.count("*").alias("votes"), F.min(F.struct(trials, "pos")).alias("_first"))
     n = tokens.groupBy("rec_id").agg(F.countDistinct(trials).alias("_trials"))
