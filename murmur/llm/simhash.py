@@ -409,8 +409,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, text_sha256, component_id) per row of docs with an id: component_id is the smallest id reachable over
     links of texts whose distinct shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Texts of equal sets of shingles are one class, by a 128-bit digest of the set. Fingerprints only propose
-    pairs of classes. At such similarities they differ in too many bits for a vantage-point tree to prune, so a
+    Texts of equal sets of shingles are one class, by a 128-bit digest of the set, and classes are numbered once, as
+    they are written, so no two of them share a number. Fingerprints only propose pairs of classes. At such similarities they differ in too many bits for a vantage-point tree to prune, so a
     class has a long fingerprint of its distinct shingles: keys (see ``key_plan``) that are looked up within one
     bit, each in a tree of its own, and CHECK bits that drop pairs far below the bound. By calculation a pair at
     0.8 is proposed with a probability of 0.996 or more (sets of 6 shingles or more; sets of 5 meet their subsets
@@ -442,7 +442,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = materialise(rows.mapInArrow(run, "id long, text_sha256 binary, digest binary, fp binary, less array<binary>"), "prints")
     of_class = F.struct("id", "text_sha256")
     classes = prints.groupBy("digest").agg(F.min("id").alias("least"), F.min(of_class).alias("row"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("less").alias("less"))
-    classes = materialise(classes.withColumn("node", F.xxhash64("digest")), "classes")
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     total = classes.count()
     if not total:
         return prints.select("id", "text_sha256", F.col("id").alias("component_id"))
