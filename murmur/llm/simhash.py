@@ -405,6 +405,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, ok boolean"), "confirmed")
 
 
+def _relabelled(parts: DataFrame, tested: DataFrame) -> DataFrame:
+    """(node, part) with the parts that confirmed links (a, b, ok) between them join, under the smallest of their numbers."""
+    roots = components(tested.filter("ok")).select(F.col("node").alias("part"), "root")
+    return attach(parts, roots, ["part"], "node").select("node", F.coalesce("root", "part").alias("part"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, text_sha256, component_id) per row of docs with an id: component_id is the smallest id reachable over
     links of texts whose distinct shingles have a Jaccard similarity of ``similarity`` or more.
@@ -501,23 +507,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = rows.join(wanted, ["id", "text_sha256"]).select("node", "text").dropDuplicates(["node"])
     sets = materialise(sets.mapInArrow(hashed, "node long, hashes binary"), "sets")
 
-    tested, per = _confirmed(links, sets, similarity), 16
-    while True:
-        parts = materialise(components(tested.filter("ok")).withColumnRenamed("root", "part"), "parts")
-        members = loose.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    tested, per, more = _confirmed(links, sets, similarity), 16, True
+    parts = materialise(_relabelled(loose.select("node", F.col("node").alias("part")), tested), "parts")
+    while more:
+        members = loose.join(parts, "node")
         unsettled = members.groupBy("loose").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.count("*").alias("_n")).filter("_low < _high AND _n > 2")
         unsettled = materialise(attach(members, unsettled, ["loose"], "node").filter("_n IS NOT NULL").select("node", "part"), "unsettled")
         if unsettled.isEmpty():
             break
         found = materialise(between(classes.select("fp", "node").join(unsettled, "node").select("fp", "node", "part"), per), "proposed")
         new = materialise(found.select("a", "b").distinct().join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "links")
-        more = not found.filter("more").isEmpty()
+        more, per = not found.filter("more").isEmpty(), per * 8
         if not new.isEmpty():
-            tested = materialise(tested.union(_confirmed(new, sets, similarity)), "tested")
-        if not more:
-            parts = components(tested.filter("ok")).withColumnRenamed("root", "part")
-            break
-        per *= 8
+            ends = _confirmed(new, sets, similarity)
+            tested = materialise(tested.union(ends), "tested")
+            for end in ("a", "b"):  # links between parts, of which there are few, instead of links between classes
+                ends = attach(ends.filter("ok"), unsettled.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}")), [end], "b" if end == "a" else "a")
+            parts = materialise(_relabelled(parts, ends.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"), "ok")), "parts")
 
     release(spark)
     nodes = classes.select("digest", "node", "least", "n").join(parts, "node", "left")
