@@ -544,6 +544,52 @@ def wav_headers(spark, sf_dir):
     return d.table(spark, sf_dir, "events").select("event_id", F.unhex(body).alias("content")).select("event_id", *(c.alias(k) for k, c in audio.wav_header().items()))
 
 
+_SOUNDS = """WITH e AS (SELECT event_id, event_id % 10 = 9 AS broken, CAST(round(value * 100) AS BIGINT) % 20000 AS level FROM events WHERE value IS NOT NULL)"""
+
+
+def _sounds(spark, sf_dir):
+    """(path, content): a WAV file of 16 kHz per event with eight frames of two channels; one in ten ends in its header."""
+
+    def frame(k):
+        pair = (F.col("level") + 100 * k, 50 * k - F.floor(F.col("level") / 2))
+        digits = [F.lpad(F.hex(F.pmod(x, F.lit(65536)).cast("long")), 4, "0") for x in pair]
+        return F.concat(*(F.concat(F.substring(x, 3, 2), F.substring(x, 1, 2)) for x in digits))
+
+    header = "524946464400000057415645666d74201000000001000200803e000000fa0000040010006461746120000000"
+    levels = d.table(spark, sf_dir, "events").filter("value IS NOT NULL").select("event_id", F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(20000)).alias("level"))
+    whole = F.concat(F.lit(header), *(frame(k) for k in range(8)))
+    return levels.select(F.col("event_id").cast("string").alias("path"), F.unhex(F.when(F.col("event_id") % 10 == 9, F.lit(header[:40])).otherwise(whole)).alias("content"))
+
+
+def _decoded(files, scale, **how):
+    """What ``audio.decode`` gives: the number of samples, and their sum weighted by place in steps of 1 / ``scale``."""
+    weighted = F.transform("samples", lambda x, i: F.rint(x.cast("double") * scale) * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x).cast("long")
+    return audio.decode(files, **how).select(F.col("path").cast("long").alias("event_id"), "channel", F.when(F.col("error").isNull(), F.size("samples").cast("long")).alias("n_samples"), total.alias("weighted"), F.isnotnull("error").alias("failed"))
+
+
+@query("decoded_channels", _SOUNDS + """ SELECT event_id, CASE WHEN NOT broken THEN 'channel_' || c END AS channel, CASE WHEN NOT broken THEN CAST(88 AS BIGINT) END AS n_samples,
+    CASE WHEN NOT broken THEN CAST(list_sum(list_transform(range(8), lambda k: (k + 1) * CASE c WHEN 1 THEN level + 100 * k ELSE 50 * k - level // 2 END)) AS BIGINT) END AS weighted, broken AS failed
+    FROM e, (VALUES (1), (2)) AS v(c) WHERE NOT broken OR c = 1""")
+def decoded_channels(spark, sf_dir):
+    """Files of two channels, each channel by itself, with five milliseconds behind short ones; broken files have no channel."""
+    return _decoded(_sounds(spark, sf_dir), 32768, pad_ms=5)
+
+
+@query("decoded_mono", _SOUNDS + """ SELECT event_id, CASE WHEN NOT broken THEN 'channel_1' END AS channel, CASE WHEN NOT broken THEN CAST(88 AS BIGINT) END AS n_samples,
+    CASE WHEN NOT broken THEN CAST(list_sum(list_transform(range(8), lambda k: (k + 1) * (level - level // 2 + 150 * k))) AS BIGINT) END AS weighted, broken AS failed FROM e""")
+def decoded_mono(spark, sf_dir):
+    """The mean of both channels."""
+    return _decoded(_sounds(spark, sf_dir), 65536, mono=True, pad_ms=5)
+
+
+@query("model_sizes", """WITH b AS (SELECT p_partkey, p_partkey * p_partkey * 333 AS n FROM part), u AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS p FROM b)
+    SELECT p_partkey, printf('%.2f', round(n / 1024.0::DOUBLE ** p, 2)) || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][p + 1] AS size FROM u""")
+def model_sizes(spark, sf_dir):
+    """Sizes from bytes to terabytes, in the largest unit that fits."""
+    return d.table(spark, sf_dir, "part").select("p_partkey", text.size_text(F.col("p_partkey").cast("long") * F.col("p_partkey") * 333).alias("size"))
+
+
 @query("guarded_samples", """SELECT vec_id, true AS finite, round(list_sum(list_transform(embedding, lambda x: least(greatest(x::DOUBLE, -0.1), 0.1))), 5) AS level,
     CAST(list_sum(list_transform(embedding, lambda x: CAST(round_even(x::DOUBLE * 32767, 0) AS INTEGER))) AS BIGINT) AS pcm FROM embeddings WHERE list_max(list_transform(embedding, lambda x: abs(x))) <= 1""")
 def guarded_samples(spark, sf_dir):
