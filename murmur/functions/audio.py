@@ -228,6 +228,18 @@ def pcm16_samples(payload: str) -> Column:
     return F.pandas_udf(_samples, "array<double>")(payload)
 
 
+def pcm_numbers(payload: str | Column, width: int = 2) -> Column:
+    """A column of PCM bytes as 16-bit numbers; of samples of 4 bytes the upper half. What is over of an incomplete sample
+    goes, null bytes give null."""
+    if width not in _TYPES:
+        raise ValueError(f"sample width {width}: 2 or 4 bytes are supported")
+
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else (np.frombuffer(p[: len(p) // width * width], _TYPES[width]) >> 8 * (width - 2)).astype(np.int32).tolist() for p in map(lambda x: None if x is None else bytes(x), column)], dtype=object)
+
+    return F.pandas_udf(run, "array<int>")(payload)
+
+
 def finite(samples: Column) -> Column:
     """Whether an array holds numbers alone."""
     return ~F.exists(samples, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -7,11 +7,12 @@ import hashlib
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, fields
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.audio import fbank, stretch
@@ -95,7 +96,7 @@ class Models:
     """Factories of the models. ``recogniser``: (samples, rate) to tokens and timestamps; ``voice``: samples of one
     channel in order to a probability per frame; ``speaker``: features to a vector; ``punctuation``: words to labels.
 
-    Two slots stand in for others if they are given: ``recurrent_voice``, (frame, state or None) to (probability, state), is asked
+    Three slots stand in for others if they are given: ``recogniser_batch``, ([samples], rate) to as many results; ``recurrent_voice``, (frame, state or None) to (probability, state), is asked
     frame by frame, with no state at a channel's start; ``speaker_batch`` takes ``batch_size`` windows' features at once to as many vectors.
 
     A worker makes a model once for each factory and keeps the HELD latest. Factories are told apart by what they pickle to, so
@@ -106,6 +107,7 @@ class Models:
     voice: Callable = field(default=lambda: loudness)
     speaker: Callable = field(default=lambda: hashed_vector)
     punctuation: Callable = field(default=lambda: hashed_labels)
+    recogniser_batch: Callable | None = None
     recurrent_voice: Callable | None = None
     speaker_batch: Callable | None = None
     batch_size: int = 8
@@ -163,6 +165,42 @@ def recognise(model: Callable, samples: np.ndarray, rate: int, multiplier: float
     return result, multiplier
 
 
+def recognised(models: Models, chunks: Iterable[tuple[object, np.ndarray]], rate: int, size: int = 4) -> Iterator[tuple[object, dict | None]]:
+    """(name, result) for each (name, samples of a chunk), in order; null where the model fails. A model of batches gets
+    ``size`` chunks at once, whatever recording they are of; if a batch fails, its chunks are tried one by one."""
+
+    def run(part: list[np.ndarray]) -> list[dict | None]:
+        try:
+            found = [models.built("recogniser")(part[0], rate)] if models.recogniser_batch is None else list(models.built("recogniser_batch")(part, rate))
+            if len(found) != len(part):
+                raise ValueError(f"{len(found)} results for {len(part)} chunks")
+            return found
+        except Exception:  # a model's errors are of any kind
+            return [None] if len(part) == 1 else [run([x])[0] for x in part]
+
+    chunks = iter(chunks)
+    while held := list(islice(chunks, 1 if models.recogniser_batch is None else size)):
+        yield from zip([name for name, _ in held], run([x for _, x in held]))
+
+
+def chunk_tokens(chunks: DataFrame, models: Models, rate: int = 16_000, size: int = 4) -> DataFrame:
+    """(rec_id, chunk_no, tokens, timestamps) for chunks (rec_id, chunk_no, samples), recognised ``size`` at once.
+
+    Chunks without samples (null) and those on which the model fails give no row; empty ones are asked like any other, and
+    repeated rows each give theirs. Other columns are not read. An empty table gives none. A task holds a batch at a time.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (((r, n), np.asarray(x, np.float32)) for part in parts for r, n, x in zip(part["rec_id"], part["chunk_no"], part["samples"]))
+        found = ((*name, list(x["tokens"]), [float(t) for t in x["timestamps"]]) for name, x in recognised(models, rows, rate, size) if x is not None)
+        while held := list(islice(found, 1000)):
+            yield pd.DataFrame(held, columns=["rec_id", "chunk_no", "tokens", "timestamps"])
+
+    keys = chunks.select("rec_id", "chunk_no", "samples").filter("samples IS NOT NULL")
+    types = dict(keys.dtypes)
+    return keys.mapInPandas(run, f"rec_id {types['rec_id']}, chunk_no {types['chunk_no']}, tokens array<string>, timestamps array<double>")
+
+
 def heard_words(tokens: list[str], times: list[float], gap_s: float = 2.0) -> list[tuple[str, int, int]]:
     """(word, start, end) in milliseconds of a recogniser's letters: a space ends a word, and so does a pause of more
     than ``gap_s`` between two letters."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from murmur.functions import audio, labels, nested, text
+from murmur.functions import audio, labels, models, nested, text
 from murmur.operators import density, diarize, echo, embeddings, layout, sentences, timeline, tokens, vad
 from murmur.options import PipelineOptions
 from murmur.plans.transcript import transcribe
@@ -583,6 +583,32 @@ def decoded_mono(spark, sf_dir):
     return _decoded(_sounds(spark, sf_dir), 65536, mono=True, pad_ms=5)
 
 
+@query("pcm_numbers", """SELECT event_id, CAST(x AS INTEGER) AS whole, CAST(x // 65536 AS INTEGER) AS upper FROM (SELECT event_id, CAST(round(value * 100) AS BIGINT) % 20000 AS x FROM events WHERE value IS NOT NULL)
+    UNION ALL SELECT event_id, CAST(-x - 1 AS INTEGER), CAST(floor((-x - 1) * 997 / 65536.0::DOUBLE) AS INTEGER) FROM (SELECT event_id, CAST(round(value * 100) AS BIGINT) % 20000 AS x FROM events WHERE value IS NOT NULL)""")
+def pcm_numbers(spark, sf_dir):
+    """Two samples per event, above and below zero, as 16-bit numbers from bytes of 2 and of 4 a sample."""
+
+    def little(x, n):
+        digits = F.lpad(F.hex(F.pmod(x, F.lit(1 << 8 * n)).cast("long")), 2 * n, "0")
+        return F.concat(*(F.substring(digits, 2 * (n - k) - 1, 2) for k in range(n)))
+
+    x = F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(20000))
+    two, four = F.unhex(F.concat(little(x, 2), little(-x - 1, 2))), F.unhex(F.concat(little(x, 4), little((-x - 1) * 997, 4)))
+    found = d.table(spark, sf_dir, "events").filter("value IS NOT NULL").select("event_id", audio.pcm_numbers(two).alias("a"), audio.pcm_numbers(four, 4).alias("b"))
+    return found.select("event_id", F.explode(F.arrays_zip("a", "b")).alias("x")).select("event_id", F.col("x.a").alias("whole"), F.col("x.b").alias("upper"))
+
+
+@query("chunk_tokens", """SELECT user_id AS rec_id, event_id AS chunk_no, CASE WHEN level < 328 THEN '' ELSE ['w0', 'w0 w1', 'w0 w1 w2'][event_id % 3 + 1] END AS text
+    FROM (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) % 20000 AS level FROM events WHERE value IS NOT NULL)""")
+def chunk_tokens(spark, sf_dir):
+    """A tone of one to three seconds per event, four of them recognised at once; quiet ones hold no word."""
+    level = F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(20000))
+    samples = F.array_repeat((level / 32768).cast("float"), ((F.col("event_id") % 3 + 1) * 10).cast("int"))
+    chunks = d.table(spark, sf_dir, "events").filter("value IS NOT NULL").select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("chunk_no"), samples.alias("samples"))
+    batch = models.Models(recogniser_batch=lambda: lambda part, rate: [models.spelled(x, rate) for x in part])
+    return models.chunk_tokens(chunks, batch, rate=10).select("rec_id", "chunk_no", F.array_join("tokens", "").alias("text"))
+
+
 @query("model_sizes", """WITH b AS (SELECT p_partkey, p_partkey * p_partkey * 333 AS n FROM part), u AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS p FROM b)
     SELECT p_partkey, printf('%.2f', round(n / 1024.0::DOUBLE ** p, 2)) || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][p + 1] AS size FROM u""")
 def model_sizes(spark, sf_dir):

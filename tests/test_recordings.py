@@ -101,3 +101,34 @@ def test_speakers_of_files(spark, tmp_path):
     assert found[0]["start_ms"] < 200 and all(a["end_ms"] <= b["start_ms"] for a, b in zip(found, found[1:]))
     one = diarization.speaker_segments(files_, models=models.Models(speaker=plain)).collect()
     assert {x["speaker"] for x in one} == {"0"}
+
+
+def test_chunks_are_recognised_in_batches_and_failures_left_out(spark):
+    calls = []
+
+    def batch(part, rate):
+        calls.append(len(part))
+        if any(x.size and x.max() > 1 for x in part):
+            raise RuntimeError("too loud")
+        return [models.spelled(x, rate) for x in part]
+
+    loud, tone, none = np.full(10, 2.0, np.float32), np.full(10, 0.5, np.float32), np.zeros(0, np.float32)
+    slot = models.Models(recogniser_batch=lambda: batch)
+    got = list(models.recognised(slot, enumerate([tone, none, tone, tone, tone, loud, tone]), 10))
+    assert calls == [4, 3, 1, 1, 1] and [k for k, _ in got] == list(range(7)) and [k for k, x in got if x is None] == [5]
+    assert got[0][1]["tokens"] == ["w", "0"] and got[1][1]["tokens"] == []
+    rows = [("a", k, x) for k, x in enumerate([[0.5] * 10, None, [], [0.5] * 20])] + [("a", 0, [0.5] * 10), (None, 9, [2.0])]
+    chunks = spark.createDataFrame(rows, "rec_id string, chunk_no int, samples array<float>").withColumns({"tokens": F.lit(1), "name": F.lit(2)})
+    plain = models.chunk_tokens(chunks, models.Models(), 10)
+    found = sorted((x["chunk_no"], "".join(x["tokens"])) for x in plain.collect())
+    assert found == [(0, "w0"), (0, "w0"), (2, ""), (3, "w0 w1"), (9, "w0")]
+    assert models.chunk_tokens(chunks.limit(0), models.Models(), 10).count() == 0
+
+
+def test_pcm_numbers(spark):
+    rows = [(bytes.fromhex("0080ff7f01"), 2), (None, 2), (b"", 2)]
+    df = spark.createDataFrame(rows, "payload binary, width int")
+    assert [x[0] for x in df.select(audio.pcm_numbers("payload")).collect()] == [[-32768, 32767], None, []]
+    assert [x[0] for x in df.select(audio.pcm_numbers("payload", 4)).collect()] == [[32767], None, []]
+    with pytest.raises(ValueError):
+        audio.pcm_numbers("payload", 3)
