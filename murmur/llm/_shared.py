@@ -56,6 +56,7 @@ def release(spark: SparkSession) -> None:
     """Collect the driver's garbage, and give what Python freed back to the system: Spark keeps shuffle files and broadcasts of
     finished jobs until it is collected, and a driver between long stages may not do so for itself."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library alone
         trim(0)
     spark._jvm.System.gc()
@@ -131,6 +132,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
+        release(spark)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = _minima(both.filter("b > a"), least, seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

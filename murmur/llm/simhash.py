@@ -26,12 +26,16 @@ LONG_LEAF, KEY_BITS, MISSED, CHECK = 16_384, 18, 0.0004, 512
 SLACK = 28
 #: Entries of one key from which on the nearest of them are taken together before pairs are looked at.
 DENSE = 64
+#: Bits of a set's sketch at most, as a power of two.
+SKETCH = 12
 _SHINGLE = 0xC2B2AE3D27D4EB4F
 _LANES = np.uint64(0x0101010101010101)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Distances computed at once in a leaf.
 _CELLS = 1 << 20
+#: Pairs of sketches or of keys compared at once.
+_PAIRS = 1 << 14
 
 
 def majority_bits(h: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -374,20 +378,74 @@ def similar_links(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, home: n
     return ids[linked], ids[labels[linked]]
 
 
-def links_between_parts(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, parts: np.ndarray, home: np.ndarray, bits: int, most: int, per: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def sketch_of(own: np.ndarray) -> bytes:
+    """The parities of a set's counts in buckets of its hashes, four buckets or more for each, up to 2 ** SKETCH."""
+    buckets = 1 << min(SKETCH, max(6, (4 * len(own) - 1).bit_length()))
+    at = (mix(own, 0) & np.uint64(buckets - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=buckets) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of sets, and a lower bound of how many hashes two of them don't share: each such hash turns one parity. A
+    longer sketch is folded to the length of the other."""
+
+    def __init__(self, sketches: list[bytes]):
+        own = [np.frombuffer(x, np.uint64) for x in sketches]
+        self.level = np.array([len(x).bit_length() - 1 for x in own], np.int64)
+        self.folded: dict[int, np.ndarray] = {}
+        top = int(self.level.max(initial=0))
+        table = np.zeros((len(own), 1 << top), np.uint64)
+        for level in range(top, -1, -1):
+            if level < top:
+                table = table[:, : 1 << level] ^ table[:, 1 << level :]
+            for k in np.flatnonzero(self.level == level).tolist():
+                table[k] = own[k]
+            self.folded[level] = table
+
+    def least_apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        level = np.minimum(self.level[i], self.level[j])
+        out = np.zeros(len(i), np.int64)
+        for own in np.unique(level).tolist():
+            at, table = np.flatnonzero(level == own), self.folded[own]
+            for k in range(0, len(at), _PAIRS):
+                part = at[k : k + _PAIRS]
+                out[part] = np.bitwise_count(table[i[part]] ^ table[j[part]]).sum(1, dtype=np.int64)
+        return out
+
+
+def _first_met(keys: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> np.ndarray:
+    """Whether no table before this one has keys of i and j within one bit."""
+    out = np.ones(len(i), bool)
+    for k in range(0, len(i) if table else 0, _PAIRS):
+        part = slice(k, k + _PAIRS)
+        out[part] = (np.bitwise_count(keys[i[part], :table] ^ keys[j[part], :table]) > 1).all(1)
+    return out
+
+
+def links_between_parts(every: np.ndarray, table: int, checks: np.ndarray, ids: np.ndarray, parts: np.ndarray, home: np.ndarray, sizes: np.ndarray, sketches: list[bytes], bits: int, most: int, per: int, least: Fraction) -> tuple[np.ndarray, np.ndarray, bool]:
     """The proposed pairs of a leaf whose parts differ, of every home the ``per`` nearest by their checks, and
-    whether some were left for later."""
+    whether some were left for later. ``every`` has the keys of all tables, of which the leaf belongs to one.
+
+    A pair that several tables propose is left to the first of them, and one whose sketches prove it to be below
+    ``least`` to none: sets of m and n hashes that similar don't share at most (m + n)(1 - least)/(1 + least) of them.
+    """
     order = np.lexsort((ids, ~home))
-    keys, checks, ids, parts, n = keys[order], checks[order], ids[order], parts[order], int(home.sum())
+    every, checks, ids, parts, sizes, n = every[order], checks[order], ids[order], parts[order], sizes[order], int(home.sum())
+    of = Sketches([sketches[k] for k in order.tolist()])
     found, more = [(ids[:0], ids[:0])], False
-    for i, j, differ in _proposed(keys, checks, parts, n, bits, most):
+    for i, j, differ in _proposed(every[:, table], checks, parts, n, bits, most):
+        near = of.least_apart(i, j) * (least.denominator + least.numerator) <= (sizes[i] + sizes[j]) * (least.denominator - least.numerator)
+        i, j, differ = i[near], j[near], differ[near]
+        first = _first_met(every, i, j, table)
+        i, j, differ = i[first], j[first], differ[first]
         order = np.lexsort((ids[j], differ, i))
         i, j = i[order], j[order]
         nth = np.arange(len(i)) - np.searchsorted(i, i)
         more = more or bool((nth >= per).any())
         found.append((ids[i[nth < per]], ids[j[nth < per]]))
     a, b = (np.concatenate(x) for x in zip(*found))
-    return np.maximum(a, b), np.minimum(a, b), more
+    once = np.unique(np.c_[np.maximum(a, b), np.minimum(a, b)], axis=0)  # two homes of one leaf find each other
+    return once[:, 0], once[:, 1], more
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -400,8 +458,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             of = ((np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("set_a"), batch.column("set_b")))
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array([similar(x, y, least) for x, y in of], pa.bool_())})
 
-    both = attach(pairs, sets.withColumnsRenamed({"node": "b", "hashes": "set_b"}), ["b"], "a")
-    both = attach(both, sets.withColumnsRenamed({"node": "a", "hashes": "set_a"}), ["a"], "b")
+    both = attach(pairs, sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), ["b"], "a")
+    both = attach(both, sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), ["a"], "b")
     return materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, ok boolean"), "confirmed")
 
 
@@ -424,7 +482,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every link is confirmed on the sorted hashes of both sets. First each leaf proposes spanning links. Groups
     that these confirm whole are settled; in the others all pairs between parts that are not yet linked are
-    proposed, of every class the nearest first and eight times as many a round, until none is left. So a large
+    proposed, of every class the nearest first and eight times as many a round, until none is left, but for pairs
+    that sketches of both sets prove to lie below the bound. Each is proposed by one table alone. So a large
     group of near copies makes few pairs, and no link hangs on a pair that was turned down.
 
     Rows without an id are left out. Null texts count as empty, and texts without words are one class. Repeated
@@ -432,7 +491,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     small_batches(spark)
-    most = most_bits(similarity, CHECK) + SLACK
+    most, least = most_bits(similarity, CHECK) + SLACK, Fraction(str(similarity))
     text = F.col(text_col).cast("string")
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), _text_sha256(text).alias("text_sha256"))
     bits, tables = key_plan(docs.count(), similarity)
@@ -484,14 +543,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"a": a, "b": b})
 
     def between(nodes: DataFrame, per: int) -> DataFrame:
-        """(a, b, more) for nodes (fp, node, part): of every home at most ``per`` links between parts."""
+        """(a, b, more) for nodes (fp, node, part, n, sketch): of every home at most ``per`` links between parts."""
 
         def search(table: pa.Table) -> pa.Table:
-            key, node, part, home = arrays(table, "key", "node", "part", "home")
-            a, b, more = links_between_parts(key.astype(np.uint64), checks_of(table), node, part, home, bits, most, per)
+            leaf, node, part, home, n = arrays(table, "leaf", "node", "part", "home", "n")
+            every = keys_of(np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(-1, words), bits, tables)
+            a, b, more = links_between_parts(every, int(leaf[0]) >> 32, checks_of(table), node, part, home, n, table.column("sketch").to_pylist(), bits, most, per, least)
             return pa.table({"a": a, "b": b, "more": np.full(len(a), more)})
 
-        return nodes.mapInArrow(deal, "leaf long, key long, node long, part long, home boolean, checks binary").groupBy("leaf").applyInArrow(search, "a long, b long, more boolean")
+        dealt = nodes.withColumn("print", F.col("fp")).mapInArrow(deal, "leaf long, key long, node long, part long, n long, sketch binary, print binary, home boolean, checks binary")
+        return dealt.groupBy("leaf").applyInArrow(search, "a long, b long, more boolean")
 
     subsets = classes.select(F.explode("less").alias("digest"), F.col("node").alias("_of")).join(classes.select("digest", "node"), "digest")
     dealt = classes.select("fp", "node").mapInArrow(deal, "leaf long, key long, node long, home boolean, checks binary")
@@ -501,11 +562,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.record_batch({"node": batch.column("node"), "hashes": pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), shingle)], pa.binary())})
+            own = shingle_sets(batch.column("text"), shingle)
+            yield pa.record_batch({"node": batch.column("node"), "hashes": pa.array([s.tobytes() for s in own], pa.binary()), "n": pa.array([len(s) for s in own], pa.int64()), "sketch": pa.array([sketch_of(s) for s in own], pa.binary())})
 
     wanted = loose.join(classes.select("node", "row"), "node").select("node", F.col("row.id").alias("id"), F.col("row.text_sha256").alias("text_sha256"))
     sets = rows.join(wanted, ["id", "text_sha256"]).select("node", "text").dropDuplicates(["node"])
-    sets = materialise(sets.mapInArrow(hashed, "node long, hashes binary"), "sets")
+    sets = materialise(sets.mapInArrow(hashed, "node long, hashes binary, n long, sketch binary"), "sets")
 
     tested, per, more = _confirmed(links, sets, similarity), 16, True
     parts = materialise(_relabelled(loose.select("node", F.col("node").alias("part")), tested), "parts")
@@ -515,8 +577,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         unsettled = materialise(attach(members, unsettled, ["loose"], "node").filter("_n IS NOT NULL").select("node", "part"), "unsettled")
         if unsettled.isEmpty():
             break
-        found = materialise(between(classes.select("fp", "node").join(unsettled, "node").select("fp", "node", "part"), per), "proposed")
-        new = materialise(found.select("a", "b").distinct().join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "links")
+        facts = classes.select("fp", "node").join(unsettled, "node").join(sets.select("node", "n", "sketch"), "node")
+        found = materialise(between(facts.select("fp", "node", "part", "n", "sketch"), per), "proposed")
+        new = materialise(found.select("a", "b").join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "links")
         more, per = not found.filter("more").isEmpty(), per * 8
         if not new.isEmpty():
             ends = _confirmed(new, sets, similarity)

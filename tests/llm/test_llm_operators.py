@@ -411,6 +411,40 @@ def test_similar_groups_at_the_bound(spark, monkeypatch):
     assert all(got[k] == k for k in wrong) and len(wrong) <= 2  # nothing is linked below the bound; recall is 0.99
 
 
+def test_sketches_bound_what_sets_do_not_share():
+    r = np.random.default_rng(8)
+    base = r.integers(0, 1 << 63, 6000).astype(np.uint64)
+    sets = [np.unique(np.r_[base[: n - n // k], r.integers(0, 1 << 63, n // k).astype(np.uint64)]) for n in (1, 3, 15, 16, 17, 200, 230, 1000, 1200, 5000) for k in (3, 10, 40)]
+    sets += [base[:0], np.unique(base)]
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    got = simhash.Sketches([simhash.sketch_of(s) for s in sets]).least_apart(i, j)
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (got <= apart).all() and (got[i == j] == 0).all()
+    close = np.array([max(len(sets[a]), len(sets[b])) in range(100, 900) for a, b in zip(i, j)]) & (apart < 120)
+    assert close.any() and (got[close] >= 0.8 * apart[close]).all()
+
+
+def test_pairs_just_below_the_bound_are_not_proposed_again_and_again(spark, monkeypatch):
+    r, proposed = rng(31), []
+    words = lambda n: ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    base = words(170)
+    rows = [base + words(34) for _ in range(60)]  # similarity 0.71 with one another
+    rows += [[*x[:203], "changed"] for x in rows[:10]]  # 0.99 with one
+    rows += [base + rows[20][170:187] + words(17), base + rows[20][170:197] + words(7)]  # 0.80 and more with one, and with each other
+    rows = [" ".join(x) for x in rows]
+
+    def written(df, tag, write=simhash.materialise):
+        out = write(df, tag)
+        if tag == "proposed":
+            proposed.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", written)
+    got = {x["id"]: x["component_id"] for x in simhash.similar_groups(docs_df(spark, rows)).collect()}
+    assert [got[k] for k in range(len(rows))] == groups_by_brute_force(rows)
+    assert len(set(got.values())) == 60 and sum(proposed) <= 2 * len(rows)  # of 2,556 pairs
+
+
 def test_a_repeated_line_does_not_make_texts_similar(spark):
     r = rng(22)
     line = " ".join(f"l{k}" for k in range(20))
