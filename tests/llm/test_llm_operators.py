@@ -759,6 +759,28 @@ def test_the_sample_passes_over_long_texts(spark):
     assert got["bad words"] > 0.5 > got["good words"] and got["bad " * 30] > 0.5 > got["good " * 30]
 
 
+def test_every_labelled_row_trains_long_ones_too(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 40)
+    rows = [(k, ("vile " if k % 3 == 0 else "fine ") + "word " * (42_000 if k % 3 == 0 else 20)) for k in range(60)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    got = {x["text"][:4]: x["score"] for x in toxicity.score(docs_df(spark, ["vile word", "fine word"]), toxicity.fit(spark.createDataFrame(rows, DOCS), labels)).collect()}
+    assert got["vile"] > 0.5 > got["fine"]
+
+
+def test_shards_learn_what_the_first_has_not_seen(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    monkeypatch.setattr(toxicity, "STEPS", 100)
+    ids = spark.range(1000).select("id", toxicity.held_out("id").alias("h"))
+    shards = -(-ids.filter("not h").count() // 100)
+    shard = {x["id"]: x["s"] for x in ids.select("id", F.expr(f"pmod(xxhash64(id, 2), {shards})").alias("s")).collect()}
+    rows = [(k, f"w{k % 7} {('bad' if shard[k] == 0 else 'vile') if k % 4 == 0 else 'good'} w{k % 11}") for k in range(1000)]
+    df, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(1000)], "doc_id long, toxic int")
+    model, again = toxicity.fit(df.coalesce(1), labels), toxicity.fit(df.repartition(7), labels.repartition(3))
+    z = model.logits(pa.array(["w1 bad w2", "w1 vile w2", "w1 good w2"]), toxicity.Vocabulary())[0] - model.shift[-1]
+    assert shards > 1 and z[0] > 0 and z[1] > 0 > z[2]
+    assert all((getattr(model, n) == getattr(again, n)).all() for n in ("embeddings", "filters", "bias", "out", "shift"))
+
+
 def test_a_score_depends_on_the_text_alone():
     model = toxicity.train(["bad word here", "fine text", "bad again", "all good"] * 30, [1, 0, 1, 0] * 30)
     texts = ["bad thing", "", "good thing", None]
