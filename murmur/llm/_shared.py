@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from murmur.sources.scratch import discard, materialise, new_path, qualified
 
-__all__ = ["attach", "components", "copies", "discard", "in_order", "materialise", "new_path", "qualified", "ranked", "release", "salt_of", "slices", "small_batches", "spans"]
+__all__ = ["attach", "components", "copies", "discard", "in_order", "materialise", "new_path", "qualified", "ranked", "release", "salt_of", "slices", "small_batches", "spans", "trim"]
 
 #: Bytes of text that a task takes in and looks at together; one longer text is taken alone.
 SLICE_BYTES = 1 << 19
@@ -56,12 +56,17 @@ def release(spark: SparkSession) -> None:
     """Collect the driver's garbage, and give what Python freed back to the system: Spark keeps shuffle files and broadcasts of
     finished jobs until it is collected, and a driver between long stages may not do so for itself."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library alone
-        trim(0)
+    trim()
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give what this process freed back to the system: a Python worker lives on after a task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library alone
+        give_back(0)
+
+
 def salt_of(column: str | Column, salts: int) -> Column:
     """A salt from a row's own id, the same in every attempt of a task."""
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._shared import attach, components, materialise, release, slices, small_batches
+from murmur.llm._shared import attach, components, materialise, release, slices, small_batches, trim
 from murmur.llm._words import mix, rolling, utf8, within, words_of
 
 #: Fingerprints that the partitioning tree is fitted on, and distinct fingerprints a leaf should hold.
@@ -307,6 +307,12 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum()) if len(starts) else np.arange(0)
 
 
+def _apart(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bits rows i and j of a table differ in, looked at _PAIRS at a time."""
+    parts = (slice(k, k + _PAIRS) for k in range(0, len(i), _PAIRS))
+    return np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(table[i[p]] ^ table[j[p]]).sum(1, dtype=np.int64) for p in parts)])
+
+
 def _proposed(keys: np.ndarray, checks: np.ndarray, groups: np.ndarray, n: int, bits: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, differing check bits) of the pairs of one of the first n entries, the homes, and any entry of another
     group: keys within one bit, checks within ``most``. All pairs of a home come together.
@@ -334,7 +340,7 @@ def _proposed(keys: np.ndarray, checks: np.ndarray, groups: np.ndarray, n: int,
     upto = np.cumsum(load[rank[homes]])
     k = 0
     while k < len(homes):
-        end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + _CELLS, "right")))
+        end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + _CELLS // 4, "right")))
         part, k = homes[k:end], end
         n_edges = first_edge[rank[part] + 1] - first_edge[rank[part]]
         home, key = np.repeat(part, n_edges), other[_ranges(first_edge[rank[part]], n_edges)]
@@ -346,7 +352,7 @@ def _proposed(keys: np.ndarray, checks: np.ndarray, groups: np.ndarray, n: int,
         home, low, high = np.r_[home, home], np.r_[low, high_own], np.r_[low_own, high]
         i, j = order[np.repeat(home, high - low)], order[_ranges(low, high - low)]
         i, j = i[i != j], j[i != j]
-        differ = np.bitwise_count(checks[i] ^ checks[j]).sum(1, dtype=np.int64)
+        differ = _apart(checks, i, j)
         yield i[differ <= most], j[differ <= most], differ[differ <= most]
 
 
@@ -409,7 +415,7 @@ class Sketches:
             at, table = np.flatnonzero(level == own), self.folded[own]
             for k in range(0, len(at), _PAIRS):
                 part = at[k : k + _PAIRS]
-                out[part] = np.bitwise_count(table[i[part]] ^ table[j[part]]).sum(1, dtype=np.int64)
+                out[part] = _apart(table, i[part], j[part])
         return out
 
 
@@ -540,6 +546,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def spanning(table: pa.Table) -> pa.Table:
         key, node, home = arrays(table, "key", "node", "home")
         a, b = similar_links(key.astype(np.uint64), checks_of(table), node, home, bits, most)
+        trim()
         return pa.table({"a": a, "b": b})
 
     def between(nodes: DataFrame, per: int) -> DataFrame:
@@ -549,6 +556,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             leaf, node, part, home, n = arrays(table, "leaf", "node", "part", "home", "n")
             every = keys_of(np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(-1, words), bits, tables)
             a, b, more = links_between_parts(every, int(leaf[0]) >> 32, checks_of(table), node, part, home, n, table.column("sketch").to_pylist(), bits, most, per, least)
+            trim()
             return pa.table({"a": a, "b": b, "more": np.full(len(a), more)})
 
         dealt = nodes.withColumn("print", F.col("fp")).mapInArrow(deal, "leaf long, key long, node long, part long, n long, sketch binary, print binary, home boolean, checks binary")
